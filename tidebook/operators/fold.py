@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tidebook.functions.values import int_div
 from tidebook.operators.series import Series
-from tidebook.session import shared_dir
+from tidebook.session import shared_dir, staged
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def fold_rows(df: DataFrame, series: Series, fold: Fold, restart: str | None = N
         rows = rows.withColumn("_from", F.coalesce("_from", F.lit(0).cast("long")))
     else:
         rows = rows.withColumn("_from", F.lit(0).cast("long"))
-    rows = rows.withColumn("_set", int_div(F.col("_from"), size))
+    rows = staged(rows.withColumn("_set", int_div(F.col("_from"), size)))
     group = [*keys, "_set"]
     sizes = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_size"), F.min("_rn").alias("_first")

@@ -78,18 +78,6 @@ def ema(df: DataFrame, series: Series, period: int, col: str = "close", out: str
     )
 
 
-def _wilder(df: DataFrame, series: Series, cols: Sequence[str], period: int, start: int):
-    """Wilder smoothing of ``cols`` from row ``start`` on.
-
-    The value at row ``start`` must already hold the seed.  Earlier rows are
-    not returned.
-    """
-    rows = df.where(F.col("_rn") >= start)
-    for c in cols:
-        rows = decay_filter(rows, series, c, f"{c}_s", 1.0 / period)
-    return rows
-
-
 def rsi(df: DataFrame, series: Series, period: int = 14, col: str = "close", out: str = "rsi"):
     """Wilder RSI; 100 when there was no loss, null before ``period`` changes."""
     check_period(period)
@@ -104,21 +92,21 @@ def rsi(df: DataFrame, series: Series, period: int = 14, col: str = "close", out
 
     def seeds(w):
         frame = w.rowsBetween(-(period - 1), Window.currentRow)
-        seed = F.col("_rn") == period
-        return {
-            "_g": F.when(seed, F.avg("_gain").over(frame)).otherwise(F.col("_gain")),
-            "_d": F.when(seed, F.avg("_loss").over(frame)).otherwise(F.col("_loss")),
-        }
 
-    seeded = series.frames(moves, seeds, before=period - 1).drop("_p", "_gain", "_loss")
-    smooth = _wilder(seeded, series, ["_g", "_d"], period, period)
+        def smoothing_input(c):
+            seed = F.when(F.col("_rn") == period, F.avg(c).over(frame))
+            return F.when(F.col("_rn") > period, F.col(c)).otherwise(seed)
+
+        return {"_g": smoothing_input("_gain"), "_d": smoothing_input("_loss")}
+
+    smooth = series.frames(moves, seeds, before=period - 1).drop("_p", "_gain", "_loss")
+    for c in ("_g", "_d"):
+        smooth = decay_filter(smooth, series, c, f"{c}_s", 1.0 / period)
     strength = F.when(F.col("_d_s") == 0, F.lit(100.0)).otherwise(
         F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.col("_g_s") / F.col("_d_s"))
     )
-    warm = smooth.withColumn(out, strength)
-    cold = seeded.where(F.col("_rn") < period).withColumn(out, F.lit(None).cast("double"))
-    keep = [*df.columns, out]
-    return cold.select(*keep).unionByName(warm.select(*keep))
+    warm = F.col("_rn") >= period
+    return smooth.withColumn(out, F.when(warm, strength)).select(*df.columns, out)
 
 
 def atr(df: DataFrame, series: Series, period: int = 14, out: str = "atr"):
@@ -153,21 +141,17 @@ def macd(
     numbered = series.number(df, "_no")
     f = decay_filter(numbered, series, col, "_f", 2.0 / (fast + 1.0))
     s = decay_filter(f, series, col, "_s", 2.0 / (slow + 1.0))
-    line = s.withColumn("macd", F.col("_f") - F.col("_s")).drop("_f", "_s")
     first = max(fast, slow) - 1
-    warm = decay_filter(
-        line.where(F.col("_no") >= first), series, "macd", "signal", 2.0 / (signal + 1.0)
+    line = F.when(F.col("_no") >= first, F.col("_f") - F.col("_s"))
+    full = decay_filter(
+        s.withColumn("macd", line), series, "macd", "signal", 2.0 / (signal + 1.0)
     )
     ready = F.col("_no") >= first + signal - 1
     names = ("macd", "signal", "hist")
-    done = warm.withColumn("hist", F.col("macd") - F.col("signal")).withColumns(
+    done = full.withColumn("hist", F.col("macd") - F.col("signal")).withColumns(
         {n: F.when(ready, F.col(n)) for n in names}
     )
-    cold = numbered.where(F.col("_no") < first).withColumns(
-        {n: F.lit(None).cast("double") for n in names}
-    )
-    keep = [*df.columns, *names]
-    return cold.select(*keep).unionByName(done.select(*keep))
+    return done.select(*df.columns, *names)
 
 
 def on_finite(
@@ -220,22 +204,12 @@ def drawdown(df: DataFrame, series: Series, col: str = "equity"):
 def runs(df: DataFrame, series: Series, same: Sequence[str], out: str = "run"):
     """Number the maximal stretches of consecutive rows with equal ``same`` columns."""
 
-    def build(w):
-        changed = F.lit(False)
-        for c in same:
-            changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(w))
-        first = F.row_number().over(w) == 1
-        return {"_new": F.when(first | changed, 1).otherwise(0)}
-
-    if series.is_split:
-        prev = {f"_p_{c}": c for c in same}
-        lagged = series.frames(
-            df, lambda w: {n: F.lag(c).over(w) for n, c in prev.items()}, before=1
-        )
-        changed = F.lit(False)
-        for n, c in prev.items():
-            changed = changed | ~F.col(c).eqNullSafe(F.col(n))
-        flagged = lagged.withColumn("_new", changed.cast("int")).drop(*prev)
-    else:
-        flagged = series.frames(df, build, before=1)
+    prev = {f"_p_{c}": c for c in same}
+    lagged = series.frames(
+        df, lambda w: {n: F.lag(c).over(w) for n, c in prev.items()}, before=1
+    )
+    changed = F.lit(False)
+    for n, c in prev.items():
+        changed = changed | ~F.col(c).eqNullSafe(F.col(n))
+    flagged = lagged.withColumn("_new", changed.cast("int")).drop(*prev)
     return series.running(flagged, {out: ("sum", F.col("_new").cast("long"))}).drop("_new")

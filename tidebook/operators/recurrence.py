@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebook.operators.series import Series
+from tidebook.session import staged
 
 
 def _filter_chunk(by: list[str], column: str, out: str, alpha: float, chunked: bool):
@@ -35,9 +36,10 @@ def _scan_carry(keys: list[str], alpha: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
         state, carries = 0.0, []
-        for last, n in zip(pdf["_last"], pdf["_n"]):
+        for chunk, last, n in zip(pdf["_chunk"], pdf["_last"], pdf["_n"]):
             carries.append(state)
-            state = last + keep**n * state
+            if chunk >= 0:
+                state = last + keep**n * state
         pdf["_carry"] = carries
         return pdf[[*keys, "_chunk", "_carry"]]
 
@@ -49,7 +51,7 @@ def decay_filter(
 ) -> DataFrame:
     """Exponential filter seeded with the first value of each series.
 
-    ``column`` must not be null; filter the warm-up rows before.
+    ``column`` may be null on the leading (warm-up) rows only; they stay null.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
     by = list(series.by)
@@ -58,12 +60,14 @@ def decay_filter(
         return df.groupBy(*keys).applyInPandas(
             _filter_chunk(by, column, out, alpha, False), schema
         )
-    parts = series.chunked(df)
+    parts = series.chunked_by(df, column)
     schema = T.StructType(
         [*parts.schema.fields, T.StructField(out, T.DoubleType())]
     )
-    local = parts.groupBy(*keys, "_chunk").applyInPandas(
-        _filter_chunk(by, column, out, alpha, True), schema
+    local = staged(
+        parts.groupBy(*keys, "_chunk").applyInPandas(
+            _filter_chunk(by, column, out, alpha, True), schema
+        )
     )
     ends = local.groupBy(*keys, "_chunk").agg(
         F.max_by(out, "_rn").alias("_last"),

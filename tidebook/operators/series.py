@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebook.functions.values import int_div
+from tidebook.session import is_scan, staged
 
 ROWS_PER_BLOCK = 2_000_000
 MAX_BLOCKS = 4096
@@ -218,7 +219,8 @@ class Series:
             w = self.window(reverse).rowsBetween(Window.unboundedPreceding, upto)
             out = df.withColumns({n: _aggregate(k, c).over(w) for n, (k, c) in aggs.items()})
             return _zero_counts(out, aggs)
-        b = self._with_block(df)
+        # Both the blocks and their totals read the input: stage derived rows.
+        b = self._with_block(df if is_scan(df) else staged(df))
         group = [*self.keys, _BLK]
         w = (
             Window.partitionBy(*group)
@@ -299,6 +301,16 @@ class Series:
         size = size or self.rows_per_block
         return self.number(df).withColumn(_CHUNK, int_div(F.col(_RN), size))
 
+    def chunked_by(self, df: DataFrame, column: str) -> DataFrame:
+        """As ``chunked``, counting only rows where ``column`` has a value.
+
+        Rows before the first value get position and chunk -1.
+        """
+        counted = self.running(df, {_RN: ("count", F.col(column))})
+        return counted.withColumn(_RN, F.col(_RN) - 1).withColumn(
+            _CHUNK, int_div(F.col(_RN), self.rows_per_block)
+        )
+
 
 def _zero_counts(df: DataFrame, aggs: Mapping[str, tuple[str, Column]]) -> DataFrame:
     fixed = {

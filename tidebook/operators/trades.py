@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.operators.asof import asof
 from tidebook.operators.indicators import runs
 from tidebook.operators.series import ROWS_PER_BLOCK, Cuts, Series, measure_cuts
+from tidebook.session import staged
 
 # Fixed value: quantities at or below this are flat.
 DUST = 1e-12
@@ -57,21 +58,23 @@ def fifo_trades(
     parts = _split_parts(merged, series)
     at = series.by[0]
 
-    def marks(kind: int, size: str, cum: str) -> DataFrame:
-        leg = F.struct(F.col(at).alias("ts"), F.col("px").alias("px"), F.col("side").alias("side"))
-        none = F.lit(None)
-        return parts.where(F.col(size) > 0).select(
-            *series.keys,
+    leg = F.struct(F.col(at).alias("ts"), F.col("px").alias("px"), F.col("side").alias("side"))
+
+    def mark(kind: int, size: str, cum: str):
+        return F.struct(
+            F.col(size).alias("_size"),
             F.col(cum).alias("_cum"),
             F.floor(cum).cast("long").alias("_pos"),
             F.lit(kind).alias("_kind"),
-            (leg if kind == 0 else none).alias("_entry"),
-            (leg if kind == 1 else none).alias("_exit"),
+            (leg if kind == 0 else F.when(F.lit(False), leg)).alias("_entry"),
+            (leg if kind == 1 else F.when(F.lit(False), leg)).alias("_exit"),
         )
 
-    axis = marks(0, "_open", "_cum_open").unionByName(marks(1, "_close", "_cum_close"))
+    both = F.array(mark(0, "_open", "_cum_open"), mark(1, "_close", "_cum_close"))
+    axis = parts.select(*series.keys, F.inline(both)).where(F.col("_size") > 0).drop("_size")
     cuts: Cuts | None = None
     if series.is_split:
+        axis = staged(axis)
         cuts = measure_cuts(axis, series.keys, "_pos", series.rows_per_block)
     line = Series.of(series.keys, ("_pos", "_cum", "_kind"), cuts)
     legs = line.running(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,6 +35,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .appName("tidebook")
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )
@@ -57,3 +59,24 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
+
+
+_HEAVY = ("Aggregate", "Window", "Join", "Generate", "Repartition", "Pandas", "Arrow", "Sort", "Union")
+
+
+def is_scan(df: DataFrame) -> bool:
+    """True when the plan only reads, projects and filters, so reading it twice is cheap."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(word in plan for word in _HEAVY)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Materialize ``df`` once as a table in the shared folder.
+
+    For a result that is read more than once: the upstream work is done one
+    time, survives the loss of executors, and readers still prune columns.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
