@@ -52,7 +52,7 @@ def anchored_splits(bars: DataFrame, series: Series, n_splits: int = 4) -> DataF
         raise ValueError("n_splits must be positive")
     rows = _numbered(bars, series)
     seg = F.greatest(int_div(F.col("_n"), n_splits + 1), F.lit(1))
-    folds = F.sequence(F.lit(0), F.lit(n_splits - 1))
+    folds = F.sequence(F.lit(0).cast("long"), F.lit(n_splits - 1).cast("long"))
     train_end = F.least((F.col("fold") + 1) * seg, F.col("_n"))
     test_end = F.when(F.col("fold") == n_splits - 1, F.col("_n")).otherwise(
         F.least((F.col("fold") + 2) * seg, F.col("_n"))
@@ -60,7 +60,7 @@ def anchored_splits(bars: DataFrame, series: Series, n_splits: int = 4) -> DataF
     usable = (train_end >= 2) & (test_end - train_end >= 1)
     role = F.when(F.col("_i") < train_end, "train").when(F.col("_i") < test_end, "test")
     return (
-        rows.withColumn("fold", F.explode(folds).cast("long"))
+        rows.withColumn("fold", F.explode(folds))
         .where(usable)
         .withColumn("role", role)
         .where(F.col("role").isNotNull())

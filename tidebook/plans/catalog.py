@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tidebook.plans import lake_queries, ta_queries  # noqa: F401
+from tidebook.plans import book_queries, lake_queries, risk_queries, ta_queries  # noqa: F401
 from tidebook.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -223,7 +223,7 @@ JOIN (SELECT * FROM legs WHERE closing > 0) c ON o.symbol = c.symbol
 _view(
     "trades",
     """
-SELECT *, (exit_px - entry_px) * qty * side - (entry_px + exit_px) * qty * 0.0004 AS pnl FROM lots
+SELECT *, (exit_px - entry_px) * qty * side - (entry_px + exit_px) * qty * 0.000412357 AS pnl FROM lots
 """,
     "lots",
 )

@@ -147,7 +147,7 @@ def bars_with_fills(m: Market):
     )
 
 
-_SB = "SELECT symbol, ts, side, px * 1.0002 AS px, qty FROM fills WHERE flag <> 'R'"
+_SB = "SELECT symbol, ts, side, px * 1.00033333333 AS px, qty FROM fills WHERE flag <> 'R'"
 
 
 @query(
@@ -164,7 +164,7 @@ FROM a FULL JOIN b ON a.symbol = b.symbol AND a.bucket = b.bucket AND a.side = b
     ),
 )
 def session_match(m: Market):
-    b = m.raw_fills.where(F.col("flag") != "R").withColumn("px", F.col("px") * 1.0002)
+    b = m.raw_fills.where(F.col("flag") != "R").withColumn("px", F.col("px") * 1.00033333333)
     out = match_fills(m.raw_fills, b, ["symbol"], 24 * HOUR)
     return out.select(
         "symbol", "bucket", "side", r("px_a", 9).alias("px_a"), r("px_b", 9).alias("px_b")
