@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,9 +96,9 @@ class Book:
 
     __slots__ = ("sides", "last")
 
-    def __init__(self, sides=None, last=None):
-        self.sides = sides or {1: {}, -1: {}}
-        self.last = last
+    def __init__(self):
+        self.sides = {1: {}, -1: {}}
+        self.last = None
 
     def apply(self, action: str, side: int, price, size, sequence) -> bool:
         if action == "Clear":
@@ -129,38 +128,29 @@ class Book:
         )
 
 
-BOOK_FIELDS = [
+BOOK_FIELDS = (
     T.StructField("applied", T.BooleanType()),
     T.StructField("bid", T.DoubleType()),
     T.StructField("bid_size", T.DoubleType()),
     T.StructField("ask", T.DoubleType()),
     T.StructField("ask_size", T.DoubleType()),
     T.StructField("levels", T.LongType()),
-]
+)
 
 
 def book_series(deltas: DataFrame, series: Series) -> DataFrame:
     """Top of book after every delta.
 
     A clear empties the book, so the stretches between clears are independent
-    groups once a series is long enough to be cut.
+    once a series is long enough to be cut.
     """
-    keep = [*series.keys, *series.by]
-    schema = T.StructType([*[deltas.schema[c] for c in keep], *BOOK_FIELDS])
 
-    def step(state, rows: pd.DataFrame):
-        book = Book(*state) if state else Book()
-        out = []
-        cols = ("action", "side", "price", "size", "sequence")
-        for a, s, p, q, n in zip(*[rows[c].tolist() for c in cols]):
-            ok = book.apply(a, s, p, q, n)
-            out.append((ok, *book.top()))
-        res = rows[keep].reset_index(drop=True)
-        extra = pd.DataFrame(out, columns=[f.name for f in BOOK_FIELDS])
-        return (book.sides, book.last), pd.concat([res, extra], axis=1)
+    def apply(book: Book, row: tuple) -> tuple:
+        return (book.apply(*row), *book.top())
 
-    slim = deltas.withColumn("_clear", F.col("action") == "Clear")
-    return fold_rows(slim, series, Fold(step, schema), restart="_clear")
+    fold = Fold(Book, apply, ("action", "side", "price", "size", "sequence"), BOOK_FIELDS)
+    marked = deltas.withColumn("_clear", F.col("action") == "Clear")
+    return fold_rows(marked, series, fold, restart="_clear")
 
 
 def diff_continuity(diffs: DataFrame, series: Series) -> DataFrame:
@@ -218,29 +208,22 @@ def snapshot_continuity(messages: DataFrame, series: Series) -> DataFrame:
     A snapshot resets the state, so stretches between snapshots are
     independent.
     """
-    keep = [*series.keys, *series.by]
-    schema = T.StructType(
-        [*[messages.schema[c] for c in keep]]
-        + [
+
+    def apply(c: Continuity, row: tuple) -> tuple:
+        kind, first, last, prev = row
+        if kind == "snapshot":
+            c.snapshot(last)
+            return "snapshot", c.last
+        return c.diff(first, last, prev), c.last
+
+    fold = Fold(
+        Continuity,
+        apply,
+        ("kind", "first_id", "last_id", "prev_id"),
+        (
             T.StructField("outcome", T.StringType()),
             T.StructField("book_last_id", T.LongType()),
-        ]
+        ),
     )
-
-    def step(state, rows: pd.DataFrame):
-        c = Continuity(*state) if state else Continuity()
-        out = []
-        cols = ("kind", "first_id", "last_id", "prev_id")
-        for kind, f, u, p in zip(*[rows[n].tolist() for n in cols]):
-            if kind == "snapshot":
-                c.snapshot(int(u))
-                out.append(("snapshot", c.last))
-            else:
-                prev = None if p is None or p != p else int(p)
-                out.append((c.diff(int(f), int(u), prev), c.last))
-        res = rows[keep].reset_index(drop=True)
-        extra = pd.DataFrame(out, columns=["outcome", "book_last_id"])
-        return (c.last, c.synced), pd.concat([res, extra], axis=1)
-
     marked = messages.withColumn("_snap", F.col("kind") == "snapshot")
-    return fold_rows(marked, series, Fold(step, schema), restart="_snap")
+    return fold_rows(marked, series, fold, restart="_snap")

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebook.functions.brokerage import CostModel
 from tidebook.operators.asof import asof
 from tidebook.operators.bands import band_join
-from tidebook.operators.series import Cuts
+from tidebook.operators.fold import Fold, fold_rows
+from tidebook.operators.series import Cuts, Series
 
 HOUR_NS = 3_600_000_000_000
 
@@ -257,66 +259,50 @@ def stop_limit_fills(pairs: DataFrame, model: CostModel) -> DataFrame:
     return limit_fills(rows.where(F.col("hit_bar").isNotNull()), model, F.col("hit_bar"))
 
 
+class Trail:
+    """Open quantity and best price of one trailing stop."""
+
+    __slots__ = ("left", "best")
+
+    def __init__(self):
+        self.left, self.best = None, None
+
+    def bar(self, side, qty, offset, anchor, low, high, cap) -> tuple[float, float]:
+        """Fill and trigger of one bar; an un-hit bar tightens the trigger."""
+        if self.left is None:
+            self.left, self.best = float(qty), anchor
+        trigger = self.best + offset if side > 0 else self.best - offset
+        hit = high >= trigger if side > 0 else low <= trigger
+        if not hit:
+            self.best = min(self.best, low) if side > 0 else max(self.best, high)
+            return 0.0, trigger
+        fill = min(cap, self.left)
+        self.left -= fill
+        return fill, trigger
+
+
 def trailing_fills(pairs: DataFrame, model: CostModel) -> DataFrame:
     """Trailing stops: the trigger follows the best price of un-hit bars.
 
     ``anchor`` is the mark at submission and ``offset`` the distance kept; an
     order without an offset rests inert.  A bar either hits the trigger and
-    fills, or tightens it, so the bars of one order are walked in order; the
-    array is bounded by the order's life.
+    fills or tightens it, so the bars of an order are walked in order.
     """
     qty = F.col("qty").cast("double")
     cap = F.coalesce(model.volume_cap(F.col("volume")), qty)
     rows = pairs.where(F.col("offset") > 0).withColumn("_cap", cap)
-    bar = F.struct(
-        F.col("ts_event").alias("ts_event"),
-        F.col("low").alias("low"),
-        F.col("high").alias("high"),
-        F.col("_cap").alias("cap"),
-    )
-    per_order = rows.groupBy("order_id", "symbol", "side", "qty", "offset", "anchor").agg(
-        F.array_sort(F.collect_list(bar)).alias("bars")
-    )
-    fills_type = (
-        "array<struct<ts_event:bigint,low:double,high:double,fill_qty:double,trigger:double>>"
-    )
-    start = F.struct(
-        qty.alias("left"),
-        F.col("anchor").alias("best"),
-        F.array().cast(fills_type).alias("fills"),
+    fold = Fold(
+        Trail,
+        lambda trail, row: trail.bar(*row),
+        ("side", "qty", "offset", "anchor", "low", "high", "_cap"),
+        (
+            T.StructField("fill_qty", T.DoubleType()),
+            T.StructField("trigger", T.DoubleType()),
+        ),
     )
-    buy = F.col("side") > 0
-
-    def walk(acc, b):
-        trigger = F.when(buy, acc["best"] + F.col("offset")).otherwise(
-            acc["best"] - F.col("offset")
-        )
-        hit = F.when(buy, b["high"] >= trigger).otherwise(b["low"] <= trigger)
-        take = F.when(hit, F.least(b["cap"], acc["left"])).otherwise(F.lit(0.0))
-        best = F.when(hit, acc["best"]).otherwise(
-            F.when(buy, F.least(acc["best"], b["low"])).otherwise(
-                F.greatest(acc["best"], b["high"])
-            )
-        )
-        fill = F.struct(
-            b["ts_event"].alias("ts_event"),
-            b["low"].alias("low"),
-            b["high"].alias("high"),
-            take.alias("fill_qty"),
-            trigger.alias("trigger"),
-        )
-        return F.struct(
-            (acc["left"] - take).alias("left"),
-            best.alias("best"),
-            F.when(take > 0, F.concat(acc["fills"], F.array(fill)))
-            .otherwise(acc["fills"])
-            .cast(fills_type)
-            .alias("fills"),
-        )
-
-    walked = per_order.withColumn("_w", F.aggregate("bars", start, walk))
-    hits = walked.select("order_id", "symbol", "side", F.inline("_w.fills"))
-    return _stop_out(hits, model, F.col("trigger"))
+    keep = ["order_id", "symbol", "side", "ts_event", "low", "high"]
+    walked = fold_rows(rows, Series.of("order_id", "ts_event"), fold, keep=keep)
+    return _stop_out(walked.where(F.col("fill_qty") > 0), model, F.col("trigger"))
 
 
 def unfillable(orders: DataFrame) -> DataFrame:

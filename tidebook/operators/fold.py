@@ -1,124 +1,95 @@
-"""Sequential folds that stay within a bounded group per task.
+"""Sequential folds over ordered series, streamed through their tasks.
 
 Some rules are order-dependent by definition (an average price rounded at
-every step, a book after every delta).  A fold runs them over consecutive
-rows of a series and may restart at marked rows, which makes the stretches
-between marks independent groups.  A stretch longer than a block is relayed:
-one block per round, with the state handed over as a row.
+every step, a book after every delta).  A fold hash-partitions the rows by
+series, sorts them inside the partitions and walks the Arrow batches with one
+state per series, so a task holds a batch and a state, never a whole series.
+Rows that reset the state mark where a long series may be split.
 """
 
 from __future__ import annotations
 
-import pickle
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidebook.functions.values import int_div
 from tidebook.operators.series import Series
-from tidebook.session import shared_dir, staged
 
 
 @dataclass(frozen=True)
 class Fold:
-    """``step(state, rows) -> (state, output rows)``; ``state`` starts as None."""
-
-    step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]
-    schema: T.StructType
-
-
-def _once(fold: Fold, by: list[str]):
-    names = fold.schema.names
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, out = fold.step(None, pdf.sort_values(by, kind="stable"))
-        return out[names]
-
-    return run
+    """``apply(state, row)`` changes the state and returns the output values.
 
+    ``row`` holds the ``inputs`` columns in order, nulls as None.
+    """
 
-def _handover(fold: Fold, by: list[str], group: list[str]):
-    names = fold.schema.names
-
-    def run(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        state = pickle.loads(states["_state"].iloc[0]) if len(states) else None
-        if not len(rows):
-            return pd.DataFrame(columns=[*[f"_g_{g}" for g in group], "_state", *names])
-        state, out = fold.step(state, rows.sort_values(by, kind="stable"))
-        out = out[names].copy()
-        out["_state"] = None
-        tail = {n: None for n in names}
-        tail["_state"] = pickle.dumps(state)
-        both = pd.concat([out, pd.DataFrame([tail])], ignore_index=True).astype(object)
-        both = both.where(both.notna(), None)
-        for g in group:
-            both[f"_g_{g}"] = rows[g].iloc[0]
-        return both
+    start: Callable[[], object]
+    apply: Callable[[object, tuple], tuple]
+    inputs: tuple[str, ...]
+    outputs: tuple[T.StructField, ...]
+
+
+def _walk(fold: Fold, group: list[str], keep: list[str]):
+    types = [to_arrow_type(f.dataType) for f in fold.outputs]
+    names = [*keep, *[f.name for f in fold.outputs]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            keys = zip(*[batch.column(g).to_pylist() for g in group])
+            rows = zip(*[batch.column(c).to_pylist() for c in fold.inputs])
+            out = []
+            for key, row in zip(keys, rows):
+                if key != current:
+                    current, state = key, fold.start()
+                out.append(fold.apply(state, row))
+            columns = zip(*out) if out else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep]
+                + [pa.array(list(c), t) for c, t in zip(columns, types)],
+                names=names,
+            )
 
     return run
 
 
-def fold_rows(df: DataFrame, series: Series, fold: Fold, restart: str | None = None) -> DataFrame:
-    """Run ``fold`` over each series; ``restart`` marks rows where state begins anew.
-
-    ``fold.step`` itself must reset its state on a marked row.
+def fold_groups(
+    df: DataFrame, group: list[str], by: list[str], fold: Fold, keep: list[str] | None = None
+) -> DataFrame:
+    """Run ``fold`` over each group in order; returns ``keep`` plus its outputs."""
+    keep = list(dict.fromkeys(keep or [*group, *by]))
+    slim = df.select(*dict.fromkeys([*group, *by, *keep, *fold.inputs]))
+    schema = T.StructType([*[slim.schema[c] for c in keep], *fold.outputs])
+    ordered = slim.repartition(*group).sortWithinPartitions(*group, *by)
+    return ordered.mapInArrow(_walk(fold, group, keep), schema)
+
+
+def fold_rows(
+    df: DataFrame,
+    series: Series,
+    fold: Fold,
+    restart: str | None = None,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Run ``fold`` over each series.
+
+    ``restart`` names a boolean column: on a marked row the state does not
+    depend on earlier rows.  A long series is split there into sets of
+    consecutive stretches that run in parallel; ``fold`` must give the same
+    result from a fresh state.
     """
     by, keys = list(series.by), list(series.keys)
-    if not series.is_split:
-        return df.groupBy(*keys).applyInPandas(_once(fold, by), fold.schema)
-    size = series.rows_per_block
+    keep = keep or [*keys, *by]
+    if not (series.is_split and restart):
+        return fold_groups(df, keys, by, fold, keep)
     rows = series.number(df)
-    if restart:
-        start = F.when(F.col(restart), F.col("_rn"))
-        rows = series.running(rows, {"_from": ("last", start)})
-        rows = rows.withColumn("_from", F.coalesce("_from", F.lit(0).cast("long")))
-    else:
-        rows = rows.withColumn("_from", F.lit(0).cast("long"))
-    rows = staged(rows.withColumn("_set", int_div(F.col("_from"), size)))
-    group = [*keys, "_set"]
-    sizes = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_size"), F.min("_rn").alias("_first")
-    )
-    rounds = -(-sizes.agg(F.max("_size")).first()[0] // size)
-    if rounds <= 4:
-        return rows.groupBy(*group).applyInPandas(_once(fold, by), fold.schema)
-    # One staged copy, laid out by round, so each round reads only its block.
-    spark = df.sparkSession
-    staged = f"{shared_dir(spark)}/relay-{uuid.uuid4().hex}"
-    laid = rows.join(sizes, group).withColumn(
-        "_round", int_div(F.col("_rn") - F.col("_first"), size)
-    )
-    laid.write.partitionBy("_round").parquet(staged)
-    table = spark.read.parquet(staged)
-    state_fields = [T.StructField(f"_g_{g}", laid.schema[g].dataType) for g in group]
-    nullable = [T.StructField(f.name, f.dataType, True) for f in fold.schema.fields]
-    schema = T.StructType([*state_fields, T.StructField("_state", T.BinaryType()), *nullable])
-    states = spark.createDataFrame(
-        [], T.StructType([*[laid.schema[g] for g in group], T.StructField("_state", T.BinaryType())])
-    )
-    done = []
-    for k in range(rounds):
-        part = table.where(F.col("_round") == k)
-        step = (
-            part.groupBy(*group)
-            .cogroup(states.groupBy(*group))
-            .applyInPandas(_handover(fold, by, group), schema)
-        )
-        out_path = f"{staged}-{k}"
-        step.write.parquet(out_path)
-        result = spark.read.schema(schema).parquet(out_path)
-        states = result.where(F.col("_state").isNotNull()).select(
-            *[F.col(f"_g_{g}").alias(g) for g in group], "_state"
-        )
-        done.append(out_path)
-    return (
-        spark.read.schema(schema)
-        .parquet(*done)
-        .where(F.col("_state").isNull())
-        .select(*fold.schema.names)
-    )
+    rows = series.running(rows, {"_from": ("last", F.when(F.col(restart), F.col("_rn")))})
+    start = F.coalesce("_from", F.lit(0).cast("long"))
+    rows = rows.withColumn("_set", int_div(start, series.rows_per_block))
+    return fold_groups(rows, [*keys, "_set"], by, fold, keep)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.values import is_finite
-from tidebook.operators.recurrence import decay_filter
+from tidebook.operators.recurrence import decay_filter, decay_filters
 from tidebook.operators.series import Series
 
 
@@ -100,8 +100,8 @@ def rsi(df: DataFrame, series: Series, period: int = 14, col: str = "close", out
         return {"_g": smoothing_input("_gain"), "_d": smoothing_input("_loss")}
 
     smooth = series.frames(moves, seeds, before=period - 1).drop("_p", "_gain", "_loss")
-    for c in ("_g", "_d"):
-        smooth = decay_filter(smooth, series, c, f"{c}_s", 1.0 / period)
+    wilder = 1.0 / period
+    smooth = decay_filters(smooth, series, {"_g_s": ("_g", wilder), "_d_s": ("_d", wilder)})
     strength = F.when(F.col("_d_s") == 0, F.lit(100.0)).otherwise(
         F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + F.col("_g_s") / F.col("_d_s"))
     )
@@ -139,8 +139,8 @@ def macd(
     """MACD line, signal and histogram; all null until the signal is warm."""
     check_period(fast, slow, signal)
     numbered = series.number(df, "_no")
-    f = decay_filter(numbered, series, col, "_f", 2.0 / (fast + 1.0))
-    s = decay_filter(f, series, col, "_s", 2.0 / (slow + 1.0))
+    both = {"_f": (col, 2.0 / (fast + 1.0)), "_s": (col, 2.0 / (slow + 1.0))}
+    s = decay_filters(numbered, series, both)
     first = max(fast, slow) - 1
     line = F.when(F.col("_no") >= first, F.col("_f") - F.col("_s"))
     full = decay_filter(

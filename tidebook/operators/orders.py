@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,36 +67,49 @@ def replay(log: DataFrame, *, order_id=None, strategy=None) -> DataFrame:
 
 
 class OrderState:
-    """Status, filled size and average price of one order."""
+    """Status, filled size and notional of one order."""
 
-    __slots__ = ("status", "filled", "notional", "qty")
+    __slots__ = ("status", "filled", "notional", "qty", "ignored")
 
-    def __init__(self, status="", filled=0.0, notional=0.0, qty=0.0):
-        self.status, self.filled, self.notional, self.qty = status, filled, notional, qty
+    def __init__(self):
+        self.status, self.filled, self.notional, self.qty, self.ignored = "", 0.0, 0.0, 0.0, 0
 
-    def apply(self, event: str, order_qty: float, last_qty: float, last_px: float) -> bool:
+    def apply(self, event: str, order_qty, last_qty, last_px) -> bool:
         """Apply an event; an illegal one changes nothing and returns False."""
         if event == "Initialized":
-            if self.status:
-                return False
-            self.status, self.qty = event, order_qty
-            return True
-        if self.status not in LEGAL_FROM.get(event, ()):
+            legal = not self.status
+        else:
+            legal = self.status in LEGAL_FROM.get(event, ())
+        if not legal:
+            self.ignored += 1
             return False
+        if event == "Initialized":
+            self.qty = order_qty or 0.0
         if event in ("PartiallyFilled", "Filled"):
             self.filled += last_qty
             self.notional += last_qty * last_px
             self.status = "Filled" if self.filled >= self.qty else "PartiallyFilled"
         elif event == "Updated":
-            if order_qty == order_qty and order_qty > 0:
-                self.qty = order_qty
+            self.qty = order_qty or self.qty
             self.status = "PartiallyFilled" if self.filled > 0 else "Accepted"
         else:
             self.status = event
         return True
 
-    def pack(self):
-        return self.status, self.filled, self.notional, self.qty
+    def view(self) -> tuple:
+        """(status, filled, leaves, average price, ignored events)."""
+        avg = self.notional / self.filled if self.filled else None
+        leaves = max(self.qty - self.filled, 0.0)
+        return self.status, self.filled, leaves, avg, self.ignored
+
+
+STATE_FIELDS = (
+    T.StructField("status", T.StringType()),
+    T.StructField("filled_qty", T.DoubleType()),
+    T.StructField("leaves_qty", T.DoubleType()),
+    T.StructField("avg_px", T.DoubleType()),
+    T.StructField("ignored", T.LongType()),
+)
 
 
 def order_steps(events: DataFrame, series: Series) -> DataFrame:
@@ -105,104 +117,27 @@ def order_steps(events: DataFrame, series: Series) -> DataFrame:
 
     Needs ``event, order_qty, last_qty, last_px``; state is kept per series.
     """
-    keep = [*series.keys, *series.by]
-    schema = T.StructType(
-        [*[events.schema[c] for c in keep]]
-        + [
-            T.StructField("event", T.StringType()),
-            T.StructField("accepted", T.BooleanType()),
-            T.StructField("status", T.StringType()),
-            T.StructField("filled_qty", T.DoubleType()),
-            T.StructField("leaves_qty", T.DoubleType()),
-            T.StructField("avg_px", T.DoubleType()),
-        ]
-    )
-
-    def step(state, rows: pd.DataFrame):
-        o = OrderState(*state) if state else OrderState()
-        out = []
-        cols = ("event", "order_qty", "last_qty", "last_px")
-        for ev, oq, lq, lp in zip(*[rows[c].tolist() for c in cols]):
-            ok = o.apply(ev, oq, lq, lp)
-            avg = o.notional / o.filled if o.filled else None
-            out.append((ev, ok, o.status, o.filled, max(o.qty - o.filled, 0.0), avg))
-        res = rows[keep].reset_index(drop=True)
-        extra = pd.DataFrame(out, columns=schema.names[len(keep) :])
-        return o.pack(), pd.concat([res, extra], axis=1)
-
-    slim = events.select(*keep, "event", "order_qty", "last_qty", "last_px")
-    return fold_rows(slim, series, Fold(step, schema))
 
+    def apply(order: OrderState, row: tuple) -> tuple:
+        ok = order.apply(*row)
+        return (ok, *order.view())
 
-def order_states(events: DataFrame, key: str = "client_order_id") -> DataFrame:
-    """Final state of each order, folded inside the JVM.
-
-    Orders have few events each, so the array per order is short; feed orders
-    with unbounded histories to ``order_steps``.
-    """
-    event = F.struct(
-        F.col("seq").alias("seq"),
-        F.col("event").alias("event"),
-        F.coalesce(F.col("order_qty"), F.lit(0.0)).alias("order_qty"),
-        F.coalesce(F.col("last_qty"), F.lit(0.0)).alias("last_qty"),
-        F.coalesce(F.col("last_px"), F.lit(0.0)).alias("last_px"),
-    )
-    legal = F.create_map(
-        *[
-            x
-            for ev, src in LEGAL_FROM.items()
-            for x in (F.lit(ev), F.array(*[F.lit(s) for s in src]))
-        ]
-    )
-    zero = F.lit(0.0)
-    start = F.struct(
-        F.lit("").alias("status"),
-        zero.alias("filled"),
-        zero.alias("notional"),
-        zero.alias("qty"),
-        F.lit(0).cast("long").alias("ignored"),
+    fold = Fold(
+        OrderState,
+        apply,
+        ("event", "order_qty", "last_qty", "last_px"),
+        (T.StructField("accepted", T.BooleanType()), *STATE_FIELDS),
     )
+    keep = [*series.keys, *series.by, "event"]
+    return fold_rows(events, series, fold, keep=keep)
 
-    def walk(acc, e):
-        first = (e["event"] == "Initialized") & (acc["status"] == "")
-        ok = first | F.coalesce(
-            F.array_contains(legal[e["event"]], acc["status"]), F.lit(False)
-        )
-        fills = ok & e["event"].isin("PartiallyFilled", "Filled")
-        updates = ok & (e["event"] == "Updated")
-        filled = acc["filled"] + F.when(fills, e["last_qty"]).otherwise(zero)
-        qty = (
-            F.when(first, e["order_qty"])
-            .when(updates & (e["order_qty"] > 0), e["order_qty"])
-            .otherwise(acc["qty"])
-        )
-        status = (
-            F.when(~ok, acc["status"])
-            .when(fills, F.when(filled >= qty, "Filled").otherwise("PartiallyFilled"))
-            .when(updates, F.when(filled > 0, "PartiallyFilled").otherwise("Accepted"))
-            .otherwise(e["event"])
-        )
-        return F.struct(
-            status.alias("status"),
-            filled.alias("filled"),
-            (
-                acc["notional"]
-                + F.when(fills, e["last_qty"] * e["last_px"]).otherwise(zero)
-            ).alias("notional"),
-            qty.alias("qty"),
-            (acc["ignored"] + F.when(ok, 0).otherwise(1)).alias("ignored"),
-        )
-
-    folded = events.groupBy(key).agg(F.array_sort(F.collect_list(event)).alias("_e"))
-    s = F.aggregate("_e", start, walk)
-    return folded.select(key, s.alias("s")).select(
-        key,
-        F.col("s.status").alias("status"),
-        F.col("s.filled").alias("filled_qty"),
-        F.greatest(F.col("s.qty") - F.col("s.filled"), zero).alias("leaves_qty"),
-        F.when(F.col("s.filled") > 0, F.col("s.notional") / F.col("s.filled")).alias("avg_px"),
-        F.col("s.ignored").alias("ignored"),
-    )
+
+def order_states(events: DataFrame, series: Series) -> DataFrame:
+    """Final state of each order."""
+    steps = order_steps(events, series)
+    names = [f.name for f in STATE_FIELDS]
+    row = F.max_by(F.struct(*names), F.struct(*series.by)).alias("_r")
+    return steps.groupBy(*series.keys).agg(row).select(*series.keys, "_r.*")
 
 
 def order_vwap(fills: DataFrame, key: str = "order_id") -> DataFrame:

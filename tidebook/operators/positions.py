@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +21,15 @@ def half_even(num: int, den: int) -> int:
 
 
 class AverageCost:
-    """State of one position: signed size, average entry, realized PnL."""
+    """State of one position: signed size and average entry."""
 
-    __slots__ = ("net", "avg", "realized")
+    __slots__ = ("net", "avg")
 
-    def __init__(self, net: int = 0, avg: int = 0, realized: int = 0):
-        self.net, self.avg, self.realized = net, avg, realized
+    def __init__(self):
+        self.net, self.avg = 0, 0
 
-    def fill(self, signed: int, px: int, fee: int, unit) -> int:
-        """Apply a fill; ``unit(entry, exit, qty)`` is the PnL of a long."""
+    def fill(self, signed: int, px: int, unit) -> int:
+        """Apply a fill and return the realized PnL; ``unit`` values a closed long."""
         net, gain = self.net, 0
         after = net + signed
         if net == 0:
@@ -42,8 +41,7 @@ class AverageCost:
             gain = unit(self.avg, px, closed) * (1 if net > 0 else -1)
             avg = px if abs(signed) > abs(net) else self.avg
         self.net, self.avg = after, (avg if after else 0)
-        self.realized += gain - fee
-        return gain - fee
+        return gain
 
 
 def _linear(mult: int):
@@ -80,35 +78,27 @@ def average_cost(
         df = df.withColumn("multiplier", F.lit(1).cast("long"))
     if "is_inverse" not in df.columns:
         df = df.withColumn("is_inverse", F.lit(False))
-    keep = [*series.keys, *series.by]
-    schema = T.StructType(
-        [*[df.schema[c] for c in keep]]
-        + [
-            T.StructField(n, T.LongType())
-            for n in ("net_raw", "avg_raw", "realized_step", "realized_raw")
-        ]
+    long = T.LongType()
+
+    def apply(book: AverageCost, row: tuple) -> tuple:
+        side, qty, px, fee, mult, inv = row
+        unit = _inverse(mult, money_decimals, 10**price_decimals) if inv else _linear(mult)
+        gain = book.fill(side * qty, px, unit) - fee
+        return book.net, book.avg, gain
+
+    fold = Fold(
+        AverageCost,
+        apply,
+        ("side", "qty_raw", "px_raw", "fee_raw", "multiplier", "is_inverse"),
+        tuple(T.StructField(n, long) for n in ("net_raw", "avg_raw", "realized_step")),
     )
-
-    def step(state, rows: pd.DataFrame):
-        book = AverageCost(*state) if state else AverageCost()
-        out = []
-        cols = ("side", "qty_raw", "px_raw", "fee_raw", "multiplier", "is_inverse")
-        for side, qty, px, fee, mult, inv in zip(*[rows[c].tolist() for c in cols]):
-            unit = (
-                _inverse(mult, money_decimals, 10**price_decimals) if inv else _linear(mult)
-            )
-            gain = book.fill(side * qty, px, fee, unit)
-            out.append((book.net, book.avg, gain, book.realized))
-        res = rows[keep].reset_index(drop=True)
-        res[["net_raw", "avg_raw", "realized_step", "realized_raw"]] = pd.DataFrame(
-            out, columns=list("abcd"), dtype="int64"
-        )
-        return (book.net, book.avg, book.realized), res
-
-    slim = df.select(
-        *keep, "side", "qty_raw", "px_raw", "fee_raw", "multiplier", "is_inverse"
-    )
-    return fold_rows(slim, series, Fold(step, schema))
+    # A fill that finds the position flat does not depend on earlier ones.
+    if series.is_split:
+        signed = F.col("side") * F.col("qty_raw")
+        df = series.running(df, {"_net": ("sum", signed)}, include_current=False)
+        df = df.withColumn("_flat", F.coalesce("_net", F.lit(0)) == 0)
+    steps = fold_rows(df, series, fold, restart="_flat")
+    return series.running(steps, {"realized_raw": ("sum", F.col("realized_step"))})
 
 
 def latest(positions: DataFrame, series: Series) -> DataFrame:

@@ -2,96 +2,102 @@
 
 A step is affine in the state, so a chunk of a series can be filtered from a
 zero state and corrected afterwards: ``y = local + (1-a)^(pos+1) * carry``.
-Short series take one grouped Arrow pass; long ones are cut into chunks and
-the carry is scanned over one row per chunk.
+Short series take one streamed pass; long ones are cut into chunks and the
+carry is folded over one row per chunk.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebook.operators.fold import Fold, fold_groups
 from tidebook.operators.series import Series
 from tidebook.session import staged
 
 
-def _filter_chunk(by: list[str], column: str, out: str, alpha: float, chunked: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, kind="stable")
-        x = pdf[column].astype("float64")
-        if chunked and int(pdf["_chunk"].iloc[0]) > 0:
-            x = x.copy()
-            x.iloc[0] *= alpha
-        pdf[out] = x.ewm(alpha=alpha, adjust=False).mean()
-        return pdf
+def _double(name: str) -> T.StructField:
+    return T.StructField(name, T.DoubleType())
 
-    return run
 
+def _filters(alphas: list[float], columns: list[str], outs: list[str], fresh: bool) -> Fold:
+    """Filters of several columns; ``fresh`` series are seeded with their first value."""
 
-def _scan_carry(keys: list[str], alpha: float):
-    keep = 1.0 - alpha
+    def start():
+        return [None if fresh else 0.0] * len(alphas)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        state, carries = 0.0, []
-        for chunk, last, n in zip(pdf["_chunk"], pdf["_last"], pdf["_n"]):
-            carries.append(state)
-            if chunk >= 0:
-                state = last + keep**n * state
-        pdf["_carry"] = carries
-        return pdf[[*keys, "_chunk", "_carry"]]
+    def apply(state, row):
+        for i, (a, x) in enumerate(zip(alphas, row)):
+            if x is None:
+                continue
+            y = state[i]
+            state[i] = x if y is None else y + a * (x - y)
+        return tuple(state)
 
-    return run
+    return Fold(start, apply, tuple(columns), tuple(_double(o) for o in outs))
 
 
-def decay_filter(
-    df: DataFrame, series: Series, column: str, out: str, alpha: float
+def _carries(keep: float) -> Fold:
+    """State in front of each chunk, from the chunks' local ends."""
+
+    def apply(state, row):
+        last, n = row
+        before = state[0]
+        state[0] = last + keep**n * before
+        return (before,)
+
+    return Fold(lambda: [0.0], apply, ("_last", "_n"), (_double("_carry"),))
+
+
+def decay_filters(
+    df: DataFrame, series: Series, filters: dict[str, tuple[str, float]]
 ) -> DataFrame:
-    """Exponential filter seeded with the first value of each series.
+    """Exponential filters ``{output: (column, alpha)}`` from one ordered pass.
 
-    ``column`` may be null on the leading (warm-up) rows only; they stay null.
+    Each is seeded with the first value of its column, which may be null on
+    leading (warm-up) rows only; the output is null there too.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
-    by = list(series.by)
-    keys = list(series.keys)
+    outs = list(filters)
+    columns = [c for c, _ in filters.values()]
+    alphas = [a for _, a in filters.values()]
+    by, keys = list(series.by), list(series.keys)
     if not series.is_split:
-        return df.groupBy(*keys).applyInPandas(
-            _filter_chunk(by, column, out, alpha, False), schema
-        )
+        return fold_groups(df, keys, by, _filters(alphas, columns, outs, True), df.columns)
+    out = df
+    for name, (column, alpha) in filters.items():
+        out = _chunked_filter(out, series, column, name, alpha)
+    return out
+
+
+def _chunked_filter(df: DataFrame, series: Series, column: str, out: str, alpha: float):
+    by, keys = list(series.by), list(series.keys)
+    group = [*keys, "_chunk"]
     parts = series.chunked_by(df, column)
-    schema = T.StructType(
-        [*parts.schema.fields, T.StructField(out, T.DoubleType())]
-    )
+    # The very first value enters whole: it is a seed, not a step from zero.
+    x = F.when(F.col("_rn") == 0, F.col(column) / alpha).otherwise(F.col(column))
     local = staged(
-        parts.groupBy(*keys, "_chunk").applyInPandas(
-            _filter_chunk(by, column, out, alpha, True), schema
+        fold_groups(
+            parts.withColumn("_x", x),
+            group,
+            by,
+            _filters([alpha], ["_x"], [out], False),
+            [*df.columns, "_rn", "_chunk"],
         )
     )
-    ends = local.groupBy(*keys, "_chunk").agg(
+    ends = local.where(F.col("_chunk") >= 0).groupBy(*group).agg(
         F.max_by(out, "_rn").alias("_last"),
         F.count(F.lit(1)).alias("_n"),
         F.min("_rn").alias("_start"),
     )
-    key_fields = [df.schema[k] for k in keys]
-    carry_schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("_chunk", T.LongType()),
-            T.StructField("_carry", T.DoubleType()),
-        ]
-    )
     # One row per chunk of a series, i.e. rows / rows_per_block.
-    carry = ends.groupBy(*keys).applyInPandas(_scan_carry(keys, alpha), carry_schema)
-    starts = ends.select(*keys, "_chunk", "_start")
-    return (
-        local.join(carry.join(starts, [*keys, "_chunk"]), [*keys, "_chunk"])
-        .withColumn(
-            out,
-            F.col(out)
-            + F.col("_carry")
-            * F.pow(F.lit(1.0 - alpha), (F.col("_rn") - F.col("_start") + 1).cast("double")),
-        )
-        .drop("_chunk", "_rn", "_start", "_carry")
-    )
+    carry = fold_groups(ends, keys, ["_chunk"], _carries(1.0 - alpha), [*group, "_start"])
+    steps = (F.col("_rn") - F.col("_start") + 1).cast("double")
+    value = F.col(out) + F.col("_carry") * F.pow(F.lit(1.0 - alpha), steps)
+    joined = local.join(carry, group, "left")
+    return joined.withColumn(out, value).select(*df.columns, out)
+
+
+def decay_filter(df: DataFrame, series: Series, column: str, out: str, alpha: float):
+    """One exponential filter, see ``decay_filters``."""
+    return decay_filters(df, series, {out: (column, alpha)})

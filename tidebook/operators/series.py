@@ -296,13 +296,8 @@ class Series:
             .drop(_CHUNK, _RN)
         )
 
-    def chunked(self, df: DataFrame, size: int | None = None) -> DataFrame:
-        """Add ``_rn`` and ``_chunk``: runs of at most ``size`` consecutive rows."""
-        size = size or self.rows_per_block
-        return self.number(df).withColumn(_CHUNK, int_div(F.col(_RN), size))
-
     def chunked_by(self, df: DataFrame, column: str) -> DataFrame:
-        """As ``chunked``, counting only rows where ``column`` has a value.
+        """Add ``_rn`` and ``_chunk``: runs of consecutive rows with a value in ``column``.
 
         Rows before the first value get position and chunk -1.
         """

@@ -19,6 +19,7 @@ from tidebook.plans.oracle_views import D, H, R, sql
 from tidebook.plans.registry import query
 from tidebook.plans.ta_queries import _marked
 
+ORDER = Series.of("client_order_id", "seq")
 MODEL = CostModel(slippage_bps=1.7, range_impact=0.05, participation_rate=0.1, queue_ahead_factor=0.25)
 
 
@@ -324,12 +325,12 @@ def _state_out(df):
 
 @query("order_state", sql(_FSM + _FIN, "order_events"))
 def order_state(m: Market):
-    return _state_out(OR.order_states(m.order_events))
+    return _state_out(OR.order_states(m.order_events, ORDER))
 
 
 @query("open_orders", sql(_FSM + _FIN + " WHERE status NOT IN ('Denied', 'Filled', 'Canceled', 'Expired', 'Rejected')", "order_events"))
 def open_orders(m: Market):
-    return _state_out(OR.open_orders(OR.order_states(m.order_events)))
+    return _state_out(OR.open_orders(OR.order_states(m.order_events, ORDER)))
 
 
 @query(
@@ -337,17 +338,17 @@ def open_orders(m: Market):
     sql(_FSM + "SELECT client_order_id, seq, status FROM o WHERE NOT ok", "order_events"),
 )
 def rejected_order_events(m: Market):
-    steps = OR.order_steps(m.order_events, Series.of("client_order_id", "seq"))
+    steps = OR.order_steps(m.order_events, ORDER)
     return steps.where(~F.col("accepted")).select("client_order_id", "seq", "status")
 
 
 @query(
     "order_vwap",
-    sql(f"SELECT order_id, {R('sum(qty)')} AS filled_qty, {R('sum(px * qty) / sum(qty)', 8)} AS avg_px FROM fills GROUP BY 1", "fills"),
+    sql(f"SELECT order_id, {R('sum(qty)')} AS filled_qty, {R('sum(px * qty) / sum(qty)', 10)} AS avg_px FROM fills GROUP BY 1", "fills"),
 )
 def order_vwap(m: Market):
     rows = m.raw_fills.withColumnRenamed("k1", "order_id")
-    return OR.order_vwap(rows).select("order_id", *_r("filled_qty"), *_r("avg_px", places=8))
+    return OR.order_vwap(rows).select("order_id", *_r("filled_qty"), *_r("avg_px", places=10))
 
 
 @query(
@@ -375,7 +376,7 @@ def fill_status(m: Market):
 )
 def accepted_fill_positions(m: Market):
     """Only fills the order's state machine accepted reach the position."""
-    steps = OR.order_steps(m.order_events, Series.of("client_order_id", "seq"))
+    steps = OR.order_steps(m.order_events, ORDER)
     ok = steps.where("accepted").select("client_order_id", "seq")
     fills = m.order_events.where(F.col("last_qty").isNotNull())
     return (
