@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from tidebook.plans import book_queries, lake_queries, risk_queries, ta_queries  # noqa: F401
+from tidebook.plans import (  # noqa: F401
+    book_queries,
+    lake_queries,
+    risk_queries,
+    stream_queries,
+    ta_queries,
+)
 from tidebook.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
