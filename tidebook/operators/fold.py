@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidebook.functions.values import int_div
-from tidebook.operators.series import Series
+from tidebook.operators.series import RN, Series
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,7 @@ def fold_rows(
     if not (series.is_split and restart):
         return fold_groups(df, keys, by, fold, keep)
     rows = series.number(df)
-    rows = series.running(rows, {"_from": ("last", F.when(F.col(restart), F.col("_rn")))})
-    start = F.coalesce("_from", F.lit(0).cast("long"))
-    rows = rows.withColumn("_set", int_div(start, series.rows_per_block))
-    return fold_groups(rows, [*keys, "_set"], by, fold, keep)
+    rows = series.running(rows, {"_s_from": ("last", F.when(F.col(restart), F.col(RN)))})
+    start = F.coalesce("_s_from", F.lit(0).cast("long"))
+    rows = rows.withColumn("_s_set", int_div(start, series.rows_per_block))
+    return fold_groups(rows, [*keys, "_s_set"], by, fold, keep)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions.values import bucket, int_div
 from tidebook.operators.series import Cuts, Series
+from tidebook.session import is_scan, staged
 
 
 def match_fills(
@@ -113,6 +114,8 @@ def parity_metrics(
     cuts: Cuts | None = None,
 ) -> DataFrame:
     """The four agreement metrics of every session pair in one table."""
+    # Each curve feeds the alignment and the returns.
+    curve_a, curve_b = (c if is_scan(c) else staged(c) for c in (curve_a, curve_b))
     timing = timing_and_price(match_fills(fills_a, fills_b, keys, bucket_ns), keys)
     corr = curve_correlation(align_curves(curve_a, curve_b, keys, at, cuts), keys)
     ra = final_returns(curve_a, keys, at, "_ra")

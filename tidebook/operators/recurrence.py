@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebook.operators.fold import Fold, fold_groups
-from tidebook.operators.series import Series
+from tidebook.operators.series import CHUNK, RN, Series
 from tidebook.session import staged
 
 
@@ -72,27 +72,27 @@ def decay_filters(
 
 def _chunked_filter(df: DataFrame, series: Series, column: str, out: str, alpha: float):
     by, keys = list(series.by), list(series.keys)
-    group = [*keys, "_chunk"]
+    group = [*keys, CHUNK]
     parts = series.chunked_by(df, column)
     # The very first value enters whole: it is a seed, not a step from zero.
-    x = F.when(F.col("_rn") == 0, F.col(column) / alpha).otherwise(F.col(column))
+    x = F.when(F.col(RN) == 0, F.col(column) / alpha).otherwise(F.col(column))
     local = staged(
         fold_groups(
             parts.withColumn("_x", x),
             group,
             by,
             _filters([alpha], ["_x"], [out], False),
-            [*df.columns, "_rn", "_chunk"],
+            [*df.columns, RN, CHUNK],
         )
     )
-    ends = local.where(F.col("_chunk") >= 0).groupBy(*group).agg(
-        F.max_by(out, "_rn").alias("_last"),
+    ends = local.where(F.col(CHUNK) >= 0).groupBy(*group).agg(
+        F.max_by(out, RN).alias("_last"),
         F.count(F.lit(1)).alias("_n"),
-        F.min("_rn").alias("_start"),
+        F.min(RN).alias("_start"),
     )
     # One row per chunk of a series, i.e. rows / rows_per_block.
-    carry = fold_groups(ends, keys, ["_chunk"], _carries(1.0 - alpha), [*group, "_start"])
-    steps = (F.col("_rn") - F.col("_start") + 1).cast("double")
+    carry = fold_groups(ends, keys, [CHUNK], _carries(1.0 - alpha), [*group, "_start"])
+    steps = (F.col(RN) - F.col("_start") + 1).cast("double")
     value = F.col(out) + F.col("_carry") * F.pow(F.lit(1.0 - alpha), steps)
     joined = local.join(carry, group, "left")
     return joined.withColumn(out, value).select(*df.columns, out)

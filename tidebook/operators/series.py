@@ -30,7 +30,9 @@ ROWS_PER_BLOCK = 2_000_000
 MAX_BLOCKS = 4096
 _FAN = 64
 
-_BLK, _COARSE, _FINE, _RN, _CHUNK = "_blk", "_coarse", "_fine", "_rn", "_chunk"
+# Helper columns; callers never see them, nor should they use these names.
+_BLK, _COARSE, _FINE = "_s_blk", "_s_coarse", "_s_fine"
+RN, CHUNK = "_s_rn", "_s_chunk"
 
 
 @dataclass(frozen=True)
@@ -265,7 +267,7 @@ class Series:
         ).drop(*[f"{p}{n}" for n in aggs for p in ("_l_", "_c_")], _BLK)
         return _zero_counts(out, aggs)
 
-    def number(self, df: DataFrame, name: str = _RN) -> DataFrame:
+    def number(self, df: DataFrame, name: str = RN) -> DataFrame:
         """Zero-based position of each row in its series."""
         out = self.running(df, {name: ("count", F.lit(1))})
         return out.withColumn(name, F.col(name) - 1)
@@ -285,25 +287,25 @@ class Series:
         if not self.is_split:
             return df.withColumns(dict(build(self.window())))
         size = max(self.rows_per_block, 2 * (before + after) + 1)
-        home = int_div(F.col(_RN), size)
-        first = int_div(F.greatest(F.col(_RN) - after, F.lit(0).cast("long")), size)
-        last = int_div(F.col(_RN) + before, size)
-        spread = self.number(df).withColumn(_CHUNK, F.explode(F.sequence(first, last)))
-        w = Window.partitionBy(*self.keys, _CHUNK).orderBy(*self._order(False))
+        home = int_div(F.col(RN), size)
+        first = int_div(F.greatest(F.col(RN) - after, F.lit(0).cast("long")), size)
+        last = int_div(F.col(RN) + before, size)
+        spread = self.number(df).withColumn(CHUNK, F.explode(F.sequence(first, last)))
+        w = Window.partitionBy(*self.keys, CHUNK).orderBy(*self._order(False))
         return (
             spread.withColumns(dict(build(w)))
-            .where(F.col(_CHUNK) == home)
-            .drop(_CHUNK, _RN)
+            .where(F.col(CHUNK) == home)
+            .drop(CHUNK, RN)
         )
 
     def chunked_by(self, df: DataFrame, column: str) -> DataFrame:
-        """Add ``_rn`` and ``_chunk``: runs of consecutive rows with a value in ``column``.
+        """Add ``RN`` and ``CHUNK``: runs of consecutive rows with a value in ``column``.
 
         Rows before the first value get position and chunk -1.
         """
-        counted = self.running(df, {_RN: ("count", F.col(column))})
-        return counted.withColumn(_RN, F.col(_RN) - 1).withColumn(
-            _CHUNK, int_div(F.col(_RN), self.rows_per_block)
+        counted = self.running(df, {RN: ("count", F.col(column))})
+        return counted.withColumn(RN, F.col(RN) - 1).withColumn(
+            CHUNK, int_div(F.col(RN), self.rows_per_block)
         )
 
 

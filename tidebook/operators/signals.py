@@ -116,11 +116,18 @@ def check_lengths(bars: DataFrame, positions: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def grid(spark, fasts: Sequence[int], slows: Sequence[int]) -> DataFrame:
-    """Valid (fast, slow) pairs in grid order; a handful of rows."""
-    combos = [(i, f, s) for i, (f, s) in enumerate((f, s) for f in fasts for s in slows)]
-    schema = "combo long, fast int, slow int"
-    return spark.createDataFrame(combos, schema).where("fast < slow")
+def pairs(fasts: Sequence[int], slows: Sequence[int]) -> list[tuple[int, int]]:
+    """Valid (fast, slow) pairs in grid order."""
+    return [(f, s) for f in fasts for s in slows if f < s]
+
+
+def with_grid(df: DataFrame, fasts: Sequence[int], slows: Sequence[int]) -> DataFrame:
+    """Each row once per valid pair, as ``combo``, ``fast`` and ``slow``."""
+    combos = [
+        F.struct(F.lit(i).cast("long").alias("combo"), F.lit(f).alias("fast"), F.lit(s).alias("slow"))
+        for i, (f, s) in enumerate(pairs(fasts, slows))
+    ]
+    return df.select("*", F.inline(F.array(*combos)))
 
 
 def sweep_positions(
@@ -137,7 +144,6 @@ def sweep_positions(
     packed = lines.withColumn("_ma", F.array(*[F.col(f"_ma{p}") for p in periods])).drop(
         *[f"_ma{p}" for p in periods]
     )
-    pairs = [(f, s) for f in fasts for s in slows if f < s]
     fan = F.explode(
         F.array(
             *[
@@ -148,7 +154,7 @@ def sweep_positions(
                     F.col("_ma")[at[f]].alias("fast_ma"),
                     F.col("_ma")[at[s]].alias("slow_ma"),
                 )
-                for i, (f, s) in enumerate(pairs)
+                for i, (f, s) in enumerate(pairs(fasts, slows))
             ]
         )
     )

@@ -121,16 +121,15 @@ def objective_scores(
     input by the contract of a free-form objective; use the relational scores
     for windows longer than a task can hold.
     """
-    spark = windows.sparkSession
     names = sorted(params[0])
-    fields = [T.StructField("combo", T.LongType())]
-    fields += [T.StructField(n, T.DoubleType()) for n in names]
-    table = spark.createDataFrame(
-        [(i, *[float(p[n]) for n in names]) for i, p in enumerate(params)],
-        T.StructType(fields),
-    )
+    sets = [
+        F.struct(
+            F.lit(i).cast("long").alias("combo"), *[F.lit(float(p[n])).alias(n) for n in names]
+        )
+        for i, p in enumerate(params)
+    ]
     group = [*keys, "fold", "role", "combo", *names]
-    spread = windows.crossJoin(F.broadcast(table))
+    spread = windows.select("*", F.inline(F.array(*sets)))
     schema = T.StructType(
         [spread.schema[g] for g in group] + [T.StructField("score", T.DoubleType())]
     )

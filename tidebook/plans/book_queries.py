@@ -211,7 +211,8 @@ def avg_cost_positions(m: Market):
 def _holdings(m: Market):
     """Final position per supplier, marked at its last fill price."""
     pos = PO.latest(PO.average_cost(_raw(m), m.fill_series), m.fill_series)
-    last = m.fills.groupBy("symbol").agg(F.max_by("px", "seq").alias("mark"))
+    order = F.struct(*m.fill_order.by)
+    last = m.raw_fills.groupBy("symbol").agg(F.max_by("px", order).alias("mark"))
     dim = m.table("supplier").select(
         F.col("s_suppkey").alias("symbol"),
         F.col("s_nationkey").cast("long").alias("account"),
@@ -383,7 +384,7 @@ WINDOW w AS (PARTITION BY b.symbol ORDER BY b.ts_event ROWS UNBOUNDED PRECEDING)
 
 def _curve(m: Market, fills=None):
     return PF.curve_from_fills(
-        m.fills if fills is None else fills, m.fill_bars, m.fill_bar_series, 100_000.0, FEE
+        m.raw_fills if fills is None else fills, m.fill_bars, m.fill_bar_series, 100_000.0, FEE
     )
 
 
@@ -603,7 +604,7 @@ def run_counters(m: Market):
 
 def _session_b(m: Market):
     """The second session: worse prices, and the returned fills are missing."""
-    return PA.perturb(m.fills.where(F.col("flag") != "R"), 10.0 / 3.0)
+    return PA.perturb(m.raw_fills.where(F.col("flag") != "R"), 10.0 / 3.0)
 
 
 _PAR = f"""
@@ -624,7 +625,7 @@ pm AS (SELECT t.symbol, sa AS signal_agreement, fd AS fill_dev_bps, ec AS equity
 def _parity(m: Market):
     b = _session_b(m)
     return PA.parity_metrics(
-        m.fills, _curve(m), b, _curve(m, b), ["symbol"], bucket_ns=30 * DAY, cuts=m.fill_cuts
+        m.raw_fills, _curve(m), b, _curve(m, b), ["symbol"], bucket_ns=30 * DAY, cuts=m.fill_cuts
     )
 
 

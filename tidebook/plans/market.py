@@ -262,8 +262,8 @@ class Market:
         """Monthly closes per supplier: the last fill price of each 30 days."""
         width = 30 * DAY
         end = (F.call_function("div", F.col("ts"), F.lit(width)) + 1) * width
-        order = F.struct("ts", "seq")
-        return self.fills.groupBy("symbol", end.alias("ts_event")).agg(
+        order = F.struct(*self.fill_order.by)
+        return self.raw_fills.groupBy("symbol", end.alias("ts_event")).agg(
             F.max_by("px", order).alias("close")
         )
 

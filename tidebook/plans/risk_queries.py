@@ -58,8 +58,9 @@ def _fills_out(df):
     )
 
 
-def _life(m: Market):
-    return X.life_bars(m.orders, m.bars, bucket_ns=48 * HOUR)
+def _life(m: Market, kind: str):
+    """Bars in the lives of one order type; filtered before the fan-out."""
+    return X.life_bars(m.orders.where(F.col("type") == kind), m.bars, bucket_ns=48 * HOUR)
 
 
 @query(
@@ -116,7 +117,7 @@ def next_open_fills(m: Market):
     ),
 )
 def participation_fills(m: Market):
-    return _fills_out(X.market_fills(_life(m), MODEL))
+    return _fills_out(X.market_fills(_life(m, "market"), MODEL))
 
 
 _TAKES = """(bar_no = 1 AND CASE WHEN side > 0 THEN ref <= "limit" ELSE ref >= "limit" END)"""
@@ -138,7 +139,7 @@ _TAKES = """(bar_no = 1 AND CASE WHEN side > 0 THEN ref <= "limit" ELSE ref >= "
     ),
 )
 def limit_fills(m: Market):
-    return _fills_out(X.limit_fills(_life(m).where(F.col("type") == "limit"), MODEL))
+    return _fills_out(X.limit_fills(_life(m, "limit"), MODEL))
 
 
 @query(
@@ -161,7 +162,7 @@ SELECT w.order_id, w.ts_event, {R('w.fill')} AS qty FROM w WHERE w.fill > 0
     ),
 )
 def queue_limit_fills(m: Market):
-    out = X.queue_limit_fills(_life(m).where(F.col("type") == "limit"), MODEL)
+    out = X.queue_limit_fills(_life(m, "limit"), MODEL)
     return out.select("order_id", "ts_event", *_r("qty"))
 
 
@@ -174,7 +175,7 @@ _STOPREF = """CASE WHEN side > 0 THEN greatest("trigger", low) ELSE least("trigg
     sql(_fills_sql(_alloc("life", f"type = 'stop' AND {_HIT}"), _slip(_STOPREF), "'taker'"), "life"),
 )
 def stop_fills(m: Market):
-    return _fills_out(X.stop_fills(_life(m).where(F.col("type") == "stop"), MODEL))
+    return _fills_out(X.stop_fills(_life(m, "stop"), MODEL))
 
 
 @query(
@@ -192,7 +193,7 @@ WITH z AS (SELECT * REPLACE ("trigger" * 1.001 AS "limit"), min(CASE WHEN {_HIT}
     ),
 )
 def stop_limit_fills(m: Market):
-    rows = _life(m).where(F.col("type") == "stop").withColumn("limit", F.col("trigger") * 1.001)
+    rows = _life(m, "stop").withColumn("limit", F.col("trigger") * 1.001)
     return _fills_out(X.stop_limit_fills(rows.drop("ref"), MODEL))
 
 
@@ -220,7 +221,7 @@ w AS (
     ),
 )
 def trailing_fills(m: Market):
-    rows = _life(m).where(F.col("type") == "stop").withColumns(
+    rows = _life(m, "stop").withColumns(
         {"offset": F.abs(F.col("ref") - F.col("trigger")) * 2, "anchor": F.col("ref")}
     )
     return _fills_out(X.trailing_fills(rows, MODEL))

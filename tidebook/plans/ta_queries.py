@@ -195,9 +195,8 @@ CROSS JOIN (VALUES (2), (4), (8)) f(fast) CROSS JOIN (VALUES (4), (8), (16)) g(s
 """,
 )
 def parameter_grid(m: Market):
-    combos = F.broadcast(S.grid(m.spark, [2, 4, 8], [4, 8, 16]))
     symbols = m.table("supplier").select(F.col("s_suppkey").alias("symbol"))
-    return symbols.crossJoin(combos).select("symbol", "fast", "slow")
+    return S.with_grid(symbols, [2, 4, 8], [4, 8, 16]).select("symbol", "fast", "slow")
 
 
 @query(
@@ -667,24 +666,16 @@ def sweep_top5(m: Market):
     "slice_sma_hourly_rank",
     sql(
         f"""SELECT symbol, {R('sharpe')} AS sharpe, {R('total_return', 9)} AS total_return,
- {R('max_drawdown', 9)} AS max_drawdown, row_number() OVER (ORDER BY metrics.sharpe DESC, symbol) AS place FROM metrics""",
+ {R('max_drawdown', 9)} AS max_drawdown FROM metrics""",
         "metrics",
     ),
 )
 def slice_sma_hourly_rank(m: Market):
     """Symbols ranked by the Sharpe ratio of their hourly 3/8 crossover."""
     scores = M.perf_metrics(_marked(m), m.bar_series)
-    # The place is the count of better symbols, from one row per symbol.
-    other = scores.select(F.col("sharpe").alias("o_sharpe"), F.col("symbol").alias("o_symbol"))
-    better = (F.col("o_sharpe") > F.col("sharpe")) | (
-        (F.col("o_sharpe") == F.col("sharpe")) & (F.col("o_symbol") <= F.col("symbol"))
-    )
-    placed = scores.join(F.broadcast(other), better).groupBy(*scores.columns).agg(
-        F.count(F.lit(1)).alias("place")
-    )
-    return placed.select(
+    return scores.orderBy(F.col("sharpe").desc(), "symbol").select(
         "symbol", *_r("sharpe"), r("total_return", 9).alias("total_return"),
-        r("max_drawdown", 9).alias("max_drawdown"), "place",
+        r("max_drawdown", 9).alias("max_drawdown"),
     )
 
 

@@ -77,12 +77,7 @@ def split_frames(frames: DataFrame) -> dict[str, DataFrame]:
 
     Returns tables with the inner message in ``text``.
     """
-    opened = frames.withColumns(
-        {
-            "stream": F.get_json_object("text", "$.stream"),
-            "_data": F.get_json_object("text", "$.data"),
-        }
-    )
+    opened = frames.select("*", F.json_tuple("text", "stream", "data").alias("stream", "_data"))
     s = F.col("stream")
     kind = (
         F.when(s.isNull() | F.col("_data").isNull(), "rejects")
