@@ -80,7 +80,7 @@ def pnl_per_unit(inverse: Column, entry: Column, exit_: Column, multiplier: Colu
         F.when(entry == 0, F.lit(0.0))
         .when(
             inverse,
-            multiplier * (F.lit(1.0) / entry - F.lit(1.0) / exit_),
+            multiplier * (F.lit(1.0) / entry - F.try_divide(F.lit(1.0), exit_)),
         )
         .otherwise(multiplier * (exit_ - entry))
     )

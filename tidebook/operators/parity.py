@@ -74,7 +74,7 @@ def curve_correlation(aligned: DataFrame, keys: list[str]) -> DataFrame:
     """Pearson correlation; identical flat curves correlate fully."""
     agg = aligned.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.corr("eq_a", "eq_b").alias("_r"),
+        F.covar_pop("eq_a", "eq_b").alias("_cov"),
         F.var_pop("eq_a").alias("_va"),
         F.var_pop("eq_b").alias("_vb"),
         F.max((F.col("eq_a") != F.col("eq_b")).cast("int")).alias("_differ"),
@@ -84,7 +84,7 @@ def curve_correlation(aligned: DataFrame, keys: list[str]) -> DataFrame:
         F.when(F.col("_n") < 2, 0.0)
         .when(flat_a & flat_b, F.when(F.col("_differ") == 0, 1.0).otherwise(0.0))
         .when(flat_a | flat_b, 0.0)
-        .otherwise(F.col("_r"))
+        .otherwise(F.try_divide(F.col("_cov"), F.sqrt(F.col("_va") * F.col("_vb"))))
     )
     return agg.select(*keys, value.alias("equity_corr"))
 

@@ -35,8 +35,8 @@ def deny_reason(orders: DataFrame) -> DataFrame:
     value = F.col("ref_px") * F.col("qty") * F.col("multiplier")
     after = F.abs(F.col("position") + delta)
     added = after - F.abs("position")
-    need = F.col("ref_px") * added * F.col("multiplier") / F.col("leverage")
-    free = F.col("equity") - F.col("gross") / F.col("leverage")
+    need = F.try_divide(F.col("ref_px") * added * F.col("multiplier"), F.col("leverage"))
+    free = F.col("equity") - F.try_divide(F.col("gross"), F.col("leverage"))
     rules: Mapping[str, Column] = {
         "kill_switch": F.col("killed"),
         "expired": F.col("ts_decision") >= F.col("expiry_ns"),
@@ -124,7 +124,7 @@ def drawdown_guard(curve: DataFrame, series: Series, max_pct: float, cooldown_s:
     """Trip when the fall from the running peak reaches ``max_pct``."""
     at = series.by[0]
     peaked = series.running(curve, {"peak": ("max", F.col("equity"))})
-    dd = (F.col("peak") - F.col("equity")) / F.col("peak")
+    dd = F.try_divide(F.col("peak") - F.col("equity"), F.col("peak"))
     hit = (F.col("peak") > 0) & (dd >= max_pct)
     return peaked.withColumn("tripped", F.coalesce(hit, F.lit(False))).withColumn(
         "until", F.when(F.col("tripped"), F.col(at) + F.lit(cooldown_s * NANOS))

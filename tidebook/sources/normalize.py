@@ -130,8 +130,8 @@ def _levels(side: int, col: str) -> Column:
         F.col(col),
         lambda lv, i: F.struct(
             F.lit(side).alias("side"),
-            _num(lv[0]).alias("price"),
-            _num(lv[1]).alias("size"),
+            _num(F.get(lv, 0)).alias("price"),
+            _num(F.get(lv, 1)).alias("size"),
             i.alias("level_no"),
         ),
     )

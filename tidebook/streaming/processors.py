@@ -17,6 +17,14 @@ def in_order(rows: Iterator[Row], *by: str) -> list[Row]:
     return sorted(rows, key=lambda r: tuple(r[c] for c in by))
 
 
+def _keep(state, items: list) -> None:
+    """Replace a list state; the store does not take empty lists."""
+    if items:
+        state.put(items)
+    else:
+        state.clear()
+
+
 class ExponentialFilter(StatefulProcessor):
     """Exponential average per symbol; may start warm from lake history."""
 
@@ -224,7 +232,7 @@ class DepthResync(StatefulProcessor):
             if outcome == "resync":
                 awaiting, waiting = True, [diff]
         self.state.update((book.last, book.synced, awaiting))
-        self.buffer.put(waiting)
+        _keep(self.buffer, waiting)
         return iter(out)
 
 
@@ -335,7 +343,7 @@ class EventTimeOrder(StatefulProcessor):
         ready = sorted(r for r in rows if r[0] // 1_000_000 <= limit)
         if not ready:
             return iter(())
-        self.buffer.put([r for r in rows if r[0] // 1_000_000 > limit])
+        _keep(self.buffer, [r for r in rows if r[0] // 1_000_000 > limit])
         n = (self.place.get() or (0,))[0]
         out = []
         for ts, prio, seq, kind in ready:
