@@ -285,6 +285,29 @@ def test_trailing_stop_ratchets(rows):
     assert out == [(1, 3, 2.0, 105.0, "taker"), (1, 4, 2.0, 105.0, "taker")]
 
 
+def test_reach_bars_change_no_fill(rows):
+    rnd = random.Random(8)
+    bars, px = [], 100.0
+    for _ in range(60):
+        o, px = px, px + rnd.choice([-2.0, -1.0, 0.0, 1.0, 2.0])
+        bars.append((o, max(o, px) + 1, min(o, px) - 1, px, rnd.choice([10, 20, 50])))
+    orders = [
+        (i, "X", rnd.randrange(0, 40), rnd.randrange(41, 90), rnd.choice([1, -1]), kind, rnd.randint(1, 9),
+         None if kind == "stop" else px_, None if kind == "limit" else px_ + 1, 100.0, None, None)
+        for i in range(60)
+        for kind in [rnd.choice(["limit", "stop", "stop_limit"])]
+        for px_ in [float(rnd.randint(92, 108))]
+    ]
+    o = rows(ORD, orders)
+    b = rows(BAR, [("X", i + 1, *map(float, x)) for i, x in enumerate(bars)])
+    model = CostModel(queue_ahead_factor=0.3)
+    whole, few = X.life_bars(o, b, bucket_ns=16), X.reach_bars(o, b, bucket_ns=4)
+    assert few.count() < whole.count()
+    for kind, fn in (("limit", X.limit_fills), ("limit", X.queue_limit_fills), ("stop", X.stop_fills), ("stop_limit", X.stop_limit_fills)):
+        one = lambda df: got(fn(df.where(F.col("type") == kind), model))  # noqa: E731, B023
+        assert one(whole) == one(few) != []
+
+
 def test_slippage_range_part_stops_at_the_extreme(rows):
     model = CostModel(slippage_bps=10.0, range_impact=10.0)
     df = rows("side long, ref double, low double, high double", [(1, 100.0, 90.0, 101.0), (-1, 100.0, 90.0, 101.0), (1, 101.0, 90.0, 101.0)])

@@ -63,6 +63,9 @@ def asof(
 
     ``values`` maps output names to right columns.  The right row's own
     position is available as the pseudo column ``"@at"``.
+
+    Pass ``cuts`` measured on the longer table when a key may be long; without
+    them each key is one window partition.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     wanted = sorted({c for c in values.values() if c != "@at"})

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidebook.functions.brokerage import CostModel
 from tidebook.operators.asof import asof
-from tidebook.operators.bands import band_join
+from tidebook.operators.bands import band_join, reach_join
 from tidebook.operators.fold import Fold, fold_rows
 from tidebook.operators.series import Cuts, Series
 
@@ -61,7 +61,7 @@ def marketable(order_type: Column, side: Column, limit: Column, ref: Column) ->
 
 
 def life_bars(orders: DataFrame, bars: DataFrame, bucket_ns: int = 24 * HOUR_NS) -> DataFrame:
-    """Every bar inside each order's life, numbered from 1."""
+    """Every bar inside each order's life, with the time of its first one."""
     pairs = band_join(
         orders,
         bars,
@@ -72,7 +72,47 @@ def life_bars(orders: DataFrame, bars: DataFrame, bucket_ns: int = 24 * HOUR_NS)
         bucket_ns=bucket_ns,
     )
     w = Window.partitionBy("order_id").orderBy("ts_event")
-    return pairs.withColumn("bar_no", F.row_number().over(w))
+    return pairs.withColumn("first_ts", F.first("ts_event").over(w))
+
+
+def reach_bars(
+    orders: DataFrame, bars: DataFrame, bucket_ns: int = 24 * HOUR_NS, cuts: Cuts | None = None
+) -> DataFrame:
+    """Bars of each order's life that reach its limit or trigger.
+
+    Enough for resting orders, which ignore all other bars, and far fewer than
+    ``life_bars`` when orders rest for long.
+    """
+    buy = F.col("side") > 0
+
+    def reaches(low: Column, high: Column) -> Column:
+        limit = F.when(buy, low <= F.col("limit")).otherwise(high >= F.col("limit"))
+        trigger = F.when(buy, high >= F.col("trigger")).otherwise(low <= F.col("trigger"))
+        no = F.lit(False)
+        return F.coalesce(limit, no) | F.coalesce(trigger, no)
+
+    dated = asof(
+        orders,
+        bars,
+        ["symbol"],
+        left_at="ts_decision",
+        right_at="ts_event",
+        values={"first_ts": "@at"},
+        direction="forward",
+        cuts=cuts,
+    )
+    return reach_join(
+        dated,
+        bars,
+        ["symbol"],
+        start="ts_decision",
+        end="valid_to",
+        at="ts_event",
+        low="low",
+        high="high",
+        reaches=reaches,
+        bucket_ns=bucket_ns,
+    )
 
 
 def allocate(pairs: DataFrame, model: CostModel, eligible: Column) -> DataFrame:
@@ -157,7 +197,8 @@ def next_open_fills(
 def market_fills(pairs: DataFrame, model: CostModel) -> DataFrame:
     """Market orders over several bars: the first at its open, the rest at the close."""
     rows = allocate(pairs.where(F.col("type") == "market"), model, F.lit(True))
-    ref = F.when(F.col("bar_no") == 1, F.col("open")).otherwise(F.col("close"))
+    first = F.col("ts_event") == F.col("first_ts")
+    ref = F.when(first, F.col("open")).otherwise(F.col("close"))
     px = model.fill_price(F.col("side"), ref, F.col("low"), F.col("high"))
     return _as_fills(rows, px, "taker", model)
 
@@ -167,21 +208,22 @@ def crossed(side: Column, limit: Column, low: Column, high: Column) -> Column:
     return F.when(side > 0, low <= limit).otherwise(high >= limit)
 
 
-def limit_fills(pairs: DataFrame, model: CostModel, from_bar: Column | None = None) -> DataFrame:
+def limit_fills(pairs: DataFrame, model: CostModel, after: Column | None = None) -> DataFrame:
     """Limit orders over their life.
 
     One that was marketable at its decision (``ref`` against the limit) takes
     the first open if that is still inside the limit; everything else rests
     and fills at the limit on each bar that reaches it.
     """
-    start = F.lit(0) if from_bar is None else from_bar
+    after = F.col("ts_decision") if after is None else after
     side, limit = F.col("side"), F.col("limit")
     buy = side > 0
     takes = F.lit(False)
     if "ref" in pairs.columns:
-        takes = (F.col("bar_no") == 1) & marketable(F.lit("limit"), side, limit, F.col("ref"))
+        first = F.col("ts_event") == F.col("first_ts")
+        takes = first & marketable(F.lit("limit"), side, limit, F.col("ref"))
     inside = F.when(buy, F.col("open") <= limit).otherwise(F.col("open") >= limit)
-    rests = crossed(side, limit, F.col("low"), F.col("high")) & (F.col("bar_no") > start)
+    rests = crossed(side, limit, F.col("low"), F.col("high")) & (F.col("ts_event") > after)
     rows = allocate(pairs, model, F.when(takes, inside).otherwise(rests))
     raw = model.fill_price(side, F.col("open"), F.col("low"), F.col("high"))
     capped = F.when(buy, F.least(raw, limit)).otherwise(F.greatest(raw, limit))
@@ -242,21 +284,15 @@ def stop_fills(pairs: DataFrame, model: CostModel) -> DataFrame:
     return _stop_out(allocate(pairs, model, hit), model, F.col("trigger"))
 
 
-def trigger_bar(pairs: DataFrame) -> DataFrame:
-    """Number of the first bar that triggers each order."""
-    hit = _triggered(F.col("side"), F.col("trigger"), F.col("low"), F.col("high"))
-    return pairs.where(hit).groupBy("order_id").agg(F.min("bar_no").alias("hit_bar"))
-
-
 def stop_limit_fills(pairs: DataFrame, model: CostModel) -> DataFrame:
     """Stop-limits rest as passive limits from the bar after their trigger."""
     hit = F.when(
         _triggered(F.col("side"), F.col("trigger"), F.col("low"), F.col("high")),
-        F.col("bar_no"),
+        F.col("ts_event"),
     )
     whole = Window.partitionBy("order_id")
-    rows = pairs.withColumn("hit_bar", F.min(hit).over(whole))
-    return limit_fills(rows.where(F.col("hit_bar").isNotNull()), model, F.col("hit_bar"))
+    rows = pairs.withColumn("hit_ts", F.min(hit).over(whole))
+    return limit_fills(rows.where(F.col("hit_ts").isNotNull()), model, F.col("hit_ts"))
 
 
 class Trail:

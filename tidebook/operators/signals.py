@@ -106,6 +106,12 @@ def position_fills(marked: DataFrame, series: Series) -> DataFrame:
     )
 
 
+def to_session(marked: DataFrame, series: Series) -> tuple[DataFrame, DataFrame]:
+    """(equity curve, fills) of a vector backtest, the input of the parity checks."""
+    curve = marked.select(*series.keys, *series.by, "equity")
+    return curve, position_fills(marked, series)
+
+
 def check_lengths(bars: DataFrame, positions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows present on only one side; an empty result means the lengths match."""
     b = bars.select(*keys).withColumn("_b", F.lit(1))

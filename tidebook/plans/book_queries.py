@@ -20,6 +20,7 @@ from tidebook.operators.series import Series
 from tidebook.plans.market import DAY, Market, r
 from tidebook.plans.oracle_views import D, R, sql
 from tidebook.plans.registry import query
+from tidebook.session import staged
 from tidebook.plans.ta_queries import FASTS, SLOWS, _full, _marked, _wide_marked
 
 FEE = 0.000412357
@@ -382,9 +383,13 @@ WINDOW w AS (PARTITION BY b.symbol ORDER BY b.ts_event ROWS UNBOUNDED PRECEDING)
 """
 
 
-def _curve(m: Market, fills=None):
+def _curve(m: Market, fills=None, bars=None):
     return PF.curve_from_fills(
-        m.raw_fills if fills is None else fills, m.fill_bars, m.fill_bar_series, 100_000.0, FEE
+        m.raw_fills if fills is None else fills,
+        m.fill_bars if bars is None else bars,
+        m.fill_bar_series,
+        100_000.0,
+        FEE,
     )
 
 
@@ -623,9 +628,11 @@ pm AS (SELECT t.symbol, sa AS signal_agreement, fd AS fill_dev_bps, ec AS equity
 
 
 def _parity(m: Market):
-    b = _session_b(m)
+    a, b = m.raw_fills, _session_b(m)
+    bars = staged(m.fill_bars)  # the grid of both curves
+    curves = _curve(m, a, bars), _curve(m, b, bars)
     return PA.parity_metrics(
-        m.raw_fills, _curve(m), b, _curve(m, b), ["symbol"], bucket_ns=30 * DAY, cuts=m.fill_cuts
+        a, curves[0], b, curves[1], ["symbol"], bucket_ns=30 * DAY, cuts=m.fill_cuts
     )
 
 

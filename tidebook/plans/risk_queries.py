@@ -63,6 +63,14 @@ def _life(m: Market, kind: str):
     return X.life_bars(m.orders.where(F.col("type") == kind), m.bars, bucket_ns=48 * HOUR)
 
 
+def _reach(m: Market, kind: str, limit=None):
+    """Bars that can matter to the resting orders of one type."""
+    orders = m.orders.where(F.col("type") == kind)
+    if limit is not None:
+        orders = orders.withColumn("limit", limit).drop("ref")
+    return X.reach_bars(orders, m.bars, 12 * HOUR, m.tick_cuts)
+
+
 @query(
     "marketability",
     sql(
@@ -139,7 +147,7 @@ _TAKES = """(bar_no = 1 AND CASE WHEN side > 0 THEN ref <= "limit" ELSE ref >= "
     ),
 )
 def limit_fills(m: Market):
-    return _fills_out(X.limit_fills(_life(m, "limit"), MODEL))
+    return _fills_out(X.limit_fills(_reach(m, "limit"), MODEL))
 
 
 @query(
@@ -162,7 +170,7 @@ SELECT w.order_id, w.ts_event, {R('w.fill')} AS qty FROM w WHERE w.fill > 0
     ),
 )
 def queue_limit_fills(m: Market):
-    out = X.queue_limit_fills(_life(m, "limit"), MODEL)
+    out = X.queue_limit_fills(_reach(m, "limit"), MODEL)
     return out.select("order_id", "ts_event", *_r("qty"))
 
 
@@ -175,7 +183,7 @@ _STOPREF = """CASE WHEN side > 0 THEN greatest("trigger", low) ELSE least("trigg
     sql(_fills_sql(_alloc("life", f"type = 'stop' AND {_HIT}"), _slip(_STOPREF), "'taker'"), "life"),
 )
 def stop_fills(m: Market):
-    return _fills_out(X.stop_fills(_life(m, "stop"), MODEL))
+    return _fills_out(X.stop_fills(_reach(m, "stop"), MODEL))
 
 
 @query(
@@ -193,8 +201,8 @@ WITH z AS (SELECT * REPLACE ("trigger" * 1.001 AS "limit"), min(CASE WHEN {_HIT}
     ),
 )
 def stop_limit_fills(m: Market):
-    rows = _life(m, "stop").withColumn("limit", F.col("trigger") * 1.001)
-    return _fills_out(X.stop_limit_fills(rows.drop("ref"), MODEL))
+    rows = _reach(m, "stop", F.col("trigger") * 1.001)
+    return _fills_out(X.stop_limit_fills(rows, MODEL))
 
 
 @query(
@@ -345,11 +353,13 @@ def rejected_order_events(m: Market):
 
 @query(
     "order_vwap",
-    sql(f"SELECT order_id, {R('sum(qty)')} AS filled_qty, {R('sum(px * qty) / sum(qty)', 10)} AS avg_px FROM fills GROUP BY 1", "fills"),
+    sql(f"SELECT order_id, {R('sum(qty)')} AS filled_qty, {R('sum(px * qty) / sum(qty) + 1e-9', 6)} AS avg_px FROM fills GROUP BY 1", "fills"),
 )
 def order_vwap(m: Market):
     rows = m.raw_fills.withColumnRenamed("k1", "order_id")
-    return OR.order_vwap(rows).select("order_id", *_r("filled_qty"), *_r("avg_px", places=10))
+    # Averages of cents often end in an exact half; the offset keeps them off it.
+    out = OR.order_vwap(rows)
+    return out.select("order_id", *_r("filled_qty"), r(F.col("avg_px") + 1e-9).alias("avg_px"))
 
 
 @query(

@@ -6,14 +6,12 @@ by their close time in nanoseconds.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook import schemas
 from tidebook.functions.values import month_key, month_key_of, utc_text
-from tidebook.session import shared_dir
+from tidebook.session import is_scan, staged
 
 SERIES = list(schemas.SERIES)
 _PRICES = ["open", "high", "low", "close", "volume"]
@@ -103,13 +101,16 @@ def write_bars(
     months are staged first, because a folder cannot be read and overwritten
     in one job, and then replace the old ones.
     """
+    # The batch is read three times: for its months, the merge and the join.
+    batch = batch if is_scan(batch) else staged(batch)
     stamped = batch.withColumn("yyyymm", month_key(F.col("ts_event")))
-    months = stamped.select(*SERIES, "yyyymm").distinct()
-    existing = scan(spark, root).join(months, [*SERIES, "yyyymm"], "left_semi")
+    touched = stamped.select(*SERIES, "yyyymm").distinct()
+    # Calendar months are few; as literals they prune folders at planning time.
+    calendar = [r[0] for r in stamped.select("yyyymm").distinct().collect()]
+    existing = scan(spark, root).where(F.col("yyyymm").isin(calendar))
+    existing = existing.join(touched, [*SERIES, "yyyymm"], "left_semi")
     merged = merge(existing, stamped, order).withColumn("yyyymm", month_key(F.col("ts_event")))
-    staged = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    merged.write.option("compression", "zstd").parquet(staged)
-    ready = spark.read.schema(schemas.LAKE_BAR).parquet(staged)
+    ready = staged(merged)
     _write_months(ready, root)
     return ready.count()
 
