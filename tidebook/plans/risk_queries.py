@@ -380,7 +380,7 @@ def fill_status(m: Market):
     "accepted_fill_positions",
     sql(
         _FSM
-        + f"""SELECT e.strategy_id, {R('sum(e.last_qty)')} AS net, {R('sum(e.last_qty * e.last_px)', 2)} AS cost
+        + f"""SELECT e.strategy_id, {R('sum(e.last_qty)')} AS net, {R('sum(e.last_qty * e.last_px)', 4)} AS cost
  FROM o JOIN order_events e ON e.client_order_id = o.client_order_id AND e.seq = o.seq WHERE o.ok AND e.last_qty IS NOT NULL GROUP BY 1""",
         "order_events",
     ),
@@ -395,7 +395,7 @@ def accepted_fill_positions(m: Market):
         .groupBy("strategy_id")
         .agg(
             r(F.sum("last_qty")).alias("net"),
-            r(F.sum(F.col("last_qty") * F.col("last_px")), 2).alias("cost"),
+            r(F.sum(F.col("last_qty") * F.col("last_px")), 4).alias("cost"),
         )
     )
 

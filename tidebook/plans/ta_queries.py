@@ -157,7 +157,7 @@ _SB = "SELECT symbol, ts, side, px * 1.00033333333 AS px, qty FROM fills WHERE f
 WITH a AS (SELECT symbol, ts // {D} AS bucket, side, avg(px) AS px_a FROM fills GROUP BY 1, 2, 3),
 b AS (SELECT symbol, ts // {D} AS bucket, side, avg(px) AS px_b FROM ({_SB}) GROUP BY 1, 2, 3)
 SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(a.bucket, b.bucket) AS bucket,
- coalesce(a.side, b.side) AS side, {R('px_a', 9)} AS px_a, {R('px_b', 9)} AS px_b
+ coalesce(a.side, b.side) AS side, {R('px_a + 1e-9')} AS px_a, {R('px_b + 1e-9')} AS px_b
 FROM a FULL JOIN b ON a.symbol = b.symbol AND a.bucket = b.bucket AND a.side = b.side
 """,
         "fills",
@@ -166,9 +166,9 @@ FROM a FULL JOIN b ON a.symbol = b.symbol AND a.bucket = b.bucket AND a.side = b
 def session_match(m: Market):
     b = m.raw_fills.where(F.col("flag") != "R").withColumn("px", F.col("px") * 1.00033333333)
     out = match_fills(m.raw_fills, b, ["symbol"], 24 * HOUR)
-    return out.select(
-        "symbol", "bucket", "side", r("px_a", 9).alias("px_a"), r("px_b", 9).alias("px_b")
-    )
+    # Prices often end in an exact half; the offset keeps the rounding off it.
+    px = [r(F.col(c) + 1e-9).alias(c) for c in ("px_a", "px_b")]
+    return out.select("symbol", "bucket", "side", *px)
 
 
 @query(
