@@ -44,6 +44,20 @@ def test_cuts_are_bounded(ticks):
     assert sum(len(points) for *_, points in cuts.table) <= 16
 
 
+def test_one_crowded_timestamp_is_cut_along_the_tie(spark):
+    data = [("HOT", 500 if i % 3 else i, i, float(i % 13)) for i in range(900)]
+    df = spark.createDataFrame([*data, ("A", 1, 901, 1.0)], SCHEMA).repartition(4)
+    cuts = measure_cuts(df, ("symbol",), "ts", rows_per_block=50, tie="seq")
+    assert len(cuts.ties) == 1 and cuts.ties[0][:2] == ("HOT", 500)
+    s = Series.of("symbol", ("ts", "seq"), cuts)
+    sizes = s._with_block(df).groupBy("symbol", "_s_blk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 120
+    aggs = {"s": ("sum", F.col("close")), "n": ("count", F.col("close"))}
+    whole = Series.of("symbol", ("ts", "seq"))
+    for kw in ({}, {"reverse": True}):
+        _same(whole.running(df, aggs, **kw), s.running(df, aggs, **kw))
+
+
 @pytest.mark.parametrize("size", [40, 400])
 def test_running_aggregates(ticks, size):
     aggs = {

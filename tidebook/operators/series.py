@@ -43,6 +43,8 @@ class Cuts:
     rows_per_block: int = ROWS_PER_BLOCK
     table: tuple = ()  # rows of (key values..., sorted cut positions)
     key_types: tuple = field(default=())
+    tie: str | None = None
+    ties: tuple = ()  # rows of (key values..., position, cuts along ``tie``)
 
     def __bool__(self) -> bool:
         return bool(self.table)
@@ -58,12 +60,15 @@ def measure_cuts(
     at: str,
     rows_per_block: int = ROWS_PER_BLOCK,
     max_blocks: int = MAX_BLOCKS,
+    tie: str | None = None,
 ) -> Cuts:
     """Find the keys longer than a block and where to cut them along ``at``.
 
     Reads only the key and order columns.  What reaches the driver is bounded:
     the block size grows with the table so that no more than ``max_blocks``
-    cuts exist, whatever the data size.
+    cuts exist, whatever the data size.  With ``tie``, the second order column
+    (a long), a single position that holds more than two blocks is cut along
+    it as well.
     """
     keys = tuple(keys)
     types = tuple(df.schema[k].dataType for k in keys)
@@ -72,40 +77,44 @@ def measure_cuts(
     if not total or longest <= rows_per_block:
         return Cuts(keys, rows_per_block, (), types)
     size = max(rows_per_block, -(-total // max_blocks))
-    long_keys = counts.where(F.col("n") > size).limit(max_blocks)
+    # At most total / size of them, hence no more than max_blocks.
+    long_keys = counts.where(F.col("n") > size).select(*keys).limit(max_blocks)
+    long_rows = df.join(F.broadcast(long_keys), list(keys), "left_semi")
     points = min(max_blocks, max(2, -(-longest // size)))
-    probs = [i / points for i in range(1, points)] or [0.5]
+    cuts = {tuple(k): set(q) for *k, q in _quantiles(long_rows, keys, at, size, points)}
+    ties = ()
+    if tie is not None:
+        crowded = long_rows.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n"))
+        crowded = crowded.where(F.col("n") > 2 * size).select(*keys, at).limit(max_blocks)
+        rows = long_rows.join(F.broadcast(crowded), [*keys, at], "left_semi")
+        ties = tuple(_quantiles(rows, (*keys, at), tie, size, points))
+        for *key, position, _ in ties:
+            # A crowded position gets blocks of its own.
+            cuts.setdefault(tuple(key), set()).update((position, position + 1))
+    table = tuple((*k, sorted(q)) for k, q in cuts.items())
+    return Cuts(keys, size, table, types, tie, ties)
+
+
+def _quantiles(df: DataFrame, keys: Sequence[str], at: str, size: int, points: int) -> list[tuple]:
+    """Per key, positions along ``at`` that split its rows into parts of ``size``."""
+    probs = [i / points for i in range(1, points)]
+    parts = F.ceil(F.col("n") / F.lit(size)).cast("int")
+
+    def pick(j: Column) -> Column:
+        k = (j * points / F.col("parts")).cast("int")
+        return F.element_at("q", F.greatest(F.lit(1), F.least(F.lit(len(probs)), k)))
+
+    steps = F.sequence(F.lit(1), F.greatest(F.col("parts") - 1, F.lit(1)))
     picked = (
-        df.join(F.broadcast(long_keys), list(keys), "left_semi")
-        .groupBy(*keys)
+        df.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx(F.col(at), probs, 10 * points).alias("q"),
         )
-        .withColumn("parts", F.ceil(F.col("n") / F.lit(size)).cast("int"))
-        .select(
-            *keys,
-            F.array_sort(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.col("parts") - 1, F.lit(1))),
-                        lambda j: F.element_at(
-                            "q",
-                            F.greatest(
-                                F.lit(1),
-                                F.least(
-                                    F.lit(len(probs)),
-                                    (j * points / F.col("parts")).cast("int"),
-                                ),
-                            ),
-                        ),
-                    )
-                )
-            ).alias("cuts"),
-        )
+        .withColumn("parts", parts)
+        .select(*keys, F.array_sort(F.array_distinct(F.transform(steps, pick))).alias("cuts"))
     )
-    rows = tuple(tuple(r) for r in picked.collect())
-    return Cuts(keys, size, rows, types)
+    return [tuple(r) for r in picked.collect()]
 
 
 def _combine(kind: str, local: Column, carry: Column) -> Column:
@@ -198,11 +207,34 @@ class Series:
             .when(i == 0, F.lit(0))
             .otherwise((i - 1) * _FAN + inner)
         )
-        return (
+        out = (
             df.join(table, list(cuts.keys), "left")
             .withColumn(_BLK, block)
             .drop(_COARSE, _FINE)
         )
+        if not cuts.ties or self.by[1:2] != (cuts.tie,):
+            return out
+        schema = T.StructType(
+            [T.StructField(k, t) for k, t in zip(cuts.keys, cuts.key_types)]
+            + [
+                T.StructField(self.by[0], T.LongType()),
+                T.StructField(_FINE, T.ArrayType(T.LongType())),
+            ]
+        )
+        # Bounded like the cuts: crowded positions hold two blocks or more.
+        crowded = F.broadcast(df.sparkSession.createDataFrame(list(cuts.ties), schema))
+        sub = F.size(F.filter(F.col(_FINE), lambda c: c <= F.col(cuts.tie)))
+        inner = F.when(F.col(_FINE).isNull(), F.lit(0)).otherwise(sub)
+        return (
+            out.join(crowded, [*cuts.keys, self.by[0]], "left")
+            .withColumn(
+                _BLK,
+                F.when(F.col(_BLK) < 0, F.col(_BLK)).otherwise(
+                    F.col(_BLK) * (MAX_BLOCKS + 1) + inner
+                ),
+            )
+            .drop(_FINE)
+        )
 
     def running(
         self,

@@ -44,12 +44,14 @@ class Market:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def _cuts(self, name: str, df: DataFrame, keys: tuple[str, ...], at: str) -> Cuts:
-        """Cuts are measured once per table from its key and time columns."""
+    def _cuts(
+        self, name: str, df: DataFrame, keys: tuple[str, ...], at: str, tie: str | None = None
+    ) -> Cuts:
+        """Cuts are measured once per table from its key and order columns."""
         slot = (self.dir, name, self.rows_per_block, id(self.spark))
         if slot not in _CUTS:
             kw = {"rows_per_block": self.rows_per_block} if self.rows_per_block else {}
-            _CUTS[slot] = measure_cuts(df, keys, at, **kw)
+            _CUTS[slot] = measure_cuts(df, keys, at, tie=tie, **kw)
         return _CUTS[slot]
 
     # -- events ---------------------------------------------------------
@@ -71,9 +73,11 @@ class Market:
     @cached_property
     def tick_cuts(self) -> Cuts:
         rows = self.table("events").select(
-            F.col("event_type").alias("symbol"), nanos("ts").alias("ts")
+            F.col("event_type").alias("symbol"),
+            nanos("ts").alias("ts"),
+            F.col("event_id").alias("seq"),
         )
-        return self._cuts("ticks", rows, ("symbol",), "ts")
+        return self._cuts("ticks", rows, ("symbol",), "ts", tie="seq")
 
     @property
     def tick_series(self) -> Series:
@@ -237,9 +241,11 @@ class Market:
     @cached_property
     def fill_cuts(self) -> Cuts:
         rows = self.table("lineitem").select(
-            F.col("l_suppkey").alias("symbol"), nanos("l_shipdate").alias("ts")
+            F.col("l_suppkey").alias("symbol"),
+            nanos("l_shipdate").alias("ts"),
+            F.col("l_orderkey").alias("k1"),
         )
-        return self._cuts("fills", rows, ("symbol",), "ts")
+        return self._cuts("fills", rows, ("symbol",), "ts", tie="k1")
 
     @property
     def fill_order(self) -> Series:
