@@ -1,6 +1,10 @@
 """Plans: pruned scans, partial aggregates, no pairwise or single-task stages."""
 
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
 
 import __spark_entry__ as entry_module
 from tidebook.operators.series import Series, measure_cuts
@@ -45,3 +49,19 @@ def test_split_series_partition_by_block(spark):
     s = Series.of("symbol", ("ts", "seq"), cuts)
     plan = plan_of(s.number(m.ticks, "n"))
     assert "hashpartitioning(symbol" in plan and "_s_blk" in plan
+
+
+def test_tasks_carry_their_helpers(tmp_path):
+    """Executors and streaming workers have no copy of the package."""
+    from tidebook.operators.options import solve_vol
+    from tidebook.streaming.processors import Orders
+
+    blob = tmp_path / "helpers"
+    blob.write_bytes(cloudpickle.dumps((solve_vol, Orders())))
+    code = (
+        "import pickle, sys; fn, p = pickle.load(open(sys.argv[1], 'rb')); "
+        "assert 'tidebook' not in sys.modules; print(type(p).__name__)"
+    )
+    run = [sys.executable, "-c", code, str(blob)]
+    out = subprocess.run(run, cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert out.stdout.strip() == "Orders"
