@@ -4,10 +4,11 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry_module
+from tidebook.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -28,4 +29,5 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+    assert set(QUERIES) <= set(entry_module.queries())
