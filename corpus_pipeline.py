@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, mixing, probminhash, sharding
+from tidebook.llm import decontaminate, mixing, probminhash, sharding, toxicity
 from tidebook.llm.common import staged, table
 
 
+def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are likelier toxic than not go; the labels outside the held-out fifth teach it."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.keep_clean(docs, model)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: the one with the least id."""
     return probminhash.deduplicate(docs)
@@ -30,7 +36,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, shards=8)
 
 
-STAGES = [("minhash near-dedup", near_dedup), ("benchmark decontamination", benchmark), ("mixing to target weights", mix), ("sharding", shard)]
+STAGES = [("toxicity", nontoxic), ("minhash near-dedup", near_dedup), ("benchmark decontamination", benchmark), ("mixing to target weights", mix), ("sharding", shard)]
 
 #: The toxicity score and the near-duplicate classes can't be said in SQL.
 ORACLE_SQL = None
