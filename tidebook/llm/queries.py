@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, mixing, probminhash, sharding, toxicity
-from tidebook.llm.common import table, text_or_empty
+from tidebook.llm import decontaminate, mixing, pii, probminhash, sharding, sketches, token_counts, toxicity, url_rules
+from tidebook.llm.common import staged, table, text_or_empty
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.with_tokens(table(spark, sf_dir, "documents").select("text")).select("n_tokens")
+    return token_counts.suffix_sums(staged(token_counts.histogram(counted)))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), mixing.cycled_weights)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -73,6 +78,25 @@ FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source JOIN l ON u.source IS NO
 """
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = """
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), m AS (
+  SELECT u.*, (SELECT r.host || r.path FROM rules r WHERE (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+               ORDER BY length(r.host || r.path) DESC LIMIT 1) AS rule FROM u
+)
+SELECT m.page_id, m.host, m.path, m.rule, coalesce(r.verdict, 'allow') AS verdict FROM m LEFT JOIN rules r ON m.rule = r.host || r.path
+"""
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     placed = sharding.shard(docs.withColumns({"size": sharding.size_of(), "text_crc32": F.crc32(text_or_empty().cast("binary"))}), shards=8)
@@ -88,3 +112,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_far")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compared_with_edit(table(spark, sf_dir, "documents"))

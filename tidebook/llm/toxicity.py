@@ -37,7 +37,7 @@ from tidebook.llm.textblocks import folded_words
 SAMPLE = 2000
 SAMPLE_CHARS = 20_000
 ORDINARY_BYTES, TOXIC_BYTES = 16_000, 4_096
-MIN_CONTEXTS, MIN_RATIO = 12, 8.0
+MIN_CONTEXTS, MIN_RATIO, MIN_EVIDENCE = 4, 8.0, 8.0
 FAR = 3  # bytes saved from which a window counts
 LEVEL = 6
 CACHE = 500_000
@@ -79,8 +79,14 @@ def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Counte
     for w, n in in_ordinary.items():
         for g in _fragments(w) & found:
             usual[g] += n
-    scale = max(1, sum(map(len, ordinary))) / max(1, sum(map(len, toxic)))
-    found = {g for g in found if fragments[g] * scale >= MIN_RATIO * (usual[g] + 1)}
+    n_toxic, n_ordinary = max(1, sum(map(len, toxic))), max(1, sum(map(len, ordinary)))
+    share = n_toxic / (n_toxic + n_ordinary)
+
+    def evidence(n: int, u: int) -> float:
+        """Log-likelihood ratio, in nats, of own rates against one rate for both kinds of text."""
+        return n * math.log(n / ((n + u) * share)) + (u * math.log(u / ((n + u) * (1 - share))) if u else 0.0)
+
+    found = {g for g in found if fragments[g] * (1 - share) >= MIN_RATIO * share * (usual[g] + 1) and evidence(fragments[g], usual[g]) >= MIN_EVIDENCE}
     return Counter({w: n for w, n in in_toxic.items() if _fragments(w) & found})
 
 
