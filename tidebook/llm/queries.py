@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import decontaminate, mixing, pii, probminhash, sharding, sketches, token_counts, toxicity, url_rules
+from tidebook.llm import decontaminate, kneser_ney, mixing, pii, probminhash, sharding, sketches, token_counts, toxicity, url_rules
 from tidebook.llm.common import staged, table, text_or_empty
 
 
@@ -121,3 +121,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compared_with_edit(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
