@@ -9,7 +9,8 @@ n + M log M arrivals.
 
 Registers are banded; texts that agree in a band meet in a bucket. In a bucket
 every member is compared with one leader only, exactly, on the sets of shingle
-hashes; links join texts into classes. Links between members that the leader
+hashes; links join texts into classes. Leaders are drawn anew for each bucket,
+so a text meets as many of them as it has bands. Links between members that the leader
 misses are looked for afterwards: only in buckets that hold several classes,
 only across classes, and only where the triangle inequality of the Jaccard
 distance leaves a link possible. So a group of copies costs comparisons in
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import fresh, staged
+from tidebook.llm.common import fresh, shuffle_width, staged
 from tidebook.llm.textblocks import as_bytes, mix, shingles, text_blocks
 
 WORDS = 5
@@ -36,6 +37,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 6
 #: Up to this many ids (8 bytes each) are broadcast to filter rows; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bounds of a chunk of a bucket.
+CHUNK_ROWS, CHUNK_BYTES = 512, 8 << 20
 _U = np.uint64
 
 
@@ -158,13 +161,99 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _missed(seen: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): roots of classes with a link that no leader shows, enough of them to join the classes.
+
+    ``seen``: bucket, sid, root and the distance to the bucket's leader. Buckets
+    of one class are done. The others are dealt into chunks, bounded in rows and
+    bytes, and each pair of chunks is compared by itself, so a large bucket is
+    split and no pair of texts becomes a row.
+    """
+    mixed = seen.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rows = seen.join(mixed.where("lo < hi").select("bucket"), "bucket").join(sets, "sid")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("set")).alias("bytes"))
+    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_ROWS), F.ceil(F.col("bytes") / CHUNK_BYTES)).cast("int").alias("chunks")
+    rows = rows.join(sizes.select("bucket", chunks), "bucket").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    rows = rows.select("bucket", "sid", "root", "distance", "set", "own", other)
+    rows = rows.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "root", "distance", "set")
+    rows = rows.repartition(shuffle_width(seen.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return rows.mapInArrow(_across(threshold), "a long, b long").distinct()
+
+
+def _across(threshold: float):
+    """Compare the sets of a pair of chunks, group after group of rows in order."""
+
+    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        own, root, distance = (np.array([r[k] for r in group]) for k in (0, 1, 2))
+        x, y = own.min(), own.max()
+        sets = [np.frombuffer(r[3], "<u4") for r in group]
+        size = np.array([len(s) for s in sets])
+        common = _common(sets)
+        near = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
+        near &= (root[:, None] != root[None, :]) & (np.abs(distance[:, None] - distance[None, :]) <= 1 - threshold + 1e-9)
+        if x != y:
+            near &= own[:, None] != own[None, :]
+        parent: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in parent:
+                r = parent[r]
+            return r
+
+        for i, j in zip(*np.nonzero(np.triu(near, 1))):
+            a, b = top(int(root[i])), top(int(root[j]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                yield max(a, b), min(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        for batch in batches:
+            out = []
+            for bucket, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, x, y) != at:
+                    out += links(group) if len(group) > 1 else ()
+                    group, at = [], (bucket, x, y)
+                group.append(row)
+            yield _pairs(out)
+        if len(group) > 1:
+            yield _pairs(list(links(group)))
+
+    return run
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*out) if out else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share; columns of the incidence matrix go by blocks."""
+    values = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count > 1
+    column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for first in range(0, int(shared.sum()), 4096):
+        a, z = np.searchsorted(column, [first, first + 4096])
+        block = np.zeros((len(sets), 4096), np.float32)
+        block[row[a:z], column[a:z] - first] = 1
+        out += block @ block.T
+    return out
+
+
 def _rooted(docs: DataFrame, key: str, text: str, words: int, threshold: float, bands: int, rows: int) -> DataFrame:
     """(key, row, root) of every document: a hash of key and text, and the name of its class."""
     sketched = docs.select(F.col(key).alias("key"), _row(key, text).alias("row"), F.col(text).alias("text"))
     schema = f"key {dict(docs.dtypes)[key]}, row long, sid long, bands array<long>, set binary"
     sketched = staged(sketched.mapInArrow(_sketch(words, bands, rows), schema))
     banded = sketched.select("sid", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("sid").alias("leader"), F.max("sid").alias("most")).where("leader < most").select("bucket", "leader")
+    shared = banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("sid", "bucket"), "sid")).alias("first"), F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+    shared = shared.where("lo < hi").select("bucket", F.col("first.sid").alias("leader"))
     members = staged(banded.join(shared, "bucket").distinct())
 
     ids = staged(members.select("sid").distinct())
@@ -177,17 +266,15 @@ def _rooted(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     links = near.where(F.col("distance") <= 1 - threshold + 1e-9).select("a", "b")
     roots = components(links)
 
-    # what the leaders miss: other classes in the same bucket, unless too far by the triangle inequality
-    seen = members.where("sid <> leader").join(near.withColumnsRenamed({"a": "sid", "b": "leader"}), ["sid", "leader"])
+    # what the leaders miss: links between classes that share a bucket
+    seen = members.join(near.withColumnsRenamed({"a": "sid", "b": "leader"}), ["sid", "leader"])
     seen = seen.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("bucket", "sid", "distance", F.coalesce("root", "sid").alias("root"))
-    mixed = seen.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    seen = staged(seen.join(mixed, "bucket"))
-    x, y = seen.alias("x"), seen.alias("y")
-    close = F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - threshold + 1e-9
-    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & close)
-    more = _distances(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), sets)
-    more = more.where(F.col("distance") <= 1 - threshold + 1e-9).select("a", "b")
-    roots = components(links.union(more))
+    more = staged(_missed(seen, sets, threshold))
+    if not more.isEmpty():
+        again = components(more).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+        known = roots.join(again, "root", "left").select("node", F.coalesce("joined", "root").alias("root"))
+        alone = again.select(F.col("root").alias("node"), F.col("joined").alias("root")).join(roots.select("node"), "node", "left_anti")
+        roots = known.union(alone)
 
     of = sketched.select("key", "row", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     return of.select("key", "row", F.coalesce("root", "sid").alias("root"))
