@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +38,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def fresh(df: DataFrame, *names: str) -> None:
-    """Raise if a result column would meet a column of the same name."""
-    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} of the input clash with result columns; rename them first")
+def fresh(df: DataFrame, *names: str, needs: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without columns named like result columns: the result takes their place.
+
+    Columns that the operator ``needs`` can't be replaced: their clash is an error.
+    """
+    taken = {n.lower() for n in names}
+    if clash := [n for n in needs if n.lower() in taken]:
+        raise ValueError(f"columns {clash} are needed, but results bear their names; rename them first")
+    return df.drop(*(c for c in df.columns if c.lower() in taken))
+
+
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with columns of these names renamed, and a function that brings back its columns as they were."""
+    taken = {n.lower() for n in names}
+    moved = {c: f"_aside_{i}" for i, c in enumerate(df.columns) if c.lower() in taken}
+    columns = [F.col(moved.get(c, c)).alias(c) for c in df.columns]
+    return df.withColumnsRenamed(moved), lambda out: out.select(*columns)
+
+
+def extended(df: DataFrame, columns: str) -> StructType:
+    """The schema of ``df`` with more columns, given as in DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
 
 
 def text_or_empty(text: str = "text"):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import fresh, staged
+from tidebook.llm.common import extended, fresh, set_aside, staged
 from tidebook.llm.textblocks import FOLD_BLANK, as_bytes, folded_words
 
 WINDOW = 10
@@ -187,10 +187,10 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     A null or empty text has no words. Items without words are no windows; an
     item without an id hits words but is not listed. Repeated items and
     documents count as they stand. An empty benchmark hits nothing. Other
-    columns stay; one named like a result column is an error.
+    columns stay; one named like a result column is replaced by it.
     """
-    fresh(docs, *_FOUND)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in _FOUND.items())])
+    docs = fresh(docs, *_FOUND, needs=(text,))
+    schema = extended(docs, ", ".join(f"{k} {v}" for k, v in _FOUND.items()))
     out = docs
     for k, items in enumerate(_groups(benchmark, item_id, item_text, group_bytes)):
         if k:
@@ -234,8 +234,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     are such goes. Documents without passages stay as they are, also those
     without words or text. Null cases and repeats are as in ``find``.
     """
-    found = find(docs, benchmark, text=text, window=min_words, **kw)
-    names = docs.columns
+    moved, back = set_aside(docs, *_FOUND)
+    found = find(moved, benchmark, text=text, window=min_words, **kw)
+    names = moved.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,4 +246,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.schema.field(at).type))
             yield batch.select(names)
 
-    return found.where(n_hit() <= F.lit(max_coverage) * F.col("n_words")).mapInArrow(run, docs.schema)
+    kept = found.where(n_hit() <= F.lit(max_coverage) * F.col("n_words")).mapInArrow(run, moved.schema)
+    return back(kept)

@@ -30,7 +30,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidebook.llm.common import fresh
+from tidebook.llm.common import extended, fresh
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account", "key")
@@ -183,12 +183,12 @@ def find(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and
     then kind, comma-joined. A null text is an empty one and has none. Repeated
-    rows are read alike. Other columns stay; one named like a result column is an
-    error. One pass, no shuffle.
+    rows are read alike. Other columns stay; one named like a result column is
+    replaced by it. One pass, no shuffle.
     """
     counts = [f"n_{k}" for k in BASE]
-    fresh(docs, *counts, "base_spans", "spans")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} long" for c in counts), "base_spans string, spans string"])
+    docs = fresh(docs, *counts, "base_spans", "spans", needs=(text,))
+    schema = extended(docs, ", ".join([*(f"{c} long" for c in counts), "base_spans string", "spans string"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder()

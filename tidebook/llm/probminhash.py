@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import fresh, shuffle_width, staged
+from tidebook.llm.common import set_aside, shuffle_width, staged
 from tidebook.llm.textblocks import as_bytes, mix, shingles, text_blocks
 
 WORDS = 5
@@ -305,7 +305,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wor
 
     Of repeated rows one stays. Cases as in ``classes``; the texts are shuffled once.
     """
-    fresh(docs, "_row")
+    moved, back = set_aside(docs, "_row")
     of = _rooted(docs, key, text, words, threshold, bands, rows)
     kept = of.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "row")).alias("m")).select(F.col("m.row").alias("_row"))
-    return docs.withColumn("_row", _row(key, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(docs.columns)
+    return back(moved.withColumn("_row", _row(key, text)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]))

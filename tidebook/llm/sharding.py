@@ -161,24 +161,25 @@ def shard(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **kw) ->
     slot follows no order that means anything. Rows that are equal in key and
     text are interchangeable. An empty table gives no rows; a shard may stay
     empty if there are fewer texts than shards. Other columns stay; one named
-    like a result column is an error.
+    like a result column is replaced by it, and so are names from ``_kd_`` on.
     """
-    fresh(docs, "shard", "slot", "_h", "_k", "_part")
+    inner = ("_kd_h", "_kd_k", "_kd_part", "_kd_parts", "_kd_n", "_kd_before", "_kd_rank", "_kd_b")
+    docs = fresh(docs, "shard", "slot", *inner, needs=(key, text))
     small, big = leaves(docs, text=text, **kw)
-    rows = docs.withColumns({"_h": F.xxhash64(text_or_empty(text)), "_k": F.xxhash64(F.lit(7), F.col(key), size_of(text))})
-    many = F.broadcast(big.select("h", "parts").distinct())
-    rows = rows.join(many, F.col("_h") == F.col("h"), "left").drop("h").withColumn("_part", F.pmod(F.col("_k"), F.col("parts")).cast("int"))
-    in_big = rows.where("parts is not null").join(F.broadcast(big.select("h", "part", "shard")), (F.col("_h") == F.col("h")) & (F.col("_part") == F.col("part"))).drop("h", "part")
-    in_small = rows.where("parts is null").join(small, F.col("_h") == F.col("h")).drop("h")
-    rows = in_small.unionByName(in_big).drop("parts", "_part")
-    return _with_slots(rows, key).drop("_h", "_k")
+    rows = docs.withColumns({"_kd_h": F.xxhash64(text_or_empty(text)), "_kd_k": F.xxhash64(F.lit(7), F.col(key), size_of(text))})
+    many = F.broadcast(big.select(F.col("h").alias("_kd_h"), F.col("parts").alias("_kd_parts")).distinct())
+    rows = rows.join(many, "_kd_h", "left").withColumn("_kd_part", F.pmod(F.col("_kd_k"), F.col("_kd_parts")).cast("int"))
+    places = F.broadcast(big.select(F.col("h").alias("_kd_h"), F.col("part").alias("_kd_part"), "shard"))
+    in_big = rows.where("_kd_parts is not null").join(places, ["_kd_h", "_kd_part"])
+    in_small = rows.where("_kd_parts is null").join(small.select(F.col("h").alias("_kd_h"), "shard"), "_kd_h")
+    rows = _with_slots(in_small.unionByName(in_big), key)
+    return rows.select(*docs.columns, "shard", "slot")
 
 
 def _with_slots(rows: DataFrame, key: str) -> DataFrame:
     """Number the rows of each shard: per hash bucket, plus the rows of the buckets before."""
-    bucket = F.pmod(F.xxhash64("_k", "_h"), F.lit(_SLOT_BUCKETS)).alias("_b")
-    rows = rows.select("*", bucket)
-    counts = rows.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("shard", "_b", (F.sum("n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_b").orderBy(F.col(key), "_k", "_h")) - 1
-    return rows.withColumn("_rank", rank).join(before, ["shard", "_b"]).withColumn("slot", (F.col("_rank") + F.col("_before")).cast("long")).drop("_rank", "_before", "_b")
+    rows = rows.withColumn("_kd_b", F.pmod(F.xxhash64("_kd_k", "_kd_h"), F.lit(_SLOT_BUCKETS)))
+    counts = rows.groupBy("shard", "_kd_b").agg(F.count(F.lit(1)).alias("_kd_n"))
+    before = counts.select("shard", "_kd_b", (F.sum("_kd_n").over(Window.partitionBy("shard").orderBy("_kd_b")) - F.col("_kd_n")).alias("_kd_before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "_kd_b").orderBy(F.col(key), "_kd_k", "_kd_h")) - 1
+    return rows.withColumn("_kd_rank", rank).join(before, ["shard", "_kd_b"]).withColumn("slot", (F.col("_kd_rank") + F.col("_kd_before")).cast("long"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidebook.llm.common import fresh, shuffle_width
+from tidebook.llm.common import extended, fresh, shuffle_width
 from tidebook.llm.textblocks import BLOCK_BYTES, as_bytes, shingles, text_blocks
 
 WORDS = 5
@@ -82,10 +82,10 @@ def fingerprint(docs: DataFrame, *, text: str = "text", k: int = K, words: int =
 
     A text of fewer than ``words`` words has one shingle of all its words; null
     and empty texts and texts without words have an empty fingerprint. Other
-    columns stay; one named like a result column is an error. One pass, no shuffle.
+    columns stay; one named like a result column is replaced by it. One pass, no shuffle.
     """
-    fresh(docs, "fingerprint", "n_shingles")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "fingerprint string, n_shingles double"])
+    docs = fresh(docs, "fingerprint", "n_shingles", needs=(text,))
+    schema = extended(docs, "fingerprint string, n_shingles double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

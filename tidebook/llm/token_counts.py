@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import fresh
+from tidebook.llm.common import extended, fresh
 
 #: A vocabulary of ranks (token in base64, rank) and the pattern that cuts text before merging.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -36,17 +36,18 @@ def encoding(ranks: bytes, pattern: str = PATTERN) -> tiktoken.Encoding:
 
 
 def with_tokens(docs: DataFrame, *, text: str = "text", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """``docs`` with ``n_tokens``; a null or empty text has none. Other columns stay.
+    """``docs`` with ``n_tokens``; a null or empty text has none. Other columns stay; one
+    named like the result column is replaced by it.
 
     The vocabulary is read on the driver and sent to the tasks: a file of at
     most ``MAX_VOCABULARY_BYTES``, else an error.
     """
-    fresh(docs, "n_tokens")
+    docs = fresh(docs, "n_tokens", needs=(text,))
     path = Path(ranks)
     if path.stat().st_size > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{ranks} is larger than {MAX_VOCABULARY_BYTES} bytes")
     sent = docs.sparkSession.sparkContext.broadcast(path.read_bytes())
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_tokens long"])
+    schema = extended(docs, "n_tokens long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(sent.value, pattern).encode_ordinary

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import fresh
+from tidebook.llm.common import extended, fresh, set_aside
 from tidebook.llm.textblocks import folded_words
 
 SAMPLE = 2000
@@ -205,11 +205,11 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     Nulls, empty texts and texts without words have no windows and get the
     score of that. Repeated rows are scored alike. Other columns stay; one named
-    like a result column is an error.
+    like a result column is replaced by it.
     """
-    fresh(docs, "score", "n_far")
+    docs = fresh(docs, "score", "n_far", needs=(text,))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double", "n_far long"])
+    schema = extended(docs, "score double, n_far long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -230,4 +230,5 @@ def held_out(key: str = "doc_id"):
 
 def keep_clean(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` without those whose score is 0.5 or more; cases as in ``score``."""
-    return score(docs, model, text=text).where("score < 0.5").select(docs.columns)
+    moved, back = set_aside(docs, "score", "n_far")
+    return back(score(moved, model, text=text).where("score < 0.5"))

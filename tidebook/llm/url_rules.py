@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import fresh, staged
+from tidebook.llm.common import fresh, set_aside, staged
 
 MAX_RULE_BYTES = 16 << 20
+_FOUND = ("host", "path", "rule", "verdict", "_best")
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -101,15 +102,15 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, *, url: str = "url"
     URL. A null or empty URL, or one without ``://``, has an empty host and path
     and no domain rule fits it. Repeated rows are judged alike; an empty list
     gives every URL the default. Other columns stay; one named like a result
-    column is an error.
+    column is replaced by it.
     """
     rules = RULES if rules is None else rules
-    fresh(pages, "host", "path", "rule", "verdict", "_best")
-    rows = pages.withColumns({"host": host_of(url), "path": path_of(url)})
+    rows = fresh(pages, *_FOUND, needs=(url,))
+    rows = rows.withColumns({"host": host_of(url), "path": path_of(url)})
     tokens = {t for r in rules for t in r.literals()}
     counts = _frequencies(rows, tokens) if tokens else {}
     rows = rows.withColumn("_best", F.lit(None).cast("int"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = rows.schema
     for k, part in enumerate(_slices(rules, max_rule_bytes)):
         index: dict[str, list[tuple[int, str]]] = defaultdict(list)
         for i, rule in part:
@@ -146,4 +147,5 @@ def _matcher(sent):
 
 def allowed(pages: DataFrame, rules: list[Rule] | None = None, **kw) -> DataFrame:
     """``pages`` whose URL is not blocked; cases as in ``judge``."""
-    return judge(pages, rules, **kw).where("verdict <> 'block'").select(pages.columns)
+    moved, back = set_aside(pages, *_FOUND)
+    return back(judge(moved, rules, **kw).where("verdict <> 'block'"))
