@@ -181,7 +181,7 @@ def test_deny_order_and_unlimited(rows):
     )
     base = dict(killed=False, ref_px=10.0, multiplier=1.0, position=5.0, gross=50.0, equity=100.0, expiry_ns=None, ts_decision=5, side=1, qty=1.0, min_notional=None, max_order_notional=None, max_position_qty=None, max_gross=None, leverage=None)
     cases = [
-        ({}, None), ({"killed": True, "expiry_ns": 1}, "kill_switch"), ({"expiry_ns": 5}, "expired"),
+        ({}, None), ({"killed": True, "expiry_ns": 1}, "expired"), ({"killed": True, "min_notional": 11.0}, "kill_switch"), ({"expiry_ns": 5}, "expired"),
         ({"min_notional": 11.0}, "min_notional"), ({"max_order_notional": 9.0, "max_gross": 1.0}, "max_order_notional"),
         ({"max_position_qty": 5.5}, "max_position"), ({"max_gross": 49.0}, "max_gross_exposure"),
         ({"leverage": 1.0, "qty": 6.0}, "insufficient_margin"), ({"leverage": 1.0, "qty": 5.0}, None),

@@ -38,10 +38,17 @@ def _same(a, b, places=9):
     pd.testing.assert_frame_equal(pa[sorted(pa)], pb[sorted(pb)], rtol=0, atol=10**-places)
 
 
-def test_cuts_are_bounded(ticks):
+def test_short_keys_are_not_cut(ticks):
     assert not measure_cuts(ticks, ("symbol",), "ts", rows_per_block=10_000)
-    cuts = measure_cuts(ticks, ("symbol",), "ts", rows_per_block=1, max_blocks=16)
-    assert sum(len(points) for *_, points in cuts.table) <= 16
+
+
+def test_ten_thousand_blocks(spark):
+    df = spark.range(30_000).selectExpr("'HOT' AS symbol", "id AS ts", "id AS seq", "cast(id % 7 AS double) AS close")
+    cuts = measure_cuts(df, ("symbol",), "ts", rows_per_block=3)
+    assert sum(len(points) for *_, points in cuts.table) > 9_000
+    aggs = {"s": ("sum", F.col("close"))}
+    whole, split = Series.of("symbol", ("ts", "seq")), Series.of("symbol", ("ts", "seq"), cuts)
+    _same(whole.running(df, aggs), split.running(df, aggs))
 
 
 def test_one_crowded_timestamp_is_cut_along_the_tie(spark):

@@ -130,26 +130,6 @@ def test_monitor_trips_once_across_batches(landed):
     assert [(r.ts, r.limits) for r in out] == [(3, "max_drawdown")]
 
 
-def test_timers_fire_in_event_time(landed):
-    schema = "owner string, name string, ts long, seq long, action string, due_ms long"
-    data = [
-        ("o", "a", 1 * S, 0, "set", 30_000), ("o", "b", 2 * S, 1, "set", 20_000), ("o", "c", 3 * S, 2, "set", 25_000),
-        ("o", "c", 4 * S, 3, "cancel", None), ("p", "z", 100 * S, 4, "set", 500_000), ("p", "y", 101 * S, 5, "set", 600_000),
-    ]
-    _, stream = landed(schema, data)
-    out = SS.run_available_now(jobs.event_timers(stream, "1 second")).collect()
-    assert sorted((r.name, r.due_ms) for r in out) == [("a", 30_000), ("b", 20_000)]
-
-
-def test_event_order_behind_the_watermark(landed):
-    schema = "symbol string, ts long, prio int, seq long, kind string"
-    data = [("X", 5 * S, 2, 0, "market"), ("X", 5 * S, 0, 1, "report"), ("X", 3 * S, 1, 2, "timer"), ("X", 50 * S, 2, 3, "market"), ("X", 90 * S, 2, 4, "market"), ("X", 95 * S, 2, 5, "market")]
-    _, stream = landed(schema, data)
-    out = SS.run_available_now(jobs.event_order(stream, "10 seconds")).orderBy("place").collect()
-    assert [(r.place, r.kind) for r in out][:3] == [(0, "timer"), (1, "report"), (2, "market")]
-    assert all(r.ts <= 85 * S for r in out)
-
-
 def test_lake_sink_replays_safely(spark, landed, tmp_path):
     schema = "venue string, symbol string, interval string, ts_event long, open double, high double, low double, close double, volume double"
     data = [("V", "X", "1m", i % 4 * S, *[float(i)] * 5) for i in range(8)]

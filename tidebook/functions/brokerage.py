@@ -6,14 +6,21 @@ Subclass ``CostModel`` and override a method to plug in other economics.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidebook.functions.values import quantize
+
 
 @dataclass(frozen=True)
 class CostModel:
-    """Defaults: a fixed spread cost, optional range impact and volume cap."""
+    """Defaults: a fixed spread cost, optional range impact and volume cap.
+
+    ``price_precision`` and ``fee_precision`` are the decimals of the instrument
+    and of the settlement currency; null leaves prices and fees as they come.
+    """
 
     slippage_bps: float = 1.0
     range_impact: float = 0.0
@@ -21,6 +28,8 @@ class CostModel:
     queue_ahead_factor: float = 0.0
     lot: float = 1.0
     latency_ns: int = 1_000_000
+    price_precision: int | None = None
+    fee_precision: int | None = None
 
     def fill_price(self, side: Column, ref: Column, low: Column, high: Column) -> Column:
         """Adverse slippage; only its range part stops at the bar extreme."""
@@ -34,22 +43,18 @@ class CostModel:
         sell = F.when(
             ranged, F.least(F.greatest(sell_base - reach, low), sell_base)
         ).otherwise(sell_base)
-        return F.when(side > 0, buy).otherwise(sell)
+        return _rounded(F.when(side > 0, buy).otherwise(sell), self.price_precision)
 
     def volume_cap(self, volume: Column) -> Column:
         """Most a bar can fill; null means no cap."""
         if self.participation_rate <= 0:
             return F.lit(None).cast("double")
-        share = F.floor(volume * F.lit(self.participation_rate) / F.lit(self.lot)) * F.lit(
-            self.lot
-        )
+        share = whole_lots(volume, self.participation_rate, self.lot)
         return F.when(volume > 0, F.greatest(share.cast("double"), F.lit(self.lot)))
 
     def queue_ahead(self, volume: Column) -> Column:
         """Volume waiting in front of a new passive order, whole lots."""
-        return F.floor(
-            volume * F.lit(max(self.queue_ahead_factor, 0.0)) / F.lit(self.lot)
-        ) * F.lit(self.lot)
+        return whole_lots(volume, max(self.queue_ahead_factor, 0.0), self.lot)
 
     def fee(
         self,
@@ -60,13 +65,23 @@ class CostModel:
         rate: Column,
     ) -> Column:
         """Fee in the settlement currency on the fill notional."""
-        return notional(px, qty, multiplier, inverse) * rate
+        return _rounded(notional(px, qty, multiplier, inverse) * rate, self.fee_precision)
 
     def fill_time(self, event_ns: Column) -> Column:
         """When the fill is reported."""
         return event_ns + F.lit(self.latency_ns)
 
 
+def _rounded(x: Column, precision: int | None) -> Column:
+    return x if precision is None else quantize(x, precision).cast("double")
+
+
+def whole_lots(volume: Column, rate: float, lot: float) -> Column:
+    """The share of a volume in whole lots, in decimals so that no lot is lost to rounding."""
+    share = volume.cast("decimal(20,6)") * F.lit(Decimal(str(rate))) / F.lit(Decimal(str(lot)))
+    return F.floor(share).cast("double") * F.lit(lot)
+
+
 def notional(px: Column, qty: Column, multiplier: Column, inverse: Column) -> Column:
     """Linear: quantity at price; inverse: coin amount, 0 at price 0."""
     return F.when(

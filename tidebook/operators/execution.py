@@ -160,8 +160,9 @@ def next_open_fills(
 ) -> DataFrame:
     """First fill of a marketable order: the open of the first later event.
 
-    Never look-ahead; a limit is never filled worse than its limit, and an
-    open that gapped away fills nothing here.
+    Never look-ahead: a limit takes the open only if it was marketable against
+    ``ref`` when it was decided.  It is never filled worse than its limit, and
+    an open that gapped away fills nothing here.
     """
     hit = asof(
         orders,
@@ -180,6 +181,7 @@ def next_open_fills(
         cuts=cuts,
     ).where(F.col("ts_event").isNotNull() & (F.col("ts_event") <= F.col("valid_to")))
     buy = F.col("side") > 0
+    hit = hit.where(marketable(F.col("type"), F.col("side"), F.col("limit"), F.col("ref")))
     still = F.col("limit").isNull() | F.when(buy, F.col("open") <= F.col("limit")).otherwise(
         F.col("open") >= F.col("limit")
     )
@@ -213,13 +215,16 @@ def limit_fills(pairs: DataFrame, model: CostModel, after: Column | None = None)
 
     One that was marketable at its decision (``ref`` against the limit) takes
     the first open if that is still inside the limit; everything else rests
-    and fills at the limit on each bar that reaches it.
+    and fills at the limit on each bar that reaches it.  With ``after`` (a
+    stop-limit's trigger) orders only rest.
     """
-    after = F.col("ts_decision") if after is None else after
+    decided = F.col("ts_decision")
+    only_resting = after is not None
+    after = decided if after is None else after
     side, limit = F.col("side"), F.col("limit")
     buy = side > 0
     takes = F.lit(False)
-    if "ref" in pairs.columns:
+    if not only_resting and "ref" in pairs.columns:
         first = F.col("ts_event") == F.col("first_ts")
         takes = first & marketable(F.lit("limit"), side, limit, F.col("ref"))
     inside = F.when(buy, F.col("open") <= limit).otherwise(F.col("open") >= limit)

@@ -13,8 +13,8 @@ from tidebook.operators.series import Series
 
 # Deny reasons in the order they are checked.
 DENY_ORDER = (
-    "kill_switch",
     "expired",
+    "kill_switch",
     "min_notional",
     "max_order_notional",
     "max_position",
@@ -62,11 +62,20 @@ def maintenance_breaches(states: DataFrame, rate: float) -> DataFrame:
     )
 
 
-def liquidation_fills(breaches: DataFrame, holdings: DataFrame) -> DataFrame:
-    """Closing fills at the mark for every open position of a breached account."""
+def liquidation_fills(breaches: DataFrame, changes: DataFrame) -> DataFrame:
+    """Closing fills for what a breached account holds at the breach, at the marks of then.
+
+    ``changes``: account, symbol, ts, seq, the change of the position and the
+    mark.  Only rows up to the breach count.
+    """
+    known = changes.join(
+        breaches.select("account", F.col("ts").alias("_breach")), "account"
+    ).where(F.col("ts") <= F.col("_breach"))
+    held = known.groupBy("account", "symbol", F.col("_breach").alias("ts")).agg(
+        F.sum("change").alias("net"), F.max_by("mark", F.struct("ts", "seq")).alias("mark")
+    )
     return (
-        holdings.where(F.col("net") != 0)
-        .join(breaches.select("account", "ts"), "account")
+        held.where(F.col("net") != 0)
         .select(
             "account",
             "symbol",

@@ -27,7 +27,9 @@ from tidebook.functions.values import int_div
 from tidebook.session import is_scan, staged
 
 ROWS_PER_BLOCK = 2_000_000
-MAX_BLOCKS = 4096
+#: Cuts in a table that is broadcast; a larger table is joined by a shuffle.
+BROADCAST_CUTS = 200_000
+_TIES = 1 << 32
 _FAN = 64
 
 # Helper columns; callers never see them, nor should they use these names.
@@ -37,7 +39,7 @@ RN, CHUNK = "_s_rn", "_s_chunk"
 
 @dataclass(frozen=True)
 class Cuts:
-    """Block boundaries of the long keys; at most ``MAX_BLOCKS`` in total."""
+    """Block boundaries of the long keys, about one for each ``rows_per_block`` rows."""
 
     keys: tuple[str, ...]
     rows_per_block: int = ROWS_PER_BLOCK
@@ -59,14 +61,12 @@ def measure_cuts(
     keys: Sequence[str],
     at: str,
     rows_per_block: int = ROWS_PER_BLOCK,
-    max_blocks: int = MAX_BLOCKS,
     tie: str | None = None,
 ) -> Cuts:
     """Find the keys longer than a block and where to cut them along ``at``.
 
-    Reads only the key and order columns.  What reaches the driver is bounded:
-    the block size grows with the table so that no more than ``max_blocks``
-    cuts exist, whatever the data size.  With ``tie``, the second order column
+    Reads only the key and order columns.  One position for each block reaches
+    the driver: a millionth of the rows.  With ``tie``, the second order column
     (a long), a single position that holds more than two blocks is cut along
     it as well.
     """
@@ -76,17 +76,18 @@ def measure_cuts(
     total, longest = counts.agg(F.sum("n"), F.max("n")).first()
     if not total or longest <= rows_per_block:
         return Cuts(keys, rows_per_block, (), types)
-    size = max(rows_per_block, -(-total // max_blocks))
-    # At most total / size of them, hence no more than max_blocks.
-    long_keys = counts.where(F.col("n") > size).select(*keys).limit(max_blocks)
-    long_rows = df.join(F.broadcast(long_keys), list(keys), "left_semi")
-    points = min(max_blocks, max(2, -(-longest // size)))
+    size = rows_per_block
+    few = total // size <= BROADCAST_CUTS  # long keys and crowded positions hold a block or more
+    hint = F.broadcast if few else lambda small: small
+    long_keys = counts.where(F.col("n") > size).select(*keys)
+    long_rows = df.join(hint(long_keys), list(keys), "left_semi")
+    points = max(2, -(-longest // size))
     cuts = {tuple(k): set(q) for *k, q in _quantiles(long_rows, keys, at, size, points)}
     ties = ()
     if tie is not None:
         crowded = long_rows.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n"))
-        crowded = crowded.where(F.col("n") > 2 * size).select(*keys, at).limit(max_blocks)
-        rows = long_rows.join(F.broadcast(crowded), [*keys, at], "left_semi")
+        crowded = crowded.where(F.col("n") > 2 * size).select(*keys, at)
+        rows = long_rows.join(hint(crowded), [*keys, at], "left_semi")
         ties = tuple(_quantiles(rows, (*keys, at), tie, size, points))
         for *key, position, _ in ties:
             # A crowded position gets blocks of its own.
@@ -117,6 +118,11 @@ def _quantiles(df: DataFrame, keys: Sequence[str], at: str, size: int, points: i
     return [tuple(r) for r in picked.collect()]
 
 
+def _small(table: DataFrame, cuts: int) -> DataFrame:
+    """Hint a broadcast where the number of cuts allows it."""
+    return F.broadcast(table) if cuts <= BROADCAST_CUTS else table
+
+
 def _combine(kind: str, local: Column, carry: Column) -> Column:
     if kind in ("sum", "count"):
         return F.coalesce(local + carry, local, carry)
@@ -197,8 +203,7 @@ class Series:
         for *key, points in cuts.table:
             fine = [list(points[i : i + _FAN]) for i in range(0, len(points), _FAN)]
             rows.append((*key, [f[0] for f in fine], fine))
-        # Bounded by MAX_BLOCKS cuts, see measure_cuts.
-        table = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+        table = _small(df.sparkSession.createDataFrame(rows, schema), sum(len(r[-2]) for r in rows) * _FAN)
         at = F.col(self.by[0])
         i = F.size(F.filter(F.col(_COARSE), lambda c: c <= at))
         inner = F.size(F.filter(F.get(F.col(_FINE), i - 1), lambda c: c <= at))
@@ -221,8 +226,8 @@ class Series:
                 T.StructField(_FINE, T.ArrayType(T.LongType())),
             ]
         )
-        # Bounded like the cuts: crowded positions hold two blocks or more.
-        crowded = F.broadcast(df.sparkSession.createDataFrame(list(cuts.ties), schema))
+        crowded = df.sparkSession.createDataFrame(list(cuts.ties), schema)
+        crowded = _small(crowded, sum(len(t[-1]) for t in cuts.ties))
         sub = F.size(F.filter(F.col(_FINE), lambda c: c <= F.col(cuts.tie)))
         inner = F.when(F.col(_FINE).isNull(), F.lit(0)).otherwise(sub)
         return (
@@ -230,7 +235,7 @@ class Series:
             .withColumn(
                 _BLK,
                 F.when(F.col(_BLK) < 0, F.col(_BLK)).otherwise(
-                    F.col(_BLK) * (MAX_BLOCKS + 1) + inner
+                    F.col(_BLK) * _TIES + inner
                 ),
             )
             .drop(_FINE)

@@ -469,21 +469,27 @@ def return_histogram(m: Market):
     return M.return_histogram(returns(_marked(m), m.bar_series), ("symbol",))
 
 
+def _mistimed(ticks, early: int, late: int):
+    """Some fills are stamped 40 days early or late."""
+    seq = F.col("seq")
+    days = F.when(seq % early == 0, -40).when(seq % late == 0, 40).otherwise(0)
+    return ticks.withColumn("ts", F.col("ts") + days * DAY)
+
+
 @query(
     "lookahead_screen",
     sql(
         """
-WITH b AS (SELECT symbol, min(ts_event) AS lo, max(ts_event) AS hi, count(*) AS n FROM bars WHERE volume > 40 GROUP BY 1)
+WITH b AS (SELECT symbol, min(ts_event) AS lo, max(ts_event) AS hi, count(*) AS n FROM bars GROUP BY 1)
 SELECT t.symbol, t.seq, CASE WHEN ts < lo THEN 'before_first_bar' ELSE 'after_last_bar' END AS problem
-FROM ticks t JOIN b ON t.symbol = b.symbol
+FROM (SELECT symbol, seq, ts + CASE WHEN seq % 50 = 0 THEN -40 WHEN seq % 77 = 0 THEN 40 ELSE 0 END * 86400000000000 AS ts FROM ticks) t JOIN b ON t.symbol = b.symbol
 WHERE ts < lo OR ts > hi + CASE WHEN n > 1 THEN (hi - lo) // (n - 1) ELSE 0 END
 """,
         "bars",
     ),
 )
 def lookahead_screen(m: Market):
-    bars = m.bars.where(F.col("volume") > 40)
-    return BI.lookahead_fills(m.ticks, bars, ["symbol"]).select("symbol", "seq", "problem")
+    return BI.lookahead_fills(_mistimed(m.ticks, 50, 77), m.bars, ["symbol"]).select("symbol", "seq", "problem")
 
 
 def _wide_stats(m: Market):
@@ -526,8 +532,8 @@ def overfit_screen(m: Market):
 WITH {_WT},
 o AS (SELECT m.symbol, CASE WHEN n_trades >= 8 AND win_rate >= 0.95 THEN 1 ELSE 0 END
   + CASE WHEN n_trades > 0 AND max_drawdown = 0 AND total_return > 0 THEN 1 ELSE 0 END AS k FROM wide_metrics m LEFT JOIN st ON m.symbol = st.symbol),
-b AS (SELECT symbol, min(ts_event) AS lo, max(ts_event) AS hi, count(*) AS n FROM wide_bars WHERE volume > 50 GROUP BY 1),
-l AS (SELECT t.symbol, count(*) AS k FROM wide_ticks t JOIN b ON t.symbol = b.symbol
+b AS (SELECT symbol, min(ts_event) AS lo, max(ts_event) AS hi, count(*) AS n FROM wide_bars GROUP BY 1),
+l AS (SELECT t.symbol, count(*) AS k FROM (SELECT symbol, ts + CASE WHEN seq % 499 = 0 THEN -40 WHEN seq % 997 = 0 THEN 40 ELSE 0 END * 86400000000000 AS ts FROM wide_ticks) t JOIN b ON t.symbol = b.symbol
  WHERE ts < lo OR ts > hi + CASE WHEN n > 1 THEN (hi - lo) // (n - 1) ELSE 0 END GROUP BY 1)
 SELECT o.symbol, coalesce(l.k, 0) AS lookahead, CAST(o.k AS BIGINT) AS overfitting, coalesce(l.k, 0) = 0 AND o.k = 0 AS clean
 FROM o LEFT JOIN l ON o.symbol = l.symbol
@@ -537,8 +543,7 @@ FROM o LEFT JOIN l ON o.symbol = l.symbol
     ),
 )
 def bias_report(m: Market):
-    bars = m.wide_bars.where(F.col("volume") > 50)
-    late = BI.lookahead_fills(m.wide_ticks, bars, ["symbol"])
+    late = BI.lookahead_fills(_mistimed(m.wide_ticks, 499, 997), m.wide_bars, ["symbol"])
     over = BI.overfit_flags(
         M.perf_metrics(_wide_marked(m), m.wide_series), _wide_stats(m), ["symbol"]
     )
@@ -608,12 +613,12 @@ def run_counters(m: Market):
 
 
 def _session_b(m: Market):
-    """The second session: worse prices, and the returned fills are missing."""
-    return PA.perturb(m.raw_fills.where(F.col("flag") != "R"), 10.0 / 3.0)
+    """The second session: worse prices, and every tenth order's fills are dropped."""
+    return PA.perturb(m.raw_fills.where(F.col("k1") % 10 != 9), 10.0 / 3.0)
 
 
 _PAR = f"""
-WITH fb AS MATERIALIZED (SELECT * REPLACE (px * (1.0 + (10.0::DOUBLE / 3.0) / 1e4) AS px) FROM fills WHERE flag <> 'R'),
+WITH fb AS MATERIALIZED (SELECT * REPLACE (px * (1.0 + (10.0::DOUBLE / 3.0) / 1e4) AS px) FROM fills WHERE order_id % 10 <> 9),
 ca AS MATERIALIZED ({_CURVE.format(src='fills')}), cb AS MATERIALIZED ({_CURVE.format(src='fb')}),
 ka AS (SELECT symbol, ts // {30 * D} AS k, side, avg(px) AS px FROM fills GROUP BY 1, 2, 3),
 kb AS (SELECT symbol, ts // {30 * D} AS k, side, avg(px) AS px FROM fb GROUP BY 1, 2, 3),

@@ -145,6 +145,10 @@ class Market:
         kind = F.when(F.col("seq") % 3 == 0, "market").when(F.col("seq") % 3 == 1, "limit")
         side = F.when(F.col("seq") % 4 < 2, 1).otherwise(-1).cast("long")
         p, buy = F.col("price"), F.col("seq") % 4 < 2
+        # Every fifth limit is marketable; limits are on the tick grid, so bars can just touch them.
+        through = F.col("seq") % 5 == 0
+        buys = F.when(through, F.ceil(p * 101)).otherwise(F.floor(p * 98)).cast("double")
+        sells = F.when(through, F.floor(p * 99)).otherwise(F.ceil(p * 102)).cast("double")
         is_limit, is_stop = F.col("seq") % 3 == 1, F.col("seq") % 3 == 2
         return self.ticks.select(
             F.col("seq").alias("order_id"),
@@ -154,7 +158,7 @@ class Market:
             side.alias("side"),
             kind.when(is_stop, "stop").alias("type"),
             (1 + F.col("size").cast("long") % 20).alias("qty"),
-            F.when(is_limit, F.when(buy, p * 0.98).otherwise(p * 1.02)).alias("limit"),
+            F.when(is_limit, F.when(buy, buys).otherwise(sells) / 100.0).alias("limit"),
             F.when(is_stop, F.when(buy, p * 1.02).otherwise(p * 0.98)).alias("trigger"),
             p.alias("ref"),
         )

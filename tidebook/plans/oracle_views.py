@@ -57,7 +57,8 @@ SELECT seq AS order_id, symbol, ts AS ts_decision, ts + {2 * D} AS valid_to,
        CAST(CASE WHEN seq % 4 < 2 THEN 1 ELSE -1 END AS BIGINT) AS side,
        CASE seq % 3 WHEN 0 THEN 'market' WHEN 1 THEN 'limit' ELSE 'stop' END AS type,
        1 + CAST(size AS BIGINT) % 20 AS qty,
-       CASE WHEN seq % 3 = 1 THEN CASE WHEN seq % 4 < 2 THEN price * 0.98 ELSE price * 1.02 END END AS "limit",
+       CASE WHEN seq % 3 = 1 THEN CASE WHEN seq % 4 < 2 THEN CASE WHEN seq % 5 = 0 THEN ceil(price * 101) ELSE floor(price * 98) END
+         ELSE CASE WHEN seq % 5 = 0 THEN floor(price * 99) ELSE ceil(price * 102) END END / 100.0 END AS "limit",
        CASE WHEN seq % 3 = 2 THEN CASE WHEN seq % 4 < 2 THEN price * 1.02 ELSE price * 0.98 END END AS "trigger",
        price AS ref
 FROM ticks

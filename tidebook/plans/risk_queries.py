@@ -20,7 +20,7 @@ from tidebook.plans.registry import query
 from tidebook.plans.ta_queries import _marked
 
 ORDER = Series.of("client_order_id", "seq")
-MODEL = CostModel(slippage_bps=1.7, range_impact=0.05, participation_rate=0.1, queue_ahead_factor=0.25)
+MODEL = CostModel(slippage_bps=1.7, range_impact=0.05, participation_rate=0.1, queue_ahead_factor=0.25, price_precision=2, fee_precision=5)
 
 
 def _r(*cols: str, places: int = 6):
@@ -29,15 +29,21 @@ def _r(*cols: str, places: int = 6):
 
 # -- execution ------------------------------------------------------------------
 
-_CAP = "CASE WHEN volume > 0 THEN greatest(floor(volume * 0.1 / 1.0), 1.0) ELSE qty::DOUBLE END"
+_CAP = "CASE WHEN volume > 0 THEN greatest(floor(CAST(volume AS DECIMAL(20, 6)) * 0.1)::DOUBLE, 1.0) ELSE qty::DOUBLE END"
+
+
+def _grid(x: str, places: int) -> str:
+    """A price or fee at the precision of its instrument or currency."""
+    return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {places}) AS DOUBLE)"
 
 
 def _slip(ref: str) -> str:
     """Adverse price of a fill at ``ref`` in the bar of the row."""
     s = f"({ref}) * 0.00017"
     reach = "CASE WHEN high > low THEN (high - low) * 0.05 ELSE 0.0 END"
-    return f"""(CASE WHEN side > 0 THEN CASE WHEN high > low THEN greatest(least({ref} + {s} + {reach}, high), {ref} + {s}) ELSE {ref} + {s} END
+    raw = f"""(CASE WHEN side > 0 THEN CASE WHEN high > low THEN greatest(least({ref} + {s} + {reach}, high), {ref} + {s}) ELSE {ref} + {s} END
  ELSE CASE WHEN high > low THEN least(greatest({ref} - {s} - {reach}, low), {ref} - {s}) ELSE {ref} - {s} END END)"""
+    return _grid(raw, 2)
 
 
 def _alloc(rows: str, where: str) -> str:
@@ -67,7 +73,7 @@ def _reach(m: Market, kind: str, limit=None):
     """Bars that can matter to the resting orders of one type."""
     orders = m.orders.where(F.col("type") == kind)
     if limit is not None:
-        orders = orders.withColumn("limit", limit).drop("ref")
+        orders = orders.withColumn("limit", limit)
     return X.reach_bars(orders, m.bars, 12 * HOUR, m.tick_cuts)
 
 
@@ -101,7 +107,8 @@ def marketability(m: Market):
 WITH n AS (SELECT o.*, b.ts_event, b.open, b.high, b.low, b.close, b.volume FROM (SELECT * FROM order_table WHERE type <> 'stop') o
  ASOF JOIN bars b ON o.symbol = b.symbol AND o.ts_decision < b.ts_event WHERE b.ts_event <= o.valid_to),
 f AS (SELECT *, least({_CAP}, qty) AS fill, CASE WHEN "limit" IS NULL THEN {_slip('open')} WHEN side > 0 THEN least({_slip('open')}, "limit")
- ELSE greatest({_slip('open')}, "limit") END AS px FROM n WHERE "limit" IS NULL OR CASE WHEN side > 0 THEN open <= "limit" ELSE open >= "limit" END)
+ ELSE greatest({_slip('open')}, "limit") END AS px FROM n WHERE "limit" IS NULL
+ OR CASE WHEN side > 0 THEN open <= "limit" AND ref <= "limit" ELSE open >= "limit" AND ref >= "limit" END)
 """
         + _fills_sql("f", "px", "'taker'"),
         "order_table",
@@ -159,7 +166,7 @@ WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY orde
  WHERE type = 'limit' AND CASE WHEN side > 0 THEN low <= "limit" ELSE high >= "limit" END),
 w AS (SELECT order_id, k, ts_event, queue, qty - fill AS remaining, fill FROM (
   SELECT *, CASE WHEN thr THEN 0.0 ELSE q0 - least(share, q0) END AS queue, CASE WHEN thr THEN share ELSE share - least(share, q0) END AS fill FROM (
-   SELECT *, least(cap, qty::DOUBLE) AS share, floor(volume * 0.25 / 1.0) AS q0 FROM q WHERE k = 1))
+   SELECT *, least(cap, qty::DOUBLE) AS share, floor(CAST(volume AS DECIMAL(20, 6)) * 0.25)::DOUBLE AS q0 FROM q WHERE k = 1))
  UNION ALL
  SELECT order_id, k, ts_event, CASE WHEN thr THEN 0.0 ELSE queue - least(share, queue) END, remaining - CASE WHEN thr THEN share ELSE share - least(share, queue) END,
   CASE WHEN thr THEN share ELSE share - least(share, queue) END FROM (
@@ -282,8 +289,8 @@ def unfillable_orders(m: Market):
     sql(
         f"""
 SELECT symbol, liquidity, {R('sum(fee)', 4)} AS fee, count(*) AS n FROM (
- SELECT f.symbol, liquidity, CASE WHEN inv THEN CASE WHEN px = 0 THEN 0 ELSE qty * mult / px END ELSE px * qty * mult END
-  * CASE WHEN liquidity = 'maker' THEN 0.0002 ELSE 0.0004 END AS fee FROM (
+ SELECT f.symbol, liquidity, CAST(round(CAST(CASE WHEN inv THEN CASE WHEN px = 0 THEN 0 ELSE qty * mult / px END ELSE px * qty * mult END
+  * CASE WHEN liquidity = 'maker' THEN 0.0002::DOUBLE ELSE 0.0004::DOUBLE END AS DECIMAL(38, 12)), 5) AS DOUBLE) AS fee FROM (
   SELECT *, CASE WHEN discount > 0.05 THEN 'maker' ELSE 'taker' END AS liquidity FROM fills) f
  JOIN (SELECT s_suppkey AS symbol, s_suppkey % 7 = 0 AS inv, 1 + s_suppkey % 3 AS mult FROM supplier) d ON f.symbol = d.symbol) GROUP BY 1, 2
 """,
@@ -403,13 +410,13 @@ def accepted_fill_positions(m: Market):
 # -- risk ------------------------------------------------------------------------------
 
 _PRE = """
-SELECT order_id, coalesce(CASE WHEN killed THEN 'kill_switch' END, CASE WHEN ts_decision >= expiry THEN 'expired' END,
+SELECT order_id, coalesce(CASE WHEN ts_decision >= expiry THEN 'expired' END, CASE WHEN killed THEN 'kill_switch' END,
  CASE WHEN v < min_n THEN 'min_notional' END, CASE WHEN v > max_n THEN 'max_order_notional' END,
  CASE WHEN abs(pos + side * qty) > 400 THEN 'max_position' END, CASE WHEN gross > max_gross THEN 'max_gross_exposure' END,
  CASE WHEN added > 0 AND px * added / 5.0 > 1500 - gross / 5.0 THEN 'insufficient_margin' END) AS reason FROM (
  SELECT *, px * qty AS v, abs(pos + side * qty) - abs(pos) AS added, abs(pos) * px AS gross,
   CASE WHEN qty > 3 THEN 2.0 END AS min_n, CASE WHEN qty < 18 THEN 600.0 END AS max_n, CASE WHEN side > 0 THEN 6000.0 END AS max_gross,
-  1706400000000000000 AS expiry, ts_decision < 1704153600000000000 AS killed FROM (
+  1706400000000000000 AS expiry, ts_decision < 1704153600000000000 OR ts_decision >= 1706450000000000000 AS killed FROM (
   SELECT o.*, coalesce(f.n, 0) AS pos, coalesce("limit", b.close) AS px FROM order_table o
   ASOF LEFT JOIN bars b ON o.symbol = b.symbol AND o.ts_decision >= b.ts_event
   ASOF LEFT JOIN (SELECT symbol, ts, last(n ORDER BY seq) AS n FROM (SELECT symbol, ts, seq,
@@ -428,7 +435,8 @@ def pretrade_screen(m: Market):
     pos = F.coalesce("position", F.lit(0.0))
     state = o.withColumns(
         {
-            "killed": F.col("ts_decision") < 1_704_153_600_000_000_000,
+            "killed": (F.col("ts_decision") < 1_704_153_600_000_000_000)
+            | (F.col("ts_decision") >= 1_706_450_000_000_000_000),
             "ref_px": px,
             "multiplier": F.lit(1.0),
             "position": pos,
@@ -490,8 +498,9 @@ def maintenance_breach(m: Market):
     sql(
         _ACC
         + f""", br AS (SELECT account, min(ts) AS ts FROM acc WHERE gross > 0 AND equity < gross * 0.1 GROUP BY 1),
-hd AS (SELECT user_id AS account, event_type AS symbol, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * value) AS net, last(value ORDER BY ts, event_id) AS mark FROM events GROUP BY 1, 2)
-SELECT hd.account, symbol, br.ts, CAST(-sign(net) AS BIGINT) AS side, {R('abs(net)', 5)} AS qty, {R('mark')} AS px FROM hd JOIN br ON hd.account = br.account WHERE net <> 0""",
+hd AS (SELECT br.account, br.ts, event_type AS symbol, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * value) AS net, last(value ORDER BY e.ts, event_id) AS mark
+ FROM events e JOIN br ON e.user_id = br.account AND epoch_us(e.ts) * 1000 <= br.ts GROUP BY 1, 2, 3)
+SELECT account, symbol, ts, CAST(-sign(net) AS BIGINT) AS side, {R('abs(net)', 5)} AS qty, {R('mark')} AS px FROM hd WHERE net <> 0""",
         "telemetry",
     ),
 )
@@ -499,11 +508,11 @@ def liquidation_fills(m: Market):
     states = RK.account_state(m.telemetry, m.telemetry_series).withColumn(
         "gross", F.col("gross_exposure")
     )
-    held = m.ticks.groupBy(F.col("user_id").alias("account"), "symbol").agg(
-        F.sum(F.col("aggressor") * F.col("price")).alias("net"),
-        F.max_by("price", F.struct("ts", "seq")).alias("mark"),
+    changes = m.ticks.select(
+        F.col("user_id").alias("account"), "symbol", "ts", "seq",
+        (F.col("aggressor") * F.col("price")).alias("change"), F.col("price").alias("mark"),
     )
-    out = RK.liquidation_fills(RK.maintenance_breaches(states, 0.1), held)
+    out = RK.liquidation_fills(RK.maintenance_breaches(states, 0.1), changes)
     return out.select("account", "symbol", "ts", "side", *_r("qty", places=5), *_r("px"))
 
 
@@ -737,7 +746,7 @@ def expiry_settlement(m: Market):
     "expired_order_cancels",
     sql(
         """
-SELECT order_id, instrument, expiry_ns AS cancel_ts FROM (SELECT order_id, order_id % 200 AS ins, valid_to FROM order_table) o
+SELECT order_id, instrument, expiry_ns AS cancel_ts FROM (SELECT order_id, 1 + order_id % (SELECT count(*) FROM part) AS ins, valid_to FROM order_table) o
 JOIN instruments i ON i.instrument = o.ins WHERE valid_to >= expiry_ns
 """,
         "order_table",
@@ -745,16 +754,17 @@ JOIN instruments i ON i.instrument = o.ins WHERE valid_to >= expiry_ns
     ),
 )
 def expired_order_cancels(m: Market):
-    orders = m.orders.withColumn("instrument", F.col("order_id") % 200)
+    parts = m.table("part").agg(F.count(F.lit(1))).scalar()
+    orders = m.orders.withColumn("instrument", 1 + F.col("order_id") % parts)
     return OP.expired_orders(orders, m.instruments)
 
 
 @query(
     "first_expiries",
-    sql("SELECT underlying, instrument, expiry_ns FROM instruments ORDER BY expiry_ns, instrument LIMIT 20", "instruments"),
+    sql("SELECT underlying, instrument, expiry_ns FROM instruments ORDER BY expiry_ns, instrument", "instruments"),
 )
 def first_expiries(m: Market):
-    rows = m.instruments.orderBy("expiry_ns", "instrument").limit(20)
+    rows = m.instruments.orderBy("expiry_ns", "instrument")
     return rows.select("underlying", "instrument", "expiry_ns")
 
 

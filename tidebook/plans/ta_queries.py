@@ -100,7 +100,7 @@ def asof_forward_open(m: Market):
 SELECT o.order_id, {R('coalesce(CASE WHEN o.side > 0 THEN q.ask ELSE q.bid END, b.close)')} AS ref_px
 FROM order_table o
 ASOF LEFT JOIN (SELECT symbol, ts, last(bid ORDER BY seq) AS bid, last(ask ORDER BY seq) AS ask
-  FROM quotes WHERE seq % 2 = 0 GROUP BY 1, 2) q
+  FROM (SELECT * REPLACE (ts + 259200000000000 AS ts) FROM quotes) GROUP BY 1, 2) q
  ON o.symbol = q.symbol AND o.ts_decision >= q.ts
 ASOF LEFT JOIN bars b ON o.symbol = b.symbol AND o.ts_decision >= b.ts_event
 """,
@@ -110,8 +110,8 @@ ASOF LEFT JOIN bars b ON o.symbol = b.symbol AND o.ts_decision >= b.ts_event
     ),
 )
 def reference_prices(m: Market):
-    # Every other event is a quote update, the rest are plain prints.
-    quotes = m.quotes.where(F.col("seq") % 2 == 0)
+    # Quotes start three days after the bars, so early orders look at a mark.
+    quotes = m.quotes.withColumn("ts", F.col("ts") + 72 * HOUR)
     with_quote = asof(
         m.orders, quotes, "symbol", left_at="ts_decision", right_at="ts",
         values={"bid": "bid", "ask": "ask"}, right_tie="seq", cuts=m.tick_cuts,
@@ -147,7 +147,7 @@ def bars_with_fills(m: Market):
     )
 
 
-_SB = "SELECT symbol, ts, side, px * 1.00033333333 AS px, qty FROM fills WHERE flag <> 'R'"
+_SB = "SELECT symbol, ts, side, px * 1.00033333333 AS px, qty FROM fills WHERE order_id % 10 <> 9"
 
 
 @query(
@@ -164,7 +164,7 @@ FROM a FULL JOIN b ON a.symbol = b.symbol AND a.bucket = b.bucket AND a.side = b
     ),
 )
 def session_match(m: Market):
-    b = m.raw_fills.where(F.col("flag") != "R").withColumn("px", F.col("px") * 1.00033333333)
+    b = m.raw_fills.where(F.col("k1") % 10 != 9).withColumn("px", F.col("px") * 1.00033333333)
     out = match_fills(m.raw_fills, b, ["symbol"], 24 * HOUR)
     # Prices often end in an exact half; the offset keeps the rounding off it.
     px = [r(F.col(c) + 1e-9).alias(c) for c in ("px_a", "px_b")]
@@ -175,12 +175,13 @@ def session_match(m: Market):
     "known_instruments",
     """
 SELECT l_suppkey AS symbol, count(*) AS n, count(s_suppkey) AS known FROM lineitem
-LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey GROUP BY 1
+LEFT JOIN (SELECT CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -s_suppkey END AS s_suppkey FROM supplier) ON l_suppkey = s_suppkey GROUP BY 1
 """,
 )
 def known_instruments(m: Market):
-    dim = m.table("supplier").where(F.col("s_acctbal") > 0)
-    dim = dim.select(F.col("s_suppkey").alias("symbol"))
+    # Suppliers in debt are listed under another id.
+    key = F.when(F.col("s_acctbal") > 0, F.col("s_suppkey")).otherwise(-F.col("s_suppkey"))
+    dim = m.table("supplier").select(key.alias("symbol"))
     fills = m.raw_fills.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
     known, unknown = lookup(fills, dim)
     zero = F.lit(0).cast("long")
@@ -202,19 +203,18 @@ def parameter_grid(m: Market):
 @query(
     "reconcile_diff",
     """
-WITH l AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_discount < 0.08),
-v AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P')
+WITH l AS (SELECT DISTINCT l_orderkey AS id FROM lineitem),
+v AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS id FROM orders)
 SELECT coalesce(l.id, v.id) AS id, CASE WHEN l.id IS NULL THEN 'orphan_order' ELSE 'missing_at_venue' END AS problem
 FROM l FULL JOIN v ON l.id = v.id WHERE l.id IS NULL OR v.id IS NULL
 """,
 )
 def reconcile_diff(m: Market):
-    local = m.table("lineitem").where(F.col("l_discount") < 0.08).select(
-        F.col("l_orderkey").alias("id")
-    )
-    venue = m.table("orders").where(F.col("o_orderstatus") != "P").select(
-        F.col("o_orderkey").alias("id")
-    )
+    # The venue knows partly filled orders under another id.
+    key = F.col("o_orderkey")
+    key = F.when(F.col("o_orderstatus") == "P", -key).otherwise(key)
+    local = m.table("lineitem").select(F.col("l_orderkey").alias("id"))
+    venue = m.table("orders").select(key.alias("id"))
     return reconcile(local, venue, "id")
 
 
@@ -224,8 +224,9 @@ def reconcile_diff(m: Market):
         f"""
 WITH a AS (SELECT symbol, close AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - 1 AS j,
  count(*) OVER (PARTITION BY symbol) AS m FROM bars),
-b AS (SELECT symbol, close AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - 1 AS j,
- count(*) OVER (PARTITION BY symbol) AS m FROM bars WHERE volume > 60),
+b AS (SELECT symbol, x, row_number() OVER (PARTITION BY symbol ORDER BY ts_event) - 1 AS j,
+ count(*) OVER (PARTITION BY symbol) AS m FROM (SELECT symbol, ts_event, close AS x FROM bars
+ UNION ALL SELECT symbol, ts_event + 1800000000000, close + 1 FROM bars WHERE volume > 60)),
 n AS (SELECT a.symbol, least(a.m, b.m) AS n, a.m AS ma, b.m AS mb FROM (SELECT DISTINCT symbol, m FROM a) a
  JOIN (SELECT DISTINCT symbol, m FROM b) b ON a.symbol = b.symbol),
 i AS (SELECT symbol, ma, mb, n, unnest(range(0, n)) AS i FROM n)
@@ -237,7 +238,11 @@ JOIN a ON a.symbol = i.symbol AND a.j = i.i * ma // n JOIN b ON b.symbol = i.sym
 )
 def positional_align(m: Market):
     a = m.bars.withColumn("equity", F.col("close"))
-    b = a.where(F.col("volume") > 60)
+    # The second curve has points between busy bars as well.
+    between = a.where(F.col("volume") > 60).withColumns(
+        {"ts_event": F.col("ts_event") + HOUR // 2, "equity": F.col("close") + 1}
+    )
+    b = a.unionByName(between)
     out = align_curves(a, b, ["symbol"], cuts=m.tick_cuts)
     return out.select("symbol", "i", *_r("eq_a", "eq_b"))
 

@@ -46,8 +46,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a local folder is made
-    only when nothing is set, which is the case in tests.
+    The cluster names it in ``spark.checkpoint.dir``.  A temporary folder is made
+    only where nothing is set and driver and tasks are one process; on a cluster
+    that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -56,18 +57,25 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
 
 
-_HEAVY = ("Aggregate", "Window", "Join", "Generate", "Repartition", "Pandas", "Arrow", "Sort", "Union")
+_CHEAP = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range"}
 
 
 def is_scan(df: DataFrame) -> bool:
-    """True when the plan only reads, projects and filters, so reading it twice is cheap."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(word in plan for word in _HEAVY)
+    """True when the plan's nodes only read, project and filter, so reading it twice is cheap."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        if node.nodeName().split(" ")[0] not in _CHEAP:
+            return False
+        if node.children().isEmpty():
+            return True
+        node = node.children().head()
 
 
 def staged(df: DataFrame) -> DataFrame:

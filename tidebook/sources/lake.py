@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebook import schemas
 from tidebook.functions.values import month_key, month_key_of, utc_text
-from tidebook.session import is_scan, staged
+from tidebook.session import staged
 
 SERIES = list(schemas.SERIES)
 _PRICES = ["open", "high", "low", "close", "volume"]
@@ -102,7 +102,7 @@ def write_bars(
     in one job, and then replace the old ones.
     """
     # The batch is read three times: for its months, the merge and the join.
-    batch = batch if is_scan(batch) else staged(batch)
+    batch = staged(batch)
     stamped = batch.withColumn("yyyymm", month_key(F.col("ts_event")))
     touched = stamped.select(*SERIES, "yyyymm").distinct()
     # Calendar months are few; as literals they prune folders at planning time.

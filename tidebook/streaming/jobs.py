@@ -104,22 +104,6 @@ def parse_telemetry(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(ok).select("d.*"), parsed.where(~F.coalesce(ok, F.lit(False))).select("text")
 
 
-def event_timers(rows: DataFrame, delay: str) -> DataFrame:
-    """Timers set and cancelled by rows, fired on event time."""
-    timed = with_event_time(rows, delay)
-    return timed.groupBy("owner").transformWithState(
-        P.EventTimers(), P.EventTimers.output, "append", "EventTime"
-    )
-
-
-def event_order(rows: DataFrame, delay: str) -> DataFrame:
-    """All kinds of events of a symbol in one order, behind the watermark."""
-    timed = with_event_time(rows, delay)
-    return timed.groupBy("symbol").transformWithState(
-        P.EventTimeOrder(), P.EventTimeOrder.output, "append", "EventTime"
-    )
-
-
 def quality_counters(frames: DataFrame, name: str = "frames") -> DataFrame:
     """Attach row and reject counters, reported with every progress event."""
     stream = F.get_json_object("text", "$.stream")

@@ -286,68 +286,3 @@ class AccountMonitor(StatefulProcessor):
                 )
         self.state.update(tuple(s[n] for n in names))
         return iter(out)
-
-
-class EventTimers(StatefulProcessor):
-    """Timers on event time: ``set`` and ``cancel`` rows, fired in time order."""
-
-    output = "owner string, name string, due_ms bigint"
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.due = handle.getMapState("due", "name string", "due_ms bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in in_order(rows, "ts", "seq"):
-            name = (r["name"],)
-            old = self.due.getValue(name) if self.due.containsKey(name) else None
-            if old:
-                self.due.removeKey(name)
-            if r["action"] == "set":
-                self.due.updateValue(name, (r["due_ms"],))
-                self.handle.registerTimer(r["due_ms"])
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        fired = [n for (n,), (d,) in self.due.iterator() if d == now]
-        for name in fired:
-            self.due.removeKey((name,))
-        return iter([Row(owner=key[0], name=n, due_ms=now) for n in sorted(fired)])
-
-
-class EventTimeOrder(StatefulProcessor):
-    """Release rows of a key in (ts, prio, seq) order once the watermark passed them."""
-
-    output = "symbol string, ts bigint, prio int, seq bigint, kind string, place bigint"
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.buffer = handle.getListState(
-            "rows", "ts bigint, prio int, seq bigint, kind string"
-        )
-        self.place = handle.getValueState("place", "n bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [(r["ts"], r["prio"], r["seq"], r["kind"]) for r in rows]
-        self.buffer.appendList(new)
-        for ms in {ts // 1_000_000 for ts, *_ in new}:
-            self.handle.registerTimer(ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # The first timer of a batch releases all rows behind the watermark;
-        # the others then find nothing left.
-        limit = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.buffer.get())
-        ready = sorted(r for r in rows if r[0] // 1_000_000 <= limit)
-        if not ready:
-            return iter(())
-        _keep(self.buffer, [r for r in rows if r[0] // 1_000_000 > limit])
-        n = (self.place.get() or (0,))[0]
-        out = []
-        for ts, prio, seq, kind in ready:
-            out.append(Row(symbol=key[0], ts=ts, prio=prio, seq=seq, kind=kind, place=n))
-            n += 1
-        self.place.update((n,))
-        return iter(out)

@@ -89,11 +89,17 @@ def fan_out(routes: dict[str, tuple], root: str) -> Callable[[DataFrame, int], N
     return write
 
 
-def run_available_now(df: DataFrame, mode: str = "append", checkpoint: str | None = None):
+def run_available_now(
+    df: DataFrame,
+    mode: str = "append",
+    checkpoint: str | None = None,
+    state_partitions: int | None = None,
+):
     """Process everything that is there and return the output as a table.
 
     Each micro-batch overwrites its own folder, so a retried batch does not
-    repeat rows.
+    repeat rows.  ``state_partitions`` fixes how many partitions the state has
+    for the life of the query; the session's shuffle partitions by default.
     """
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -105,8 +111,7 @@ def run_available_now(df: DataFrame, mode: str = "append", checkpoint: str | Non
     # The state layout is fixed by the partition count of the first run.
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    local = 2 * spark.sparkContext.defaultParallelism
-    spark.conf.set(key, str(min(int(before), local)))
+    spark.conf.set(key, str(state_partitions or before))
     try:
         query = (
             df.writeStream.outputMode(mode)
