@@ -240,3 +240,34 @@ def kill_switch(control: DataFrame, scope: list[str]) -> DataFrame:
 def position_notional(px: Column, net: Column, mult: Column, inverse: Column) -> Column:
     """Absolute notional of a signed position."""
     return notional(px, F.abs(net), mult, inverse)
+
+
+def predicate_guard(rows: DataFrame, series: Series, condition: Column, cooldown_s: int) -> DataFrame:
+    """A protection from any condition: it trips on each row where that holds."""
+    at = F.col(series.by[0])
+    hit = F.coalesce(condition, F.lit(False))
+    return rows.select(
+        *series.keys, at, hit.alias("tripped"), F.when(hit, at + F.lit(cooldown_s * NANOS)).alias("until")
+    )
+
+
+def protections(guards: Mapping[str, DataFrame], series: Series) -> DataFrame:
+    """All protections together: per key and time, who tripped and whether to halt.
+
+    Every guard has the keys, the time, ``tripped`` and ``until``.  A time is
+    halted while any guard's lockout, begun now or earlier, covers it.
+    """
+    at = series.by[0]
+    parts = [
+        g.select(*series.keys, at, F.lit(name).alias("guard"), "tripped", "until")
+        for name, g in guards.items()
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    armed = series.running(rows, {"_armed": ("max", F.col("until"))})
+    names = F.array_sort(F.collect_set(F.when(F.col("tripped"), F.col("guard"))))
+    return armed.groupBy(*series.keys, at).agg(
+        names.alias("tripped_by"),
+        F.coalesce(F.col(at) < F.max("_armed"), F.lit(False)).alias("halt"),
+    )

@@ -6,6 +6,7 @@ from tidebook.plans import (  # noqa: F401
     risk_queries,
     stream_queries,
     ta_queries,
+    written_queries,
 )
 from tidebook.plans.registry import ORACLES, QUERIES
 
