@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.plans.book_queries import _AVG_OUT, _raw
@@ -10,21 +13,56 @@ from tidebook.plans.oracle_views import R, sql
 from tidebook.plans.registry import query
 from tidebook.plans.risk_queries import _BR, _FSM, _TOPS
 from tidebook.plans.ta_queries import _EMA
-from tidebook.session import staged
+from tidebook.session import shared_dir, staged
 from tidebook.streaming import jobs
 from tidebook.streaming.sources import file_stream, run_available_now
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 
 
+LANDINGS, FILES = 3, 4
+_ORDER = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+
+
+def _landed(spark: SparkSession, rows: DataFrame, order: str, last: DataFrame | None = None) -> DataFrame:
+    """``rows`` as a stream that arrives in several micro-batches, in ``order``.
+
+    Each range is written as so many files as a trigger takes, so a batch is a
+    range; ``last`` arrives after all of them.
+    """
+    path = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    shares = [i / LANDINGS for i in range(1, LANDINGS)]
+    at = rows.agg(F.percentile_approx(order, shares, 1000)).first()[0] or [0] * len(shares)
+    o = F.col(order)
+    ranges = [o <= at[0], *[(o > a) & (o <= b) for a, b in zip(at, at[1:])], o > at[-1]]
+    for part in [*[rows.where(r) for r in ranges], *([last] if last is not None else [])]:
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return file_stream(spark, path, rows.schema, max_files=FILES)
+
+
 class StreamMarket(Market):
-    """The same views with the tables as streams."""
+    """The same views with the tables as streams of several micro-batches."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, closing: int | None = None):
+        super().__init__(spark, sf_dir)
+        self.closing = closing
 
     def table(self, name: str):
-        path = f"{self.dir}/{name}.parquet"
-        schema = self.spark.read.parquet(path).schema
-        # The trailing glob makes the single file a stream source.
-        return file_stream(self.spark, f"{self.dir}/{name}.parq*", schema)
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return _landed(self.spark, rows, _ORDER[name], self._closing_rows(rows))
+
+    def _closing_rows(self, rows: DataFrame) -> DataFrame | None:
+        """Marks of another symbol ``closing`` hours after the last event, which end all windows."""
+        if self.closing is None:
+            return None
+        newest = rows.orderBy(F.desc("ts")).limit(1)
+        late = newest.withColumns(
+            {
+                "ts": (F.col("ts") + F.make_interval(hours=F.lit(self.closing))).cast(rows.schema["ts"].dataType),
+                "event_type": F.lit("end of feed"),
+            }
+        )
+        return late.select(rows.columns).withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(FILES)))).drop("_")
 
 
 def _r(*cols: str, places: int = 6):
@@ -33,15 +71,11 @@ def _r(*cols: str, places: int = 6):
 
 @query(
     "stream_bars",
-    sql(
-        f"""SELECT symbol, ts_event, {', '.join(f'{R(c)} AS {c}' for c in OHLCV)} FROM bars
- WHERE ts_event <= (SELECT max(ts) FROM ticks) - 600000000000""",
-        "bars",
-    ),
+    sql(f"SELECT symbol, ts_event, {', '.join(f'{R(c)} AS {c}' for c in OHLCV)} FROM bars", "bars"),
 )
 def stream_bars(m: Market):
-    """Hourly bars that are final behind a ten-minute watermark."""
-    ticks = StreamMarket(m.spark, m.dir).ticks
+    """Hourly bars behind a ten-minute watermark; marks at the end of the feed close the last ones."""
+    ticks = StreamMarket(m.spark, m.dir, closing=3).ticks
     out = run_available_now(jobs.bars(ticks, "1 hour", "10 minutes"))
     return out.select("symbol", "ts_event", *_r(*OHLCV))
 
@@ -66,9 +100,7 @@ def stream_indicators(m: Market):
 @query("stream_positions", sql(_AVG_OUT, "fills"))
 def stream_positions(m: Market):
     """Numbered fills land as a table and are consumed as a stream."""
-    fills = staged(_raw(m))
-    path = fills.inputFiles()[0].rsplit("/", 1)[0]
-    out = run_available_now(jobs.positions(file_stream(m.spark, path, fills.schema)))
+    out = run_available_now(jobs.positions(_landed(m.spark, staged(_raw(m)), "seq")))
     return out.select("symbol", "seq", "net_raw", "avg_raw", "realized_raw")
 
 
