@@ -1,5 +1,8 @@
 """Time the headline queries and print one JSON line.
 
+Every query runs twice, all once and then all again: ``queries`` has the second
+runs, when code is compiled, and ``first_run`` the first.
+
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all cores)
 and BENCH_QUERIES (comma-separated names, default the headline set).
 """
@@ -55,7 +58,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "*")
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-    from tidebook.plans import catalog
+    from tidebook.plans import catalog, market
     from tidebook.session import local_session
 
     wanted = os.environ.get("BENCH_QUERIES")
@@ -63,12 +66,14 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=8)
 
     def run(name: str) -> float:
+        market._CUTS.clear()  # measuring them is part of a query
         start = time.perf_counter()
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
     run(names[0])  # JVM and Python workers warm up outside the timing
-    seconds = {n: round(min(run(n), run(n)), 3) for n in names}
+    cold = {n: round(run(n), 3) for n in names}
+    seconds = {n: round(run(n), 3) for n in names}
     found = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -77,6 +82,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "first_run": cold,
                 "sf": float(found.group(1).rstrip(".")) if found else sf_dir,
             }
         )
