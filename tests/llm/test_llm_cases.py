@@ -306,7 +306,7 @@ def test_spans_of_each_kind():
 
 
 def test_base_spans_against_the_patterns():
-    from test_queries import base_spans
+    from test_llm_queries import base_spans
 
     finder = pii.Finder()
     random.seed(7)
@@ -385,7 +385,7 @@ def test_near_duplicate_cases(docs, empty):
 
 def test_large_group_of_near_copies(rows):
     """Copies with many different edits: links found by leaders and between them equal brute force."""
-    from test_queries import near_classes
+    from test_llm_queries import near_classes
 
     random.seed(9)
     base = [f"w{i}" for i in range(80)]
