@@ -259,6 +259,26 @@ def frames_rejects(m: Market):
     return normalize.split_frames(m.raw_frames)["rejects"].select("seq", "ts_init")
 
 
+@query(
+    "frames_quarantine",
+    sql(
+        _FRAME
+        + """SELECT ts_init, CASE WHEN kind = 'rejects' THEN 'unrouted' ELSE kind END AS problem FROM f
+ WHERE kind = 'rejects' OR (kind = 'trades' AND seq % 37 = 0) OR (kind = 'quotes' AND seq % 41 = 0)""",
+        "ticks",
+    ),
+)
+def frames_quarantine(m: Market):
+    """Unrouted frames, and routed ones whose numbers can't be read."""
+    seq, text = F.col("seq"), F.col("text")
+    trade = F.regexp_replace(text, '"p":"[0-9.]+"', '"p":"none"')
+    quote = F.regexp_replace(text, '"b":"[0-9.]+","B"', '"b":"","B"')
+    broken = F.when((seq % 37 == 0) & text.contains("@trade"), trade)
+    broken = broken.when((seq % 41 == 0) & text.contains("@bookTicker"), quote).otherwise(text)
+    parts = normalize.split_frames(m.raw_frames.withColumn("text", broken))
+    return normalize.quarantine(parts).select("ts_init", "problem")
+
+
 _SNAP = "SELECT p_partkey, p_retailprice AS px, CAST(p_size AS BIGINT) AS z FROM part"
 
 

@@ -95,10 +95,9 @@ def split_frames(frames: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def trades(df: DataFrame) -> DataFrame:
-    """Trade messages; the seller was aggressor when the buyer was maker."""
-    p = _parsed(df, TRADE)
-    rows = p.select(
+def _trades(df: DataFrame, *more: str) -> DataFrame:
+    return _parsed(df, TRADE).select(
+        *more,
         F.col("d.s").alias("symbol"),
         (F.col("d.T_u") * NS_PER_MS).alias("ts_event"),
         F.col("ts_init"),
@@ -107,13 +106,16 @@ def trades(df: DataFrame) -> DataFrame:
         F.when(F.col("d.m"), "SELL").otherwise("BUY").alias("aggressor"),
         F.col("d.t").cast("string").alias("trade_id"),
     )
-    return rows.na.drop(subset=["symbol", "ts_event", "price", "size", "trade_id"])
 
 
-def quotes(df: DataFrame) -> DataFrame:
-    """Best bid and ask; the message has no event time, so arrival time stands in."""
-    p = _parsed(df, BOOK_TICKER)
-    rows = p.select(
+def trades(df: DataFrame) -> DataFrame:
+    """Trade messages; the seller was aggressor when the buyer was maker."""
+    return _trades(df).na.drop(subset=_NEEDED["trades"])
+
+
+def _quotes(df: DataFrame, *more: str) -> DataFrame:
+    return _parsed(df, BOOK_TICKER).select(
+        *more,
         F.col("d.s").alias("symbol"),
         F.col("ts_init").alias("ts_event"),
         F.col("ts_init"),
@@ -122,7 +124,11 @@ def quotes(df: DataFrame) -> DataFrame:
         _num(F.col("d.B_u")).alias("bid_size"),
         _num(F.col("d.A_u")).alias("ask_size"),
     )
-    return rows.na.drop(subset=["symbol", "bid", "ask", "bid_size", "ask_size"])
+
+
+def quotes(df: DataFrame) -> DataFrame:
+    """Best bid and ask; the message has no event time, so arrival time stands in."""
+    return _quotes(df).na.drop(subset=_NEEDED["quotes"])
 
 
 def _levels(side: int, col: str) -> Column:
@@ -137,11 +143,10 @@ def _levels(side: int, col: str) -> Column:
     )
 
 
-def depth_updates(df: DataFrame) -> DataFrame:
-    """Depth diffs with their update ids, levels still packed."""
-    p = _parsed(df, DEPTH)
+def _depth_updates(df: DataFrame, *more: str) -> DataFrame:
     both = F.concat(_levels(1, "d.b"), _levels(-1, "d.a"))
-    return p.select(
+    return _parsed(df, DEPTH).select(
+        *more,
         F.col("d.s").alias("symbol"),
         (F.col("d.E_u") * NS_PER_MS).alias("ts_event"),
         F.col("ts_init"),
@@ -149,7 +154,33 @@ def depth_updates(df: DataFrame) -> DataFrame:
         F.col("d.u").alias("last_id"),
         F.col("d.pu").alias("prev_id"),
         both.alias("levels"),
-    ).na.drop(subset=["symbol", "ts_event", "first_id", "last_id", "levels"])
+    )
+
+
+def depth_updates(df: DataFrame) -> DataFrame:
+    """Depth diffs with their update ids, levels still packed."""
+    return _depth_updates(df).na.drop(subset=_NEEDED["depth"])
+
+
+_NEEDED = {
+    "trades": ["symbol", "ts_event", "price", "size", "trade_id"],
+    "quotes": ["symbol", "bid", "ask", "bid_size", "ask_size"],
+    "depth": ["symbol", "ts_event", "first_id", "last_id", "levels"],
+}
+
+
+def quarantine(parts: dict[str, DataFrame]) -> DataFrame:
+    """Every frame of ``split_frames`` that gives no row: ``text``, ``ts_init`` and why.
+
+    ``unrouted`` frames belong to no known stream; the others are named after
+    the stream whose parser could not read them.
+    """
+    out = parts["rejects"].select("text", "ts_init", F.lit("unrouted").alias("problem"))
+    for name, parse in (("trades", _trades), ("quotes", _quotes), ("depth", _depth_updates)):
+        rows = parse(parts[name].withColumn("frame", F.col("text")), "frame")
+        lost = ~F.coalesce(*[F.when(F.col(c).isNull(), False) for c in _NEEDED[name]], F.lit(True))
+        out = out.unionByName(rows.where(lost).select(F.col("frame").alias("text"), "ts_init", F.lit(name).alias("problem")))
+    return out
 
 
 def depth_levels(updates: DataFrame) -> DataFrame:
