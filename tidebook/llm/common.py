@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -10,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+ARROW_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; one is made only where it is unset, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
@@ -62,6 +67,20 @@ def extended(df: DataFrame, columns: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches that stay small when texts are long.
+
+    A worker holds a few copies of a batch; ``ARROW_ROWS`` bounds it, also
+    beside the other workers of an executor. The session keeps the setting, as
+    it must hold when the plan runs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key, "10000"))
+    if not 0 < now <= ARROW_ROWS:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def text_or_empty(text: str = "text"):
     """The text, a null as the empty string."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import extended, fresh, set_aside, staged
+from tidebook.llm.common import extended, fresh, in_arrow, set_aside, staged
 from tidebook.llm.textblocks import FOLD_BLANK, as_bytes, folded_words
 
 WINDOW = 10
@@ -195,7 +195,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     for k, items in enumerate(_groups(benchmark, item_id, item_text, group_bytes)):
         if k:
             out = staged(out)
-        out = out.mapInArrow(_finder(items, text, window, k > 0), schema)
+        out = in_arrow(out, _finder(items, text, window, k > 0), schema)
     return out
 
 
@@ -246,5 +246,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.schema.field(at).type))
             yield batch.select(names)
 
-    kept = found.where(n_hit() <= F.lit(max_coverage) * F.col("n_words")).mapInArrow(run, moved.schema)
+    kept = in_arrow(found.where(n_hit() <= F.lit(max_coverage) * F.col("n_words")), run, moved.schema)
     return back(kept)

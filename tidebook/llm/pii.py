@@ -30,7 +30,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidebook.llm.common import extended, fresh
+from tidebook.llm.common import extended, fresh, in_arrow
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account", "key")
@@ -202,7 +202,7 @@ def find(docs: DataFrame, *, text: str = "text") -> DataFrame:
             new = [pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 4, pa.string(), pa.string()])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *counts, "base_spans", "spans"])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -222,4 +222,4 @@ def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
                 out.append("".join([*parts, t[at:]]) if parts else t)
             yield batch.set_column(i, batch.schema.field(i), pa.array(out, pa.string()).cast(batch.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import set_aside, shuffle_width, staged
+from tidebook.llm.common import in_arrow, set_aside, shuffle_width, staged
 from tidebook.llm.textblocks import as_bytes, mix, shingles, text_blocks
 
 WORDS = 5
@@ -135,7 +135,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Distances of the pairs (a, b)."""
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("set").alias("sb")), "b")
-    return staged(both.select("a", "b", "sa", "sb").mapInArrow(_compare, "a long, b long, distance double"))
+    return staged(in_arrow(both.select("a", "b", "sa", "sb"), _compare, "a long, b long, distance double"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _missed(seen: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     rows = rows.select("bucket", "sid", "root", "distance", "set", "own", other)
     rows = rows.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "root", "distance", "set")
     rows = rows.repartition(shuffle_width(seen.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return rows.mapInArrow(_across(threshold), "a long, b long").distinct()
+    return in_arrow(rows, _across(threshold), "a long, b long").distinct()
 
 
 def _across(threshold: float):
@@ -250,7 +250,7 @@ def _rooted(docs: DataFrame, key: str, text: str, words: int, threshold: float,
     """(key, row, root) of every document: a hash of key and text, and the name of its class."""
     sketched = docs.select(F.col(key).alias("key"), _row(key, text).alias("row"), F.col(text).alias("text"))
     schema = f"key {dict(docs.dtypes)[key]}, row long, sid long, bands array<long>, set binary"
-    sketched = staged(sketched.mapInArrow(_sketch(words, bands, rows), schema))
+    sketched = staged(in_arrow(sketched, _sketch(words, bands, rows), schema))
     banded = sketched.select("sid", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("sid", "bucket"), "sid")).alias("first"), F.min("sid").alias("lo"), F.max("sid").alias("hi"))
     shared = shared.where("lo < hi").select("bucket", F.col("first.sid").alias("leader"))

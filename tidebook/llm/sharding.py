@@ -138,7 +138,7 @@ def leaves(docs: DataFrame, *, text: str = "text", dimensions: dict[str, Column]
         parts[h] = parts.get(h, 0) + 1
     big = spark.createDataFrame([(h, p, parts[h], s) for h, p, s in placed], "h long, part int, parts int, shard int")
     small = points.where(F.col("bytes") < LARGE * target) if shards > 1 else points
-    small = small.select(F.lit(0).cast("long").alias("node"), "h", "bytes", *(f"d{i}" for i in range(n_dims)))
+    small = small.select(F.pmod("h", F.lit(1)).cast("long").alias("node"), "h", "bytes", *(f"d{i}" for i in range(n_dims)))
     level = [(0, shards)]
     while any(k > 1 for _, k in level):
         nodes, after = [], []

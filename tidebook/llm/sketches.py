@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidebook.llm.common import extended, fresh, shuffle_width
+from tidebook.llm.common import extended, fresh, in_arrow, shuffle_width
 from tidebook.llm.textblocks import BLOCK_BYTES, as_bytes, shingles, text_blocks
 
 WORDS = 5
@@ -93,7 +93,7 @@ def fingerprint(docs: DataFrame, *, text: str = "text", k: int = K, words: int =
             new = [pa.array(map(encoded, found), pa.string()), pa.array([cardinality(s, k) for s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "fingerprint", "n_shingles"])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def merge(parts: DataFrame, by: str, *, k: int = K) -> DataFrame:
@@ -152,7 +152,7 @@ def by_descending_key(docs: DataFrame, run, schema: str, *, key: str = "doc_id",
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return run(_with_next(batches))
 
-    return dealt.select("part", "place", "key", "text").mapInArrow(stream, schema)
+    return in_arrow(dealt.select("part", "place", "key", "text"), stream, schema)
 
 
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import extended, fresh
+from tidebook.llm.common import extended, fresh, in_arrow
 
 #: A vocabulary of ranks (token in base64, rank) and the pattern that cuts text before merging.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -55,7 +55,7 @@ def with_tokens(docs: DataFrame, *, text: str = "text", ranks: str = RANKS, patt
             counts = [len(encode(t)) if t else 0 for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*batch.schema.names, "n_tokens"])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def histogram(counted: DataFrame, column: str = "n_tokens") -> DataFrame:

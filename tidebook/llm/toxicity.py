@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import extended, fresh, set_aside
+from tidebook.llm.common import extended, fresh, in_arrow, set_aside
 from tidebook.llm.textblocks import folded_words
 
 SAMPLE = 2000
@@ -40,7 +40,7 @@ ORDINARY_BYTES, TOXIC_BYTES = 16_000, 4_096
 MIN_CONTEXTS, MIN_RATIO, MIN_EVIDENCE = 4, 8.0, 8.0
 FAR = 3  # bytes saved from which a window counts
 LEVEL = 6
-CACHE = 500_000
+CACHE = 200_000
 _CARRIER = bytes(range(0x21, 0x61))  # follows every window: short inputs are else stored as they are
 
 
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             far = [sum(v >= FAR for v in d) for d in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(far, pa.int64())], [*batch.schema.names, "score", "n_far"])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import fresh, set_aside, staged
+from tidebook.llm.common import fresh, in_arrow, set_aside, staged
 
 MAX_RULE_BYTES = 16 << 20
 _FOUND = ("host", "path", "rule", "verdict", "_best")
@@ -118,7 +118,7 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, *, url: str = "url"
             index[min(own, key=lambda t: (counts.get(t, 0), t)) if own else ""].append((i, rule.expression()))
         lengths = [len(r.pattern) for r in rules]
         sent = rows.sparkSession.sparkContext.broadcast((dict(index), lengths))
-        rows = (staged(rows) if k else rows).mapInArrow(_matcher(sent), schema)
+        rows = in_arrow(staged(rows) if k else rows, _matcher(sent), schema)
     patterns = F.array(*(F.lit(r.pattern) for r in rules)) if rules else F.array(F.lit(None).cast("string"))
     verdicts = F.array(*(F.lit(r.verdict) for r in rules)) if rules else F.array(F.lit(None).cast("string"))
     at = F.col("_best") + 1
