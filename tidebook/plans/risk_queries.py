@@ -288,7 +288,7 @@ def unfillable_orders(m: Market):
     "fees",
     sql(
         f"""
-SELECT symbol, liquidity, {R('sum(fee)', 4)} AS fee, count(*) AS n FROM (
+SELECT symbol, liquidity, {R('sum(fee)', 5)} AS fee, count(*) AS n FROM (
  SELECT f.symbol, liquidity, CAST(round(CAST(CASE WHEN inv THEN CASE WHEN px = 0 THEN 0 ELSE qty * mult / px END ELSE px * qty * mult END
   * CASE WHEN liquidity = 'maker' THEN 0.0002::DOUBLE ELSE 0.0004::DOUBLE END AS DECIMAL(38, 12)), 5) AS DOUBLE) AS fee FROM (
   SELECT *, CASE WHEN discount > 0.05 THEN 'maker' ELSE 'taker' END AS liquidity FROM fills) f
@@ -308,7 +308,7 @@ def fees(m: Market):
     kind = F.when(F.col("discount") > 0.05, "maker").otherwise("taker")
     charged = X.charge_fees(m.raw_fills.withColumn("liquidity", kind), dim, MODEL)
     return charged.groupBy("symbol", "liquidity").agg(
-        r(F.sum("fee"), 4).alias("fee"), F.count(F.lit(1)).alias("n")
+        r(F.sum("fee"), 5).alias("fee"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -694,19 +694,30 @@ def normal_cdf(m: Market):
     "implied_vol_reprice",
     sql(
         _CHAIN
-        + f"""SELECT instrument, {R('price', 5)} AS price, true AS repriced FROM pr WHERE NOT flat AND price > 0.01""",
+        + f"""SELECT instrument, {R('price', 5)} AS price,
+ CASE WHEN flat THEN 'none' WHEN price > 0.01 THEN 'repriced' ELSE 'repriced or none' END AS outcome FROM pr""",
         "ticks",
         "instruments",
     ),
 )
 def implied_vol_reprice(m: Market):
-    """Solve each contract's volatility from its price and price it again."""
-    priced = OP.price_chain(_chain(m)).where((F.col("t_years") > 0) & (F.col("price") > 0.01))
+    """Solve each contract's volatility from its price and price it again.
+
+    Expired contracts have none, and of nearly worthless ones the price does
+    not determine it.
+    """
+    priced = OP.price_chain(_chain(m))
     slim = priced.select("instrument", "price", "spot", "strike", "t_years", "rate", "is_call")
     solved = OP.implied_vol(slim)
     again = bs_price(*[F.col(c) for c in ("spot", "strike", "t_years", "rate", "iv", "is_call")])
-    ok = F.abs(again - F.col("price")) < 1e-6
-    return solved.select("instrument", *_r("price", places=5), ok.alias("repriced"))
+    none = F.col("iv").isNull()
+    fits = ~none & (F.abs(again - F.col("price")) < 1e-6)
+    outcome = (
+        F.when(F.col("t_years") <= 0, F.when(none, "none"))
+        .when(F.col("price") > 0.01, F.when(fits, "repriced"))
+        .when(none | fits, "repriced or none")
+    )
+    return solved.select("instrument", *_r("price", places=5), F.coalesce(outcome, F.lit("wrong")).alias("outcome"))
 
 
 @query(
