@@ -412,6 +412,24 @@ def test_signatures_estimate_probability_jaccard():
         assert (kept[0] == kept[1]).mean() == pytest.approx(want, abs=0.04)
 
 
+def test_repeated_passages_do_not_hide_a_link():
+    """Pairs at 0.8 or more of the sets, whose second text holds a passage many times, share a band."""
+    import pyarrow as pa
+
+    random.seed(12)
+    texts = []
+    for i in range(200):
+        a = [f"a{i}x{j}" for j in range(100)]
+        b = [f"b{i}x{j}" for j in range(6)]
+        texts += [" ".join(a + b), " ".join(a + a[-10:] * 100 + [f"c{i}x{j}" for j in range(6)])]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "row": list(range(len(texts))), "text": texts})
+    out = pa.Table.from_batches(probminhash._sketch(5, probminhash.BANDS, probminhash.ROWS)([batch])).to_pydict()
+    sets = [set(np.frombuffer(s, "<u4").tolist()) for s in out["set"]]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert min(alike) > 0.8
+    assert sum(not set(a) & set(b) for a, b in zip(out["bands"][::2], out["bands"][1::2])) == 0
+
+
 def test_components(rows):
     random.seed(10)
     edges = [(random.randrange(300), random.randrange(300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]

@@ -7,6 +7,10 @@ probability Jaccard similarity of their weighted shingles. A process stops as
 soon as it is later than the last register filled, so a text costs about
 n + M log M arrivals.
 
+Links are defined on sets of shingles, so every weight is 1 and that similarity
+is the Jaccard similarity of the sets: how often a shingle repeats in a text
+does not change which texts meet.
+
 Registers are banded; texts that agree in a band meet in a bucket. In a bucket
 every member is compared with one leader only, exactly, on the sets of shingle
 hashes; links join texts into classes. Leaders are drawn anew for each bucket,
@@ -107,8 +111,8 @@ def _sketch(words: int, bands: int, rows: int):
         for batch in batches:
             texts, row, keys = as_bytes(batch.column(2)), batch.column(1), batch.column(0)
             for a, z in text_blocks(texts):
-                elements, counts, ends = distinct(*shingles(texts[a:z], words))
-                kept = signatures(elements, 1.0 + np.log(counts), ends, bands * rows)
+                elements, _, ends = distinct(*shingles(texts[a:z], words))
+                kept = signatures(elements, np.ones(len(elements)), ends, bands * rows)
                 sums = np.concatenate(([_U(0)], np.cumsum(mix(elements ^ _U(0x8EBC6AF09C88C6E3)), dtype=np.uint64)))
                 first = np.concatenate(([0], ends[:-1]))
                 ids = mix(sums[ends] - sums[first] + (ends - first).astype(np.uint64))
