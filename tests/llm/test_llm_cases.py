@@ -499,6 +499,33 @@ def test_perplexity_against_brute_force(rows):
     assert p == pytest.approx(np.ones(len(p)), abs=1e-3)
 
 
+def test_every_character_of_the_trusted_text_counts(rows):
+    """Beside much Latin text, words in another script are told from the same characters shuffled."""
+    random.seed(13)
+    latin = [chr(0x41 + i) for i in range(26)] + [chr(0x61 + i) for i in range(26)] + [chr(0xE0 + i) for i in range(12)]
+    greek = ["".join(chr(0x3B1 + c) for c in random.sample(range(24), 5)) for _ in range(20)]
+    texts = ["".join(random.choices(latin, k=400)) for _ in range(20)] + [" ".join(random.choices(greek, k=20)) for _ in range(20)]
+    junk = "".join(random.sample(texts[-1], len(texts[-1])))
+    docs = rows("doc_id long, text string, lang string", [(i, t, "x") for i, t in enumerate(texts)] + [(100, junk, "x")])
+    model = kneser_ney.train(docs, rows("doc_id long", [(i,) for i in range(39)]))
+    got = {r.doc_id: r.perplexity for r in kneser_ney.score(docs, model).collect()}
+    assert got[100] > 3 * got[39]
+    assert len(model.alphabet) == len(set("".join(texts[:39]))) > 62
+
+
+@pytest.mark.parametrize("head", [0, 30])
+def test_perplexity_where_little_is_broadcast(rows, monkeypatch, head):
+    random.seed(14)
+    monkeypatch.setattr(kneser_ney, "HEAD", head)
+    texts = [" ".join(random.choices(["ab", "abc", "cab", "bé", "za"], k=random.randint(1, 30))) for _ in range(40)]
+    docs = rows("doc_id long, text string, lang string", [(i, t, "x") for i, t in enumerate(texts)] + [(7, texts[7], "x"), (100, None, "x"), (101, "", None), (102, "qqqq zéa q", "y")])
+    model = kneser_ney.train(docs, rows("doc_id long", [(i,) for i in range(30)]))
+    got = kneser_ney.score(docs, model).collect()
+    assert len(got) == docs.count()
+    want = brute_perplexity(texts[:30] + [texts[7]], [r.text for r in got])
+    assert [r.perplexity for r in got] == pytest.approx(want, rel=1e-4)
+
+
 def test_quality_cases(rows, docs, empty):
     trusted = rows("doc_id long", [(1,), (7,), (None,)])
     got = kneser_ney.classify(docs, trusted)
