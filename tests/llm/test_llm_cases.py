@@ -526,6 +526,20 @@ def test_perplexity_where_little_is_broadcast(rows, monkeypatch, head):
     assert [r.perplexity for r in got] == pytest.approx(want, rel=1e-4)
 
 
+def test_a_rare_language_has_its_own_threshold(rows):
+    """Good documents of a language with 15 trusted ones stay, though its perplexity is above that of the others."""
+    random.seed(15)
+    common = ["".join(random.choices("abcdefgh", k=4)) for _ in range(20)]
+    rare = ["".join(random.choices("стуфхцчшщъыьэюя", k=6)) for _ in range(150)]
+    texts = [(i, " ".join(random.choices(common, k=40)), "x") for i in range(3000)] + [(i, " ".join(random.choices(rare, k=40)), "y") for i in range(5000, 5035)]
+    junk = [(i, "".join(random.choices("стуфхцчшщъыьэюя ", k=250)), "y") for i in range(5100, 5110)]
+    docs = rows("doc_id long, text string, lang string", texts + junk)
+    got = kneser_ney.classify(docs, rows("doc_id long", [(i,) for i in [*range(3000), *range(5000, 5015)]])).collect()
+    assert sum(r.keep for r in got if 5015 <= r.doc_id < 5035) >= 16
+    assert not any(r.keep for r in got if r.doc_id >= 5100)
+    assert len({(r.lang, r.threshold) for r in got}) == 2
+
+
 def test_quality_cases(rows, docs, empty):
     trusted = rows("doc_id long", [(1,), (7,), (None,)])
     got = kneser_ney.classify(docs, trusted)
