@@ -157,6 +157,35 @@ def test_mixing_cases(docs, empty):
     assert mixing.mix(empty, mixing.cycled_weights).count() == 0 and mixing.repeated(empty, mixing.cycled_weights).count() == 0
 
 
+def test_targets_are_met_beside_very_long_documents(rows):
+    random.seed(8)
+    sizes = {s: [*(random.randint(20, 120) for _ in range(150)), random.choice([9_000, 40_000])] for s in "abcdef"}
+    docs = rows("doc_id long, source string, text string", [(i * 1000 + k, s, "w " * n) for i, s in enumerate(sizes) for k, n in enumerate(sizes[s])])
+    for seed in ("1", "2"):
+        got = mixing.mix(docs, mixing.cycled_weights, seed=seed).toPandas().groupby("source").agg({"taken": "sum", "target": "first"})
+        assert ((got.taken - got.target).abs() <= 0.01 * got.target).all()
+
+
+def test_a_walk_takes_what_still_fits(rows):
+    random.seed(9)
+    data = [(random.choice([i, 7, None]), random.choice("ab"), "w " * random.randint(0, 30)) for i in range(120)]
+    docs = rows("doc_id long, source string, text string", data)
+    mixed = mixing.mix(docs, mixing.cycled_weights).toPandas()
+    units = {tuple(r) for r in mixing._units(docs, "doc_id", "source", "text", mixing.SEED).collect()}
+    for source, own in mixed.groupby("source"):
+        size = collections.Counter()
+        for r in own.itertuples():
+            size[next(u.unit for u in units if u.source == source and u.size == r.size and (u.key == r.doc_id or u.key is None and r.doc_id != r.doc_id))] += r.size
+        whole = min(3, int(own.target.iloc[0] // own.source_size.iloc[0]))
+        left, taken = own.target.iloc[0] - whole * own.source_size.iloc[0], set()
+        for unit, n in sorted(size.items()):
+            if 0 < n <= left:
+                left, taken = left - n, taken | {unit}
+        tops = [(abs(n - left), unit) for unit, n in size.items() if unit not in taken and 0 < n < 2 * left]
+        taken |= {min(tops)[1]} if tops else set()
+        assert own.taken.sum() == sum(n * (whole + (unit in taken)) for unit, n in size.items())
+
+
 # URL rules
 
 

@@ -64,17 +64,20 @@ WITH d AS (
   SELECT source, source_size, least(coalesce((SELECT rest FROM f)::DOUBLE * weight / (SELECT weights FROM f)::DOUBLE, 3.0 * source_size), 3.0 * source_size)::DOUBLE AS target FROM o
 ), k AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM t
 ), g AS (SELECT source, unit, sum(size) AS size FROM u GROUP BY source, unit
-), c AS (
-  SELECT g.source, g.unit, g.size, k.target - k.whole * k.source_size AS wanted, sum(g.size) OVER (PARTITION BY g.source ORDER BY g.unit) AS upto
-  FROM g JOIN k ON g.source IS NOT DISTINCT FROM k.source
-), l AS (SELECT source, any_value(wanted) AS wanted, max(CASE WHEN upto <= wanted THEN unit END) AS last, coalesce(max(CASE WHEN upto <= wanted THEN upto END), 0) AS got FROM c GROUP BY source
+), w AS (
+  SELECT k.source, list_reduce(
+           list_prepend({'left': any_value(k.target - k.whole * k.source_size), 'unit': '', 'size': 0::HUGEINT, 'taken': []::VARCHAR[]},
+                        list({'left': 0::DOUBLE, 'unit': g.unit, 'size': g.size::HUGEINT, 'taken': []::VARCHAR[]} ORDER BY g.unit)),
+           lambda a, x: {'left': a.left - CASE WHEN x.size <= a.left THEN x.size ELSE 0 END, 'unit': x.unit, 'size': x.size,
+                         'taken': CASE WHEN x.size <= a.left THEN list_append(a.taken, x.unit) ELSE a.taken END}) AS walk
+  FROM g JOIN k ON g.source IS NOT DISTINCT FROM k.source WHERE g.size > 0 GROUP BY k.source
 ), p AS (
-  SELECT c.source, arg_min(c.unit, (abs(c.size - (l.wanted - l.got)), c.unit)) AS top
-  FROM c JOIN l ON c.source IS NOT DISTINCT FROM l.source
-  WHERE coalesce(c.unit > l.last, true) AND c.size > 0 AND c.size < 2 * (l.wanted - l.got) GROUP BY c.source
+  SELECT g.source, arg_min(g.unit, (abs(g.size - w.walk.left), g.unit)) AS top
+  FROM g JOIN w ON g.source IS NOT DISTINCT FROM w.source
+  WHERE g.size > 0 AND g.size < 2 * w.walk.left AND NOT list_contains(w.walk.taken, g.unit) GROUP BY g.source
 )
-SELECT u.doc_id, u.size, k.source_size, k.target, (u.size * (k.whole + CASE WHEN u.unit <= l.last OR u.unit = p.top THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source JOIN l ON u.source IS NOT DISTINCT FROM l.source LEFT JOIN p ON u.source IS NOT DISTINCT FROM p.source
+SELECT u.doc_id, u.size, k.source_size, k.target, (u.size * (k.whole + CASE WHEN list_contains(w.walk.taken, u.unit) OR u.unit = p.top THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM u JOIN k ON u.source IS NOT DISTINCT FROM k.source LEFT JOIN w ON u.source IS NOT DISTINCT FROM w.source LEFT JOIN p ON u.source IS NOT DISTINCT FROM p.source
 """
 
 
