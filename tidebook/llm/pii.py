@@ -42,7 +42,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9.]+")
 _GROUPED = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_AUTHORITY = re.compile(r"[^\s/?#@\"'<>]+@[^\s/?#\"'<>]+")
+_AUTHORITY = re.compile(r"[^\s/?#\"'<>]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _VALUE = re.compile(r"""\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9+/_.-]{6,})""")
 _KEY = re.compile(r"[0-9A-Z]{16}(?![0-9A-Za-z])")
@@ -161,10 +161,12 @@ class Finder:
             elif kind == "url":
                 if at >= done["url"]:
                     start = at
-                    while start > done["url"] and at - start < 32 and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "+.-"):
+                    while start > done["url"] and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "+.-"):
                         start -= 1
-                    found = _AUTHORITY.match(text, last + 1, last + 1 + 2048)
-                    if start < at and found and ":" in found.group().split("@")[0]:
+                    found = _AUTHORITY.match(text, last + 1)  # read once: the next one starts behind it
+                    done["url"] = found.end() if found else last + 1
+                    login, sign, host = found.group().rpartition("@") if found else ("", "", "")
+                    if start < at and sign and host and ":" in login[1:]:
                         add("url", (start, found.end()))
             elif kind == "account":
                 if at >= done["account"] and (found := _VALUE.match(text, last + 1)) and any(c in _DIGITS for c in found.group(1)):
