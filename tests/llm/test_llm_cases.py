@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -334,6 +335,22 @@ def test_spans_of_each_kind():
     assert of("the password was lost") == [] and of("https://plain.example/path") == []
 
 
+def test_long_credentials_are_found_whole(rows):
+    for secret in ("k!" * 1500, "x" * 5000, "a@b" * 2000, "%40:" * 1300):
+        for scheme in ("https", "a" + "b+." * 40):
+            text = f"see {scheme}://user:{secret}@host.example/path and http://plain.example"
+            assert pii.joined([s for s in pii.Finder().spans(text) if pii.KINDS[s[1]] == "url"]) == f"url:4:{text.index('/path')}"
+    (clean,) = pii.redact(rows("text string", [(text,)])).collect()
+    assert secret not in clean.text and "http://plain.example" in clean.text
+
+
+def test_urls_are_read_once():
+    text = "://" * 100_000 + "http://u:p@h" + "a://b:" * 50_000
+    start = time.perf_counter()
+    assert any(pii.KINDS[k] == "url" for _, k, _ in pii.Finder().spans(text))
+    assert time.perf_counter() - start < 20
+
+
 def test_base_spans_against_the_patterns():
     from test_llm_queries import base_spans
 
@@ -441,22 +458,66 @@ def test_signatures_estimate_probability_jaccard():
         assert (kept[0] == kept[1]).mean() == pytest.approx(want, abs=0.04)
 
 
+def brute_similarity(x, y):
+    """Probability Jaccard of two counters, by its definition."""
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
+def test_similarity_against_its_definition():
+    random.seed(13)
+    for _ in range(60):
+        x, y = (collections.Counter(random.choices(range(40), k=random.randint(1, 60))) for _ in range(2))
+        packs = [probminhash.unpacked(probminhash.packed(np.array(sorted(c), "<u4"), np.array([c[k] for k in sorted(c)]))) for c in (x, y)]
+        assert probminhash.similarity(*packs) == pytest.approx(brute_similarity(x, y))
+        assert probminhash.similarity(packs[1], packs[0]) == pytest.approx(brute_similarity(x, y))
+        assert probminhash.similarity(packs[0], packs[0]) == pytest.approx(1)
+    assert [c is None for _, c in (probminhash.unpacked(probminhash.packed(np.array([1, 2], "<u4"), np.array(n))) for n in ([1, 1], [1, 2]))] == [True, False]
+
+
 def test_repeated_passages_do_not_hide_a_link():
-    """Pairs at 0.8 or more of the sets, whose second text holds a passage many times, share a band."""
+    """Pairs at 0.8 or more of the weighted similarity, both with a passage many times, share a band."""
     import pyarrow as pa
 
     random.seed(12)
     texts = []
     for i in range(200):
-        a = [f"a{i}x{j}" for j in range(100)]
-        b = [f"b{i}x{j}" for j in range(6)]
-        texts += [" ".join(a + b), " ".join(a + a[-10:] * 100 + [f"c{i}x{j}" for j in range(6)])]
-    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "row": list(range(len(texts))), "text": texts})
-    out = pa.Table.from_batches(probminhash._sketch(5, probminhash.BANDS, probminhash.ROWS)([batch])).to_pydict()
-    sets = [set(np.frombuffer(s, "<u4").tolist()) for s in out["set"]]
-    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
-    assert min(alike) > 0.8
-    assert sum(not set(a) & set(b) for a, b in zip(out["bands"][::2], out["bands"][1::2])) == 0
+        a = [f"a{i}x{j}" for j in range(60)]
+        r = [f"r{i}x{j}" for j in range(12)]
+        n = random.randint(5, 60)
+        texts += [" ".join(a + [f"b{i}x{j}" for j in range(4)] + r * n), " ".join(a + r * (n + n // 8) + [f"c{i}x{j}" for j in range(4)])]
+    (out,) = probminhash._sketch(5, probminhash.BANDS, probminhash.ROWS)(iter([pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(texts)], ["k", "r", "t"])]))
+    keys, sets = out.column(3).to_pylist(), [probminhash.unpacked(x) for x in out.column(4).to_pylist()]
+    found = [(probminhash.similarity(sets[i], sets[i + 1]), set(keys[i]) & set(keys[i + 1])) for i in range(0, 400, 2)]
+    assert all(both for near, both in found if near >= 0.8) and sum(near >= 0.8 for near, _ in found) > 150
+
+
+def test_classes_of_texts_with_repeats(rows):
+    """Links between texts with repeated passages equal brute force on the weighted similarity, also those that no leader shows."""
+    random.seed(14)
+    texts = {}
+    for i in range(90):
+        base = [f"g{i % 3}w{j}" for j in range(50)] + [f"g{i % 3}r{j}" for j in range(8)] * random.randint(1, 8)
+        for _ in range(random.randint(0, 3)):
+            base[random.randrange(50)] = f"x{random.randrange(10**6)}"
+        texts[i] = " ".join(base)
+    bags = {}
+    for i, t in texts.items():
+        words = t.split()
+        bags[i] = collections.Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+    parent = list(range(90))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(90):
+        for j in range(i):
+            if i % 3 == j % 3 and brute_similarity(bags[i], bags[j]) >= 0.8:
+                lo, hi = sorted((top(i), top(j)))
+                parent[hi] = lo
+    got = {r.doc_id: r.class_id for r in probminhash.classes(rows("doc_id long, text string", list(texts.items()))).collect()}
+    assert got == {i: top(i) for i in range(90)} and len(set(got.values())) > 3
 
 
 def test_components(rows):

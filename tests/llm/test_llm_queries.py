@@ -31,14 +31,27 @@ def result(spark, name):
     return catalog.QUERIES[name](spark, SF).toPandas()
 
 
-def shingle_set(text):
+def shingle_counts(text):
     words = folded_words(text.encode())
-    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    return collections.Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else collections.Counter()
+
+
+def shingle_set(text):
+    return frozenset(shingle_counts(text))
+
+
+def likeness(x, y):
+    """Probability Jaccard similarity of two counters; that of the sets where nothing repeats."""
+    both = x.keys() & y.keys()
+    if max([*x.values(), *y.values(), 1]) == 1:
+        return len(both) / max(1, len(x) + len(y) - len(both))
+    union = x.keys() | y.keys()
+    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in union) for i in both)
 
 
 def test_registered():
     names = [n for n in entry_module.queries() if re.match(r"op\d", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_module.queries()
 
 
@@ -154,8 +167,8 @@ def test_fingerprints(spark, texts):
 
 
 def near_classes(texts):
-    """Components of all pairs with a Jaccard similarity of 0.8 or more: doc_id to the least id."""
-    sets = {i: shingle_set(t) for i, t in texts.items()}
+    """Components of all pairs with a probability Jaccard similarity of 0.8 or more: doc_id to the least id."""
+    sets = {i: shingle_counts(t) for i, t in texts.items()}
     parent = {i: i for i in texts}
 
     def top(i):
@@ -167,7 +180,7 @@ def near_classes(texts):
     for x, i in enumerate(ids):
         for j in ids[:x]:
             a, b = sets[i], sets[j]
-            if (not a and not b) or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)):
+            if (not a and not b) or (a and b and (a == b or not a.keys().isdisjoint(b) and sum(min(a[k] / a.total(), b[k] / b.total()) for k in a.keys() & b.keys()) >= 0.79 and likeness(a, b) >= 0.8)):
                 lo, hi = sorted((top(i), top(j)))
                 parent[hi] = lo
     return {i: top(i) for i in ids}

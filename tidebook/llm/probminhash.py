@@ -7,17 +7,20 @@ probability Jaccard similarity of their weighted shingles. A process stops as
 soon as it is later than the last register filled, so a text costs about
 n + M log M arrivals.
 
-Links are defined on sets of shingles, so every weight is 1 and that similarity
-is the Jaccard similarity of the sets: how often a shingle repeats in a text
-does not change which texts meet.
+A shingle weighs as often as it stands in its text. The probability Jaccard
+similarity of weights x and y is the sum over the shingles i of both of
+1 / sum_j max(x_j / x_i, y_j / y_i): it sees each text as a distribution, so a
+text and its doubling are alike, and for texts without repeats it is the Jaccard
+similarity of the sets. Links are defined and verified by the same similarity
+that the registers estimate, so repeats never hide a link that is one.
 
 Registers are banded; texts that agree in a band meet in a bucket. In a bucket
-every member is compared with one leader only, exactly, on the sets of shingle
+every member is compared with one leader only, exactly, on all weighted shingle
 hashes; links join texts into classes. Leaders are drawn anew for each bucket,
 so a text meets as many of them as it has bands. Links between members that the leader
 misses are looked for afterwards: only in buckets that hold several classes,
-only across classes, and only where the triangle inequality of the Jaccard
-distance leaves a link possible. So a group of copies costs comparisons in
+only across classes, and only where the triangle inequality of the distance (one
+less the similarity, a metric) leaves a link possible. So a group of copies costs comparisons in
 proportion to its size, and no link between texts that share a band is lost.
 
 Bands times rows are set so that a pair at the threshold of 0.8 shares no band
@@ -111,13 +114,13 @@ def _sketch(words: int, bands: int, rows: int):
         for batch in batches:
             texts, row, keys = as_bytes(batch.column(2)), batch.column(1), batch.column(0)
             for a, z in text_blocks(texts):
-                elements, _, ends = distinct(*shingles(texts[a:z], words))
-                kept = signatures(elements, np.ones(len(elements)), ends, bands * rows)
-                sums = np.concatenate(([_U(0)], np.cumsum(mix(elements ^ _U(0x8EBC6AF09C88C6E3)), dtype=np.uint64)))
+                elements, counts, ends = distinct(*shingles(texts[a:z], words))
+                kept = signatures(elements, counts.astype(float), ends, bands * rows)
+                sums = np.concatenate(([_U(0)], np.cumsum(mix((elements ^ _U(0x8EBC6AF09C88C6E3)) + counts.astype(_U) * _U(0xA0761D6478BD642F)), dtype=np.uint64)))
                 first = np.concatenate(([0], ends[:-1]))
                 ids = mix(sums[ends] - sums[first] + (ends - first).astype(np.uint64))
                 small = (elements >> _U(32)).astype("<u4")
-                sets = [small[i:j].tobytes() for i, j in zip(first.tolist(), ends.tolist())]
+                sets = [packed(small[i:j], counts[i:j]) for i, j in zip(first.tolist(), ends.tolist())]
                 keys_of = band_keys(kept, bands, rows).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(ends > first, bands, 0)))), pa.int32()), pa.array(keys_of[ends > first].ravel()))
                 yield pa.RecordBatch.from_arrays([keys[a:z], row[a:z], pa.array(ids.view(np.int64)), lists, pa.array(sets, pa.binary())], ["key", "row", "sid", "bands", "set"])
@@ -125,14 +128,55 @@ def _sketch(words: int, bands: int, rows: int):
     return run
 
 
+def packed(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted hashes and their counts as 32-bit words; only counts above 1 take room.
+
+    Words: how many such counts, the hashes, the places of those counts, the counts.
+    """
+    if (hashes[1:] == hashes[:-1]).any():  # two shingles fell on one hash
+        hashes, where = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(where, counts)
+    at = np.flatnonzero(counts > 1)
+    return np.concatenate([[len(at)], hashes, at, counts[at]]).astype("<u4").tobytes()
+
+
+def unpacked(data) -> tuple[np.ndarray, np.ndarray | None]:
+    """Hashes and counts; None where all are 1."""
+    words = np.frombuffer(data, "<u4")
+    r = int(words[0])
+    hashes = words[1 : len(words) - 2 * r]
+    if not r:
+        return hashes, None
+    counts = np.ones(len(hashes))
+    counts[words[len(words) - 2 * r : len(words) - r]] = words[len(words) - r :]
+    return hashes, counts
+
+
+def similarity(x: tuple[np.ndarray, np.ndarray | None], y: tuple[np.ndarray, np.ndarray | None]) -> float:
+    """The probability Jaccard similarity of two unpacked texts.
+
+    With the shared shingles in the order of x_i / y_i, the sum for one of them
+    takes x_j from it on and y_j before it.
+    """
+    if x[1] is None and y[1] is None:
+        both = len(np.intersect1d(x[0], y[0], assume_unique=True))
+        return both / (len(x[0]) + len(y[0]) - both)
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    a, b = (np.ones(len(h)) if c is None else c for h, c in (x, y))
+    p, q = a[i], b[j]
+    order = np.argsort(p / q, kind="stable")
+    p, q = p[order], q[order]
+    before = np.concatenate(([0.0], np.cumsum(q)[:-1])) + b.sum() - q.sum()
+    after = np.cumsum(p[::-1])[::-1] + a.sum() - p.sum()
+    return float((1 / (after / p + before / q)).sum())
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, sa, sb) of sets to (a, b, distance): the Jaccard distance."""
+    """Pairs (a, b, sa, sb) of texts to (a, b, distance)."""
     for batch in batches:
         out = []
         for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-            both = len(np.intersect1d(x, y))
-            out.append(1.0 - both / (len(x) + len(y) - both))
+            out.append(1.0 - similarity(unpacked(x.as_buffer()), unpacked(y.as_buffer())))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "distance"])
 
 
@@ -191,10 +235,16 @@ def _across(threshold: float):
     def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
         own, root, distance = (np.array([r[k] for r in group]) for k in (0, 1, 2))
         x, y = own.min(), own.max()
-        sets = [np.frombuffer(r[3], "<u4") for r in group]
-        size = np.array([len(s) for s in sets])
-        common = _common(sets)
+        texts = [unpacked(r[3]) for r in group]
+        hashes = [h for h, _ in texts]
+        size = np.array([len(h) for h in hashes])
+        common = _products(hashes)
         near = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
+        repeats = np.array([c is not None for _, c in texts])
+        if repeats.any():  # the similarity is at most the sum of the roots of p_i * q_i
+            roots = [np.full(len(h), len(h) ** -0.5) if c is None else np.sqrt(c / c.sum()) for h, c in texts]
+            some = repeats[:, None] | repeats[None, :]
+            near[some] = _products(hashes, roots)[some] >= threshold - 1e-5
         near &= (root[:, None] != root[None, :]) & (np.abs(distance[:, None] - distance[None, :]) <= 1 - threshold + 1e-9)
         if x != y:
             near &= own[:, None] != own[None, :]
@@ -207,7 +257,7 @@ def _across(threshold: float):
 
         for i, j in zip(*np.nonzero(np.triu(near, 1))):
             a, b = top(int(root[i])), top(int(root[j]))
-            if a != b:
+            if a != b and (not (repeats[i] or repeats[j]) or similarity(texts[i], texts[j]) >= threshold - 1e-9):
                 parent[max(a, b)] = min(a, b)
                 yield max(a, b), min(a, b)
 
@@ -232,20 +282,22 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two sets share; columns of the incidence matrix go by blocks."""
+def _products(sets: list[np.ndarray], weights: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sums over the elements that each two sets share of the products of their weights, or how many these are; by blocks of elements."""
     values = np.concatenate(sets)
+    weight = np.concatenate(weights).astype(np.float32) if weights else np.ones(len(values), np.float32)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(values, return_inverse=True, return_counts=True)
     shared = count > 1
-    column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
+    own = shared[column]
+    column, row, weight = (np.cumsum(shared) - 1)[column[own]], row[own], weight[own]
     out = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
+    column, row, weight = column[order], row[order], weight[order]
     for first in range(0, int(shared.sum()), 4096):
         a, z = np.searchsorted(column, [first, first + 4096])
         block = np.zeros((len(sets), 4096), np.float32)
-        block[row[a:z], column[a:z] - first] = 1
+        block[row[a:z], column[a:z] - first] = weight[a:z]
         out += block @ block.T
     return out
 
@@ -291,9 +343,9 @@ def _row(key: str, text: str) -> Column:
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: ``key``, ``class_id`` (the least key of its class), ``class_size``.
 
-    Texts with the same set of shingles are copies. Two texts are linked if
-    their sets of shingles have a Jaccard similarity of ``threshold`` or more;
-    a class is what links connect. A text of fewer than ``words`` words has one
+    Texts with the same shingles as often are copies. Two texts are linked if
+    the probability Jaccard similarity of their shingles, weighted by their
+    counts, is ``threshold`` or more; a class is what links connect. A text of fewer than ``words`` words has one
     shingle, all its words; texts without words, empty and null texts form one
     class. A null key is carried along but gives no class its name, unless all
     keys of the class are null. Repeated rows are copies. An empty table gives
