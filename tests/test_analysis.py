@@ -43,6 +43,28 @@ def test_percentiles_interpolate(rows):
     assert out == {"a": (20.0, 4), "b": (5.0, 1)}
 
 
+@pytest.mark.parametrize("digit", [8, 16, 32])
+def test_percentiles_of_any_long(rows, digit):
+    rnd = random.Random(digit)
+    values = {g: [rnd.choice([rnd.randint(-9, 9), rnd.randint(-(2**62), 2**62), 5]) for _ in range(n)] for g, n in (("a", 301), ("b", 2), (None, 40))}
+    wanted = [(g, rank) for g, own in values.items() if g for rank in (0, 1, len(own) // 2, len(own) - 1)]
+    df = rows("metric string, latency_ns long", [(g, v) for g, own in values.items() for v in own] + [("a", None)])
+    found = M.values_at_ranks(df, "metric", "latency_ns", rows("metric string, rank long", sorted(set(wanted))), digit)
+    assert {(r.metric, r["rank"], r.latency_ns) for r in found.collect()} == {(g, k, sorted(values[g])[k]) for g, k in wanted}
+
+
+def test_percentiles_of_ten_million_distinct_values(spark):
+    rows = spark.range(10_000_000).select(F.lit("m").alias("metric"), (F.col("id") * 7919 % 10_000_019 * 1000).alias("latency_ns"))
+    frame = M.latency_percentiles(rows)
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 6  # one scan a round and those of the totals
+    values = sorted(i * 7919 % 10_000_019 * 1000 for i in range(10_000_000))
+    (got,) = frame.collect()
+    for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        x = p * (len(values) - 1)
+        low, high = values[int(x)], values[min(int(x) + 1, len(values) - 1)]
+        assert got[name] == pytest.approx(low + (high - low) * (x - int(x)))
+
+
 def test_lookahead_and_overfit(rows):
     bars = rows("k int, ts_event long", [(1, 100), (1, 200), (1, 300)])
     fills = rows("k int, ts long", [(1, 99), (1, 100), (1, 400), (1, 401)])

@@ -205,6 +205,29 @@ def test_log_continues_its_sequence(rows):
     assert got == {(1, "a"): 2, (1, "b"): 3, (2, "c"): 0}
 
 
+@pytest.mark.parametrize("near", [64, 0])
+def test_positions_that_are_never_flat_are_split(rows, monkeypatch, near):
+    """Blocks of a position that only grows and shrinks, entered at the exact rounded average; a table too narrow gives way to the whole key."""
+    rnd = random.Random(11)
+    data, net = [], {"A": 0, "B": 0}
+    for i in range(400):
+        symbol = rnd.choice("AAAB")
+        q = rnd.randint(1, 9) if net[symbol] < 12 or rnd.random() < 0.6 else -rnd.randint(1, 9)
+        net[symbol] += q
+        data.append((symbol, i, i, 1 if q > 0 else -1, abs(q), rnd.randint(90, 130), 0))
+    df = rows("symbol string, ts long, seq long, side long, qty_raw long, px_raw long, fee_raw long", data)
+    cuts = measure_cuts(df, ["symbol"], "ts", 40)
+    folded = []
+    inner = PO.fold_groups
+    monkeypatch.setattr(PO, "fold_groups", lambda df, *a, **k: folded.append(df) or inner(df, *a, **k))
+    monkeypatch.setattr(PO, "NEAR", near)
+    want = {(r.symbol, r.seq): (r.net_raw, r.avg_raw, r.realized_raw) for r in PO.average_cost(df, BY_TS).collect()}
+    got = {(r.symbol, r.seq): (r.net_raw, r.avg_raw, r.realized_raw) for r in PO.average_cost(df, Series.of("symbol", ("ts", "seq"), cuts)).collect()}
+    assert got == want and all(n for n, *_ in list(want.values())[20:])
+    if near:
+        assert folded[-1].where("_block < 0").count() == 0 and folded[-1].where("symbol = 'A'").select("_block").distinct().count() > 4
+
+
 # -- execution ------------------------------------------------------------------
 
 BAR = "symbol string, ts_event long, open double, high double, low double, close double, volume double"
@@ -219,10 +242,12 @@ def order(i, side, kind, qty, limit=None, trigger=None, ref=None, offset=None, a
     return (i, "X", 0, 1000, side, kind, qty, limit, trigger, ref, offset, anchor)
 
 
+def bar_table(rows, bars):
+    return rows(BAR, [("X", i + 1, *map(float, x)) for i, x in enumerate(bars)])
+
+
 def life(rows, orders, bars):
-    o = rows(ORD, orders)
-    b = rows(BAR, [("X", i + 1, *map(float, x)) for i, x in enumerate(bars)])
-    return X.life_bars(o, b, bucket_ns=100)
+    return X.life_bars(rows(ORD, orders), bar_table(rows, bars), bucket_ns=100)
 
 
 def got(df):
@@ -280,11 +305,76 @@ def test_stop_limit_rests_from_the_next_bar(rows):
 def test_trailing_stop_ratchets(rows):
     bars = [(100, 104, 99, 104, 20), (104, 110, 103, 109, 20), (109, 109, 104, 105, 20), (105, 120, 90, 100, 20)]
     o = [order(1, -1, "trailing", 4, offset=5.0, anchor=100.0), order(2, -1, "trailing", 4, anchor=100.0)]
-    out = got(X.trailing_fills(life(rows, o, bars), FREE))
+    out = got(X.trailing_fills(rows(ORD, o), bar_table(rows, bars), FREE, bucket_ns=2))
     # trigger 95, 99, then 105: hit on bar 3, and again with the unmoved trigger on bar 4
     assert out == [(1, 3, 2.0, 105.0, "taker"), (1, 4, 2.0, 105.0, "taker")]
 
 
+def random_market(seed, n_bars=70, n_orders=60):
+    rnd = random.Random(seed)
+    bars, px = [], 100.0
+    for _ in range(n_bars):
+        o, px = px, px + rnd.choice([-2.0, -1.0, 0.0, 1.0, 2.0])
+        bars.append((o, max(o, px) + 1, min(o, px) - 1, px, rnd.choice([0, 10, 20, 50, 90])))
+    orders = [
+        (i, "X", rnd.randrange(0, n_bars - 10), rnd.randrange(n_bars - 40, n_bars + 20), rnd.choice([1, -1]), "x", rnd.randint(1, 30), None, None, None, float(rnd.randint(1, 9)), 100.0 + rnd.randint(-4, 4))
+        for i in range(n_orders)
+    ]
+    return bars, orders
+
+
+@pytest.mark.parametrize("block", [None, 9])
+def test_capacity_fills_are_those_of_all_bars(rows, block):
+    """The axis of capacity gives the fills that walking every bar of a life gives."""
+    bars, orders = random_market(5)
+    orders = [(*o[:5], "market", *o[6:]) for o in orders]
+    table, asked = bar_table(rows, bars), rows(ORD, orders)
+    cuts = measure_cuts(table, ["symbol"], "ts_event", block) if block else None
+    want = got(X.market_fills(X.life_bars(asked, table, bucket_ns=8), FREE))
+    assert got(X.capacity_fills(asked, table, FREE, cuts)) == want and len(want) > 100
+    free = CostModel(slippage_bps=0.0, participation_rate=0.0, latency_ns=7)
+    assert got(X.capacity_fills(asked, table, free, cuts)) == got(X.market_fills(X.life_bars(asked, table, bucket_ns=8), free))
+    seen = {r.order_id: r.n_bars for r in X.bars_in_life(asked, table, cuts).collect()}
+    assert seen == {o[0]: sum(o[2] < t <= o[3] for t in range(1, len(bars) + 1)) for o in orders}
+
+
+def test_only_bars_that_fill_are_paired(spark, rows):
+    """No plan of the capacity fills expands a life into its bars."""
+    bars, orders = random_market(6)
+    plan = X.capacity_fills(rows(ORD, orders), bar_table(rows, bars), FREE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "sequence(first_n" in plan
+
+
+def walked_trails(bars, orders):
+    out = []
+    for i, _, start, end, side, _, qty, _, _, _, offset, anchor in orders:
+        left, best = float(qty), anchor
+        for t, (_, high, low, _, volume) in enumerate(bars, 1):
+            if start < t <= end and left > 0:
+                trigger = best + offset * side
+                if high >= trigger if side > 0 else low <= trigger:
+                    fill = min(left, max(volume // 10, 1) if volume else qty)
+                    left -= fill
+                    out.append((i, t, fill, max(trigger, low) if side > 0 else min(trigger, high), "taker"))
+                else:
+                    best = min(best, low) if side > 0 else max(best, high)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bucket", [1, 4, 15, 1000])
+def test_trailing_fills_are_those_of_a_walk(rows, bucket):
+    for seed in (7, 8):
+        bars, orders = random_market(seed)
+        out = got(X.trailing_fills(rows(ORD, orders), bar_table(rows, bars), FREE, bucket_ns=bucket))
+        assert out == walked_trails(bars, orders) and len(out) > 60
+
+
+def test_trailing_stops_open_few_bars_and_no_python(spark, rows):
+    bars, orders = random_market(9)
+    frame = X.trailing_fills(rows(ORD, orders), bar_table(rows, bars), FREE)
+    assert "Python" not in frame._jdf.queryExecution().executedPlan().toString() and "Arrow" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reach_bars_change_no_fill(rows):
     rnd = random.Random(8)
     bars, px = [], 100.0

@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidebook.functions.brokerage import CostModel
+from tidebook.functions.values import int_div
 from tidebook.operators.asof import asof
 from tidebook.operators.bands import band_join, reach_join
-from tidebook.operators.fold import Fold, fold_rows
-from tidebook.operators.series import Cuts, Series
+from tidebook.operators.series import Cuts, Series, measure_cuts
 
 HOUR_NS = 3_600_000_000_000
 
@@ -196,6 +195,87 @@ def next_open_fills(
     return _as_fills(hit.where(still).withColumn("fill_qty", qty), px, "taker", model)
 
 
+def capacity_axis(bars: DataFrame, model: CostModel, cuts: Cuts | None = None) -> DataFrame:
+    """``bars`` on the axis of what their symbol can fill.
+
+    ``n`` numbers the bars of a symbol from 1, ``cap`` is the most a bar fills
+    (null: no cap), ``lots`` the same in lots, ``room`` the lots of all bars up
+    to and with this one, and ``free`` the number of the next bar without a cap.
+    """
+    cap = model.volume_cap(F.col("volume"))
+    lots = F.coalesce(F.round(cap / F.lit(model.lot)).cast("long"), F.lit(0).cast("long"))
+    series = Series.of("symbol", "ts_event", cuts)
+    rows = bars.withColumns({"cap": cap, "lots": lots})
+    rows = series.running(rows, {"n": ("count", F.lit(1)), "room": ("sum", F.col("lots"))})
+    uncapped = F.when(F.col("cap").isNull(), F.col("n"))
+    return series.running(rows, {"free": ("last", uncapped)}, reverse=True)
+
+
+def capacity_fills(
+    orders: DataFrame, bars: DataFrame, model: CostModel, cuts: Cuts | None = None
+) -> DataFrame:
+    """Market orders over several bars: the first at its open, the rest at the close.
+
+    An order takes all of the room of its bars, so its last bar is where the
+    room of its symbol reaches what was there at its decision plus its quantity:
+    an as-of on the axis of capacity.  A bar without a cap fills what is left.
+    Only bars that fill an order are ever paired with it.
+    """
+    axis = capacity_axis(bars, model, cuts)
+    dated = asof(
+        orders,
+        axis.withColumn("before", F.col("room") - F.col("lots")),
+        "symbol",
+        left_at="ts_decision",
+        right_at="ts_event",
+        values={"first_n": "n", "before": "before", "free": "free"},
+        direction="forward",
+        cuts=cuts,
+    ).where(F.col("first_n").isNotNull() & (F.col("qty") > 0))
+    ended = asof(
+        dated,
+        axis,
+        "symbol",
+        left_at="valid_to",
+        right_at="ts_event",
+        values={"end_n": "n"},
+        cuts=cuts,
+    ).where(F.col("end_n") >= F.col("first_n"))
+    need = F.ceil(F.col("qty").cast("double") / F.lit(model.lot) - F.lit(1e-9)).cast("long")
+    capped = axis.where(F.col("cap").isNotNull())
+    full = asof(
+        ended.withColumn("_need", F.col("before") + need - 1),
+        capped.select("symbol", "room", "n"),
+        "symbol",
+        left_at="_need",
+        right_at="room",
+        values={"full_n": "n"},
+        direction="forward",
+        cuts=measure_cuts(capped, ["symbol"], "room", cuts.rows_per_block) if cuts else None,
+    )
+    last = F.least("end_n", F.coalesce("full_n", "end_n"), F.coalesce("free", "end_n"))
+    steps = full.withColumn("n", F.explode(F.sequence(F.col("first_n"), last)))
+    rows = steps.drop("free").join(axis.drop("free"), ["symbol", "n"])
+    used = (F.col("room") - F.col("lots") - F.col("before")).cast("double") * F.lit(model.lot)
+    left = F.col("qty").cast("double") - used
+    rows = rows.withColumn("fill_qty", F.least(F.coalesce("cap", left), left))
+    ref = F.when(F.col("n") == F.col("first_n"), F.col("open")).otherwise(F.col("close"))
+    px = model.fill_price(F.col("side"), ref, F.col("low"), F.col("high"))
+    return _as_fills(rows.where(F.col("fill_qty") > 0), px, "taker", model)
+
+
+def bars_in_life(orders: DataFrame, bars: DataFrame, cuts: Cuts | None = None) -> DataFrame:
+    """``orders`` with ``n_bars``, the bars after the decision up to ``valid_to``: by their numbers, without pairing them."""
+    numbered = Series.of("symbol", "ts_event", cuts).running(bars, {"_n": ("count", F.lit(1))})
+
+    def at(df: DataFrame, column: str, name: str) -> DataFrame:
+        return asof(df, numbered, "symbol", left_at=column, right_at="ts_event", values={name: "_n"}, cuts=cuts)
+
+    both = at(at(orders, "ts_decision", "_from"), "valid_to", "_to")
+    n = F.coalesce("_to", F.lit(0)) - F.coalesce("_from", F.lit(0))
+    return both.withColumn("n_bars", F.greatest(n, F.lit(0)).cast("long")).drop("_from", "_to")
+
+
 def market_fills(pairs: DataFrame, model: CostModel) -> DataFrame:
     """Market orders over several bars: the first at its open, the rest at the close."""
     rows = allocate(pairs.where(F.col("type") == "market"), model, F.lit(True))
@@ -300,50 +380,110 @@ def stop_limit_fills(pairs: DataFrame, model: CostModel) -> DataFrame:
     return limit_fills(rows.where(F.col("hit_ts").isNotNull()), model, F.col("hit_ts"))
 
 
-class Trail:
-    """Open quantity and best price of one trailing stop."""
+def _block_moves(bars: DataFrame, bucket_ns: int) -> DataFrame:
+    """Per (symbol, bucket): extremes, the largest rise from an earlier low to a high, and the largest fall."""
+    w = Window.partitionBy("symbol", "_b").orderBy("ts_event").rowsBetween(Window.unboundedPreceding, -1)
+    rows = bars.withColumn("_b", int_div(F.col("ts_event"), bucket_ns))
+    rows = rows.withColumns({"_rise": F.col("high") - F.min("low").over(w), "_fall": F.max("high").over(w) - F.col("low")})
+    return rows.groupBy("symbol", "_b").agg(
+        F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.max("_rise").alias("_rise"), F.max("_fall").alias("_fall")
+    )
 
-    __slots__ = ("left", "best")
 
-    def __init__(self):
-        self.left, self.best = None, None
+def _passages(pairs: DataFrame, entry: Column, *group: str) -> DataFrame:
+    """Each pair with ``_best`` before its bar and whether it is hit, as long as none of its group was."""
+    w = Window.partitionBy("order_id", *group).orderBy("ts_event").rowsBetween(Window.unboundedPreceding, -1)
+    rows = pairs.withColumn("_best", F.least(entry, F.min("_near").over(w)))
+    return rows.withColumn("_hit", F.col("_far") >= F.col("_best") + F.col("offset"))
 
-    def bar(self, side, qty, offset, anchor, low, high, cap) -> tuple[float, float]:
-        """Fill and trigger of one bar; an un-hit bar tightens the trigger."""
-        if self.left is None:
-            self.left, self.best = float(qty), anchor
-        trigger = self.best + offset if side > 0 else self.best - offset
-        hit = high >= trigger if side > 0 else low <= trigger
-        if not hit:
-            self.best = min(self.best, low) if side > 0 else max(self.best, high)
-            return 0.0, trigger
-        fill = min(cap, self.left)
-        self.left -= fill
-        return fill, trigger
 
+def first_passages(orders: DataFrame, bars: DataFrame, bucket_ns: int = 12 * HOUR_NS) -> DataFrame:
+    """The first bar of each trailing stop's life that hits it, with the best price before.
 
-def trailing_fills(pairs: DataFrame, model: CostModel) -> DataFrame:
+    Prices are mirrored for sells (``_far`` is the side that triggers, ``_near``
+    the side that tightens), so every order waits for a rise of ``offset`` over
+    its best.  The bars of the bucket it is decided in are walked; of the later
+    buckets only the extremes and the largest rise are read, which tell the first
+    one that holds the passage, and only that one is opened.
+    """
+    buy = F.col("side") > 0
+    near, far = (F.when(buy, F.col(x)).otherwise(-F.col(y)) for x, y in (("low", "high"), ("high", "low")))
+    start = F.when(buy, F.col("anchor")).otherwise(-F.col("anchor")).cast("double")
+    orders = orders.where((F.col("offset") > 0) & (F.col("valid_to") > F.col("ts_decision"))).withColumns(
+        {"_best0": start, "_b": int_div(F.col("ts_decision"), bucket_ns), "_end": int_div(F.col("valid_to"), bucket_ns)}
+    )
+    placed = bars.withColumn("_b", int_div(F.col("ts_event"), bucket_ns))
+    inside = (F.col("ts_event") > F.col("ts_decision")) & (F.col("ts_event") <= F.col("valid_to"))
+
+    def opened(blocks: DataFrame) -> DataFrame:
+        return blocks.join(placed, ["symbol", "_b"]).where(inside).withColumns({"_near": near, "_far": far})
+
+    bar = F.struct("ts_event", "low", "high", "volume", F.col("_best").alias("best"))
+    hit = F.min_by(bar, F.when(F.col("_hit"), F.col("ts_event"))).alias("hit")
+    own = _passages(opened(orders), F.col("_best0")).groupBy("order_id").agg(hit, F.min("_near").alias("_low0"))
+    dated = orders.join(own, "order_id", "left")
+
+    # buckets after the first, by their extremes
+    later = dated.where(F.col("hit").isNull() & (F.col("_end") > F.col("_b"))).drop("hit")
+    later = later.withColumn("_b", F.explode(F.sequence(F.col("_b") + 1, F.col("_end"))))
+    moves = later.join(_block_moves(bars, bucket_ns), ["symbol", "_b"])
+    lowest = F.when(buy, F.col("_lo")).otherwise(-F.col("_hi"))
+    highest = F.when(buy, F.col("_hi")).otherwise(-F.col("_lo"))
+    rise = F.coalesce(F.when(buy, F.col("_rise")).otherwise(F.col("_fall")), F.lit(float("-inf")))
+    w = Window.partitionBy("order_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    moves = moves.withColumn("_entry", F.least("_best0", "_low0", F.min(lowest).over(w)))
+    # A rise is a difference, rounded once more than the comparison with a trigger: near ties are opened too.
+    slack = F.abs(highest) * F.lit(1e-12)
+    over = highest >= F.col("_entry") + F.col("offset")
+    moves = moves.withColumns({"_maybe": over | (rise >= F.col("offset") - slack), "_sure": over | (rise >= F.col("offset") + slack)})
+    sure = F.min(F.when(F.col("_sure"), F.col("_b"))).over(Window.partitionBy("order_id"))
+    moves = moves.withColumn("_last", F.coalesce(sure, F.col("_end"))).where(F.col("_maybe") & (F.col("_b") <= F.col("_last")))
+    found = _passages(opened(moves), F.col("_entry"), "_b").groupBy("order_id").agg(hit)
+    hits = dated.where(F.col("hit").isNotNull()).select("order_id", "hit").unionByName(found.where(F.col("hit").isNotNull()))
+    return orders.drop("_b", "_end", "_best0").join(hits, "order_id").select("*", "hit.*").drop("hit")
+
+
+def trailing_fills(
+    orders: DataFrame, bars: DataFrame, model: CostModel, bucket_ns: int = 12 * HOUR_NS
+) -> DataFrame:
     """Trailing stops: the trigger follows the best price of un-hit bars.
 
     ``anchor`` is the mark at submission and ``offset`` the distance kept; an
     order without an offset rests inert.  A bar either hits the trigger and
-    fills or tightens it, so the bars of an order are walked in order.
+    fills or tightens it.  The first hit comes from ``first_passages``; only
+    what a volume cap leaves of an order is walked on, bar after bar.
     """
     qty = F.col("qty").cast("double")
-    cap = F.coalesce(model.volume_cap(F.col("volume")), qty)
-    rows = pairs.where(F.col("offset") > 0).withColumn("_cap", cap)
-    fold = Fold(
-        Trail,
-        lambda trail, row: trail.bar(*row),
-        ("side", "qty", "offset", "anchor", "low", "high", "_cap"),
-        (
-            T.StructField("fill_qty", T.DoubleType()),
-            T.StructField("trigger", T.DoubleType()),
-        ),
+    buy = F.col("side") > 0
+    first = first_passages(orders, bars, bucket_ns).withColumn("_cap", F.coalesce(model.volume_cap(F.col("volume")), qty))
+    first = first.withColumn("fill_qty", F.least("_cap", qty))
+    shape = ["order_id", "symbol", "side", "ts_event", "low", "high", "fill_qty", "trigger"]
+    mirrored = F.col("best") + F.col("offset")
+    hits = first.withColumn("trigger", F.when(buy, mirrored).otherwise(-mirrored)).select(*shape)
+
+    tails = first.where(F.col("fill_qty") < qty).select(
+        "order_id", "symbol", "side", "offset", "best", "valid_to", qty.alias("qty"), (qty - F.col("fill_qty")).alias("_left"), F.col("ts_event").alias("_from")
     )
-    keep = ["order_id", "symbol", "side", "ts_event", "low", "high"]
-    walked = fold_rows(rows, Series.of("order_id", "ts_event"), fold, keep=keep)
-    return _stop_out(walked.where(F.col("fill_qty") > 0), model, F.col("trigger"))
+    capped = bars.select("symbol", "ts_event", "low", "high", model.volume_cap(F.col("volume")).alias("_cap"))
+    pairs = band_join(tails, capped, ["symbol"], start="_from", end="valid_to", at="ts_event", bucket_ns=bucket_ns)
+    bar = F.struct("ts_event", "low", "high", F.coalesce("_cap", "qty").alias("cap"))
+    order = ["order_id", "symbol", "side", "offset", "best", "_left"]
+    walks = pairs.groupBy(*order).agg(F.array_sort(F.collect_list(bar)).alias("_bars"))
+    kind = "array<struct<ts_event: bigint, low: double, high: double, fill_qty: double, trigger: double>>"
+
+    def step(state: Column, b: Column) -> Column:
+        trigger = state["best"] + F.col("offset")
+        far = F.when(buy, b["high"]).otherwise(-b["low"])
+        near = F.when(buy, b["low"]).otherwise(-b["high"])
+        hit = (far >= trigger) & (state["left"] > 0)
+        fill = F.when(hit, F.least(b["cap"], state["left"])).otherwise(F.lit(0.0))
+        row = F.struct(b["ts_event"].alias("ts_event"), b["low"].alias("low"), b["high"].alias("high"), fill.alias("fill_qty"), F.when(buy, trigger).otherwise(-trigger).alias("trigger"))
+        fills = F.when(hit, F.concat(state["fills"], F.array(row).cast(kind))).otherwise(state["fills"])
+        return F.struct((state["left"] - fill).alias("left"), F.when(hit, state["best"]).otherwise(F.least(state["best"], near)).alias("best"), fills.alias("fills"))
+
+    none = F.struct(F.col("_left").alias("left"), F.col("best").alias("best"), F.array().cast(kind).alias("fills"))
+    walked = walks.select("order_id", "symbol", "side", F.explode(F.aggregate("_bars", none, step, lambda state: state["fills"])).alias("_f"))
+    return _stop_out(hits.unionByName(walked.select("order_id", "symbol", "side", "_f.*").select(*shape)), model, F.col("trigger"))
 
 
 def unfillable(orders: DataFrame) -> DataFrame:

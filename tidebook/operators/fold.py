@@ -9,6 +9,7 @@ Rows that reset the state mark where a long series may be split.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -70,6 +71,48 @@ def fold_groups(
     return ordered.mapInArrow(_walk(fold, group, keep), schema)
 
 
+def reduce_groups(
+    df: DataFrame,
+    group: list[str],
+    by: list[str],
+    start: Callable[[], object],
+    inputs: tuple[str, ...],
+    outputs: tuple[T.StructField, ...],
+) -> DataFrame:
+    """One row for each group: ``group`` and what ``start()`` gives after all rows, in order.
+
+    The state has ``take(*arrays)``, called with the ``inputs`` of consecutive
+    rows as numpy arrays, and ``result()``, the output values.
+    """
+    slim = df.select(*dict.fromkeys([*group, *by, *inputs]))
+    schema = T.StructType([*[slim.schema[c] for c in group], *outputs])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            keys = list(zip(*[batch.column(g).to_pylist() for g in group]))
+            arrays = [batch.column(c).to_numpy(zero_copy_only=False) for c in inputs]
+            done, at = [], 0
+            while at < len(keys):
+                end = bisect.bisect_right(range(len(keys)), False, lo=at, key=lambda i: keys[i] != keys[at])
+                if keys[at] != current:
+                    if state is not None:
+                        done.append((*current, *state.result()))
+                    current, state = keys[at], start()
+                state.take(*[a[at:end] for a in arrays])
+                at = end
+            yield _batch(done)
+        if state is not None:
+            yield _batch([(*current, *state.result())])
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[] for _ in types]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=schema.names)
+
+    return slim.repartition(*group).sortWithinPartitions(*group, *by).mapInArrow(run, schema)
+
+
 def fold_rows(
     df: DataFrame,
     series: Series,

@@ -100,41 +100,54 @@ def return_histogram(steps: DataFrame, keys: tuple[str, ...], bins: int = 40) ->
     )
 
 
+#: Bits of a value that one round of ``values_at_ranks`` tells apart.
+DIGIT = 16
+
+
+def values_at_ranks(df: DataFrame, by: str, value: str, wanted: DataFrame, digit: int = DIGIT) -> DataFrame:
+    """``wanted`` (``by``, rank from 0) with ``value``, the one at that rank of its group.
+
+    Radix selection on a long column: rows are counted by their leading digits,
+    running counts over at most ``2**digit`` of these tell in which one a rank
+    lies, and the next round counts only the rows below that one by their next
+    digits.  No task ever orders more than ``2**digit`` counts, however many
+    distinct values a group has.
+    """
+    name = wanted.schema[by].dataType
+    rows = df.select(F.col(by).alias("_g"), F.col(value).cast("long").alias("_v")).where("_v is not null")
+    at = wanted.select(F.col(by).alias("_g"), "rank", F.col("rank").alias("left"), F.lit(0).cast("long").alias("_head"))
+    for low in range(64 - digit, -1, -digit):
+        # every head carries the ranks looked for in it, so each round reads the last one once
+        heads = at.groupBy("_g", "_head").agg(F.collect_list(F.struct("rank", "left")).alias("_ranks"))
+        head = F.shiftright("_v", low + digit) if low < 64 - digit else F.lit(0).cast("long")
+        own = rows.withColumn("_head", head).join(heads, ["_g", "_head"])
+        counts = own.groupBy("_g", "_head", F.shiftright("_v", low).alias("_next")).agg(F.count(F.lit(1)).alias("_n"), F.first("_ranks").alias("_ranks"))
+        w = Window.partitionBy("_g", "_head").orderBy("_next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = counts.withColumn("_upto", F.sum("_n").over(w))
+        before = F.col("_upto") - F.col("_n")
+        inside = F.filter("_ranks", lambda r: (r["left"] < F.col("_upto")) & (r["left"] >= before))
+        at = counts.select("_g", F.col("_next").alias("_head"), before.alias("_before"), F.explode(inside).alias("_r"))
+        at = at.select("_g", "_head", "_r.rank", (F.col("_r.left") - F.col("_before")).alias("left"))
+    return at.select(F.col("_g").cast(name).alias(by), "rank", F.col("_head").alias(value))
+
+
 def latency_percentiles(
     events: DataFrame,
     by: str = "metric",
     probs: tuple[float, ...] = (0.5, 0.95, 0.99),
-    cuts: Cuts | None = None,
+    digit: int = DIGIT,
 ) -> DataFrame:
-    """Exact interpolated percentiles of ``latency_ns`` per metric.
-
-    Distinct values are counted before the shuffle and ranked with a running
-    count, so no task ever holds the values of a metric.
-    """
-    counted = events.groupBy(by, "latency_ns").agg(F.count(F.lit(1)).alias("_n"))
-    series = Series.of(by, "latency_ns", cuts)
-    ranked = series.running(counted, {"_upto": ("sum", F.col("_n"))})
-    totals = counted.groupBy(by).agg(F.sum("_n").alias("n"))
-    joined = ranked.join(totals, by)
-
-    def at(index):
-        inside = (F.col("_upto") - F.col("_n") <= index) & (index < F.col("_upto"))
-        return F.max(F.when(inside, F.col("latency_ns")))
-
-    cols = {}
-    for p in probs:
-        pos = F.lit(p) * (F.col("n") - 1)
-        low = F.floor(pos)
-        cols[p] = (at(low), at(F.least(low + 1, F.col("n") - 1)))
-    agg = joined.groupBy(by, "n").agg(
-        *[c.alias(f"_{side}{i}") for i, pair in enumerate(cols.values()) for side, c in zip("lh", pair)]
-    )
+    """Exact interpolated percentiles of ``latency_ns`` per metric, by the values at the ranks about them."""
+    totals = events.where(F.col("latency_ns").isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    places = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    ranks = F.array_distinct(F.array(*[F.floor(x) for x in places], *[F.ceil(x) for x in places]))
+    found = values_at_ranks(events, by, "latency_ns", totals.select(by, F.explode(ranks).alias("rank")), digit)
+    held = totals.join(found.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("rank", "latency_ns"))).alias("_at")), by)
     out = []
-    for i, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("n") - 1)
-        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
-        out.append((low + (high - low) * (pos - F.floor(pos))).alias(f"p{round(p * 100)}"))
-    return agg.select(by, *out, "n")
+    for p, x in zip(probs, places):
+        low, high = F.col("_at")[F.floor(x)], F.col("_at")[F.ceil(x)]
+        out.append((low + (high - low) * (x - F.floor(x))).alias(f"p{round(p * 100)}"))
+    return held.select(by, *out, "n")
 
 
 def run_counters(order_events: DataFrame, curve: DataFrame, by: str = "run_id") -> DataFrame:

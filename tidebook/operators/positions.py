@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebook.functions.brokerage import notional, pnl_per_unit
-from tidebook.operators.fold import Fold, fold_rows
-from tidebook.operators.series import Series
+from tidebook.functions.values import int_div
+from tidebook.operators.fold import Fold, fold_groups, fold_rows, reduce_groups
+from tidebook.operators.series import RN, Series
+from tidebook.session import staged
+
+#: How far from the expected average a block's table of averages reaches, on both sides.
+NEAR = 64
 
 
 def half_even(num: int, den: int) -> int:
@@ -44,6 +49,16 @@ class AverageCost:
         return gain
 
 
+class _Seeded(AverageCost):
+    """A position that takes over the state of an earlier block on its first fill."""
+
+    __slots__ = ("fresh",)
+
+    def __init__(self):
+        super().__init__()
+        self.fresh = True
+
+
 def _linear(mult: int):
     return lambda entry, exit_, qty: (exit_ - entry) * qty * mult if entry else 0
 
@@ -92,15 +107,122 @@ def average_cost(
         ("side", "qty_raw", "px_raw", "fee_raw", "multiplier", "is_inverse"),
         tuple(T.StructField(n, long) for n in ("net_raw", "avg_raw", "realized_step")),
     )
-    # A fill that finds the position flat does not depend on earlier ones.
     if series.is_split:
-        signed = F.col("side") * F.col("qty_raw")
-        df = series.running(df, {"_net": ("sum", signed)}, include_current=False)
-        df = df.withColumn("_flat", F.coalesce("_net", F.lit(0)) == 0)
-    steps = fold_rows(df, series, fold, restart="_flat")
+        steps = _in_blocks(df, series, fold)
+    else:
+        steps = fold_rows(df, series, fold)
     return series.running(steps, {"realized_raw": ("sum", F.col("realized_step"))})
 
 
+class _Drift:
+    """The average after a block as ``a * (average before it) + b``, without rounding."""
+
+    def __init__(self):
+        self.a, self.b = 1.0, 0.0
+
+    def take(self, net, signed, px):
+        a, b = self.a, self.b
+        for n, s, p in zip(net.tolist(), signed.tolist(), px.tolist()):
+            if n == 0 or (n > 0) != (s > 0) and abs(s) > abs(n):
+                a, b = 0.0, float(p)
+            elif (n > 0) == (s > 0) and s:
+                share = abs(n) / abs(n + s)
+                a, b = a * share, b * share + p * (1.0 - share)
+        self.a, self.b = a, b
+
+    def result(self):
+        return self.a, self.b
+
+
+class _Averages:
+    """The rounded average after a block for every average before it that is near the expected one.
+
+    Averages that meet stay together, so few are left to be walked soon.
+    """
+
+    def __init__(self):
+        self.values = None
+
+    def take(self, net, signed, px, expected):
+        if self.values is None:
+            self.low = round(float(expected[0])) - NEAR
+            self.values, self.of = [self.low + i for i in range(2 * NEAR + 1)], range(2 * NEAR + 1)
+        for n, s, p in zip(net.tolist(), signed.tolist(), px.tolist()):
+            if n == 0 or (n > 0) != (s > 0) and abs(s) > abs(n):
+                self.values, self.of = [p], [0] * len(self.of)
+            elif (n > 0) == (s > 0) and s:
+                size, more = abs(n), abs(s)
+                moved = [half_even(v * size + p * more, size + more) for v in self.values]
+                if moved[0] != moved[-1] or len(moved) > 1:
+                    kept = sorted(set(moved))
+                    if len(kept) < len(moved):
+                        place = {v: i for i, v in enumerate(kept)}
+                        self.of = [place[moved[i]] for i in self.of]
+                        moved = kept
+                self.values = moved
+
+    def result(self):
+        return self.low, [self.values[i] for i in self.of]
+
+
+def _chained(blocks: DataFrame, keys: list[str], start: Column, step, kind: str) -> DataFrame:
+    """(keys, block, entry): the value that enters each block, where ``step(value, row)`` leaves it.
+
+    One row for each block of a key is gathered, a few of millions of fills.
+    """
+    rest = [c for c in blocks.columns if c not in keys]
+    rows = F.array_sort(F.collect_list(F.struct(*rest)))
+
+    def add(state: Column, row: Column) -> Column:
+        entries = F.concat(state["entries"], F.array(F.struct(row["_block"].alias("_block"), state["value"].alias("entry"))))
+        return F.struct(step(state["value"], row).cast(kind).alias("value"), entries.alias("entries"))
+
+    none = F.struct(start.cast(kind).alias("value"), F.array().cast(f"array<struct<_block: bigint, entry: {kind}>>").alias("entries"))
+    entries = F.aggregate("_rows", none, add, lambda state: state["entries"])
+    return blocks.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
+
+
+def _in_blocks(df: DataFrame, series: Series, fold: Fold) -> DataFrame:
+    """The fold with every long key cut into blocks, also where the position is never flat.
+
+    What enters a block is its size, a prefix sum, and its average, which is
+    rounded after each fill.  Without rounding a block maps averages affinely, so
+    composing the blocks tells the average expected at each, and rounding moves
+    it by little.  Each block then works out what it makes of every average near
+    the expected one, and composing these tables gives the exact one: the block
+    is folded from there.  Should an average ever leave its table, the key is
+    folded as a whole.
+    """
+    keys, by = list(series.keys), list(series.by)
+    signed = F.col("side") * F.col("qty_raw")
+    rows = series.running(df.withColumn("_signed", signed), {"_net": ("sum", F.col("_signed"))}, include_current=False)
+    rows = series.number(rows.withColumn("_net", F.coalesce("_net", F.lit(0)).cast("long")))
+    rows = rows.withColumn("_block", int_div(F.col(RN), series.rows_per_block)).drop(RN)
+    rows = staged(rows)
+    group, double = [*keys, "_block"], T.DoubleType()
+    drift = reduce_groups(rows, group, by, _Drift, ("_net", "_signed", "px_raw"), (T.StructField("a", double), T.StructField("b", double)))
+    expected = _chained(drift, keys, F.lit(0.0), lambda v, r: v * r["a"] + r["b"], "double").withColumnRenamed("entry", "_expected")
+    tables = reduce_groups(
+        rows.join(expected, group), group, by, _Averages, ("_net", "_signed", "px_raw", "_expected"),
+        (T.StructField("low", T.LongType()), T.StructField("after", T.ArrayType(T.LongType()))),
+    )
+    after = lambda v, r: F.when(F.array_min(r["after"]) == F.array_max(r["after"]), r["after"][0]).otherwise(F.get(r["after"], (v - r["low"]).cast("int")))
+    entries = _chained(tables, keys, F.lit(0), after, "bigint")
+    entries = entries.withColumn("_lost", F.max(F.col("entry").isNull()).over(Window.partitionBy(*keys)))
+    rows = rows.join(entries, group)
+
+    def apply(book: AverageCost, row: tuple) -> tuple:
+        *own, net, entry = row
+        if book.fresh and entry is not None:
+            book.net, book.avg = net, entry
+        book.fresh = False
+        return fold.apply(book, tuple(own))
+
+    seeded = Fold(_Seeded, apply, (*fold.inputs, "_net", "entry"), fold.outputs)
+    whole = rows.where("_lost").withColumns({"_block": F.lit(-1).cast("long"), "entry": F.lit(None).cast("long")})
+    return fold_groups(rows.where("not _lost").unionByName(whole), group, by, seeded, keep=[*keys, *by])
+
+
 def latest(positions: DataFrame, series: Series) -> DataFrame:
     """Last row of each series."""
     order = F.struct(*series.by)

@@ -209,6 +209,12 @@ def avg_cost_positions(m: Market):
     return out.select("symbol", "seq", "net_raw", "avg_raw", "realized_raw")
 
 
+@query("avg_cost_positions_blocked", sql(_AVG_OUT, "fills"))
+def avg_cost_positions_blocked(m: Market):
+    """The same positions with each supplier cut into blocks of 150 fills, flat or not."""
+    return avg_cost_positions(Market(m.spark, m.dir, rows_per_block=150))
+
+
 def _holdings(m: Market):
     """Final position per supplier, marked at its last fill price."""
     pos = PO.latest(PO.average_cost(_raw(m), m.fill_series), m.fill_series)
@@ -582,6 +588,19 @@ def latency_percentiles(m: Market):
     return M.latency_percentiles(rows).select("metric", *_r("p50", "p95", "p99"), "n")
 
 
+@query(
+    "latency_percentiles_spread",
+    f"""
+SELECT event_type AS metric, {R('quantile_cont(l, 0.5)')} AS p50, {R('quantile_cont(l, 0.95)')} AS p95,
+ {R('quantile_cont(l, 0.99)')} AS p99, count(*) AS n FROM (SELECT event_type, (event_id * 7919 - 30000) * 1000003 AS l FROM events) GROUP BY 1
+""",
+)
+def latency_percentiles_spread(m: Market):
+    """Nearly all latencies are distinct and some are negative."""
+    rows = m.ticks.select(F.col("symbol").alias("metric"), ((F.col("seq") * 7919 - 30000) * 1000003).alias("latency_ns"))
+    return M.latency_percentiles(rows).select("metric", *_r("p50", "p95", "p99"), "n")
+
+
 @query(
     "run_counters",
     sql(

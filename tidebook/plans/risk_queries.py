@@ -132,7 +132,23 @@ def next_open_fills(m: Market):
     ),
 )
 def participation_fills(m: Market):
-    return _fills_out(X.market_fills(_life(m, "market"), MODEL))
+    orders = m.orders.where(F.col("type") == "market")
+    return _fills_out(X.capacity_fills(orders, m.bars, MODEL, m.tick_cuts))
+
+
+@query(
+    "participation_fills_blocked",
+    sql(
+        _fills_sql(
+            _alloc("life", "type = 'market'"),
+            _slip("CASE WHEN bar_no = 1 THEN open ELSE close END"),
+            "'taker'",
+        ),
+        "life",
+    ),
+)
+def participation_fills_blocked(m: Market):
+    return participation_fills(Market(m.spark, m.dir, rows_per_block=700))
 
 
 _TAKES = """(bar_no = 1 AND CASE WHEN side > 0 THEN ref <= "limit" ELSE ref >= "limit" END)"""
@@ -236,10 +252,10 @@ w AS (
     ),
 )
 def trailing_fills(m: Market):
-    rows = _life(m, "stop").withColumns(
+    orders = m.orders.where(F.col("type") == "stop").withColumns(
         {"offset": F.abs(F.col("ref") - F.col("trigger")) * 2, "anchor": F.col("ref")}
     )
-    return _fills_out(X.trailing_fills(rows, MODEL))
+    return _fills_out(X.trailing_fills(orders, m.bars, MODEL))
 
 
 @query(
@@ -257,11 +273,38 @@ SELECT c.order_id, c.cut AS valid_to, count(b.ts_event) AS n_bars FROM c LEFT JO
 def canceled_orders(m: Market):
     cancels = m.orders.select("order_id", (F.col("ts_decision") + HOUR * F.col("qty")).alias("ts"))
     bounded = X.open_orders_at(m.orders, cancels)
-    seen = X.life_bars(bounded, m.bars, bucket_ns=48 * HOUR).groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n")
+    return X.bars_in_life(bounded, m.bars, m.tick_cuts).select("order_id", "valid_to", "n_bars")
+
+
+@query(
+    "canceled_order_fills",
+    sql(
+        f"""
+WITH c AS (SELECT * REPLACE (least(valid_to, ts_decision + 3600000000000 * (order_id % 7)) AS valid_to) FROM life WHERE type = 'market'),
+f AS (SELECT order_id, fill, ts_event FROM {_alloc('c', 'ts_event <= valid_to')})
+SELECT o.order_id, least(o.valid_to, o.ts_decision + 3600000000000 * (o.order_id % 7)) AS valid_to, {R('coalesce(sum(f.fill), 0)')} AS filled,
+ max(f.ts_event) AS last_fill, coalesce(sum(f.fill), 0) < any_value(o.qty) AS cut_short, coalesce(max(f.ts_event) > least(o.valid_to, o.ts_decision + 3600000000000 * (o.order_id % 7)), false) AS filled_after
+FROM order_table o LEFT JOIN f ON f.order_id = o.order_id WHERE o.type = 'market' GROUP BY o.order_id, o.valid_to, o.ts_decision
+""",
+        "order_table",
+        "life",
+    ),
+)
+def canceled_order_fills(m: Market):
+    orders = m.orders.where(F.col("type") == "market")
+    cancels = orders.select("order_id", (F.col("ts_decision") + HOUR * (F.col("order_id") % 7)).alias("ts"))
+    bounded = X.open_orders_at(orders, cancels)
+    fills = X.capacity_fills(bounded, m.bars, MODEL, m.tick_cuts).groupBy("order_id").agg(
+        F.sum("qty").alias("filled"), F.max("ts_event").alias("last_fill")
     )
-    return bounded.join(seen, "order_id", "left").select(
-        "order_id", "valid_to", F.coalesce("n", F.lit(0)).alias("n_bars")
+    filled = F.coalesce("filled", F.lit(0.0))
+    return bounded.join(fills, "order_id", "left").select(
+        "order_id",
+        "valid_to",
+        r(filled).alias("filled"),
+        "last_fill",
+        (filled < F.col("qty")).alias("cut_short"),
+        F.coalesce(F.col("last_fill") > F.col("valid_to"), F.lit(False)).alias("filled_after"),
     )
 
 
