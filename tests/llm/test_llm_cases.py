@@ -292,6 +292,44 @@ def test_toxicity_learns_what_marks_toxic_texts(rows):
     assert toxicity.keep_clean(docs, model).count() == 225
 
 
+def test_phrases_of_ordinary_words_are_seen(rows):
+    """Toxic only by a phrase whose words are ordinary: found, with next to no false alarms."""
+    random.seed(4)
+    words = ["".join(random.choices("aeionrst", k=random.randint(2, 7))) for _ in range(400)]
+
+    def text(i):
+        out = random.choices(words, k=random.randint(30, 300))
+        if i % 3 == 0:
+            at = random.randrange(len(out))
+            out[at:at] = words[:4]
+        return " ".join(out)
+
+    docs = rows("doc_id long, text string", [(i, text(i)) for i in range(900)])
+    model = toxicity.train(docs, rows("doc_id long, toxic int", [(i, int(i % 3 == 0)) for i in range(900)]).where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model).where(toxicity.held_out()).collect()
+    found = collections.Counter((r.doc_id % 3 == 0, r.score >= 0.5) for r in scored)
+    assert found[False, True] <= 0.05 * (found[False, True] + found[False, False])
+    assert found[True, True] >= 0.9 * (found[True, True] + found[True, False])
+
+
+def test_whole_texts_are_learnt_from(rows):
+    """What marks a text stands far behind its beginning."""
+    docs, labels = toxic_corpus(rows)
+    words = ["".join(random.choices("aeionrst", k=random.randint(2, 7))) for _ in range(400)]
+    long = rows("doc_id long, text string", [(r.doc_id, " ".join([*random.choices(words, k=4000), r.text])) for r in docs.collect()])
+    model = toxicity.train(long, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, model).where(toxicity.held_out()).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in scored) >= 0.9 * len(scored)
+
+
+def test_windows_cover_every_run_of_five_words():
+    words = [b"%d" % i for i in range(41)]
+    for n in range(42):
+        windows = [w.split() for w in toxicity.windows_of(words[:n])]
+        assert all(any(words[k : k + 5] == w[i : i + 5] for w in windows for i in range(len(w))) for k in range(n - 4))
+        assert {w for own in windows for w in own} == {*words[:n]}
+
+
 def test_toxicity_cases(rows, docs, empty):
     corpus, labels = toxic_corpus(rows, 60)
     model = toxicity.train(corpus, labels)
