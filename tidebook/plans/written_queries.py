@@ -75,6 +75,22 @@ def lake_written_series(m: Market):
     return lake.series(lake.scan(m.spark, _written(m)))
 
 
+@query(
+    "lake_written_coverage",
+    sql(
+        f"""
+SELECT venue, symbol, "interval", count(*) AS n_rows, min(ts_event) AS start_ns, max(ts_event) AS end_ns,
+ strftime(make_timestamp(min(ts_event) // 1000), '%Y-%m-%dT%H:%M:%SZ') AS start_utc,
+ strftime(make_timestamp(max(ts_event) // 1000), '%Y-%m-%dT%H:%M:%SZ') AS end_utc
+FROM ({_LAKE}) GROUP BY 1, 2, 3
+""",
+        "bars",
+    ),
+)
+def lake_written_coverage(m: Market):
+    return lake.coverage_text(lake.footer_coverage(m.spark, _written(m), "SIM"))
+
+
 @query(
     "csv_bars",
     """
