@@ -65,6 +65,20 @@ def test_percentiles_of_ten_million_distinct_values(spark):
         assert got[name] == pytest.approx(low + (high - low) * (x - int(x)))
 
 
+def test_refit_on_all_rows_and_history(rows):
+    scores = rows(
+        "k string, fold long, role string, combo long, fast int, slow int, score double",
+        [("x", f, role, c, 2 + c, 9, s) for f, role, c, s in [(0, "train", 0, 1.0), (0, "train", 1, 2.0), (0, "test", 0, 5.0), (0, "test", 1, 0.0), (-1, "all", 0, 3.0), (-1, "all", 1, 2.5)]],
+    )
+    (best,) = W.refit(scores, ["k"]).collect()
+    assert (best.k, best.fast, best.score) == ("x", 2, 3.0)
+    trials = {(r.fold, r.role, r.fast, r.slow): r.score for r in W.history(scores, ["k"], [{"fast": 9, "slow": 9}]).collect()}
+    bad = float("-inf")
+    assert trials == {(0, "train", 2, 9): 1.0, (0, "train", 3, 9): 2.0, (-1, "all", 2, 9): 3.0, (-1, "all", 3, 9): 2.5, (0, "train", 9, 9): bad, (-1, "all", 9, 9): bad}
+    parts = rows("k string, fold long, role string, v int", [("x", 0, "train", 1)])
+    assert {(r.fold, r.role, r.v) for r in W.with_whole(parts, rows("k string, v int", [("x", 1), ("x", 2)])).collect()} == {(0, "train", 1), (-1, "all", 1), (-1, "all", 2)}
+
+
 def test_lookahead_and_overfit(rows):
     bars = rows("k int, ts_event long", [(1, 100), (1, 200), (1, 300)])
     fills = rows("k int, ts long", [(1, 99), (1, 100), (1, 400), (1, 401)])

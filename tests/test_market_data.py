@@ -36,6 +36,10 @@ def test_lake_round_trip(spark, rows, tmp_path):
     assert [r.close for r in out] == [60.0, 1.0, 2.0, 3.0, 4.0]
     months = {r.yyyymm for r in lake.scan(spark, root).select("yyyymm").distinct().collect()}
     assert months == {202401, 202402}
+    footers = lake.footer_coverage(spark, root, "V")
+    assert "PushedAggregation: [COUNT(*), MIN(ts_event), MAX(ts_event)]" in footers._jdf.queryExecution().executedPlan().toString()
+    assert sorted(footers.collect()) == sorted(lake.coverage(lake.scan(spark, root)).collect())
+    assert lake.footer_coverage(spark, str(tmp_path / "none")).count() == 0
     cover = {(r.symbol, r.n_rows, r.start_utc) for r in lake.catalog(lake.scan(spark, root), "V").collect()}
     assert cover == {("BTC", 5, "2024-01-31T00:00:00Z"), ("ETH", 1, "2024-01-31T00:00:00Z")}
     assert {r.symbol for r in lake.symbols(lake.scan(spark, root), "V").collect()} == {"BTC", "ETH"}

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.operators.asof import asof
+from tidebook.operators import asof as asof_module
+from tidebook.operators.asof import asof, asof_mark, mark_events
 from tidebook.operators.fold import Fold, fold_rows
 from tidebook.operators.indicators import atr, ema, macd, on_finite, rsi, runs, sma, smas
 from tidebook.operators.series import Series, measure_cuts
@@ -181,6 +182,33 @@ def test_asof_against_brute_force(spark, ticks):
         asof(left, ticks, "symbol", left_at="t", right_at="ts", values={}, direction="sideways")
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_asof_splits_a_crowded_timestamp(spark, direction):
+    """Half of the rows of both sides at one time: cut inside it, with the result of one pass."""
+    rnd = random.Random(5)
+    right = spark.createDataFrame([("H", 500 if i % 2 else rnd.randrange(1000), i, float(i)) for i in range(600)], "symbol string, ts long, seq long, v double")
+    left = spark.createDataFrame([("H", 500 if i % 2 else rnd.randrange(1000), i) for i in range(600)], "symbol string, t long, id long")
+    cuts = measure_cuts(right, ["symbol"], "ts", 40, tie="seq")
+    assert cuts.ties
+    run = lambda c: asof(left, right, "symbol", left_at="t", right_at="ts", values={"v": "v"}, direction=direction, right_tie="seq", cuts=c)
+    assert sorted(run(cuts).collect()) == sorted(run(None).collect())
+    series = Series.of("symbol", ("_at", "_tie"), asof_module._tie_cuts(cuts))
+    tagged = asof_module._tagged(left, right, ["symbol"], "t", "ts", ["v"], "seq", True)
+    sizes = [r["count"] for r in series._with_block(tagged).where("_at = 500").groupBy("_s_blk").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 150  # 600 rows stand there
+
+
+def test_marks_come_from_the_last_event_of_any_kind(spark):
+    trades = spark.createDataFrame([("X", 10, 1, 100.0), ("X", 20, 5, 101.0), ("X", 20, 6, 102.0)], "symbol string, ts long, seq long, price double")
+    quotes = spark.createDataFrame([("X", 10, 2, 90.0, 92.0), ("X", 30, 7, 94.0, 96.0)], "symbol string, ts long, seq long, bid double, ask double")
+    bars = spark.createDataFrame([("X", 20, 103.0), ("Y", 5, 1.0)], "symbol string, ts_event long, close double")
+    left = spark.createDataFrame([("X", t) for t in (9, 10, 19, 20, 29, 30)] + [("Z", 50)], "symbol string, at long")
+    got = {(r.symbol, r["at"]): r.mark for r in asof_mark(left, mark_events(trades, quotes, bars), left_at="at").collect()}
+    assert got == {("X", 9): None, ("X", 10): 100.0, ("X", 19): 100.0, ("X", 20): 103.0, ("X", 29): 103.0, ("X", 30): 95.0, ("Z", 50): None}
+    only = asof_mark(left, mark_events(quotes=quotes), left_at="at").where("at = 20").first()
+    assert only.mark == 91.0
+
+
 def test_fold_splits_only_at_restarts(ticks):
     """A sum that restarts on marked rows, whole and split."""
 

@@ -205,6 +205,15 @@ def test_log_continues_its_sequence(rows):
     assert got == {(1, "a"): 2, (1, "b"): 3, (2, "c"): 0}
 
 
+def test_fills_of_both_sides(rows):
+    schema = "trade_id long, symbol string, side int, qty double, px double"
+    local = rows(schema, [(1, "A", 1, 2.0, 10.0), (1, "A", 1, 2.0, 10.0), (2, "A", -1, 1.0, 11.0), (3, "B", 1, 5.0, 9.0)])
+    venue = rows(schema, [(1, "A", 1, 2.0, 10.0), (2, "A", -1, 1.5, 11.0), (4, "B", 1, 5.0, 9.0)])
+    problems, nets = OR.reconcile_fills(local, venue)
+    assert {tuple(r) for r in problems.collect()} == {(2, "A", "fill_mismatch"), (3, "B", "unknown_fill"), (4, "B", "missing_fill")}
+    assert {tuple(r) for r in nets.collect()} == {("A", 1.0, 0.5)}
+
+
 @pytest.mark.parametrize("near", [64, 0])
 def test_positions_that_are_never_flat_are_split(rows, monkeypatch, near):
     """Blocks of a position that only grows and shrinks, entered at the exact rounded average; a table too narrow gives way to the whole key."""
@@ -345,6 +354,19 @@ def test_only_bars_that_fill_are_paired(spark, rows):
     assert plan.count("Generate") == 1 and "sequence(first_n" in plan
 
 
+def test_precision_of_each_instrument(rows):
+    bars = [(100.1249, 101, 99, 100, 0)]
+    model = CostModel(slippage_bps=0.0, price_precision="decimals", fee_precision="decimals")
+    orders = rows(ORD + ", decimals int", [(*order(i, 1, "market", 1), d) for i, d in enumerate([0, 2, 3, None])])
+    out = X.capacity_fills(orders, bar_table(rows, bars), model).collect()
+    assert {r.order_id: r.px for r in out} == {0: 100.0, 1: 100.12, 2: 100.125, 3: 100.1249}
+    fills = rows("symbol string, px double, qty double, liquidity string", [("A", 10.0, 1.2345, "maker"), ("B", 10.0, 1.2345, "maker")])
+    dims = rows("symbol string, multiplier long, is_inverse boolean, maker_fee double, taker_fee double, decimals int", [("A", 1, False, 0.1, 0.2, 1), ("B", 1, False, 0.1, 0.2, 3)])
+    assert {r.symbol: r.fee for r in X.charge_fees(fills, dims, model).collect()} == {"A": 1.2, "B": 1.234}
+    with pytest.raises(Exception, match="decimals out of range"):
+        X.capacity_fills(orders.withColumn("decimals", F.lit(40)), bar_table(rows, bars), model).collect()
+
+
 def walked_trails(bars, orders):
     out = []
     for i, _, start, end, side, _, qty, _, _, _, offset, anchor in orders:

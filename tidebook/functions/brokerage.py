@@ -19,7 +19,9 @@ class CostModel:
     """Defaults: a fixed spread cost, optional range impact and volume cap.
 
     ``price_precision`` and ``fee_precision`` are the decimals of the instrument
-    and of the settlement currency; null leaves prices and fees as they come.
+    and of the settlement currency: a number for all, or the name of a column of
+    the rows, so that every instrument and currency has its own. None, or a null
+    in the column, leaves prices and fees as they come.
     """
 
     slippage_bps: float = 1.0
@@ -28,8 +30,8 @@ class CostModel:
     queue_ahead_factor: float = 0.0
     lot: float = 1.0
     latency_ns: int = 1_000_000
-    price_precision: int | None = None
-    fee_precision: int | None = None
+    price_precision: int | str | None = None
+    fee_precision: int | str | None = None
 
     def fill_price(self, side: Column, ref: Column, low: Column, high: Column) -> Column:
         """Adverse slippage; only its range part stops at the bar extreme."""
@@ -72,8 +74,20 @@ class CostModel:
         return event_ns + F.lit(self.latency_ns)
 
 
-def _rounded(x: Column, precision: int | None) -> Column:
-    return x if precision is None else quantize(x, precision).cast("double")
+#: Decimals that a column of precisions may ask for, at most.
+MAX_DECIMALS = 12
+
+
+def _rounded(x: Column, precision: int | str | None) -> Column:
+    if precision is None:
+        return x
+    if isinstance(precision, int):
+        return quantize(x, precision).cast("double")
+    # rounding takes a constant, so there is one branch for each number of decimals
+    out = F.when(F.col(precision).isNull(), x)
+    for k in range(MAX_DECIMALS + 1):
+        out = out.when(F.col(precision) == k, quantize(x, k).cast("double"))
+    return out.otherwise(F.raise_error(F.concat(F.lit("decimals out of range: "), F.col(precision).cast("string"))))
 
 
 def whole_lots(volume: Column, rate: float, lot: float) -> Column:

@@ -77,6 +77,13 @@ def value_error(x: Column, precision: int) -> Column:
     )
 
 
+def split_values(df, column: str, precision: int):
+    """(rows whose ``column`` is a price or quantity, rounded to ``precision``; all other rows as they came, with their ``problem``)."""
+    problem = value_error(F.col(column), precision)
+    good = df.where(problem.isNull()).withColumn(column, quantize(F.col(column), precision).cast("double"))
+    return good, df.where(problem.isNotNull()).withColumn("problem", problem)
+
+
 def nanos_to_timestamp(ns: Column) -> Column:
     """UTC timestamp of a nanosecond position (microsecond resolution)."""
     return F.timestamp_micros(int_div(ns, 1000))

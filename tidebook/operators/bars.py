@@ -30,6 +30,21 @@ def time_bars(ticks: DataFrame, width_ns: int, keys: tuple[str, ...] = ("symbol"
     return ticks.groupBy(*keys, end.alias("ts_event")).agg(*_ohlcv(order, order))
 
 
+#: The price of a quote that bars of each kind are made of.
+QUOTE_PRICES = ("bid", "ask", "mid")
+
+
+def quote_bars(
+    quotes: DataFrame, width_ns: int, price: str, keys: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
+    """Bars of a quote's bid, ask or mid; the volume is the size shown on that side, of both for a mid."""
+    if price not in QUOTE_PRICES:
+        raise ValueError(f"no quote price {price!r}")
+    px = (F.col("bid") + F.col("ask")) / 2 if price == "mid" else F.col(price)
+    size = F.col("bid_size") + F.col("ask_size") if price == "mid" else F.col(f"{price}_size")
+    return time_bars(quotes.withColumns({"price": px, "size": size}), width_ns, keys)
+
+
 def tick_bars(ticks: DataFrame, n: int, series: Series) -> DataFrame:
     """One bar per ``n`` ticks of a series; the incomplete tail is not emitted."""
     if n < 1:

@@ -169,6 +169,40 @@ def new_submissions(batch: DataFrame, known: DataFrame, key: str, order: list[st
     return first.select(*batch.columns).join(known.select(key), key, "left_anti")
 
 
+def reconcile_fills(
+    local: DataFrame, venue: DataFrame, key: str = "trade_id", symbol: str = "symbol"
+) -> tuple[DataFrame, DataFrame]:
+    """Fills that one side lacks or that differ, and the positions they throw off.
+
+    Both sides: ``key, symbol, side, qty, px``; repeats of a key are one fill.
+    The first table has ``key, symbol, problem`` (``missing_fill``: only the venue
+    has it, ``unknown_fill``: only the log has it, ``fill_mismatch``: both, with
+    another side, quantity or price); the second ``symbol, local_net,
+    venue_net`` where the nets differ.
+    """
+    values = ["side", "qty", "px"]
+
+    def one(df: DataFrame, name: str) -> DataFrame:
+        row = F.min(F.struct(symbol, *values)).alias(name)
+        return df.groupBy(key).agg(row)
+
+    both = one(local, "_l").join(one(venue, "_v"), key, "full_outer")
+    differs = F.lit(False)
+    for c in values:
+        differs = differs | ~F.col(f"_l.{c}").eqNullSafe(F.col(f"_v.{c}"))
+    problem = (
+        F.when(F.col("_l").isNull(), "missing_fill").when(F.col("_v").isNull(), "unknown_fill").when(differs, "fill_mismatch")
+    )
+    named = F.coalesce(f"_v.{symbol}", f"_l.{symbol}").alias(symbol)
+    fills = both.select(key, named, problem.alias("problem")).where("problem is not null")
+
+    def net(name: str) -> Column:
+        return F.coalesce(F.sum(F.col(f"{name}.side") * F.col(f"{name}.qty")), F.lit(0.0))
+
+    nets = both.select(named, "_l", "_v").groupBy(symbol).agg(net("_l").alias("local_net"), net("_v").alias("venue_net"))
+    return fills, nets.where(F.col("local_net") != F.col("venue_net"))
+
+
 def reconcile(local: DataFrame, venue: DataFrame, key: str = "client_order_id") -> DataFrame:
     """Orders known to one side only."""
     a = local.select(key).distinct().withColumn("_local", F.lit(True))

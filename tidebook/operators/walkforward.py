@@ -82,6 +82,37 @@ def choose_in_sample(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return best.join(oos, [*by, "combo"], "left")
 
 
+#: The window of all rows, on which parameters are chosen at the end: its fold and role.
+WHOLE_FOLD, WHOLE_ROLE = -1, "all"
+
+
+def with_whole(parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Fold parts and, as one more window, all ``rows``: one pass scores both."""
+    whole = rows.withColumns({"fold": F.lit(WHOLE_FOLD).cast("long"), "role": F.lit(WHOLE_ROLE)})
+    return parts.unionByName(whole.select(*parts.columns))
+
+
+def refit(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The parameters of each key that are best on the window of all rows."""
+    return best_per_group(scores.where(F.col("role") == WHOLE_ROLE), list(keys)).drop("fold", "role")
+
+
+def history(scores: DataFrame, keys: Sequence[str], invalid: Sequence[dict]) -> DataFrame:
+    """Every trial on the windows that parameters are chosen on.
+
+    Parameter sets in ``invalid`` can't be run; they score -inf on every window.
+    """
+    by = [*keys, "fold", "role"]
+    chosen_on = scores.where(F.col("role") != "test")
+    if not invalid:
+        return chosen_on
+    names = list(invalid[0])
+    kinds = {n: scores.schema[n].dataType for n in names}
+    sets = F.array(*[F.struct(*[F.lit(p[n]).cast(kinds[n]).alias(n) for n in names]) for p in invalid])
+    failed = chosen_on.select(*by).distinct().select(*by, F.inline(sets)).withColumn("score", F.lit(float("-inf")))
+    return chosen_on.select(*by, *names, "score").unionByName(failed)
+
+
 def degradation(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Means over finite scores and the relative loss out of sample."""
 

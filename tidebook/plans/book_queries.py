@@ -705,6 +705,9 @@ def cross_check(m: Market):
 
 # -- walk-forward ------------------------------------------------------------------------
 
+#: Pairs a grid of periods holds that aren't a fast and a slow one.
+INVALID = [(p, p) for p in sorted({*FASTS, *SLOWS})] + [(s, f) for f in FASTS for s in SLOWS if f < s]
+
 _ROLL = """
 roll AS MATERIALIZED (SELECT symbol, ts_event, close, fold, CASE WHEN i - st < cut THEN 'train' ELSE 'test' END AS role FROM (
  SELECT *, greatest(CAST(floor((en - st) * 0.6) AS BIGINT), 1) AS cut FROM (
@@ -745,7 +748,10 @@ def splits_anchored(m: Market):
 
 def _fold_scores(m: Market):
     """Sharpe of every SMA pair on every fold part, each part run from flat."""
-    parts = W.rolling_splits(m.bars, m.bar_series)
+    return _scores_of(W.rolling_splits(m.bars, m.bar_series), m)
+
+
+def _scores_of(parts, m: Market):
     series = m.bar_series.within("fold", "role")
     pos, wide = S.sweep_positions(parts, series, FASTS, SLOWS)
     scores = M.screen_scores(S.mark_to_market(pos, wide), wide)
@@ -753,6 +759,11 @@ def _fold_scores(m: Market):
     return scores.withColumn("combo", combo).withColumnRenamed("sharpe", "score")
 
 
+def _all_scores(m: Market):
+    """Fold parts and the window of all bars in one pass."""
+    return _scores_of(W.with_whole(W.rolling_splits(m.bars, m.bar_series), m.bars), m)
+
+
 def _fold_ctes() -> str:
     pairs = [(f, s) for f in FASTS for s in SLOWS if f < s]
     full = lambda p: _full(p, "avg(close)").replace("PARTITION BY symbol", "PARTITION BY symbol, fold, role")
@@ -807,6 +818,42 @@ def walk_forward(m: Market):
     return out.select("symbol", "n_folds", *_r("is_mean", "oos_mean", "degradation", places=5))
 
 
+def _whole_ctes() -> str:
+    """The scores of the folds and of the window of all bars."""
+    whole = ",\nroll AS MATERIALIZED (SELECT * FROM roll0 UNION ALL SELECT symbol, ts_event, close, -1, 'all' FROM nbars),\nlines AS"
+    return _fold_ctes().replace("roll AS MATERIALIZED", "roll0 AS MATERIALIZED", 1).replace(",\nlines AS", whole, 1)
+
+
+@query(
+    "walk_forward_refit",
+    sql(
+        _whole_ctes()
+        + f"""SELECT symbol, fast, slow, {R('score', 5)} AS score FROM (
+ SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC, fast, slow) AS k FROM scores WHERE role = 'all') WHERE k = 1""",
+        "nbars",
+    ),
+)
+def walk_forward_refit(m: Market):
+    """What a walk-forward run recommends: the parameters that are best on all bars."""
+    return W.refit(_all_scores(m), ["symbol"]).select("symbol", "fast", "slow", *_r("score", places=5))
+
+
+@query(
+    "walk_forward_history",
+    sql(
+        _whole_ctes()
+        + f"""SELECT symbol, fold, role, fast, slow, {R('score', 5)} AS score FROM scores WHERE role <> 'test'
+ UNION ALL SELECT symbol, fold, role, f, s, '-Infinity'::DOUBLE FROM (SELECT DISTINCT symbol, fold, role FROM scores WHERE role <> 'test')
+ CROSS JOIN (VALUES {', '.join(f'({f}, {s})' for f, s in INVALID)}) p(f, s)""",
+        "nbars",
+    ),
+)
+def walk_forward_history(m: Market):
+    """Every trial; a fast period that isn't below the slow one can't be run."""
+    out = W.history(_all_scores(m), ["symbol"], [{"fast": f, "slow": s} for f, s in INVALID])
+    return out.select("symbol", "fold", "role", "fast", "slow", *_r("score", places=5))
+
+
 @query(
     "cv_scores",
     sql(

@@ -590,6 +590,22 @@ def sma_skips_bad_ticks(m: Market):
     return out.select("symbol", "ts_event", *_prices("sma"))
 
 
+@query(
+    "quarantined_values",
+    f"""
+SELECT * FROM (SELECT l_orderkey AS id, l_linenumber AS line, CAST(x AS DOUBLE) AS x, CASE WHEN isnan(x) OR isinf(x) THEN 'not_finite' WHEN x < 0 THEN 'negative' WHEN x > 92233720368547758.07 THEN 'overflow' END AS problem
+FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 = 3 THEN 'NaN'::DOUBLE WHEN l_orderkey % 50 = 4 THEN -l_extendedprice
+  WHEN l_orderkey % 50 = 5 THEN l_extendedprice * 1e16 WHEN l_orderkey % 50 = 6 THEN 'Infinity'::DOUBLE ELSE l_extendedprice END AS x FROM lineitem)) WHERE problem IS NOT NULL
+""",
+)
+def quarantined_values(m: Market):
+    """The rows themselves that can't be prices, beside those that can."""
+    key, price = F.col("l_orderkey") % 50, F.col("l_extendedprice")
+    x = F.when(key == 3, float("nan")).when(key == 4, -price).when(key == 5, price * 1e16).when(key == 6, float("inf"))
+    rows = m.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), x.otherwise(price).alias("x"))
+    return V.split_values(rows, "x", 2)[1]
+
+
 @query(
     "quantize_split",
     f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tidebook.functions.brokerage import CostModel
@@ -32,18 +34,20 @@ def _r(*cols: str, places: int = 6):
 _CAP = "CASE WHEN volume > 0 THEN greatest(floor(CAST(volume AS DECIMAL(20, 6)) * 0.1)::DOUBLE, 1.0) ELSE qty::DOUBLE END"
 
 
-def _grid(x: str, places: int) -> str:
-    """A price or fee at the precision of its instrument or currency."""
+def _grid(x: str, places: int | str) -> str:
+    """A price or fee at the precision of its instrument or currency: one for all, or an expression with values up to 7."""
+    if isinstance(places, str):
+        return f"(CASE {places} " + " ".join(f"WHEN {k} THEN {_grid(x, k)}" for k in range(8)) + " END)"
     return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {places}) AS DOUBLE)"
 
 
-def _slip(ref: str) -> str:
+def _slip(ref: str, places: int | str = 2) -> str:
     """Adverse price of a fill at ``ref`` in the bar of the row."""
     s = f"({ref}) * 0.00017"
     reach = "CASE WHEN high > low THEN (high - low) * 0.05 ELSE 0.0 END"
     raw = f"""(CASE WHEN side > 0 THEN CASE WHEN high > low THEN greatest(least({ref} + {s} + {reach}, high), {ref} + {s}) ELSE {ref} + {s} END
  ELSE CASE WHEN high > low THEN least(greatest({ref} - {s} - {reach}, low), {ref} - {s}) ELSE {ref} - {s} END END)"""
-    return _grid(raw, 2)
+    return _grid(raw, places)
 
 
 def _alloc(rows: str, where: str) -> str:
@@ -276,6 +280,24 @@ def canceled_orders(m: Market):
     return X.bars_in_life(bounded, m.bars, m.tick_cuts).select("order_id", "valid_to", "n_bars")
 
 
+@query(
+    "instrument_precision_fills",
+    sql(
+        _fills_sql(
+            _alloc("life", "type = 'market'"),
+            _slip("CASE WHEN bar_no = 1 THEN open ELSE close END", "length(symbol) % 4"),
+            "'taker'",
+        ),
+        "life",
+    ),
+)
+def instrument_precision_fills(m: Market):
+    """Prices at the decimals of each order's instrument, from 0 to 2 here."""
+    decimals = m.orders.select("symbol").distinct().withColumn("px_decimals", F.length("symbol") % 4)
+    orders = m.orders.where(F.col("type") == "market").join(decimals, "symbol")
+    return _fills_out(X.capacity_fills(orders, m.bars, replace(MODEL, price_precision="px_decimals"), m.tick_cuts))
+
+
 @query(
     "canceled_order_fills",
     sql(
@@ -355,6 +377,35 @@ def fees(m: Market):
     )
 
 
+@query(
+    "fees_by_currency",
+    sql(
+        f"""
+SELECT symbol, liquidity, {R('sum(fee)', 5)} AS fee, count(*) AS n FROM (
+ SELECT f.symbol, liquidity, {_grid("(CASE WHEN inv THEN CASE WHEN px = 0 THEN 0 ELSE qty * mult / px END ELSE px * qty * mult END * CASE WHEN liquidity = 'maker' THEN 0.0002::DOUBLE ELSE 0.0004::DOUBLE END)", 'dec')} AS fee FROM (
+  SELECT *, CASE WHEN discount > 0.05 THEN 'maker' ELSE 'taker' END AS liquidity FROM fills) f
+ JOIN (SELECT s_suppkey AS symbol, s_suppkey % 7 = 0 AS inv, 1 + s_suppkey % 3 AS mult, CASE WHEN s_suppkey % 7 = 0 THEN 3 + s_suppkey % 2 ELSE 5 + s_suppkey % 2 END AS dec FROM supplier) d ON f.symbol = d.symbol) GROUP BY 1, 2
+""",
+        "fills",
+    ),
+)
+def fees_by_currency(m: Market):
+    """Fees at the decimals of each settlement currency: 3 or 4 for coins, 5 or 6 for others."""
+    dim = m.table("supplier").select(
+        F.col("s_suppkey").alias("symbol"),
+        (F.col("s_suppkey") % 7 == 0).alias("is_inverse"),
+        (1 + F.col("s_suppkey") % 3).alias("multiplier"),
+        F.lit(0.0002).alias("maker_fee"),
+        F.lit(0.0004).alias("taker_fee"),
+        (F.when(F.col("s_suppkey") % 7 == 0, 3).otherwise(5) + F.col("s_suppkey") % 2).alias("fee_decimals"),
+    )
+    kind = F.when(F.col("discount") > 0.05, "maker").otherwise("taker")
+    charged = X.charge_fees(m.raw_fills.withColumn("liquidity", kind), dim, replace(MODEL, fee_precision="fee_decimals"))
+    return charged.groupBy("symbol", "liquidity").agg(
+        r(F.sum("fee"), 5).alias("fee"), F.count(F.lit(1)).alias("n")
+    )
+
+
 # -- orders ------------------------------------------------------------------------
 
 _FSM = """

@@ -9,12 +9,12 @@ from tidebook.operators import indicators as T
 from tidebook.operators import metrics as M
 from tidebook.operators import portfolio as P
 from tidebook.operators import signals as S
-from tidebook.operators.asof import asof
+from tidebook.operators.asof import asof, asof_mark, mark_events
 from tidebook.operators.execution import adapt_events, reference_price
-from tidebook.operators.orders import new_submissions, reconcile
+from tidebook.operators.orders import new_submissions, reconcile, reconcile_fills
 from tidebook.operators.instruments import lookup
 from tidebook.operators.parity import align_curves, match_fills
-from tidebook.operators.series import Series
+from tidebook.operators.series import Series, measure_cuts
 from tidebook.plans.market import HOUR, Market, r
 from tidebook.plans.oracle_views import D, H, R, VIEWS, sql
 from tidebook.plans.registry import query
@@ -52,6 +52,59 @@ def asof_backward_mark_blocked(m: Market):
     return _mark(Market(m.spark, m.dir, rows_per_block=700))
 
 
+_KINDS = """
+SELECT symbol, ts, 1 AS k, seq, price AS mark FROM ticks WHERE seq % 3 = 0
+ UNION ALL SELECT symbol, ts, 0, seq, (bid + ask) / 2 FROM quotes WHERE seq % 3 <> 0
+ UNION ALL SELECT symbol, ts_event, 2, 0, close FROM bars
+"""
+
+
+def _last_mark(events: str, asked: str) -> str:
+    """The last mark at or before each asked row, over the union in the order of time, kind and sequence."""
+    return f"""
+WITH u AS (SELECT symbol, ts, k, seq, mark, NULL AS id FROM ({events}) UNION ALL SELECT symbol, ts, 9, 0, NULL, id FROM ({asked}))
+SELECT id AS order_id, {R('mark')} AS mark FROM (
+ SELECT id, last_value(mark IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, k, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mark FROM u)
+WHERE id IS NOT NULL
+"""
+
+
+def _kinds(m: Market):
+    return mark_events(m.ticks.where("seq % 3 = 0"), m.quotes.where("seq % 3 <> 0"), m.bars)
+
+
+@query(
+    "asof_mark_all_kinds",
+    sql(_last_mark(_KINDS, f"SELECT symbol, ts_decision // {H} * {H} + order_id % 3 AS ts, order_id AS id FROM order_table"), "ticks", "quotes", "bars", "order_table"),
+)
+def asof_mark_all_kinds(m: Market):
+    """Marks from quotes, trades and bars; a third of the orders is decided just when a bar closes."""
+    whole = F.call_function("div", F.col("ts_decision"), F.lit(HOUR)) * HOUR
+    asked = m.orders.select("symbol", "order_id", (whole + F.col("order_id") % 3).alias("at"))
+    return asof_mark(asked, _kinds(m), left_at="at", cuts=m.tick_cuts).select("order_id", *_r("mark"))
+
+
+@query(
+    "asof_crowded_timestamp_blocked",
+    sql(
+        _last_mark(
+            f"SELECT symbol, CASE WHEN seq % 2 = 0 THEN {17_050_000 * 100_000_000_000} ELSE ts END AS ts, 1 AS k, seq, price AS mark FROM ticks",
+            f"SELECT symbol, CASE WHEN order_id % 4 < 2 THEN {17_050_000 * 100_000_000_000} ELSE ts_decision END AS ts, order_id AS id FROM order_table",
+        ),
+        "ticks",
+        "order_table",
+    ),
+)
+def asof_crowded_timestamp_blocked(m: Market):
+    """Half of all trades and of all orders at one time: that time is cut along the trades' sequence."""
+    hot = F.lit(17_050_000 * 100_000_000_000)
+    trades = m.ticks.withColumn("ts", F.when(F.col("seq") % 2 == 0, hot).otherwise(F.col("ts")))
+    asked = m.orders.select("symbol", "order_id", F.when(F.col("order_id") % 4 < 2, hot).otherwise(F.col("ts_decision")).alias("at"))
+    events = mark_events(trades)
+    cuts = measure_cuts(events, ["symbol"], "ts", 200, tie="tie")
+    return asof_mark(asked, events, left_at="at", cuts=cuts).select("order_id", *_r("mark"))
+
+
 _GRID = f"(SELECT symbol, ts // {6 * H} * {6 * H} AS g FROM ticks GROUP BY 1, 2)"
 
 
@@ -218,6 +271,72 @@ def reconcile_diff(m: Market):
     return reconcile(local, venue, "id")
 
 
+_SIDES = """
+WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS symbol, CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END AS side, l_quantity AS qty, l_extendedprice AS px FROM lineitem),
+lo AS (SELECT id, m.symbol AS symbol, m.side AS side, m.qty AS qty, m.px AS px FROM (
+ SELECT id, min({'symbol': symbol, 'side': side, 'qty': CASE WHEN id % 29 = 1 THEN qty + 1 ELSE qty END, 'px': px}) AS m FROM v WHERE id % 31 <> 2 GROUP BY id)),
+ve AS (SELECT id, m.symbol AS symbol, m.side AS side, m.qty AS qty, m.px AS px FROM (
+ SELECT id, min({'symbol': symbol, 'side': side, 'qty': qty, 'px': px}) AS m FROM v WHERE id % 37 <> 3 GROUP BY id)),
+b AS (SELECT coalesce(ve.id, lo.id) AS trade_id, coalesce(ve.symbol, lo.symbol) AS symbol, lo.id IS NULL AS no_l, ve.id IS NULL AS no_v,
+ lo.side * lo.qty AS l, ve.side * ve.qty AS v, lo.qty IS DISTINCT FROM ve.qty OR lo.px IS DISTINCT FROM ve.px OR lo.side IS DISTINCT FROM ve.side AS differs FROM lo FULL JOIN ve ON lo.id = ve.id)
+"""
+
+
+def _fill_sides(m: Market):
+    """The log lacks some of the venue's fills, has some of its own and some of another size."""
+    line = m.table("lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("trade_id"),
+        F.col("l_suppkey").alias("symbol"),
+        F.when(F.col("l_linestatus") == "F", 1).otherwise(-1).alias("side"),
+        F.col("l_quantity").cast("double").alias("qty"),
+        F.col("l_extendedprice").cast("double").alias("px"),
+    )
+    key = F.col("trade_id")
+    local = line.where(key % 31 != 2).withColumn("qty", F.col("qty") + (key % 29 == 1).cast("int"))
+    return reconcile_fills(local, line.where(key % 37 != 3))
+
+
+@query(
+    "reconcile_fills",
+    _SIDES + """SELECT trade_id, symbol, CASE WHEN no_l THEN 'missing_fill' WHEN no_v THEN 'unknown_fill' ELSE 'fill_mismatch' END AS problem
+FROM b WHERE no_l OR no_v OR differs""",
+)
+def reconcile_fill_rows(m: Market):
+    return _fill_sides(m)[0]
+
+
+@query(
+    "reconcile_positions",
+    _SIDES + f"""SELECT * FROM (SELECT symbol, {R('coalesce(sum(l), 0)')} AS local_net, {R('coalesce(sum(v), 0)')} AS venue_net FROM b GROUP BY 1) WHERE local_net <> venue_net""",
+)
+def reconcile_positions(m: Market):
+    return _fill_sides(m)[1].select("symbol", *_r("local_net", "venue_net"))
+
+
+@query(
+    "quote_bars",
+    sql(
+        " UNION ALL ".join(
+            f"""SELECT '{kind}' AS price_type, {w} AS width, symbol, (ts // {w} + 1) * {w} AS ts_event, {R(f'first({px} ORDER BY ts, seq)')} AS open, {R(f'max({px})')} AS high,
+ {R(f'min({px})')} AS low, {R(f'last({px} ORDER BY ts, seq)')} AS close, {R(f'sum({size})')} AS volume FROM quotes GROUP BY symbol, ts // {w}"""
+            for kind, px, size in (("bid", "bid", "bid_size"), ("ask", "ask", "ask_size"), ("mid", "(bid + ask) / 2", "(bid_size + ask_size)"))
+            for w in (60_000_000_000, D)
+        ),
+        "quotes",
+    ),
+)
+def quote_bars(m: Market):
+    """Bars of a minute and of a day from bids, asks and mids."""
+    out = None
+    for kind in B.QUOTE_PRICES:
+        for width in (HOUR // 60, 24 * HOUR):
+            part = B.quote_bars(m.quotes, width, kind).select(
+                F.lit(kind).alias("price_type"), F.lit(width).cast("long").alias("width"), "symbol", "ts_event", *_r(*OHLCV)
+            )
+            out = out.unionByName(part) if out else part
+    return out
+
+
 @query(
     "positional_align",
     sql(
