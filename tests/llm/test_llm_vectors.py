@@ -14,6 +14,7 @@ from tidebook.llm import langid, lexical, whitening
 
 # language identification
 
+TABLES = langid._tables(langid.letter_runs())
 WORDS = {
     "aa": ["kala", "maka", "lamaka", "kamala", "akala"],
     "bb": ["trind", "strond", "grend", "drist", "strind"],
@@ -53,7 +54,7 @@ def plain_features(text):
 def test_features_are_the_ngrams_inside_words():
     texts = ["The quick, brown fox", "", None, "a", "12 ?!", "Ünder étoile 東京都 x y", LONG[:3000]]
     found = {}
-    for a, _, text, feature, count, letters in langid._counted(texts):
+    for a, _, text, feature, count, letters in langid._counted(texts, TABLES):
         for t, f, c in zip(text.tolist(), feature.tolist(), count.tolist()):
             found.setdefault(a + t, {})[f] = c
         for i, n in enumerate(letters):
@@ -73,9 +74,9 @@ def test_features_are_the_ngrams_inside_words():
 
 def test_long_texts_are_counted_in_pieces(monkeypatch):
     text = " ".join(sentences("aa", 40, 1) + sentences("cc", 40, 2))
-    (whole,) = [x[2:] for x in langid._counted([text, None])]
+    (whole,) = [x[2:] for x in langid._counted([text, None], TABLES)]
     monkeypatch.setattr(langid, "BLOCK_CHARS", 97)
-    (pieces,) = [x[2:] for x in langid._counted([text])]
+    (pieces,) = [x[2:] for x in langid._counted([text], TABLES)]
     assert all((a[: len(b)] == b).all() for a, b in zip(whole, pieces))
 
 
@@ -93,7 +94,7 @@ def test_nearest_centroid_against_brute_force(spoken, speaker):
     for r in speaker.centroids.collect():
         table.setdefault(r.lang, []).append(dict(zip(r.features, r.weights)))
     for r in langid.identify(spoken.where("doc_id < 15"), speaker).collect():
-        ((_, _, _, feature, count, _),) = langid._counted([r.text])
+        ((_, _, _, feature, count, _),) = langid._counted([r.text], TABLES)
         v = {f: (1 + math.log(c)) * speaker.idf[f] for f, c in zip(feature.tolist(), count.tolist())}
         norm = math.sqrt(sum(x * x for x in v.values()))
         best = max((sum(x * c.get(f, 0) for f, x in v.items()) / norm, lang) for lang, own in table.items() for c in own)

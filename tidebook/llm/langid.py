@@ -17,7 +17,6 @@ every ``SLICE_BYTES`` of centroids, which are broadcast.
 
 from __future__ import annotations
 
-import functools
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -49,13 +48,17 @@ _U = np.uint32
 _ODD = (_U(0x9E3779B1), _U(0x85EBCA77), _U(0xC2B2AE3D), _U(0x27D4EB2F))
 
 
-@functools.cache
-def _symbols() -> tuple[np.ndarray, np.ndarray]:
+def letter_runs() -> tuple[np.ndarray, np.ndarray]:
+    """Runs of code points that are letters (2), marks (1) or neither (0), as kinds and lengths: small enough to go along with a task."""
+    kinds = np.array(["NML".find(unicodedata.category(chr(i))[0]) for i in range(0x110000)]).clip(0)
+    first = np.flatnonzero(np.diff(kinds, prepend=-1))
+    return kinds[first].astype(np.int8), np.diff(first, append=0x110000)
+
+
+def _tables(runs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Code point to symbol, 0 for what is no letter or mark; and which are letters."""
-    kinds = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
-    letter = np.array([k == "L" for k in kinds])
-    word = letter | np.array([k == "M" for k in kinds])
-    return np.where(word, np.arange(0x110000), 0).astype(_U), letter
+    kinds = np.repeat(*runs)
+    return np.where(kinds > 0, np.arange(0x110000), 0).astype(_U), kinds == 2
 
 
 def _points(text: str) -> np.ndarray:
@@ -89,9 +92,9 @@ def _ngrams(symbols: np.ndarray, owner: np.ndarray, last: int) -> tuple[np.ndarr
     return (np.concatenate(features), np.concatenate(owners)) if features else (np.zeros(0, _U), np.zeros(0, owner.dtype))
 
 
-def _counted(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _counted(texts: list[str | None], tables: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For blocks of texts: its range, then text, feature and count of every feature of a text, in order, and the letters of each text."""
-    symbol_of, letter = _symbols()
+    symbol_of, letter = tables
     for a, z in text_blocks(texts, BLOCK_CHARS):
         if z == a + 1:  # a long text, piece by piece
             points = _points(texts[a] or "")
@@ -136,11 +139,12 @@ def length_class(letters: np.ndarray) -> np.ndarray:
 
 def _document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     """The number of texts with letters and, for each feature, of those that hold it."""
+    runs = letter_runs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(FEATURES, np.int64), 0
+        df, n, tables = np.zeros(FEATURES, np.int64), 0, _tables(runs)
         for batch in batches:
-            for _, _, _, feature, _, letters in _counted(batch.column(0).to_pylist()):
+            for _, _, _, feature, _, letters in _counted(batch.column(0).to_pylist(), tables):
                 df += np.bincount(feature, minlength=FEATURES)
                 n += int((letters > 0).sum())
         held = np.flatnonzero(df)
@@ -177,8 +181,10 @@ def _vectors(sampled: DataFrame, idf) -> DataFrame:
 
     A piece's place follows from the hash of its text, so all of a text can be one.
     """
+    runs = letter_runs()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(runs)
         for batch in batches:
             langs, texts, hashes = (c.to_pylist() for c in batch.columns)
             parts, source, size = [], [], []
@@ -189,7 +195,7 @@ def _vectors(sampled: DataFrame, idf) -> DataFrame:
                         parts.append(t if n is None else t[at : at + n])
                         source.append(i)
                         size.append(k - 1)
-            for a, z, text, feature, count, letters in _counted(parts):
+            for a, z, text, feature, count, letters in _counted(parts, tables):
                 w = _weighted(text, feature, count, idf.value, z - a).astype(np.float32)
                 offsets = pa.array(np.searchsorted(text, np.arange(z - a + 1)), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -355,13 +361,15 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
 
 def _judge(sent, text: str, later: bool):
+    runs = letter_runs()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own, tables = sent.value, _tables(runs)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             names = batch.schema.names[: len(batch.schema.names) - len(_FOUND) * later]
             nearest, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            for a, z, of, feature, count, letters in _counted(texts):
+            for a, z, of, feature, count, letters in _counted(texts, tables):
                 cosine = _cosines(own, of, feature, _weighted(of, feature, count, own.idf, z - a), z - a)
                 best = np.argmax(cosine, axis=1)  # centroids are in the order of their languages
                 top = np.clip(cosine[np.arange(z - a), best], 0, 1)

@@ -29,7 +29,6 @@ covers all texts whole, in one pass without a shuffle.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -83,7 +82,6 @@ def windows_of(words: list[bytes]) -> list[bytes]:
     return [_spaced(words[k : k + SPAN]) for k in range(0, max(1, len(words) - SPAN + STEP), STEP)] if words else []
 
 
-@functools.lru_cache(CACHE)
 def _fragments(word: bytes) -> tuple[int, ...]:
     """Hashes of the runs of five to seven bytes of a word and the blanks beside it; even."""
     w = _spaced([word])
@@ -126,7 +124,8 @@ class Marks:
 
     def passages(self, words: list[bytes]) -> Iterator[tuple[bool, bytes]]:
         """Words with a marked fragment (False), and the longest runs of words covered by marks (True)."""
-        covered = np.array([not self.fragments.isdisjoint(_fragments(w)) for w in words], bool)
+        marked = {w: not self.fragments.isdisjoint(_fragments(w)) for w in set(words)}
+        covered = np.array([marked[w] for w in words], bool)
         for k in np.flatnonzero(covered):
             yield False, _spaced([words[k]])
         for n in PHRASES:
@@ -145,16 +144,19 @@ def _counts(rows: DataFrame) -> DataFrame:
             for y, fold, t in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(t)
                 padded = np.concatenate([[_U(1)], word_hashes(b" ".join(words))[1], [_U(1)]])
+                first: dict[bytes, int] = {}  # each different word and where it stands first
                 seen: dict[int, int] = {}
                 around = mix(padded[:-2] * _U(3) + padded[2:] * _U(5)).tolist() if words else []
-                for w, context in zip(words, around):
+                for w, context in zip(reversed(words), reversed(around)):
+                    first[w] = context
+                for w, context in first.items():
                     for f in _fragments(w):
                         seen.setdefault(f, context)
                 marks, contexts = [np.fromiter(seen.keys(), _U, len(seen))], [np.fromiter(seen.values(), _U, len(seen))]
                 for n in PHRASES:
-                    own, first = np.unique(_phrases(words, n), return_index=True)
+                    own, at = np.unique(_phrases(words, n), return_index=True)
                     marks.append(own)
-                    contexts.append(mix(padded[first] * _U(3) + padded[first + n + 1] * _U(5)))
+                    contexts.append(mix(padded[at] * _U(3) + padded[at + n + 1] * _U(5)))
                 mark, context = np.concatenate(marks).view(np.int64), np.concatenate(contexts).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mark), y, np.int32)), pa.array(np.full(len(mark), fold, np.int32)), pa.array(mark), pa.array(context)], ["y", "fold", "mark", "context"])
 
