@@ -84,7 +84,7 @@ def test_languages_of_new_texts(spark, speaker):
     rows = [(i, t, lang) for lang in WORDS for i, t in enumerate(sentences(lang, 30, lang + "new"))]
     found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, truth string"), speaker).collect()
     assert all(r.nearest == r.truth and 0 < r.score <= 1 for r in found)
-    assert sum(r.rejected for r in found) <= 0.05 * len(found)
+    assert sum(r.rejected for r in found) <= 0.1 * len(found)
     (far,) = langid.identify(spark.createDataFrame([("Zyxwv pqjzx qqzyx wvxzq jzzxq pyqzx",)], "text string"), speaker).collect()
     assert far.rejected and far.lang_pred == "und" and far.nearest in WORDS
 

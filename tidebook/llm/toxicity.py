@@ -14,14 +14,13 @@ on what has a mark: for words on those that hold a marked fragment, for the wide
 windows on passages, runs of words covered by marks, with the ordinary dictionary
 before them, as the other words of a window are ordinary. A mark is a fragment of a word, or two to four words in a
 row, that stands in many toxic texts and in next to no ordinary ones. Texts count,
-not occurrences, so that a long text names no marks, and different contexts
-(word before, word after) must be as many, so that a text with many copies
-doesn't either.
+not occurrences, so that a long text names no marks, and of near duplicates one
+counts, so that a text with many copies doesn't either.
 
 The model is fitted on a bounded sample of the labelled rows, each taken whole
 (``SAMPLE`` documents of each class), in folds: each third is scored by
 dictionaries of the other two, for any number of rows; the first of these
-dictionaries are used. Contexts, passages, windows and features are found in
+dictionaries are used. Marks, passages, windows and features are found in
 tasks; only marks, at most ``PASSAGES`` passages and ``WINDOWS``
 windows (those of the least hashes) and the features reach the driver. Scoring
 covers all texts whole, in one pass without a shuffle.
@@ -137,32 +136,22 @@ class Marks:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(y, fold, mark, n): in how many texts a fragment or phrase stands, or, if they are fewer, in how many contexts."""
+    """(mark, part, n): in how many texts of a class and fold a fragment or phrase stands; ``part`` is y * FOLDS + fold. Summed for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: dict[int, list[np.ndarray]] = {}
             for y, fold, t in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(t)
-                padded = np.concatenate([[_U(1)], word_hashes(b" ".join(words))[1], [_U(1)]])
-                first: dict[bytes, int] = {}  # each different word and where it stands first
-                seen: dict[int, int] = {}
-                around = mix(padded[:-2] * _U(3) + padded[2:] * _U(5)).tolist() if words else []
-                for w, context in zip(reversed(words), reversed(around)):
-                    first[w] = context
-                for w, context in first.items():
-                    for f in _fragments(w):
-                        seen.setdefault(f, context)
-                marks, contexts = [np.fromiter(seen.keys(), _U, len(seen))], [np.fromiter(seen.values(), _U, len(seen))]
-                for n in PHRASES:
-                    own, at = np.unique(_phrases(words, n), return_index=True)
-                    marks.append(own)
-                    contexts.append(mix(padded[at] * _U(3) + padded[at + n + 1] * _U(5)))
-                mark, context = np.concatenate(marks).view(np.int64), np.concatenate(contexts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mark), y, np.int32)), pa.array(np.full(len(mark), fold, np.int32)), pa.array(mark), pa.array(context)], ["y", "fold", "mark", "context"])
-
-    found = in_arrow(rows.select("y", "fold", "t"), run, "y int, fold int, mark long, context long")
-    contexts = found.groupBy("y", "fold", "mark", "context").agg(F.count(F.lit(1)).alias("texts"))
-    return contexts.groupBy("y", "fold", "mark").agg(F.least(F.sum("texts"), F.count(F.lit(1))).alias("n"))
+                own = held.setdefault(y * FOLDS + fold, [])
+                fragments = {f for w in set(words) for f in _fragments(w)}
+                own.append(np.fromiter(fragments, _U, len(fragments)))
+                own += [np.unique(_phrases(words, n)) for n in PHRASES]
+            for part, own in held.items():
+                mark, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(np.full(len(mark), part, np.int32)), pa.array(n.astype(np.int32))], ["mark", "part", "n"])
+
+    return in_arrow(rows.select("y", "fold", "t"), run, "mark long, part int, n int")
 
 
 def _all_marks(rows: DataFrame) -> list[Marks]:
@@ -170,7 +159,7 @@ def _all_marks(rows: DataFrame) -> list[Marks]:
     texts = {(r.y, r.fold): r["count"] for r in rows.groupBy("y", "fold").count().collect()}
     folds = range(FOLDS)
     by = {y: [f"n{y}{f}" for f in folds] for y in (1, 0)}
-    counts = _counts(rows).groupBy("mark").agg(*(F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(by[y][f]) for y in by for f in folds))
+    counts = _counts(rows).groupBy("mark").agg(*(F.sum(F.when(F.col("part") == y * FOLDS + f, F.col("n")).otherwise(0)).alias(by[y][f]) for y in by for f in folds))
 
     def share(own) -> float:
         toxic, ordinary = (max(1, sum(texts.get((y, f), 0) for f in own)) for y in (1, 0))
