@@ -166,9 +166,15 @@ def test_fingerprints(spark, texts):
     assert all(len(f) == 1 for f in same.values())
 
 
+def near_enough(a, b, n, m):
+    """What two counters share of their weight is at least their likeness."""
+    return sum(min(a[k] / n, b[k] / m) for k in a.keys() & b.keys()) >= 0.79
+
+
 def near_classes(texts):
     """Components of all pairs with a probability Jaccard similarity of 0.8 or more: doc_id to the least id."""
     sets = {i: shingle_counts(t) for i, t in texts.items()}
+    total = {i: c.total() for i, c in sets.items()}
     parent = {i: i for i in texts}
 
     def top(i):
@@ -180,7 +186,7 @@ def near_classes(texts):
     for x, i in enumerate(ids):
         for j in ids[:x]:
             a, b = sets[i], sets[j]
-            if (not a and not b) or (a and b and (a == b or not a.keys().isdisjoint(b) and sum(min(a[k] / a.total(), b[k] / b.total()) for k in a.keys() & b.keys()) >= 0.79 and likeness(a, b) >= 0.8)):
+            if (not a and not b) or (a and b and (a == b or not a.keys().isdisjoint(b) and near_enough(a, b, total[i], total[j]) and likeness(a, b) >= 0.8)):
                 lo, hi = sorted((top(i), top(j)))
                 parent[hi] = lo
     return {i: top(i) for i in ids}
