@@ -41,12 +41,16 @@ def shingle_set(text):
 
 
 def likeness(x, y):
-    """Probability Jaccard similarity of two counters; that of the sets where nothing repeats."""
-    both = x.keys() & y.keys()
-    if max([*x.values(), *y.values(), 1]) == 1:
-        return len(both) / max(1, len(x) + len(y) - len(both))
-    union = x.keys() | y.keys()
-    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in union) for i in both)
+    """Probability Jaccard similarity of two counters: of each shared shingle, what x has from its ratio on and y before it."""
+    shared = sorted(x.keys() & y.keys(), key=lambda k: x[k] / y[k])
+    before = y.total() - sum(y[k] for k in shared)
+    after = x.total()
+    out = 0.0
+    for k in shared:
+        out += 1 / (after / x[k] + before / y[k])
+        after -= x[k]
+        before += y[k]
+    return out
 
 
 def test_registered():
