@@ -141,7 +141,7 @@ class _Averages:
     """
 
     def __init__(self):
-        self.values = None
+        self.values, self.fixed = None, False
 
     def take(self, net, signed, px, expected):
         if self.values is None:
@@ -149,7 +149,7 @@ class _Averages:
             self.values, self.of = [self.low + i for i in range(2 * NEAR + 1)], range(2 * NEAR + 1)
         for n, s, p in zip(net.tolist(), signed.tolist(), px.tolist()):
             if n == 0 or (n > 0) != (s > 0) and abs(s) > abs(n):
-                self.values, self.of = [p], [0] * len(self.of)
+                self.values, self.of, self.fixed = [p], [0] * len(self.of), True
             elif (n > 0) == (s > 0) and s:
                 size, more = abs(n), abs(s)
                 moved = [half_even(v * size + p * more, size + more) for v in self.values]
@@ -162,7 +162,7 @@ class _Averages:
                 self.values = moved
 
     def result(self):
-        return self.low, [self.values[i] for i in self.of]
+        return self.low, self.fixed, [self.values[i] for i in self.of]
 
 
 def _chained(blocks: DataFrame, keys: list[str], start: Column, step, kind: str) -> DataFrame:
@@ -204,9 +204,11 @@ def _in_blocks(df: DataFrame, series: Series, fold: Fold) -> DataFrame:
     expected = _chained(drift, keys, F.lit(0.0), lambda v, r: v * r["a"] + r["b"], "double").withColumnRenamed("entry", "_expected")
     tables = reduce_groups(
         rows.join(expected, group), group, by, _Averages, ("_net", "_signed", "px_raw", "_expected"),
-        (T.StructField("low", T.LongType()), T.StructField("after", T.ArrayType(T.LongType()))),
+        (T.StructField("low", T.LongType()), T.StructField("fixed", T.BooleanType()), T.StructField("after", T.ArrayType(T.LongType()))),
     )
-    after = lambda v, r: F.when(F.array_min(r["after"]) == F.array_max(r["after"]), r["after"][0]).otherwise(F.get(r["after"], (v - r["low"]).cast("int")))
+    # a block in which the position starts anew has one average after it, whatever entered
+    inside = lambda v, r: (v >= r["low"]) & (v <= r["low"] + 2 * NEAR)
+    after = lambda v, r: F.when(r["fixed"], r["after"][0]).when(inside(v, r), F.get(r["after"], (v - r["low"]).cast("int")))
     entries = _chained(tables, keys, F.lit(0), after, "bigint")
     entries = entries.withColumn("_lost", F.max(F.col("entry").isNull()).over(Window.partitionBy(*keys)))
     rows = rows.join(entries, group)
