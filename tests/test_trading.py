@@ -367,6 +367,16 @@ def test_precision_of_each_instrument(rows):
         X.capacity_fills(orders.withColumn("decimals", F.lit(40)), bar_table(rows, bars), model).collect()
 
 
+def test_halves_of_the_last_decimal(rows):
+    bars = [(0.5, 1, 0, 0, 0), (2.5, 3, 0, 0, 0)]
+    late = order(1, 1, "market", 1)
+    orders = rows(ORD, [order(0, 1, "market", 1), (*late[:2], 1, *late[3:])])
+    for even, want in ((True, {0: 0.0, 1: 2.0}), (False, {0: 1.0, 1: 3.0})):
+        model = CostModel(slippage_bps=0.0, price_precision=0, half_even=even)
+        out = X.next_open_fills(orders, bar_table(rows, bars), model).collect()
+        assert {r.order_id: r.px for r in out} == want
+
+
 def walked_trails(bars, orders):
     out = []
     for i, _, start, end, side, _, qty, _, _, _, offset, anchor in orders:

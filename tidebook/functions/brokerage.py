@@ -21,7 +21,8 @@ class CostModel:
     ``price_precision`` and ``fee_precision`` are the decimals of the instrument
     and of the settlement currency: a number for all, or the name of a column of
     the rows, so that every instrument and currency has its own. None, or a null
-    in the column, leaves prices and fees as they come.
+    in the column, leaves prices and fees as they come. Halves of the last decimal
+    go to the even neighbour, or away from zero without ``half_even``.
     """
 
     slippage_bps: float = 1.0
@@ -32,6 +33,7 @@ class CostModel:
     latency_ns: int = 1_000_000
     price_precision: int | str | None = None
     fee_precision: int | str | None = None
+    half_even: bool = True
 
     def fill_price(self, side: Column, ref: Column, low: Column, high: Column) -> Column:
         """Adverse slippage; only its range part stops at the bar extreme."""
@@ -45,7 +47,7 @@ class CostModel:
         sell = F.when(
             ranged, F.least(F.greatest(sell_base - reach, low), sell_base)
         ).otherwise(sell_base)
-        return _rounded(F.when(side > 0, buy).otherwise(sell), self.price_precision)
+        return _rounded(F.when(side > 0, buy).otherwise(sell), self.price_precision, self.half_even)
 
     def volume_cap(self, volume: Column) -> Column:
         """Most a bar can fill; null means no cap."""
@@ -67,7 +69,7 @@ class CostModel:
         rate: Column,
     ) -> Column:
         """Fee in the settlement currency on the fill notional."""
-        return _rounded(notional(px, qty, multiplier, inverse) * rate, self.fee_precision)
+        return _rounded(notional(px, qty, multiplier, inverse) * rate, self.fee_precision, self.half_even)
 
     def fill_time(self, event_ns: Column) -> Column:
         """When the fill is reported."""
@@ -78,15 +80,15 @@ class CostModel:
 MAX_DECIMALS = 12
 
 
-def _rounded(x: Column, precision: int | str | None) -> Column:
+def _rounded(x: Column, precision: int | str | None, half_even: bool) -> Column:
     if precision is None:
         return x
     if isinstance(precision, int):
-        return quantize(x, precision).cast("double")
+        return quantize(x, precision, half_even).cast("double")
     # rounding takes a constant, so there is one branch for each number of decimals
     out = F.when(F.col(precision).isNull(), x)
     for k in range(MAX_DECIMALS + 1):
-        out = out.when(F.col(precision) == k, quantize(x, k).cast("double"))
+        out = out.when(F.col(precision) == k, quantize(x, k, half_even).cast("double"))
     return out.otherwise(F.raise_error(F.concat(F.lit("decimals out of range: "), F.col(precision).cast("string"))))
 
 

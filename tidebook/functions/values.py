@@ -62,9 +62,10 @@ def is_finite(x: Column) -> Column:
     )
 
 
-def quantize(x: Column, precision: int) -> Column:
-    """Banker's rounding of a double to a fixed number of decimals."""
-    return F.bround(x.cast("decimal(38,12)"), precision)
+def quantize(x: Column, precision: int, half_even: bool = True) -> Column:
+    """A double at a fixed number of decimals: halves go to the even neighbour, or else away from zero."""
+    rounded = F.bround if half_even else F.round
+    return rounded(x.cast("decimal(38,12)"), precision)
 
 
 def value_error(x: Column, precision: int) -> Column:
