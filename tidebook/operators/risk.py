@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.functions.brokerage import notional
 from tidebook.functions.values import NANOS
 from tidebook.operators.series import Series
+from tidebook.session import staged
 
 # Deny reasons in the order they are checked.
 DENY_ORDER = (
@@ -94,6 +95,7 @@ def stoploss_guard(
 
     The count at a trade is a difference of two running loss counts, looked
     up with an ordered pass, so no frame ever spans the rows of a busy window.
+    Both read the counts of each time, which are few, from one staged table.
     """
     width = window_s * NANOS
     at = series.by[0]
@@ -101,7 +103,7 @@ def stoploss_guard(
     loss = (F.col("pnl") < 0).cast("long")
     run = series.running(trades, {"_upto": ("sum", loss)})
     # Trades sharing a timestamp all count for each other.
-    per_ts = run.groupBy(*keys, at).agg(F.max("_upto").alias("_upto"))
+    per_ts = staged(run.groupBy(*keys, at).agg(F.max("_upto").alias("_upto")))
     edges = (
         per_ts.select(*keys, F.col(at).alias("_p"), F.lit(0).alias("_k"), F.col("_upto"))
         .unionByName(

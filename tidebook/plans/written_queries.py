@@ -17,7 +17,7 @@ from tidebook.plans.market import DAY, HOUR, Market, r
 from tidebook.plans.oracle_views import D, R, sql
 from tidebook.plans.registry import query
 from tidebook.plans.ta_queries import _marked
-from tidebook.session import shared_dir
+from tidebook.session import shared_dir, staged
 from tidebook.sources import lake
 
 
@@ -222,7 +222,7 @@ SELECT symbol, ts, coalesce(string_agg(DISTINCT CASE WHEN tripped THEN guard END
 )
 def protection_halts(m: Market):
     """A loss-count guard and a predicate guard, in one pipeline."""
-    trades = _trades(m).select("symbol", F.col("exit_ts").alias("ts"), "entry_ts", "pnl")
+    trades = staged(_trades(m).select("symbol", F.col("exit_ts").alias("ts"), "entry_ts", "pnl"))
     s = Series.of("symbol", ("ts", "entry_ts"), m.fill_cuts)
     by_ts = Series.of("symbol", "ts", m.fill_cuts)
     guards = {
