@@ -5,6 +5,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from tidebook.operators.series import Series, measure_cuts
@@ -65,3 +66,17 @@ def test_tasks_carry_their_helpers(tmp_path):
     run = [sys.executable, "-c", code, str(blob)]
     out = subprocess.run(run, cwd=tmp_path, capture_output=True, text=True, check=True)
     assert out.stdout.strip() == "Orders"
+
+
+def test_tasks_of_sorted_series_stay_small(spark):
+    """Tasks are cut by shuffled bytes, however many rows these hold when they compress well."""
+    df = Market(spark, SF).spark.range(4_000_000, numPartitions=4).selectExpr("id % 400000 AS k", "id", "repeat('x', 40) AS text")
+    sorted_rows = df.repartition("k").sortWithinPartitions("k", "id")
+    most = sorted_rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 700_000
+
+
+def test_losses_are_counted_once(spark):
+    """What both passes of the guard read is a table, not the trades once more."""
+    plan = plan_of(entry_module.queries()["stoploss_guard"](spark, SF))
+    assert "lineitem" not in plan and "stage-" in plan
