@@ -238,3 +238,20 @@ def test_partition_count_does_not_matter(spark, ticks):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     pd.testing.assert_frame_equal(*results)
+
+
+def test_rows_of_a_key_with_many_cuts_do_not_carry_them(rows):
+    data = [("a", i // 3 if i < 900 else 500, i) for i in range(1800)] + [("b", 1, 1), (None, 2, 2), ("a", None, 3)]
+    df = rows("k string, ts long, seq long", data)
+    cuts = measure_cuts(df.where("ts is not null"), ("k",), "ts", rows_per_block=5, tie="seq")
+    s = Series.of("k", ("ts", "seq"), cuts)
+    blocked = s._with_block(df)
+    assert "array" not in blocked._jdf.queryExecution().optimizedPlan().toString().lower()
+    points, ties = list(cuts.table[0][-1]), {t[1]: list(t[-1]) for t in cuts.ties}
+    assert len(points) > 64 and max(map(len, ties.values())) > 64
+    for r in blocked.collect():
+        want = -1
+        if r.k == "a":
+            at = -(1 << 63) if r.ts is None else r.ts
+            want = sum(p <= at for p in points) * (1 << 32) + sum(p <= r.seq for p in ties.get(r.ts, []))
+        assert r._s_blk == want

@@ -19,6 +19,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +32,12 @@ ROWS_PER_BLOCK = 2_000_000
 #: Cuts in a table that is broadcast; a larger table is joined by a shuffle.
 BROADCAST_CUTS = 200_000
 _TIES = 1 << 32
+_FIRST = -(1 << 63)
+#: Cuts of a key that its rows may carry; more are searched.
 _FAN = 64
 
 # Helper columns; callers never see them, nor should they use these names.
-_BLK, _COARSE, _FINE = "_s_blk", "_s_coarse", "_s_fine"
+_BLK, _POINTS = "_s_blk", "_s_points"
 RN, CHUNK = "_s_rn", "_s_chunk"
 
 
@@ -192,55 +196,60 @@ class Series:
 
     def _with_block(self, df: DataFrame) -> DataFrame:
         cuts = self.cuts
+        tied = bool(cuts.ties) and self.by[1:2] == (cuts.tie,)
+        if tied or max(len(row[-1]) for row in cuts.table) > _FAN:
+            return self._search_block(df, tied)
         schema = T.StructType(
             [T.StructField(k, t) for k, t in zip(cuts.keys, cuts.key_types)]
-            + [
-                T.StructField(_COARSE, T.ArrayType(T.LongType())),
-                T.StructField(_FINE, T.ArrayType(T.ArrayType(T.LongType()))),
-            ]
+            + [T.StructField(_POINTS, T.ArrayType(T.LongType()))]
         )
-        rows = []
-        for *key, points in cuts.table:
-            fine = [list(points[i : i + _FAN]) for i in range(0, len(points), _FAN)]
-            rows.append((*key, [f[0] for f in fine], fine))
-        table = _small(df.sparkSession.createDataFrame(rows, schema), sum(len(r[-2]) for r in rows) * _FAN)
+        rows = [(*key, list(points)) for *key, points in cuts.table]
+        table = _small(df.sparkSession.createDataFrame(rows, schema), sum(len(r[-1]) for r in rows))
         at = F.col(self.by[0])
-        i = F.size(F.filter(F.col(_COARSE), lambda c: c <= at))
-        inner = F.size(F.filter(F.get(F.col(_FINE), i - 1), lambda c: c <= at))
-        block = (
-            F.when(F.col(_COARSE).isNull(), F.lit(-1))
-            .when(i == 0, F.lit(0))
-            .otherwise((i - 1) * _FAN + inner)
+        block = F.when(F.col(_POINTS).isNull(), F.lit(-1)).otherwise(
+            F.size(F.filter(F.col(_POINTS), lambda c: c <= at))
         )
-        out = (
-            df.join(table, list(cuts.keys), "left")
-            .withColumn(_BLK, block)
-            .drop(_COARSE, _FINE)
-        )
-        if not cuts.ties or self.by[1:2] != (cuts.tie,):
-            return out
-        schema = T.StructType(
-            [T.StructField(k, t) for k, t in zip(cuts.keys, cuts.key_types)]
-            + [
-                T.StructField(self.by[0], T.LongType()),
-                T.StructField(_FINE, T.ArrayType(T.LongType())),
-            ]
-        )
-        crowded = df.sparkSession.createDataFrame(list(cuts.ties), schema)
-        crowded = _small(crowded, sum(len(t[-1]) for t in cuts.ties))
-        sub = F.size(F.filter(F.col(_FINE), lambda c: c <= F.col(cuts.tie)))
-        inner = F.when(F.col(_FINE).isNull(), F.lit(0)).otherwise(sub)
         return (
-            out.join(crowded, [*cuts.keys, self.by[0]], "left")
-            .withColumn(
-                _BLK,
-                F.when(F.col(_BLK) < 0, F.col(_BLK)).otherwise(
-                    F.col(_BLK) * _TIES + inner
-                ),
-            )
-            .drop(_FINE)
+            df.join(table, list(cuts.keys), "left").withColumn(_BLK, block.cast("long")).drop(_POINTS)
         )
 
+    def _search_block(self, df: DataFrame, tied: bool) -> DataFrame:
+        """Blocks by binary search, for keys of many cuts: a row never carries the cuts of its key."""
+        cuts, ties = self.cuts, {}
+        points = {tuple(key): np.array(at, dtype=np.int64) for *key, at in cuts.table}
+        for *key, position, at in cuts.ties if tied else ():
+            ties.setdefault(tuple(key), {})[position] = np.array(at, dtype=np.int64)
+        known = df.sparkSession.sparkContext.broadcast((points, ties))
+        n = len(cuts.keys)
+
+        def search(*columns: pa.Array) -> pa.Array:
+            points, ties = known.value
+            at, *tie = [c.fill_null(_FIRST).to_numpy(zero_copy_only=False) for c in columns[n:]]
+            blocks = np.full(len(at), -1, dtype=np.int64)
+            codes = np.zeros(len(at), dtype=np.int64)
+            for column in columns[:n]:
+                one = column.dictionary_encode("encode")
+                codes = codes * (len(one.dictionary) + 1) + one.indices.to_numpy(zero_copy_only=False)
+                codes = np.unique(codes, return_inverse=True)[1]
+            order = np.argsort(codes, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else ():
+                key = tuple(c[int(rows[0])].as_py() for c in columns[:n])
+                if key not in points:
+                    continue
+                found = np.searchsorted(points[key], at[rows], side="right")
+                if tied:
+                    found = found * _TIES
+                    crowded = ties.get(key, {})
+                    for position in np.unique(at[rows]).tolist() if crowded else ():
+                        if position in crowded:
+                            here = at[rows] == position
+                            found[here] += np.searchsorted(crowded[position], tie[0][rows[here]], side="right")
+                blocks[rows] = found
+            return pa.array(blocks)
+
+        block = F.arrow_udf(search, "long")
+        return df.withColumn(_BLK, block(*cuts.keys, *self.by[: 2 if tied else 1]))
+
     def running(
         self,
         df: DataFrame,
