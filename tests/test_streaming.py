@@ -179,3 +179,14 @@ def test_latest_dedupe_and_kill_switch(landed):
     _, control = landed("account long, ts long, kind string, engaged boolean", [(1, 5, "kill_switch", False), (1, 7, "kill_switch", True), (1, 6, "pause", True), (1, 9, "kill_switch", True)], name="ctl")
     last = SS.run_available_now(jobs.kill_switch(control), mode="update").orderBy(F.col("batch").desc()).first()
     assert last.engaged_at == 7
+
+
+def test_batches_of_few_symbols_are_bounded(spark, monkeypatch):
+    """A longer table of events comes in more micro-batches, not in longer ones."""
+    from tidebook.plans import stream_queries as Q
+
+    monkeypatch.setattr(Q, "ROWS_PER_LANDING", {"event_id": 200}, raising=False)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id")
+    out = Q.run_available_now(Q._landed(spark, events, "event_id"))
+    counts = [r["count"] for r in out.groupBy("batch").count().collect()]
+    assert sum(counts) == events.count() == 1000 and max(counts) < 250

@@ -22,17 +22,23 @@ OHLCV = ["open", "high", "low", "close", "volume"]
 
 LANDINGS, FILES = 3, 4
 _ORDER = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+#: Events are of few symbols, and a processor holds the rows of a symbol and micro-batch.
+ROWS_PER_LANDING = {"event_id": 1_000_000}
 
 
 def _landed(spark: SparkSession, rows: DataFrame, order: str, last: DataFrame | None = None) -> DataFrame:
     """``rows`` as a stream that arrives in several micro-batches, in ``order``.
 
     Each range is written as so many files as a trigger takes, so a batch is a
-    range; ``last`` arrives after all of them.
+    range; ``last`` arrives after all of them.  Batches become more, not longer,
+    with the table where ``ROWS_PER_LANDING`` bounds them.
     """
     path = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
-    shares = [i / LANDINGS for i in range(1, LANDINGS)]
-    at = rows.agg(F.percentile_approx(order, shares, 1000)).first()[0] or [0] * len(shares)
+    landings = LANDINGS
+    if order in ROWS_PER_LANDING:
+        landings = max(LANDINGS, -(-rows.count() // ROWS_PER_LANDING[order]))
+    shares = [i / landings for i in range(1, landings)]
+    at = rows.agg(F.percentile_approx(order, shares, 100 * landings + 1000)).first()[0] or [0] * len(shares)
     o = F.col(order)
     ranges = [o <= at[0], *[(o > a) & (o <= b) for a, b in zip(at, at[1:])], o > at[-1]]
     for part in [*[rows.where(r) for r in ranges], *([last] if last is not None else [])]:

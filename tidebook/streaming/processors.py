@@ -17,6 +17,12 @@ def in_order(rows: Iterator[Row], *by: str) -> list[Row]:
     return sorted(rows, key=lambda r: tuple(r[c] for c in by))
 
 
+def _rows(output: str, values: list[tuple]) -> Iterator[Row]:
+    """Output rows, made one at a time as they are taken."""
+    make = Row(*[column.split()[0] for column in output.split(", ")])
+    return (make(*v) for v in values)
+
+
 def _keep(state, items: list) -> None:
     """Replace a list state; the store does not take empty lists."""
     if items:
@@ -47,9 +53,9 @@ class ExponentialFilter(StatefulProcessor):
             y = r["price"] if n == 0 else y + alpha * (r["price"] - y)
             n += 1
             shown = y if n >= self.period else None
-            out.append(Row(symbol=key[0], ts=r["ts"], seq=r["seq"], price=r["price"], ema=shown))
+            out.append((key[0], r["ts"], r["seq"], r["price"], shown))
         self.state.update((n, y))
-        return iter(out)
+        return _rows(self.output, out)
 
 
 class Positions(StatefulProcessor):
@@ -157,18 +163,7 @@ class Books(StatefulProcessor):
             price = float(r["price"])
             ok = book.apply(r["action"], r["side"], price, r["size"], r["sequence"])
             bid, bid_size, ask, ask_size, levels = book.top()
-            out.append(
-                Row(
-                    symbol=key[0],
-                    seq=r["seq"],
-                    applied=ok,
-                    bid=bid,
-                    bid_size=bid_size,
-                    ask=ask,
-                    ask_size=ask_size,
-                    levels=levels,
-                )
-            )
+            out.append((key[0], r["seq"], ok, bid, bid_size, ask, ask_size, levels))
         after = {(s, p): q for s, side in book.sides.items() for p, q in side.items()}
         for level in before.keys() - after.keys():
             self.levels.removeKey(level)
@@ -176,7 +171,7 @@ class Books(StatefulProcessor):
             if before.get(level) != size:
                 self.levels.updateValue(level, (size,))
         self.last.update((book.last,))
-        return iter(out)
+        return _rows(self.output, out)
 
 
 class DepthResync(StatefulProcessor):
