@@ -190,3 +190,33 @@ def test_batches_of_few_symbols_are_bounded(spark, monkeypatch):
     out = Q.run_available_now(Q._landed(spark, events, "event_id"))
     counts = [r["count"] for r in out.groupBy("batch").count().collect()]
     assert sum(counts) == events.count() == 1000 and max(counts) < 250
+
+
+def test_neighbouring_orders_share_a_state(landed):
+    """Their events come in several batches; nulls and NaN stay apart."""
+    schema = "client_order_id long, seq long, event string, order_qty double, last_qty double, last_px double"
+    names = ["Initialized", "Submitted", "Accepted", "PartiallyFilled", "Accepted", "Filled", "Initialized"]
+    size = {-3: None, 5: float("nan")}
+    data = [(i, n, e, size.get(i, 5.0), 2.5, 10.0) for n, e in enumerate(names) for i in (-3, -1, 0, 1, 5, 700, 5000)]
+    assert jobs.ORDERS_PER_STATE > 5
+    df, stream = landed(schema, data, parts=4)
+    cols = ("client_order_id", "seq", "event", "accepted", "status", "filled_qty", "leaves_qty")
+    want = order_steps(df, Series.of("client_order_id", "seq"))
+    own = [c for c in cols if c in want.columns]
+    got = SS.run_available_now(jobs.orders(stream))
+    assert list(map(repr, bag(got, *own))) == list(map(repr, bag(want, *own)))
+
+
+def test_finished_orders_of_a_group_are_forgotten_alone():
+    """A timer of a group drops the orders that were finished long enough ago."""
+    from types import SimpleNamespace
+
+    from tidebook.streaming.processors import Orders
+
+    held = {"now": None}
+    state = SimpleNamespace(get=lambda: held["now"], update=lambda v: held.update(now=v), clear=lambda: held.update(now=None))
+    orders = Orders(keep_ms=100)
+    orders.state = state
+    state.update(([1, 2, 3], ["Filled", "Accepted", "Filled"], [1.0] * 3, [1.0] * 3, [1.0] * 3, [0] * 3, [1000, None, 1050]))
+    list(orders.handleExpiredTimer((0,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 1100)))
+    assert state.get()[0] == [2, 3]

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.functions.values import int_div
 from tidebook.operators.recurrence import decay_filter
 from tidebook.operators.series import Series
 from tidebook.streaming import processors as P
 from tidebook.streaming.sources import with_event_time
 
+#: So many consecutive order ids share a state: the bound of what an event makes the store read and write.
+ORDERS_PER_STATE = 1024
+
 
 def bars(ticks: DataFrame, width: str, delay: str) -> DataFrame:
     """Tumbling OHLCV bars, emitted once the watermark passes the window end."""
@@ -49,6 +53,12 @@ def _stateful(df: DataFrame, keys: list[str], processor, initial=None, time_mode
     )
 
 
+def _stateful_frames(df: DataFrame, keys: list[str], processor, time_mode="None"):
+    return df.groupBy(*keys).transformWithStateInPandas(
+        processor, processor.output, "append", time_mode
+    )
+
+
 def ema(ticks: DataFrame, period: int, history: DataFrame | None = None) -> DataFrame:
     """Exponential average per symbol, warm-started from ``history`` ticks."""
     start = None
@@ -63,13 +73,20 @@ def ema(ticks: DataFrame, period: int, history: DataFrame | None = None) -> Data
 
 def positions(fills: DataFrame) -> DataFrame:
     """Average-cost position after every fill."""
-    return _stateful(fills, ["symbol"], P.Positions())
+    fills = fills.select("symbol", "ts", "seq", "side", "qty_raw", "px_raw", "fee_raw")
+    return _stateful_frames(fills, ["symbol"], P.Positions())
 
 
 def orders(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """Order state after every event."""
     mode = "None" if keep_ms is None else "ProcessingTime"
-    return _stateful(events, ["client_order_id"], P.Orders(keep_ms), time_mode=mode)
+    nulls = {n: F.col(v).isNull() for n, v in zip(P.Orders.NULLS, P.Orders.VALUES)}
+    needed = events.select("client_order_id", "seq", "event", *P.Orders.VALUES)
+    group = int_div(F.col("client_order_id"), ORDERS_PER_STATE)
+    grouped = needed.withColumns({"_group": group, **nulls})
+    out = _stateful_frames(grouped, ["_group"], P.Orders(keep_ms), mode)
+    # A frame hands a NaN back as a null; these two are never null.
+    return out.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("filled_qty", "leaves_qty")})
 
 
 def books(deltas: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -23,6 +24,17 @@ def _rows(output: str, values: list[tuple]) -> Iterator[Row]:
     return (make(*v) for v in values)
 
 
+def _columns(frames: Iterator[pd.DataFrame], by: list[str], *names: str) -> list[list]:
+    """Columns of one key and micro-batch as lists, in the order ``by``."""
+    whole = pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
+    return [whole[n].tolist() for n in names]
+
+
+def _frame(output: str, columns: list) -> pd.DataFrame:
+    """Output rows, given as columns."""
+    return pd.DataFrame(dict(zip([c.split()[0] for c in output.split(", ")], columns)))
+
+
 def _keep(state, items: list) -> None:
     """Replace a list state; the store does not take empty lists."""
     if items:
@@ -59,7 +71,7 @@ class ExponentialFilter(StatefulProcessor):
 
 
 class Positions(StatefulProcessor):
-    """Average-cost position per symbol after every fill, in whole units."""
+    """Average-cost position per symbol after every fill, in whole units; takes frames."""
 
     output = (
         "symbol bigint, ts bigint, seq bigint, net_raw bigint, avg_raw bigint, realized_raw bigint"
@@ -68,36 +80,36 @@ class Positions(StatefulProcessor):
     def init(self, handle) -> None:
         self.state = handle.getValueState("pos", "net bigint, avg bigint, realized bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         book = AverageCost()
         book.net, book.avg, realized = self.state.get() or (0, 0, 0)
-        out = []
-        for r in in_order(rows, "ts", "seq"):
-            gain = book.fill(
-                r["side"] * r["qty_raw"], r["px_raw"], lambda e, x, q: (x - e) * q if e else 0
-            )
-            realized += gain - r["fee_raw"]
-            out.append(
-                Row(
-                    symbol=key[0],
-                    ts=r["ts"],
-                    seq=r["seq"],
-                    net_raw=book.net,
-                    avg_raw=book.avg,
-                    realized_raw=realized,
-                )
-            )
+        names = ("ts", "seq", "side", "qty_raw", "px_raw", "fee_raw")
+        ts, seq, *fills = _columns(rows, ["ts", "seq"], *names)
+        net, avg, total = [], [], []
+        for side, qty, px, fee in zip(*fills):
+            gain = book.fill(side * qty, px, lambda e, x, q: (x - e) * q if e else 0)
+            realized += gain - fee
+            net.append(book.net)
+            avg.append(book.avg)
+            total.append(realized)
         self.state.update((book.net, book.avg, realized))
-        return iter(out)
+        yield _frame(self.output, [[key[0]] * len(ts), ts, seq, net, avg, total])
 
 
 class Orders(StatefulProcessor):
-    """Order life cycle; a finished order can be forgotten after ``keep_ms``."""
+    """Life cycle of the orders of one group; a finished order can be forgotten after ``keep_ms``.
+
+    A call to the state costs more than the events of an order, so neighbouring
+    orders share a group, its state and its calls.  Takes frames; these can't
+    tell a null from a NaN, so ``NULLS`` says where a null is.
+    """
 
     output = (
         "client_order_id bigint, seq bigint, event string, accepted boolean, status string, "
         "filled_qty double, leaves_qty double"
     )
+    VALUES = ("order_qty", "last_qty", "last_px")
+    NULLS = tuple(f"no_{v}" for v in VALUES)
 
     def __init__(self, keep_ms: int | None = None):
         self.keep_ms = keep_ms
@@ -105,36 +117,55 @@ class Orders(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState(
-            "order", "status string, filled double, notional double, qty double, ignored bigint"
+            "orders",
+            "id array<bigint>, status array<string>, filled array<double>, "
+            "notional array<double>, qty array<double>, ignored array<bigint>, "
+            "done_ms array<bigint>",
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        order = OrderState()
-        packed = self.state.get()
-        if packed:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = {}
+        for ident, *packed, done in zip(*(self.state.get() or ())):
+            order = OrderState()
             order.status, order.filled, order.notional, order.qty, order.ignored = packed
+            held[ident] = (order, done)
+        names = ("client_order_id", "seq", "event", *self.VALUES, *self.NULLS)
+        ids, seq, events, *values = _columns(rows, ["client_order_id", "seq"], *names)
+        if key[0] is None:
+            ids = [None] * len(ids)
         out = []
-        for r in in_order(rows, "seq"):
-            ok = order.apply(r["event"], r["order_qty"], r["last_qty"], r["last_px"])
+        for ident, event, *v in zip(ids, events, *values):
+            if ident not in held:
+                held[ident] = (OrderState(), None)
+            order = held[ident][0]
+            ok = order.apply(event, *[None if no else x for x, no in zip(v, v[3:])])
             status, filled, leaves, _, _ = order.view()
-            out.append(
-                Row(
-                    client_order_id=key[0],
-                    seq=r["seq"],
-                    event=r["event"],
-                    accepted=ok,
-                    status=status,
-                    filled_qty=filled,
-                    leaves_qty=leaves,
-                )
-            )
-        self.state.update((order.status, order.filled, order.notional, order.qty, order.ignored))
-        if self.keep_ms is not None and order.status in TERMINAL:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
-        return iter(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.state.clear()
+            out.append((ok, status, filled, leaves))
+        if self.keep_ms is not None:
+            self._time(held, timerValues.getCurrentProcessingTimeInMs())
+        packed = (
+            (i, o.status, o.filled, o.notional, o.qty, o.ignored, done)
+            for i, (o, done) in held.items()
+        )
+        self.state.update(tuple(map(list, zip(*packed))))
+        yield _frame(self.output, [ids, seq, events, *zip(*out)])
+
+    def _time(self, held: dict, now: int) -> None:
+        """Remember when orders were first seen finished, and wake up to forget them."""
+        new = [i for i, (o, done) in held.items() if done is None and o.status in TERMINAL]
+        for ident in new:
+            held[ident] = (held[ident][0], now)
+        if new:
+            self.handle.registerTimer(now + self.keep_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        before = expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms
+        held = zip(*(self.state.get() or ()))
+        kept = [o for o in held if o[-1] is None or o[-1] > before]
+        if kept:
+            self.state.update(tuple(map(list, zip(*kept))))
+        else:
+            self.state.clear()
         return iter(())
 
 
