@@ -220,3 +220,13 @@ def test_finished_orders_of_a_group_are_forgotten_alone():
     state.update(([1, 2, 3], ["Filled", "Accepted", "Filled"], [1.0] * 3, [1.0] * 3, [1.0] * 3, [0] * 3, [1000, None, 1050]))
     list(orders.handleExpiredTimer((0,), None, SimpleNamespace(getExpiryTimeInMs=lambda: 1100)))
     assert state.get()[0] == [2, 3]
+
+
+def test_positions_that_share_a_state(landed):
+    rnd = random.Random(6)
+    schema = "symbol long, ts long, seq long, side long, qty_raw long, px_raw long, fee_raw long"
+    data = [(rnd.randint(-2, 6), i, i, rnd.choice([1, -1]), rnd.randint(1, 4), rnd.randint(90, 110), 1) for i in range(200)]
+    df, stream = landed(schema, data)
+    cols = ("symbol", "seq", "net_raw", "avg_raw", "realized_raw")
+    want = average_cost(df, Series.of("symbol", ("ts", "seq")))
+    assert bag(SS.run_available_now(jobs.positions(stream, symbols_per_state=4)), *cols) == bag(want, *cols)

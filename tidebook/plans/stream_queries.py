@@ -25,6 +25,9 @@ _ORDER = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey"
 #: Events are of few symbols, and a processor holds the rows of a symbol and micro-batch.
 ROWS_PER_LANDING = {"event_id": 1_000_000}
 
+#: Suppliers are many, of few fills each.
+SYMBOLS_PER_STATE = 32
+
 
 def _landed(spark: SparkSession, rows: DataFrame, order: str, last: DataFrame | None = None) -> DataFrame:
     """``rows`` as a stream that arrives in several micro-batches, in ``order``.
@@ -106,7 +109,7 @@ def stream_indicators(m: Market):
 @query("stream_positions", sql(_AVG_OUT, "fills"))
 def stream_positions(m: Market):
     """Numbered fills land as a table and are consumed as a stream."""
-    out = run_available_now(jobs.positions(_landed(m.spark, staged(_raw(m)), "seq")))
+    out = run_available_now(jobs.positions(_landed(m.spark, staged(_raw(m)), "seq"), SYMBOLS_PER_STATE))
     return out.select("symbol", "seq", "net_raw", "avg_raw", "realized_raw")
 
 

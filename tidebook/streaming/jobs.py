@@ -71,10 +71,15 @@ def ema(ticks: DataFrame, period: int, history: DataFrame | None = None) -> Data
     return _stateful(ticks, ["symbol"], P.ExponentialFilter(period), start)
 
 
-def positions(fills: DataFrame) -> DataFrame:
-    """Average-cost position after every fill."""
-    fills = fills.select("symbol", "ts", "seq", "side", "qty_raw", "px_raw", "fee_raw")
-    return _stateful_frames(fills, ["symbol"], P.Positions())
+def positions(fills: DataFrame, symbols_per_state: int = 1) -> DataFrame:
+    """Average-cost position after every fill.
+
+    Many symbols of few fills each are faster with several consecutive ones to
+    a state; those of a state are worked on by one task.
+    """
+    needed = fills.select("symbol", "ts", "seq", "side", "qty_raw", "px_raw", "fee_raw")
+    grouped = needed.withColumn("_group", int_div(F.col("symbol"), symbols_per_state))
+    return _stateful_frames(grouped, ["_group"], P.Positions())
 
 
 def orders(events: DataFrame, keep_ms: int | None = None) -> DataFrame:

@@ -71,29 +71,42 @@ class ExponentialFilter(StatefulProcessor):
 
 
 class Positions(StatefulProcessor):
-    """Average-cost position per symbol after every fill, in whole units; takes frames."""
+    """Average-cost position per symbol after every fill, in whole units; takes frames.
+
+    A group holds one symbol or several that share its state and its calls.
+    """
 
     output = (
         "symbol bigint, ts bigint, seq bigint, net_raw bigint, avg_raw bigint, realized_raw bigint"
     )
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("pos", "net bigint, avg bigint, realized bigint")
+        self.state = handle.getValueState(
+            "pos",
+            "symbol array<bigint>, net array<bigint>, avg array<bigint>, realized array<bigint>",
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        book = AverageCost()
-        book.net, book.avg, realized = self.state.get() or (0, 0, 0)
-        names = ("ts", "seq", "side", "qty_raw", "px_raw", "fee_raw")
-        ts, seq, *fills = _columns(rows, ["ts", "seq"], *names)
-        net, avg, total = [], [], []
-        for side, qty, px, fee in zip(*fills):
+        held = {}
+        for symbol, net, avg, realized in zip(*(self.state.get() or ())):
+            held[symbol] = [book := AverageCost(), realized]
+            book.net, book.avg = net, avg
+        names = ("symbol", "ts", "seq", "side", "qty_raw", "px_raw", "fee_raw")
+        symbols, ts, seq, *fills = _columns(rows, ["symbol", "ts", "seq"], *names)
+        if key[0] is None:
+            symbols = [None] * len(ts)
+        out = []
+        for symbol, side, qty, px, fee in zip(symbols, *fills):
+            if symbol not in held:
+                held[symbol] = [AverageCost(), 0]
+            own = held[symbol]
+            book = own[0]
             gain = book.fill(side * qty, px, lambda e, x, q: (x - e) * q if e else 0)
-            realized += gain - fee
-            net.append(book.net)
-            avg.append(book.avg)
-            total.append(realized)
-        self.state.update((book.net, book.avg, realized))
-        yield _frame(self.output, [[key[0]] * len(ts), ts, seq, net, avg, total])
+            own[1] += gain - fee
+            out.append((book.net, book.avg, own[1]))
+        packed = ((s, book.net, book.avg, realized) for s, (book, realized) in held.items())
+        self.state.update(tuple(map(list, zip(*packed))))
+        yield _frame(self.output, [symbols, ts, seq, *zip(*out)])
 
 
 class Orders(StatefulProcessor):
