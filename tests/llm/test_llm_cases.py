@@ -706,3 +706,19 @@ def test_shingles_are_runs_of_folded_words():
     own = [frozenset(hashes[a:b].tolist()) for a, b in zip([0, *ends[:-1]], ends)]
     assert [len(s) for s in own] == [2, 0, 0, 1, 2, 1, 1, 1]
     assert own[0] == own[4] and own[3] == own[7] and own[3] != own[6]
+
+
+def test_contexts_are_counted_of_possible_marks_only(spark):
+    """What stands in few toxic texts or in many ordinary ones is left out before any context is shuffled; no mark is lost."""
+    from tidebook.llm import toxicity
+
+    plain = [f"plain{i} words{i % 7} of this{i % 5} text{i}" for i in range(60)]
+    rows = [(0, i % 3, t) for i, t in enumerate(plain)] + [(1, i % 3, f"{t} zzgrawlix") for i, t in enumerate(plain[:30])]
+    rows = spark.createDataFrame(rows, "y int, fold int, t string").repartition(3)
+    possible = set(toxicity._candidates(rows, 1.0).tolist())
+    mark = {int(np.uint64(f).view(np.int64)) for f in toxicity._fragments(b"zzgrawlix")}
+    assert mark <= possible
+    assert not possible & {int(np.uint64(f).view(np.int64)) for f in toxicity._fragments(b"plain3") if f not in toxicity._fragments(b"plain4")}
+    assert all(toxicity._fragments(b"zzgrawlix")[0] in m.fragments for m in toxicity._all_marks(rows))
+    counted = toxicity._counts(rows, np.array(sorted(mark))).groupBy("y").agg({"mark": "approx_count_distinct"}).collect()
+    assert [r.y for r in counted] == [1]

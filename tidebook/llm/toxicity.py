@@ -65,6 +65,8 @@ REACHED = 0.005
 #: Level and usual input size of the compressor of words and of that of windows.
 LEVELS = ((6, 96), (4, 160))
 CACHE = 100_000
+#: Fragments and phrases that a task holds before it sums them, and the share of ordinary texts, one in so many, that are looked at first.
+HELD, PART = 2_000_000, 4
 _CARRIER = bytes(range(0x21, 0x61))  # follows every window: short inputs are else stored as they are
 _U = np.uint64
 
@@ -136,28 +138,61 @@ class Marks:
             yield True, _spaced(words[a:z])
 
 
-def _counts(rows: DataFrame) -> DataFrame:
-    """(y, fold, mark, n): in how many texts a fragment or phrase stands, or, if they are fewer, in how many contexts."""
+def _marks_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The fragments and phrases of a text, each once, and the context of each where it stands first."""
+    padded = np.concatenate([[_U(1)], word_hashes(b" ".join(words))[1], [_U(1)]])
+    first: dict[bytes, int] = {}  # each different word and where it stands first
+    seen: dict[int, int] = {}
+    around = mix(padded[:-2] * _U(3) + padded[2:] * _U(5)).tolist() if words else []
+    for w, context in zip(reversed(words), reversed(around)):
+        first[w] = context
+    for w, context in first.items():
+        for f in _fragments(w):
+            seen.setdefault(f, context)
+    marks, contexts = [np.fromiter(seen.keys(), _U, len(seen))], [np.fromiter(seen.values(), _U, len(seen))]
+    for n in PHRASES:
+        own, at = np.unique(_phrases(words, n), return_index=True)
+        marks.append(own)
+        contexts.append(mix(padded[at] * _U(3) + padded[at + n + 1] * _U(5)))
+    return np.concatenate(marks).view(np.int64), np.concatenate(contexts).view(np.int64)
+
+
+def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """What stands in at least ``MIN_TEXTS`` of the texts, in order, and in how many; summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def summed() -> pa.RecordBatch:
+            marks, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(marks), pa.array(n)], ["mark", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.append(_marks_of(words_of(t))[0])
+                if sum(map(len, held)) > HELD:
+                    yield summed()
+        if held:
+            yield summed()
+
+    found = in_arrow(rows.select("t"), run, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n"))
+    found = found.where(F.col("n") >= MIN_TEXTS).toPandas().sort_values("mark")
+    return found["mark"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def _counts(rows: DataFrame, of: np.ndarray) -> DataFrame:
+    """(y, fold, mark, n): in how many texts each of the marks ``of``, which are in order, stands, or, if they are fewer, in how many contexts."""
+    asked = rows.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = asked.value
         for batch in batches:
             for y, fold, t in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(t)
-                padded = np.concatenate([[_U(1)], word_hashes(b" ".join(words))[1], [_U(1)]])
-                first: dict[bytes, int] = {}  # each different word and where it stands first
-                seen: dict[int, int] = {}
-                around = mix(padded[:-2] * _U(3) + padded[2:] * _U(5)).tolist() if words else []
-                for w, context in zip(reversed(words), reversed(around)):
-                    first[w] = context
-                for w, context in first.items():
-                    for f in _fragments(w):
-                        seen.setdefault(f, context)
-                marks, contexts = [np.fromiter(seen.keys(), _U, len(seen))], [np.fromiter(seen.values(), _U, len(seen))]
-                for n in PHRASES:
-                    own, at = np.unique(_phrases(words, n), return_index=True)
-                    marks.append(own)
-                    contexts.append(mix(padded[at] * _U(3) + padded[at + n + 1] * _U(5)))
-                mark, context = np.concatenate(marks).view(np.int64), np.concatenate(contexts).view(np.int64)
+                mark, context = _marks_of(words_of(t))
+                at = np.searchsorted(known, mark)
+                own = known[np.minimum(at, len(known) - 1)] == mark if len(known) else np.zeros(len(mark), bool)
+                mark, context = mark[own], context[own]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mark), y, np.int32)), pa.array(np.full(len(mark), fold, np.int32)), pa.array(mark), pa.array(context)], ["y", "fold", "mark", "context"])
 
     found = in_arrow(rows.select("y", "fold", "t"), run, "y int, fold int, mark long, context long")
@@ -165,12 +200,27 @@ def _counts(rows: DataFrame) -> DataFrame:
     return contexts.groupBy("y", "fold", "mark").agg(F.least(F.sum("texts"), F.count(F.lit(1))).alias("n"))
 
 
+def _candidates(rows: DataFrame, odds: float) -> np.ndarray:
+    """All that can be a mark, in order, so that no contexts of anything else are counted.
+
+    It stands in enough toxic texts, and a part of the ordinary texts doesn't
+    show yet that it stands in too many of them.
+    """
+    marks, n = _often(rows.where("y = 1"))
+    part = _counts(rows.where((F.col("y") == 0) & (F.pmod(F.xxhash64("t"), F.lit(PART)) == 0)), marks)
+    least = part.groupBy("mark").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)))
+    found = least.toPandas()
+    usual = np.zeros(len(marks), np.int64)
+    each = found[[f"n{f}" for f in range(FOLDS)]].to_numpy(np.int64)
+    usual[np.searchsorted(marks, found["mark"].to_numpy(np.int64))] = each.sum(axis=1) - each.max(axis=1, initial=0)
+    return marks[n * odds >= MIN_RATIO * (usual + 1)]
+
+
 def _all_marks(rows: DataFrame) -> list[Marks]:
     """The marks of all folds but one, for each."""
     texts = {(r.y, r.fold): r["count"] for r in rows.groupBy("y", "fold").count().collect()}
     folds = range(FOLDS)
     by = {y: [f"n{y}{f}" for f in folds] for y in (1, 0)}
-    counts = _counts(rows).groupBy("mark").agg(*(F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(by[y][f]) for y in by for f in folds))
 
     def share(own) -> float:
         toxic, ordinary = (max(1, sum(texts.get((y, f), 0) for f in own)) for y in (1, 0))
@@ -178,6 +228,7 @@ def _all_marks(rows: DataFrame) -> list[Marks]:
 
     own = [[f for f in folds if f != left] for left in folds]
     odds = max((1 - share(f)) / share(f) for f in own)
+    counts = _counts(rows, _candidates(rows, odds)).groupBy("mark").agg(*(F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(by[y][f]) for y in by for f in folds))
     seen, usual = (F.expr(" + ".join(by[y])) for y in (1, 0))
     likely = counts.where((seen >= MIN_TEXTS) & (seen * odds >= MIN_RATIO * (usual - F.greatest(*by[0]) + 1)))  # whichever fold is left out
     found = np.array([tuple(r) for r in likely.collect()], np.int64).reshape(-1, 1 + 2 * FOLDS)
