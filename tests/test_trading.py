@@ -451,3 +451,23 @@ def test_tick_events_carry_no_volume(rows):
     ])
     out = {r.kind: (r.low, r.high, r.close, r.volume) for r in X.adapt_events(df).collect()}
     assert out == {"trade": (94.0, 94.0, 94.0, None), "quote": (99.0, 101.0, 100.0, None)}
+
+
+@pytest.fixture
+def fills_of_a_long_key(spark):
+    data = [("X", i, i, 1 if i * 7 % 5 < 3 else -1, float(1 + i % 3), 100.0 + i // 2 % 4) for i in range(120)]
+    df = spark.createDataFrame(data, "symbol string, ts long, seq long, side long, qty double, px double")
+    return df, Series.of("symbol", ("ts", "seq"), measure_cuts(df, ["symbol"], "ts", 20)), Series.of("symbol", ("ts", "seq"))
+
+
+def test_fifo_of_a_split_series_stages_what_it_needs(spark, fills_of_a_long_key, monkeypatch):
+    """Columns that round trips don't need are neither staged nor numbered again."""
+    from tidebook.operators import series as SE
+
+    df, series, whole = fills_of_a_long_key
+    seen = []
+    kept = SE.staged
+    monkeypatch.setattr(SE, "staged", lambda d: seen.append(d.columns) or kept(d))
+    got = TR.fifo_trades(df.withColumn("note", F.lit("x")), series)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, TR.fifo_trades(df, whole).collect()))
+    assert seen and not any("note" in c for c in seen) and len(seen) <= 4

@@ -204,12 +204,10 @@ def drawdown(df: DataFrame, series: Series, col: str = "equity"):
 def runs(df: DataFrame, series: Series, same: Sequence[str], out: str = "run"):
     """Number the maximal stretches of consecutive rows with equal ``same`` columns."""
 
-    prev = {f"_p_{c}": c for c in same}
-    lagged = series.frames(
-        df, lambda w: {n: F.lag(c).over(w) for n, c in prev.items()}, before=1
-    )
+    # the last row before this one, found in one pass also where a series is split
+    lagged = series.running(df, {"_p": ("last", F.struct(*same))}, include_current=False)
     changed = F.lit(False)
-    for n, c in prev.items():
-        changed = changed | ~F.col(c).eqNullSafe(F.col(n))
-    flagged = lagged.withColumn("_new", changed.cast("int")).drop(*prev)
+    for c in same:
+        changed = changed | ~F.col(c).eqNullSafe(F.col("_p")[c])
+    flagged = lagged.withColumn("_new", changed.cast("int")).drop("_p")
     return series.running(flagged, {out: ("sum", F.col("_new").cast("long"))}).drop("_new")

@@ -13,6 +13,7 @@ from tidebook.session import staged
 # Fixed value: quantities at or below this are flat.
 DUST = 1e-12
 _QTY = "decimal(38,12)"
+_SUM = "decimal(36,12)"  # leaves room for a sum of two
 
 
 def coalesce_partials(fills: DataFrame, series: Series) -> DataFrame:
@@ -32,16 +33,20 @@ def coalesce_partials(fills: DataFrame, series: Series) -> DataFrame:
 
 
 def _split_parts(fills: DataFrame, series: Series) -> DataFrame:
-    """Closing and opening quantity of each fill with their running totals."""
-    q = F.col("qty").cast(_QTY)
-    net = series.running(
-        fills, {"_net": ("sum", q * F.col("side"))}, include_current=False
-    ).withColumn("_net", F.coalesce(F.col("_net"), F.lit(0).cast(_QTY)))
-    against = F.signum(F.col("_net")) == -F.col("side")
-    closing = F.when(against, F.least(F.abs("_net"), q)).otherwise(F.lit(0).cast(_QTY))
-    parts = net.withColumn("_close", closing).withColumn("_open", q - F.col("_close"))
-    return series.running(
-        parts, {"_cum_open": ("sum", F.col("_open")), "_cum_close": ("sum", F.col("_close"))}
+    """Closing and opening quantity of each fill with twice their running totals.
+
+    What was opened less what was closed is the size of the position, and both
+    together are all that was traded, so two sums give all of them.
+    """
+    q = F.coalesce(F.col("qty").cast(_QTY), F.lit(0).cast(_QTY))
+    signed = F.when(F.col("side") > 0, q).when(F.col("side") < 0, -q).otherwise(F.lit(0).cast(_QTY))
+    sums = series.running(fills, {"_net": ("sum", signed), "_all": ("sum", q)})
+    before = F.col("_net").cast(_SUM) - signed.cast(_SUM)
+    against = F.signum(before) == -F.col("side")
+    closing = F.when(against, F.least(F.abs(before), q)).otherwise(F.lit(0).cast(_QTY))
+    size, traded = F.abs("_net").cast(_SUM), F.col("_all").cast(_SUM)
+    return sums.withColumns({"_close": closing, "_cum_open": traded + size, "_cum_close": traded - size}).withColumn(
+        "_open", q - F.col("_close")
     )
 
 
@@ -54,6 +59,7 @@ def fifo_trades(
     on one axis of cumulative quantity, and every stretch between neighbouring
     breakpoints is one matched lot, so no lot is ever joined to all closes.
     """
+    fills = fills.select(*series.keys, *series.by, "side", "qty", "px")
     merged = coalesce_partials(fills, series) if coalesce else fills
     parts = _split_parts(merged, series)
     at = series.by[0]
@@ -77,16 +83,16 @@ def fifo_trades(
         axis = staged(axis)
         cuts = measure_cuts(axis, series.keys, "_pos", series.rows_per_block)
     line = Series.of(series.keys, ("_pos", "_cum", "_kind"), cuts)
+    # The narrow rows first: a second pass over a split series is staged and shuffled again.
+    spans = line.running(axis, {"_before": ("last", F.col("_cum"))}, include_current=False)
+    qty = F.col("_cum") - F.coalesce(F.col("_before"), F.lit(0).cast(_QTY))
+    spans = spans.withColumn("qty", qty.cast("double") / 2).drop("_before")
     legs = line.running(
-        axis,
+        spans,
         {"entry": ("last", F.col("_entry")), "exit": ("last", F.col("_exit"))},
         reverse=True,
     )
-    spans = line.frames(legs, lambda w: {"_before": F.lag("_cum").over(w)}, before=1)
-    qty = F.col("_cum") - F.coalesce(F.col("_before"), F.lit(0).cast(_QTY))
-    lots = spans.withColumn("qty", qty.cast("double")).where(
-        (F.col("qty") > DUST) & F.col("exit").isNotNull()
-    )
+    lots = legs.where((F.col("qty") > DUST) & F.col("exit").isNotNull())
     entry, exit_, q = F.col("entry.px"), F.col("exit.px"), F.col("qty")
     pnl = (exit_ - entry) * q * F.col("entry.side") - (entry + exit_) * q * F.lit(fee_rate)
     return lots.select(
