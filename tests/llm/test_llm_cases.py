@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tidebook.llm import decontaminate, kneser_ney, mixing, pii, probminhash, sharding, sketches, token_counts, toxicity, url_rules
+from tidebook.llm.common import local_table
 from tidebook.llm.textblocks import folded_words, shingles
 
 LONG = " ".join(f"word{i} of a long text" for i in range(60_000))
@@ -73,6 +74,20 @@ def test_decontamination_cases(docs, empty, items):
     assert {r.text for r in clean.where("doc_id = 1").collect()} == {"The quick brown fox jumps "}
 
 
+def test_passages_are_found_and_cut_by_one_worker(docs, items):
+    clean = decontaminate.decontaminate(docs, items, min_words=9, max_coverage=0.7)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    many = decontaminate.decontaminate(docs, items, min_words=9, max_coverage=0.7, group_bytes=30)
+    assert bag(many, "doc_id", "text") == bag(clean, "doc_id", "text")
+
+
+def test_tables_of_the_driver_need_no_worker(spark):
+    for rows in ([(1, 2, 0.5), (3, 4, 0.25)], []):
+        df = local_table(spark, rows, "node long, right long, share double")
+        assert "RDD" not in df._jdf.queryExecution().optimizedPlan().toString()
+        assert [tuple(r) for r in df.collect()] == rows and df.schema.simpleString() == "struct<node:bigint,right:bigint,share:double>"
+
+
 def test_groups_of_items_find_what_one_automaton_finds(docs, rows):
     random.seed(2)
     vocabulary = ["the", "lazy", "dog", "a", "long", "text", "of"]

@@ -15,7 +15,7 @@ shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -189,16 +189,26 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     documents count as they stand. An empty benchmark hits nothing. Other
     columns stay; one named like a result column is replaced by it.
     """
-    docs = fresh(docs, *_FOUND, needs=(text,))
+    return _found(fresh(docs, *_FOUND, needs=(text,)), _groups(benchmark, item_id, item_text, group_bytes), text, window)
+
+
+def _found(docs: DataFrame, groups: Iterator, text: str, window: int, then: Callable | None = None) -> DataFrame:
+    """``find``, one pass for each group; ``then`` goes on with the batches of the last one in the same worker, back to the columns of ``docs``."""
     schema = extended(docs, ", ".join(f"{k} {v}" for k, v in _FOUND.items()))
+    groups = list(groups)
     out = docs
-    for k, items in enumerate(_groups(benchmark, item_id, item_text, group_bytes)):
+    for k, items in enumerate(groups):
         if k:
             out = staged(out)
-        out = in_arrow(out, _finder(items, text, window, k > 0), schema)
+        run, last = _finder(items, text, window, k > 0), then is not None and k == len(groups) - 1
+        out = in_arrow(out, _one_after(run, then) if last else run, docs.schema if last else schema)
     return out
 
 
+def _one_after(first: Callable, then: Callable) -> Callable:
+    return lambda batches: then(first(batches))
+
+
 def _finder(items, text: str, window: int, later: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton(((n, folded_words(t)) for n, t in items.value), window)
@@ -226,7 +236,9 @@ def n_hit():
     return F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")), lambda a: a["n"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", min_words: int = WINDOW, max_coverage: float = 0.5, **kw) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = WINDOW, max_coverage: float = 0.5, group_bytes: int = GROUP_BYTES
+) -> DataFrame:
     """``docs`` without benchmark passages.
 
     Passages of ``min_words`` benchmark words (or whole shorter items) are cut
@@ -235,16 +247,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     without words or text. Null cases and repeats are as in ``find``.
     """
     moved, back = set_aside(docs, *_FOUND)
-    found = find(moved, benchmark, text=text, window=min_words, **kw)
     names = moved.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n_words, runs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_words", "runs"))
+            batch = batch.filter(pa.array([sum(r[1::2]) - sum(r[::2]) <= max_coverage * n for n, r in zip(n_words, runs)], pa.bool_()))
             at, runs = batch.schema.get_field_index(text), batch.column(batch.num_columns - 1).to_pylist()
             if any(runs):
                 texts = [cut(t, r) if r else t for t, r in zip(as_bytes(batch.column(at)), runs)]
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.binary()).cast(batch.schema.field(at).type))
             yield batch.select(names)
 
-    kept = in_arrow(found.where(n_hit() <= F.lit(max_coverage) * F.col("n_words")), run, moved.schema)
-    return back(kept)
+    return back(_found(moved, _groups(benchmark, item_id, item_text, group_bytes), text, min_words, run))

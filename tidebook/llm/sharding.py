@@ -28,7 +28,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import fresh, staged, text_or_empty
+from tidebook.llm.common import fresh, local_table, staged, text_or_empty
 
 #: A group of at least this part of a shard's bytes is placed by itself.
 LARGE = 0.02
@@ -91,7 +91,7 @@ def _split(points: DataFrame, nodes: list[tuple[int, int, int, float]], n_dims:
     of the left side. Node ids are the first shard of the node.
     """
     spark = points.sparkSession
-    table = F.broadcast(spark.createDataFrame([(n, right, share) for n, right, share in nodes], "node long, right long, share double"))
+    table = F.broadcast(local_table(spark, nodes, "node long, right long, share double"))
     stats = points.groupBy("node").agg(F.sum("bytes").cast("double").alias("total"), *(f(f"d{i}").alias(f"{a}{i}") for i in range(n_dims) for f, a in ((F.min, "lo"), (F.max, "hi"))))
     widths = [F.struct((F.col(f"hi{i}") - F.col(f"lo{i}")).alias("w"), F.lit(-i).alias("i")) for i in range(n_dims)]
     widest = stats.join(table, "node").select("node", "right", (F.col("share") * F.col("total")).alias("want"), (-(F.greatest(*widths) if n_dims > 1 else widths[0])["i"]).alias("dim"))
@@ -136,7 +136,7 @@ def leaves(docs: DataFrame, *, text: str = "text", dimensions: dict[str, Column]
     parts: dict[int, int] = {}
     for h, _, _ in placed:
         parts[h] = parts.get(h, 0) + 1
-    big = spark.createDataFrame([(h, p, parts[h], s) for h, p, s in placed], "h long, part int, parts int, shard int")
+    big = local_table(spark, [(h, p, parts[h], s) for h, p, s in placed], "h long, part int, parts int, shard int")
     small = points.where(F.col("bytes") < LARGE * target) if shards > 1 else points
     small = small.select(F.pmod("h", F.lit(1)).cast("long").alias("node"), "h", "bytes", *(f"d{i}" for i in range(n_dims)))
     level = [(0, shards)]
