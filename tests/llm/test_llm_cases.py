@@ -701,6 +701,22 @@ def test_quality_cases(rows, docs, empty):
     kept_columns(kneser_ney.score(docs, kneser_ney.train(docs, trusted)), docs, "perplexity")
 
 
+def test_texts_are_joined_to_trusted_keys_once(docs, rows, spark, monkeypatch):
+    """What is counted and scored is read from tables: no fold shuffles the texts for a join of its own."""
+    plans, in_arrow = [], kneser_ney.in_arrow
+    monkeypatch.setattr(kneser_ney, "in_arrow", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or in_arrow(df, *a))
+    trusted = rows("doc_id long", [(1,), (2,), (5,), (7,), (7,), (None,)])
+    want = bag(kneser_ney.classify(docs, trusted), "doc_id", "lang", "threshold", "keep")
+    assert len(plans) > 3 and not [p for p in plans if "Join" in p]
+    monkeypatch.setattr(kneser_ney, "BROADCAST_KEYS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert bag(kneser_ney.classify(docs, trusted), "doc_id", "lang", "threshold", "keep") == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_long_texts_are_scored_in_pieces(rows, monkeypatch):
     docs = rows("doc_id long, text string, lang string", [(1, "ab ba abba " * 50, "x"), (2, "abab", "x"), (3, "", "x")])
     table = kneser_ney._symbols([ord(c) for c in "ab "])
