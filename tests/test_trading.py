@@ -5,6 +5,7 @@ from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
 from tidebook.functions.brokerage import CostModel
 from tidebook.operators import execution as X
@@ -12,6 +13,7 @@ from tidebook.operators import orders as OR
 from tidebook.operators import portfolio as PF
 from tidebook.operators import positions as PO
 from tidebook.operators import trades as TR
+from tidebook.operators.fold import reduce_groups
 from tidebook.operators.series import Series, measure_cuts
 
 FILL = "symbol string, ts long, seq long, side long, qty double, px double"
@@ -237,6 +239,47 @@ def test_positions_that_are_never_flat_are_split(rows, monkeypatch, near):
         assert folded[-1].where("_block < 0").count() == 0 and folded[-1].where("symbol = 'A'").select("_block").distinct().count() > 4
 
 
+def test_groups_stay_whole_behind_a_join_that_turns_into_a_broadcast(spark):
+    """Spark then reads the rows by mapper, unless something asks for whole groups."""
+
+    class Count:
+        n = 0
+
+        def take(self, v):
+            self.n += len(v)
+
+        def result(self):
+            return (self.n,)
+
+    few, own = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(few)
+    spark.conf.set(few, "-1")
+    spark.conf.set(own, "10m")
+    try:
+        rows = spark.range(0, 20_000, 1, 8).selectExpr("id % 5000 as k", "id as v")
+        joined = rows.join(spark.range(5000).selectExpr("id as k", "id as x"), "k")
+        out = [StructField("n", LongType())]
+        reduced = reduce_groups(joined, ["k"], ["v"], Count, ("v",), tuple(out))
+        assert "Window" in reduced._jdf.queryExecution().executedPlan().toString()
+        found = reduced.collect()
+    finally:
+        spark.conf.set(few, before)
+        spark.conf.unset(own)
+    assert sorted(tuple(r) for r in found) == [(k, 4) for k in range(5000)]
+
+
+def test_blocked_positions_gain_as_plain_ones(rows):
+    """Linear and inverse fills, several blocks, positions that turn and amounts beyond 64 bits on the way."""
+    rnd = random.Random(5)
+    schema = "symbol string, ts long, seq long, side long, qty_raw long, px_raw long, fee_raw long, multiplier long, is_inverse boolean"
+    data = [(s, i, i, rnd.choice((1, -1)), rnd.randint(1, 9), rnd.randint(90, 130) * big, rnd.randint(0, 2), 1 + (s == "B"), s == "B") for i in range(300) for s, big in (("A", 1), ("B", 1), ("C", 10**15))]
+    df = rows(schema, data)
+    cuts = measure_cuts(df, ["symbol"], "ts", 40)
+    whole = PO.average_cost(df, BY_TS)
+    split = PO.average_cost(df, Series.of("symbol", ("ts", "seq"), cuts)).select(*whole.columns)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, whole.select(*split.columns).collect()))
+
+
 # -- execution ------------------------------------------------------------------
 
 BAR = "symbol string, ts_event long, open double, high double, low double, close double, volume double"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,14 +50,13 @@ class AverageCost:
         return gain
 
 
-class _Seeded(AverageCost):
-    """A position that takes over the state of an earlier block on its first fill."""
+class _Entered:
+    """The average of a position that enters a block; None before its first fill."""
 
-    __slots__ = ("fresh",)
+    __slots__ = ("avg",)
 
     def __init__(self):
-        super().__init__()
-        self.fresh = True
+        self.avg = None
 
 
 def _linear(mult: int):
@@ -108,9 +108,8 @@ def average_cost(
         tuple(T.StructField(n, long) for n in ("net_raw", "avg_raw", "realized_step")),
     )
     if series.is_split:
-        steps = _in_blocks(df, series, fold)
-    else:
-        steps = fold_rows(df, series, fold)
+        return _in_blocks(df, series, fold, lambda mult: _inverse(mult, money_decimals, 10**price_decimals))
+    steps = fold_rows(df, series, fold)
     return series.running(steps, {"realized_raw": ("sum", F.col("realized_step"))})
 
 
@@ -137,32 +136,34 @@ class _Drift:
 class _Averages:
     """The rounded average after a block for every average before it that is near the expected one.
 
-    Averages that meet stay together, so few are left to be walked soon.
+    A fill moves two neighbours to the same average or to neighbours, so what is
+    left of them is always a range: its ends tell whether any have met.
     """
 
     def __init__(self):
-        self.values, self.fixed = None, False
+        self.low, self.fixed = None, False
 
     def take(self, net, signed, px, expected):
-        if self.values is None:
-            self.low = round(float(expected[0])) - NEAR
-            self.values, self.of = [self.low + i for i in range(2 * NEAR + 1)], range(2 * NEAR + 1)
+        if self.low is None:
+            self.low = self.lo = round(float(expected[0])) - NEAR
+            self.hi, self.of = self.lo + 2 * NEAR, np.arange(2 * NEAR + 1)
+        lo, hi = self.lo, self.hi
         for n, s, p in zip(net.tolist(), signed.tolist(), px.tolist()):
             if n == 0 or (n > 0) != (s > 0) and abs(s) > abs(n):
-                self.values, self.of, self.fixed = [p], [0] * len(self.of), True
+                lo = hi = p
+                self.fixed = True
             elif (n > 0) == (s > 0) and s:
                 size, more = abs(n), abs(s)
-                moved = [half_even(v * size + p * more, size + more) for v in self.values]
-                if moved[0] != moved[-1] or len(moved) > 1:
-                    kept = sorted(set(moved))
-                    if len(kept) < len(moved):
-                        place = {v: i for i, v in enumerate(kept)}
-                        self.of = [place[moved[i]] for i in self.of]
-                        moved = kept
-                self.values = moved
+                first = half_even(lo * size + p * more, size + more)
+                last = half_even(hi * size + p * more, size + more) if hi > lo else first
+                if last - first < hi - lo:
+                    met = [half_even(v * size + p * more, size + more) - first for v in range(lo, hi + 1)]
+                    self.of = np.array(met)[self.of]
+                lo, hi = first, last
+        self.lo, self.hi = lo, hi
 
     def result(self):
-        return self.low, self.fixed, [self.values[i] for i in self.of]
+        return self.low, self.fixed, [self.lo] if self.fixed else [self.lo + i for i in self.of.tolist()]
 
 
 def _chained(blocks: DataFrame, keys: list[str], start: Column, step, kind: str) -> DataFrame:
@@ -182,7 +183,51 @@ def _chained(blocks: DataFrame, keys: list[str], start: Column, step, kind: str)
     return blocks.groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.explode(entries).alias("_e")).select(*keys, "_e.*")
 
 
-def _in_blocks(df: DataFrame, series: Series, fold: Fold) -> DataFrame:
+def _averages(state: _Entered, net: list[int], signed: list[int], px: list[int]) -> tuple[list[int], list[int]]:
+    """The averages before and after each fill of a position whose size is known."""
+    avg, before, after = state.avg, [], []
+    for n, s, p in zip(net, signed, px):
+        before.append(avg)
+        if n == 0:
+            avg = p
+        elif (n > 0) == (s > 0):
+            avg = half_even(avg * abs(n) + p * abs(s), abs(n + s))
+        elif abs(s) > abs(n):
+            avg = p
+        if n + s == 0:
+            avg = 0
+        after.append(avg)
+    state.avg = avg
+    return before, after
+
+
+def _entered_run(inverse):
+    """Fills of a block in order; as ``AverageCost.fill``, with the gains of all of them at once."""
+
+    def run(state: _Entered, side, qty, px, fee, mult, inv, net, entry) -> tuple:
+        if state.avg is None:
+            state.avg = int(entry[0])
+        signed = side * qty
+        before, after = _averages(state, net.tolist(), signed.tolist(), px.tolist())
+        closing = np.flatnonzero((net != 0) & ((net > 0) != (signed > 0)))
+        gain = np.zeros(len(net), dtype=object if len(closing) and _is_large(px, qty, mult) else np.int64)
+        entries = np.array(before, dtype=gain.dtype)[closing]
+        closed = np.minimum(np.abs(net), np.abs(signed))[closing]
+        sign = np.where(net[closing] > 0, 1, -1)
+        gain[closing] = np.where(entries != 0, (px[closing] - entries) * closed * mult[closing], 0) * sign
+        for i in closing[inv[closing].astype(bool)].tolist():
+            gain[i] = inverse(int(mult[i]))(before[i], int(px[i]), int(min(abs(net[i]), abs(signed[i])))) * (1 if net[i] > 0 else -1)
+        return net + signed, np.array(after, dtype=object), gain - fee
+
+    return run
+
+
+def _is_large(px, qty, mult) -> bool:
+    """Whether a gain might not fit into 64 bits; it is then worked out in whole numbers of any size."""
+    return 2.0 * float(np.abs(px).max()) * float(np.abs(qty).max()) * float(np.abs(mult).max()) >= 2.0**61
+
+
+def _in_blocks(df: DataFrame, series: Series, fold: Fold, inverse) -> DataFrame:
     """The fold with every long key cut into blocks, also where the position is never flat.
 
     What enters a block is its size, a prefix sum, and its average, which is
@@ -195,8 +240,9 @@ def _in_blocks(df: DataFrame, series: Series, fold: Fold) -> DataFrame:
     """
     keys, by = list(series.keys), list(series.by)
     signed = F.col("side") * F.col("qty_raw")
-    rows = series.running(df.withColumn("_signed", signed), {"_net": ("sum", F.col("_signed"))}, include_current=False)
-    rows = series.number(rows.withColumn("_net", F.coalesce("_net", F.lit(0)).cast("long")))
+    before = {"_net": ("sum", F.col("_signed")), RN: ("count", F.lit(1))}
+    rows = series.running(df.withColumn("_signed", signed.cast("long")), before, include_current=False)
+    rows = rows.withColumn("_net", F.coalesce("_net", F.lit(0)).cast("long"))
     rows = rows.withColumn("_block", int_div(F.col(RN), series.rows_per_block)).drop(RN)
     rows = staged(rows)
     group, double = [*keys, "_block"], T.DoubleType()
@@ -213,16 +259,14 @@ def _in_blocks(df: DataFrame, series: Series, fold: Fold) -> DataFrame:
     entries = entries.withColumn("_lost", F.max(F.col("entry").isNull()).over(Window.partitionBy(*keys)))
     rows = rows.join(entries, group)
 
-    def apply(book: AverageCost, row: tuple) -> tuple:
-        *own, net, entry = row
-        if book.fresh and entry is not None:
-            book.net, book.avg = net, entry
-        book.fresh = False
-        return fold.apply(book, tuple(own))
-
-    seeded = Fold(_Seeded, apply, (*fold.inputs, "_net", "entry"), fold.outputs)
-    whole = rows.where("_lost").withColumns({"_block": F.lit(-1).cast("long"), "entry": F.lit(None).cast("long")})
-    return fold_groups(rows.where("not _lost").unionByName(whole), group, by, seeded, keep=[*keys, *by])
+    whole = rows.where("_lost").withColumns({"_block": F.lit(-1).cast("long"), "entry": F.lit(0).cast("long")})
+    entered = Fold(_Entered, fold.apply, (*fold.inputs, "_net", "entry"), fold.outputs, _entered_run(inverse))
+    steps = staged(fold_groups(rows.where("not _lost").unionByName(whole), group, by, entered, keep=[*group, *by]))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    gains = steps.groupBy(*group).agg(F.sum("realized_step").alias("_gain"))
+    gains = gains.select(*group, F.coalesce(F.sum("_gain").over(earlier), F.lit(0)).alias("_gain"))
+    upto = F.sum("realized_step").over(Window.partitionBy(*group).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("realized_raw", upto).join(gains, group).withColumn("realized_raw", F.col("realized_raw") + F.col("_gain")).drop("_gain", "_block")
 
 
 def latest(positions: DataFrame, series: Series) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.operators.fold import Fold, fold_groups
+from tidebook.operators.fold import Fold, fold_groups, in_order
 from tidebook.operators.series import CHUNK, RN, Series
 from tidebook.session import staged
 
@@ -106,8 +106,7 @@ def _filter_groups(
     outs, columns, alphas = (list(x) for x in zip(*filters))
     slim = df.select(*dict.fromkeys([*group, *by, *keep, *columns]))
     schema = T.StructType([*[slim.schema[c] for c in keep], *map(_double, outs)])
-    ordered = slim.repartition(*group).sortWithinPartitions(*group, *by)
-    return ordered.mapInArrow(_walk(group, columns, alphas, outs, fresh, keep), schema)
+    return in_order(slim, group, by).mapInArrow(_walk(group, columns, alphas, outs, fresh, keep), schema)
 
 
 def _carries(keep: float) -> Fold:
