@@ -753,3 +753,33 @@ def test_contexts_are_counted_of_possible_marks_only(spark):
     assert all(toxicity._fragments(b"zzgrawlix")[0] in m.fragments for m in toxicity._all_marks(rows))
     counted = toxicity._counts(rows, np.array(sorted(mark))).groupBy("y").agg({"mark": "approx_count_distinct"}).collect()
     assert [r.y for r in counted] == [1]
+
+
+def test_only_what_shares_bytes_with_a_toxic_dictionary_is_compressed(monkeypatch):
+    """The others are counted all the same, and what is compressed has the distance that it had."""
+    words = [f"ordinary{i % 50}" for i in range(400)]
+    words[203:206] = ["zzgrawlix", "qqblort", "xxfrump"]
+    passages = b" zzgrawlix qqblort xxfrump wwsnark "
+    model = toxicity.Model(b" ".join(w.encode() for w in words[:50]), b" zzgrawlix ", passages)
+    compressed = []
+    compressor = toxicity._compressor
+
+    def counting(dictionary, level, size):
+        compress = compressor(dictionary, level, size)
+        return lambda data: compressed.append(data) or compress(data)
+
+    words = [w.encode() for w in words]
+    monkeypatch.setattr(toxicity, "RUNS", (4, 0))  # runs of no byte are in every window
+    monkeypatch.setattr(toxicity, "LEAST", (1, 1))
+    every = model.distances()(words)
+    monkeypatch.undo()
+    monkeypatch.setattr(toxicity, "_compressor", counting)
+    each, spans = model.distances()(words)
+    windows = toxicity.windows_of(words)
+    assert len(each) == len(set(words)) and len(spans) == len(windows)
+    own = {k for k, w in enumerate(windows) if b"zzgrawlix" in w or b"qqblort" in w or b"xxfrump" in w}
+    assert set(np.flatnonzero(spans)) == own and (spans[list(own)] == every[1][list(own)]).all()
+    assert (each > 0).sum() == 1 and sorted(set(compressed)) == sorted(w + toxicity._CARRIER for w in [b" zzgrawlix ", *(windows[k] for k in own)])
+    for few in ([], [b"a"], [b"zzgrawlix"], words[203:206]):
+        each, spans = model.distances()(few)
+        assert len(each) == len(few) and len(spans) == len(toxicity.windows_of(few)) and (each > 0).sum() == (b"zzgrawlix" in few)

@@ -4,7 +4,9 @@ One dictionary is trained on windows of ordinary text, one on windows of toxic
 text. Windows are of two widths, over the whole text: each different word between blanks,
 and ``SPAN`` words, a new one every ``STEP`` words, which show phrases of ordinary
 words. A window is compressed with each dictionary; how many bytes the toxic one
-saves over the ordinary one is its distance. A text's score is a logistic
+saves over the ordinary one is its distance. A window that shares too little with
+the toxic dictionary to save bytes that count (``RUNS``, ``LEAST``) is counted
+with a distance of 0 and not compressed. A text's score is a logistic
 function, for both widths, of how many windows are beyond each of some thresholds
 more than ordinary texts of that length have, calibrated on labelled texts that
 the dictionaries have not seen.
@@ -65,6 +67,8 @@ REACHED = 0.005
 #: Level and usual input size of the compressor of words and of that of windows.
 LEVELS = ((6, 96), (4, 160))
 CACHE = 100_000
+#: Words and windows are compressed that share so many bytes in a row with their toxic dictionary, from so many places on: a window six bytes, or five twice.
+RUNS, LEAST = (4, 5), (1, 2)
 #: Fragments and phrases that a task holds before it sums them, and the share of ordinary texts, one in so many, that are looked at first.
 HELD, PART = 2_000_000, 4
 _CARRIER = bytes(range(0x21, 0x61))  # follows every window: short inputs are else stored as they are
@@ -282,6 +286,28 @@ def _compressor(dictionary: bytes, level: int, size: int):
     return zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress
 
 
+def _runs(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` bytes, eight at most, from each place on as a number; beyond the end are zeros."""
+    return np.ndarray(len(data), "<u8", data + bytes(8), strides=(1,)) & _U((1 << 8 * n) - 1)
+
+
+def _shared(dictionary: bytes, n: int):
+    """A function from bytes to the places where a run of ``n`` bytes starts that ``dictionary`` has too."""
+    known = np.unique(_runs(dictionary, n)[: max(0, len(dictionary) - n + 1)])
+    spread, shift = _U(0x9E3779B97F4A7C15), _U(46)
+    likely = np.zeros(1 << 18, bool)
+    likely[(known * spread) >> shift] = True
+
+    def places(data: bytes) -> np.ndarray:
+        runs = _runs(data, n)
+        at = np.flatnonzero(likely[(runs * spread) >> shift])
+        if not len(at):
+            return at
+        return at[known[np.minimum(np.searchsorted(known, runs[at]), len(known) - 1)] == runs[at]]
+
+    return places
+
+
 @dataclass
 class Model:
     """The dictionaries (ordinary, toxic for words, toxic for windows), the weights of the features, the thresholds and how usual it is to reach them.
@@ -301,20 +327,38 @@ class Model:
         """A function from a text's words to the bytes that the toxic dictionary saves on each different word and on each window."""
         usual, bad = (_compressor(d, *LEVELS[0]) for d in (self.ordinary, self.toxic))
         usual_wide, bad_wide = (_compressor(d, *LEVELS[1]) for d in (self.ordinary, self.ordinary + self.passages))
+        in_toxic, in_passages = (_shared(d, n) for d, n in zip((self.toxic, self.passages), RUNS))
         known: dict[bytes, int] = {}
 
         def of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            if not words:
+                return np.empty(0, np.int64), np.empty(0, np.int64)
             if len(known) > CACHE:
                 known.clear()
-            each = []
-            for w in dict.fromkeys(words):
+            text = _spaced(words)
+            blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)  # before each word and behind the last
+            at = in_toxic(text)
+            word = np.searchsorted(blanks, at, "right") - 1
+            near = np.bincount(word[at + RUNS[0] <= blanks[word + 1] + 1], minlength=len(words))
+            each = np.zeros(len(set(words)), np.int64)
+            for i, w in enumerate({words[k] for k in np.flatnonzero(near >= LEAST[0])}):
                 d = known.get(w)
                 if d is None:
                     window = _spaced([w]) + _CARRIER
                     d = known[w] = len(usual(window)) - len(bad(window))
-                each.append(d)
-            spans = [len(usual_wide(w)) - len(bad_wide(w)) for w in (window + _CARRIER for window in windows_of(words))]
-            return np.array(each, np.int64), np.array(spans, np.int64)
+                each[i] = d
+
+            at = in_passages(text)
+            first, last = np.searchsorted(blanks, at, "right") - 1, np.searchsorted(blanks, at + RUNS[1] - 1) - 1  # words that a run is of
+            spans = np.zeros(len(range(0, max(1, len(words) - SPAN + STEP), STEP)), np.int64)
+            near = np.zeros(len(spans), np.int64)
+            for back in range(-(-SPAN // STEP)):
+                k = first // STEP - back
+                near += np.bincount(k[(k >= 0) & (k < len(near)) & (last < k * STEP + SPAN)], minlength=len(near))
+            for k in np.flatnonzero(near >= LEAST[1]).tolist():
+                window = text[blanks[k * STEP] : blanks[min(k * STEP + SPAN, len(words))] + 1] + _CARRIER
+                spans[k] = len(usual_wide(window)) - len(bad_wide(window))
+            return each, spans
 
         return of
 
