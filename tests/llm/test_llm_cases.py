@@ -783,3 +783,19 @@ def test_only_what_shares_bytes_with_a_toxic_dictionary_is_compressed(monkeypatc
     for few in ([], [b"a"], [b"zzgrawlix"], words[203:206]):
         each, spans = model.distances()(few)
         assert len(each) == len(few) and len(spans) == len(toxicity.windows_of(few)) and (each > 0).sum() == (b"zzgrawlix" in few)
+
+
+def test_training_makes_no_objects_of_many_rows_in_the_driver(rows, monkeypatch):
+    docs, labels = toxic_corpus(rows, 60)
+    frame, sizes = type(docs), []
+    collect = frame.collect
+
+    def counted(self):
+        found = collect(self)
+        sizes.append(len(found))
+        return found
+
+    monkeypatch.setattr(frame, "collect", counted)
+    monkeypatch.setattr(frame, "toPandas", lambda self: pytest.fail("rows as objects"))
+    assert toxicity.train(docs, labels).weights
+    assert max(sizes) <= 2 * toxicity.FOLDS

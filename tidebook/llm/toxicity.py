@@ -161,6 +161,11 @@ def _marks_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(marks).view(np.int64), np.concatenate(contexts).view(np.int64)
 
 
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of whole numbers, as Arrow: neither side of the driver makes an object of a row."""
+    return [c.to_numpy().astype(np.int64) for c in df.toArrow().columns]
+
+
 def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """What stands in at least ``MIN_TEXTS`` of the texts, in order, and in how many; summed in each task before the shuffle."""
 
@@ -181,8 +186,9 @@ def _often(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield summed()
 
     found = in_arrow(rows.select("t"), run, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n"))
-    found = found.where(F.col("n") >= MIN_TEXTS).toPandas().sort_values("mark")
-    return found["mark"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    mark, n = _columns(found.where(F.col("n") >= MIN_TEXTS).select("mark", "n"))
+    order = np.argsort(mark)
+    return mark[order], n[order]
 
 
 def _counts(rows: DataFrame, of: np.ndarray) -> DataFrame:
@@ -213,10 +219,9 @@ def _candidates(rows: DataFrame, odds: float) -> np.ndarray:
     marks, n = _often(rows.where("y = 1"))
     part = _counts(rows.where((F.col("y") == 0) & (F.pmod(F.xxhash64("t"), F.lit(PART)) == 0)), marks)
     least = part.groupBy("mark").agg(*(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)))
-    found = least.toPandas()
+    mark, *each = _columns(least)
     usual = np.zeros(len(marks), np.int64)
-    each = found[[f"n{f}" for f in range(FOLDS)]].to_numpy(np.int64)
-    usual[np.searchsorted(marks, found["mark"].to_numpy(np.int64))] = each.sum(axis=1) - each.max(axis=1, initial=0)
+    usual[np.searchsorted(marks, mark)] = np.sum(each, axis=0) - np.max(each, axis=0, initial=0)
     return marks[n * odds >= MIN_RATIO * (usual + 1)]
 
 
@@ -235,7 +240,7 @@ def _all_marks(rows: DataFrame) -> list[Marks]:
     counts = _counts(rows, _candidates(rows, odds)).groupBy("mark").agg(*(F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(by[y][f]) for y in by for f in folds))
     seen, usual = (F.expr(" + ".join(by[y])) for y in (1, 0))
     likely = counts.where((seen >= MIN_TEXTS) & (seen * odds >= MIN_RATIO * (usual - F.greatest(*by[0]) + 1)))  # whichever fold is left out
-    found = np.array([tuple(r) for r in likely.collect()], np.int64).reshape(-1, 1 + 2 * FOLDS)
+    found = np.stack(_columns(likely), axis=1)
     found = found[np.argsort(found[:, 0])]
     hashes, n = found[:, 0].copy().view(_U), found[:, 1:].reshape(-1, 2, FOLDS)
     return [Marks.of(hashes[_are_marks(hashes, n[:, 0, f].sum(axis=1), n[:, 1, f].sum(axis=1), share(f))]) for f in own]
@@ -261,9 +266,13 @@ def _training_texts(rows: DataFrame, marks: list[Marks], n_windows: int) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(f, pa.int32()), pa.array(p, pa.binary())], ["marks", "fold", "text"])
 
     found = staged(in_arrow(rows.select("y", "fold", "t"), run, "marks int, fold int, text binary"))
-    passages = found.where("marks >= 0").groupBy("marks", "text").count().orderBy(F.desc("count"), "text").limit(2 * PASSAGES * FOLDS).collect()
-    plain = found.where("marks < 0").select("fold", "text").orderBy(F.xxhash64("text", "fold"), "text").limit(2 * WINDOWS).collect()
-    return [[(bytes(r.text), r["count"]) for r in passages if r.marks == m][:PASSAGES] for m in range(2 * len(marks))], [(r.fold, bytes(r.text)) for r in plain]
+    passages = found.where("marks >= 0").groupBy("marks", "text").count().orderBy(F.desc("count"), "text").limit(2 * PASSAGES * FOLDS).toArrow()
+    plain = found.where("marks < 0").select("fold", "text").orderBy(F.xxhash64("text", "fold"), "text").limit(2 * WINDOWS).toArrow()
+    out: list[list[tuple[bytes, int]]] = [[] for _ in range(2 * len(marks))]
+    for m, p, n in zip(*(c.to_pylist() for c in passages.columns)):
+        if len(out[m]) < PASSAGES:
+            out[m].append((p, n))
+    return out, list(zip(*(c.to_pylist() for c in plain.columns)))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -430,7 +439,7 @@ def _summaries(rows: DataFrame, models: list[Model]) -> list[tuple]:
             y, counts = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(counts, pa.list_(pa.int64()))], ["y", "counts"])
 
-    return sorted((r.y, r.counts) for r in in_arrow(rows.select("y", "fold", "t"), run, "y int, counts array<long>").collect())
+    return sorted(zip(*(c.to_pylist() for c in in_arrow(rows.select("y", "fold", "t"), run, "y int, counts array<long>").toArrow().columns)))
 
 
 def _samples(passages: list[tuple[bytes, int]]) -> list[bytes]:
