@@ -785,6 +785,14 @@ def test_only_what_shares_bytes_with_a_toxic_dictionary_is_compressed(monkeypatc
         assert len(each) == len(few) and len(spans) == len(toxicity.windows_of(few)) and (each > 0).sum() == (b"zzgrawlix" in few)
 
 
+def test_zeros_of_a_dictionary_are_not_shared_with_the_end_of_a_text():
+    """A trained dictionary begins with tables that hold a blank before zeros; no text goes on in zeros."""
+    model = toxicity.Model(b"ordinary words", b"zzgrawlix \0\0\0\0", b" zzgrawlix qqblort \0\0\0\0")
+    for words in ([b"ordinary"], [b"ordinary", b"words"] * 9):
+        each, spans = model.distances()(words)
+        assert len(each) == len(set(words)) and len(spans) == len(toxicity.windows_of(words)) and not each.any() and not spans.any()
+
+
 def test_training_makes_no_objects_of_many_rows_in_the_driver(rows, monkeypatch):
     docs, labels = toxic_corpus(rows, 60)
     frame, sizes = type(docs), []

@@ -308,7 +308,7 @@ def _shared(dictionary: bytes, n: int):
     likely[(known * spread) >> shift] = True
 
     def places(data: bytes) -> np.ndarray:
-        runs = _runs(data, n)
+        runs = _runs(data, n)[: max(0, len(data) - n + 1)]  # the zeros beyond the end are no bytes, a trained dictionary has zeros too
         at = np.flatnonzero(likely[(runs * spread) >> shift])
         if not len(at):
             return at
