@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -701,6 +702,25 @@ def test_quality_cases(rows, docs, empty):
     kept_columns(kneser_ney.score(docs, kneser_ney.train(docs, trusted)), docs, "perplexity")
 
 
+def test_documents_are_scored_by_the_model_of_all_trusted_ones(rows):
+    """No fold is left out, as brute force over all trusted texts tells; every trusted row has a part in the thresholds."""
+    random.seed(16)
+    texts = [" ".join(random.choices(["ab", "abc", "cab", "bé", "za"], k=random.randint(1, 30))) for _ in range(40)]
+    docs = rows("doc_id long, text string, lang string", [(i, t, "x") for i, t in enumerate(texts)])
+    got = kneser_ney.classify(docs, rows("doc_id long", [(i,) for i in range(30)])).collect()
+    want = brute_perplexity(texts[:30], texts)
+    assert [r.perplexity for r in sorted(got)] == pytest.approx(want, rel=1e-4)
+
+
+def test_trusted_rows_of_a_fold_without_texts_count(rows):
+    fold = lambda i: zlib.crc32(f"fold:{i}".encode()) % kneser_ney.FOLDS
+    own = rows("doc_id long, text string, lang string", [(i, None if fold(i) == 3 else "ab cab" * (i % 7), "x" if fold(i) != 3 else "y") for i in range(60)])
+    whole, without = kneser_ney.train_folds(own)
+    found = kneser_ney.cross_fitted(own, without)
+    assert found.count() == 60 and found.where("perplexity is null").count() == 0
+    assert kneser_ney.thresholds(found).where("lang = 'y'").first().n == sum(fold(i) == 3 for i in range(60)) > 0
+
+
 def test_texts_are_joined_to_trusted_keys_once(docs, rows, spark, monkeypatch):
     """What is counted and scored is read from tables: no fold shuffles the texts for a join of its own."""
     plans, in_arrow = [], kneser_ney.in_arrow
